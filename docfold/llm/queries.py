@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfold.llm import bpe, exact_dedup, packing, secrets, toxicity
+from docfold.llm import bpe, exact_dedup, fingerprints, packing, secrets, toxicity
 from docfold.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
@@ -50,7 +54,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Query]:
-    return {"op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op8_bpe": op8_bpe, "op9_exact_dedup": op9_exact_dedup, "op10_secrets": op10_secrets}
+    return {"op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_fingerprints": op7_fingerprints, "op8_bpe": op8_bpe, "op9_exact_dedup": op9_exact_dedup, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
