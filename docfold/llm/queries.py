@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfold.llm import bpe, exact_dedup, fingerprints, packing, secrets, toxicity, url_filter
+from docfold.llm import bpe, exact_dedup, fingerprints, html_extract, packing, secrets, toxicity, url_filter
 from docfold.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(table(spark, sf_dir, "pages"))
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
@@ -58,7 +62,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_url_filter": op1_url_filter, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_fingerprints": op7_fingerprints, "op8_bpe": op8_bpe, "op9_exact_dedup": op9_exact_dedup, "op10_secrets": op10_secrets}
+    return {"op1_url_filter": op1_url_filter, "op4_html_extract": op4_html_extract, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_fingerprints": op7_fingerprints, "op8_bpe": op8_bpe, "op9_exact_dedup": op9_exact_dedup, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
