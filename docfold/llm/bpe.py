@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from docfold.llm import pretokens
 from docfold.llm.common import arrow_map, pieces_of, text_of
 
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 4 << 20
 #: Of the literal map: Spark looks a map's key up by going through it, so the map is cut by hash.
 BUCKETS = 4096
 
@@ -124,10 +124,10 @@ def frequent_words(docs: DataFrame, most: int, longest: int = 64) -> DataFrame:
 
         def each(batch: pa.RecordBatch):
             words, counts = [], []
-            for part in pieces_of(batch, 4 * BATCH_BYTES):
+            for part in pieces_of(batch, BATCH_BYTES):
                 codes, names, _ = pretokens.coded(part.column("text").to_pylist(), classes)
                 n = np.bincount(codes, minlength=len(names))
-                # A word that occurs once in some 20 MB of text stays with the tasks that meet it.
+                # A word that occurs once in 4 MB of text is left to the tasks that meet it.
                 keep = [i for i in np.flatnonzero(n > 1) if len(names[i]) <= longest]
                 words += [names[i] for i in keep]
                 counts.append(n[keep])

@@ -72,8 +72,12 @@ def split(texts: list[str], classes: np.ndarray) -> tuple[pa.Array, np.ndarray]:
             after = after[after < n]
             begin[after] = True
         # What follows a contraction begins a match, so a lone apostrophe there begins one as well; it did by its class.
-    width = 1 + (cp >= 0x80).astype(np.int32) + (cp >= 0x800) + (cp >= 0x10000)
-    offset = np.cumsum(width) - width
+    width = (cp >= 0x80).astype(np.uint8)
+    width += cp >= 0x800
+    width += cp >= 0x10000
+    width += 1
+    offset = np.cumsum(width, dtype=np.int32)
+    offset -= width
     cut = np.flatnonzero(begin)
     data = joined.encode()
     ends = np.append(offset[cut], len(data)).astype(np.int32)
