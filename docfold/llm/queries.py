@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfold.llm import bpe, exact_dedup, fingerprints, html_extract, minhash, packing, secrets, toxicity, url_filter
+from docfold.llm import bpe, exact_dedup, fingerprints, html_extract, minhash, packing, secrets, substring, toxicity, url_filter
 from docfold.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_classes(table(spark, sf_dir, "documents"))
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extracted(table(spark, sf_dir, "pages"))
 
@@ -66,7 +70,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_url_filter": op1_url_filter, "op2_minhash": op2_minhash, "op4_html_extract": op4_html_extract, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_fingerprints": op7_fingerprints, "op8_bpe": op8_bpe, "op9_exact_dedup": op9_exact_dedup, "op10_secrets": op10_secrets}
+    return {"op1_url_filter": op1_url_filter, "op2_minhash": op2_minhash, "op3_substring": op3_substring, "op4_html_extract": op4_html_extract, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_fingerprints": op7_fingerprints, "op8_bpe": op8_bpe, "op9_exact_dedup": op9_exact_dedup, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
