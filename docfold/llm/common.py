@@ -68,3 +68,11 @@ def pieces_of(batch: pa.RecordBatch, most: int, column: str = "text") -> Iterato
         end = max(at + 1, int(np.searchsorted(size, before + most, "right")))
         yield batch.slice(at, end - at)
         at = end
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or else one like it that is no column of ``df``, whatever the case."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docfold.llm.common import text_of, written
+from docfold.llm.common import free_name, text_of, written
 
 PRIME = 2**128 - 159
 CHUNK = 1 << 16
@@ -105,3 +105,14 @@ def exact_groups(docs: DataFrame, huge_chars: int = 8 << 20, per_salt: int = 512
     sizes = out.groupBy("keep", "text_sha256").agg(F.count("*").alias("group_size"))
     plain = lambda c: F.when(F.col(c) > -(2**63), F.col(c))
     return out.join(sizes, ["keep", "text_sha256"]).select(plain("id").alias("doc_id"), plain("keep").alias("keep_id"), "group_size", "kept", "text_sha256")
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each text: the one of the largest doc_id. Rows that repeat a doc_id and text
+    are one row after."""
+    kept = exact_groups(docs).where("kept")
+    key, sha = free_name(docs, "_id"), free_name(docs, "_sha")
+    id_of = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))
+    rows = docs.withColumn(key, id_of("doc_id")).withColumn(sha, F.sha2(text_of(), 256))
+    chosen = kept.select(id_of("doc_id").alias(key), F.col("text_sha256").alias(sha))
+    return rows.join(chosen, [key, sha], "left_semi").dropDuplicates([key, sha]).select(*docs.columns)

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docfold.llm.common import text_of, written
+from docfold.llm.common import free_name, text_of, written
 
 LEDGER = "blob string, kind string, rule_version int, spans array<struct<start:int,end:int>>"
 
@@ -95,16 +95,17 @@ def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return rows.select("blob", each.alias("spans")).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
-def scanned(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with ``secrets`` (array of start, rank, end, kind; empty where none), and the whole ledger.
+def scanned(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, name: str = "secrets") -> tuple[DataFrame, DataFrame]:
+    """``docs`` with a column ``name`` (array of start, rank, end, kind; empty where none), and the whole ledger.
 
-    A null text is the empty one; repeated rows share a blob and are all reported; other columns are kept
-    (``secrets`` and ``blob`` are replaced); an empty table gives an empty ledger."""
+    A null text is the empty one; repeated rows share a blob and are all reported; other columns are kept,
+    but one called ``name`` is replaced; an empty table gives an empty ledger."""
     new = written(scan(docs, ledger, rules), "ledger")
     whole = new if ledger is None else ledger.select(*new.columns).unionByName(new)
-    found = written(findings(whole, rules), "findings")
-    out = docs.drop("secrets", "blob").withColumn("blob", blob_of()).join(found.withColumnRenamed("spans", "secrets"), "blob", "left")
-    return out.withColumn("secrets", F.coalesce("secrets", F.array().cast(found.schema["spans"].dataType))).drop("blob"), whole
+    blob = free_name(docs, "_blob")
+    found = written(findings(whole, rules), "findings").select(F.col("blob").alias(blob), F.col("spans").alias(name))
+    out = docs.drop(name).withColumn(blob, blob_of()).join(found, blob, "left")
+    return out.withColumn(name, F.coalesce(name, F.array().cast(found.schema[name].dataType))).drop(blob), whole
 
 
 def listed(spans: Column) -> Column:
@@ -121,14 +122,19 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span of a secret, overlapping ones joined, replaced by ``mark`` in ``text``. Null
-    texts stay null, and so do texts without findings as they are."""
-    out, _ = scanned(docs)
-    joined = F.expr("""aggregate(secrets, cast(array() AS array<struct<start:int,end:int>>), (acc, s) -> CASE
+    """``docs`` with every span of a secret, overlapping ones joined, replaced by ``mark`` in ``text``, and with
+    its number of code points in ``n_chars`` if there is such a column. Null texts stay null, and texts without
+    findings as they are."""
+    name = free_name(docs, "_secrets")
+    out, _ = scanned(docs, name=name)
+    joined = F.expr(f"""aggregate({name}, cast(array() AS array<struct<start:int,end:int>>), (acc, s) -> CASE
         WHEN size(acc) > 0 AND s.start <= element_at(acc, -1).end THEN concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).start AS start, greatest(s.end, element_at(acc, -1).end) AS end)))
         ELSE concat(acc, array(struct(s.start AS start, s.end AS end))) END)""")
-    kept = F.expr("""transform(sequence(0, size(secrets)), i -> substring(text,
-        CASE WHEN i = 0 THEN 1 ELSE secrets[i - 1].end + 1 END,
-        CASE WHEN i = size(secrets) THEN length(text) ELSE secrets[i].start - CASE WHEN i = 0 THEN 0 ELSE secrets[i - 1].end END END))""")
-    text = F.when(F.size("secrets") > 0, F.array_join(kept, mark)).otherwise(F.col("text"))
-    return out.withColumn("secrets", joined).withColumn("text", text).drop("secrets")
+    kept = F.expr(f"""transform(array({name}), x -> transform(sequence(0, size(x)), i -> substring(text,
+        CASE WHEN i = 0 THEN 1 ELSE x[i - 1].end + 1 END,
+        CASE WHEN i = size(x) THEN length(text) ELSE x[i].start - CASE WHEN i = 0 THEN 0 ELSE x[i - 1].end END END)))[0]""")
+    out = out.withColumn(name, F.when(F.size(name) > 0, joined).otherwise(F.array().cast("array<struct<start:int,end:int>>")))
+    out = out.withColumn("text", F.when(F.size(name) > 0, F.array_join(kept, mark)).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)

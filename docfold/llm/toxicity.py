@@ -194,3 +194,15 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
         return each
 
     return arrow_map(docs.select([f.name for f in own]), scoring, schema).withColumn("toxic_predicted", (F.col("toxic_score") >= threshold).cast("int"))
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns as they are."""
+
+    def run(batches):
+        cache: dict[str, float] = {}
+        for batch in batches:
+            for part in pieces_of(batch, BATCH_BYTES):
+                yield part.filter(pa.array(scores_of(part.column("text"), model, cache) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
