@@ -8,7 +8,7 @@ templates; those whose smoothed share of blocked pages among the labelled ones i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docfold.llm.common import written
@@ -62,7 +62,8 @@ def templates(pages: DataFrame, depth: int = 4, few: int = 16, chi2: float = 9.2
         node = child.groupBy("host", "_t").agg(F.count("*").alias("k"), F.max(F.struct((F.col("b") + F.col("a") + F.col("u")).alias("n"), "_seg", "b", "a", "u")).alias("top"))
         kept = child.join(node.where(F.col("k") <= few), ["host", "_t"])
         apart = _differs([F.col("b"), F.col("a"), F.col("u")], [F.col("top.b"), F.col("top.a"), F.col("top.u")], chi2)
-        kept = kept.select("host", "_t", "_seg", F.when(apart | (F.col("k") == 1), F.col("_seg")).otherwise("{}").alias("_name"))
+        alike = F.count_if(~apart).over(Window.partitionBy("host", "_t"))  # the largest branch is one of them
+        kept = kept.select("host", "_t", "_seg", F.when(apart | (alike == 1), F.col("_seg")).otherwise("{}").alias("_name"))
         named = cur.join(kept, ["host", "_t", "_seg"], "left")
         variable = F.concat(F.lit("*"), F.regexp_extract("_seg", r"\.[A-Za-z]{1,5}$", 0))
         cur = named.withColumn("_t", F.when(F.col("_seg").isNull(), F.col("_t")).otherwise(F.concat("_t", F.lit("/"), F.coalesce("_name", variable)))).drop("_name", "_seg")
