@@ -102,7 +102,9 @@ def exact_groups(docs: DataFrame, huge_chars: int = 8 << 20, per_salt: int = 512
             break
         left = left.join(differing, ["id", "text_sha256"], "left_semi")
     out = base.join(found, ["id", "text_sha256"], "left").select("id", "text_sha256", F.coalesce("keep", "id").alias("keep"), F.coalesce(F.col("keep") == F.col("id"), F.lit(True)).alias("kept"))
-    sizes = out.groupBy("keep", "text_sha256").agg(F.count("*").alias("group_size"))
+    # Written, so that the join has the plain rows of a hot group on one side and can split them.
+    out = written(out, "groups")
+    sizes = written(out.groupBy("keep", "text_sha256").agg(F.count("*").alias("group_size")), "sizes")
     plain = lambda c: F.when(F.col(c) > -(2**63), F.col(c))
     return out.join(sizes, ["keep", "text_sha256"]).select(plain("id").alias("doc_id"), plain("keep").alias("keep_id"), "group_size", "kept", "text_sha256")
 
