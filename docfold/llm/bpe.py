@@ -18,7 +18,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docfold.llm import pretokens
@@ -115,9 +115,10 @@ def folded(word_hex: Column, buckets: Column) -> Column:
     return F.when(word_hex == "", F.array().cast("array<int>")).when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(parts, lambda p: rank_of(p, buckets)))
 
 
-def frequent_words(docs: DataFrame, most: int, longest: int = 64) -> DataFrame:
-    """The ``most`` most frequent pre-tokens of all texts, of ``longest`` bytes at most. Counted within a
-    batch first, so what is shuffled is distinct words."""
+def frequent_words(docs: DataFrame, most: int, longest: int = 64, buckets: int = 256) -> DataFrame:
+    """The most frequent pre-tokens of all texts, of ``longest`` bytes at most: ``most`` at most. Counted within a
+    batch first, so what is shuffled is distinct words; ranked within buckets of hashes, so no task ranks all."""
+    each_has = max(1, most // buckets)
 
     def counting():
         classes = pretokens.class_table()
@@ -135,7 +136,10 @@ def frequent_words(docs: DataFrame, most: int, longest: int = 64) -> DataFrame:
 
         return each
 
-    return arrow_map(docs.select(text_of().alias("text")), counting, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
+    rows = arrow_map(docs.select(text_of().alias("text")), counting, "word binary, n long").withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)))
+    counts = rows.repartition("bucket").groupBy("bucket", "word").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("n"), "word"))
+    return counts.withColumn("rank", rank).where(F.col("rank") <= each_has).select("word", "n")
 
 
 def dictionary(docs: DataFrame, ranks: dict[bytes, int], most: int) -> DataFrame:
