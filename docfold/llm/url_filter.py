@@ -64,7 +64,8 @@ def templates(pages: DataFrame, depth: int = 4, few: int = 16, chi2: float = 9.2
         apart = _differs([F.col("b"), F.col("a"), F.col("u")], [F.col("top.b"), F.col("top.a"), F.col("top.u")], chi2)
         alike = F.count_if(~apart).over(Window.partitionBy("host", "_t"))  # the largest branch is one of them
         kept = kept.select("host", "_t", "_seg", F.when(apart | (alike == 1), F.col("_seg")).otherwise("{}").alias("_name"))
-        named = cur.join(kept, ["host", "_t", "_seg"], "left")
+        # Written, so that the join can split the rows of a host that has a third of all.
+        named = cur.join(written(kept, "branches"), ["host", "_t", "_seg"], "left")
         variable = F.concat(F.lit("*"), F.regexp_extract("_seg", r"\.[A-Za-z]{1,5}$", 0))
         cur = named.withColumn("_t", F.when(F.col("_seg").isNull(), F.col("_t")).otherwise(F.concat("_t", F.lit("/"), F.coalesce("_name", variable)))).drop("_name", "_seg")
     return cur.withColumn("template", F.when(F.size("_segs") > depth, F.concat("_t", F.lit("/" + DEEPER))).otherwise(F.col("_t"))).drop("_t", "_segs")
