@@ -69,9 +69,48 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, s, array_to_string(ws[s:s + 19], ' ') AS t FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM d)),
+f AS (SELECT doc_id, s, min({'d': doc_id, 's': s}) OVER (PARTITION BY t) AS early FROM w),
+gone AS (SELECT DISTINCT doc_id, unnest(range(f.s, f.s + 20)) AS i FROM f WHERE early.d <> doc_id OR early.s <> f.s),
+words AS (SELECT doc_id, i, ws[i] AS x FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS k, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) AS BIGINT) - coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+#: What the extraction comes to on pages whose article holds headings and paragraphs only.
+OP4_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>') AS bs FROM pages),
+t AS (SELECT page_id, url, list_filter(list_transform(bs, lambda b: trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(replace(b, '<br>', ' '), '<[^>]+>', '', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda b: b <> '') AS bs FROM a)
+SELECT page_id, url, array_to_string(bs, chr(10) || chr(10)) AS text, length(array_to_string(bs, chr(10) || chr(10))) AS n_chars FROM t
+"""
+
+
+def _spans_sql(r: secrets.Rule, rank: int) -> str:
+    """SQL: the spans of one rule, from the texts between its matches and the matches' lengths."""
+    p = "'" + r.pattern.replace("'", "''") + "'"
+    upto = lambda xs, n: f"coalesce(list_sum(list_transform({xs}[1:{n}], lambda x: length(x))), 0)"
+    return f"""SELECT doc_id, {rank} AS k, '{r.kind}' AS kind, a, a + length(m) AS b FROM (
+      SELECT doc_id, ms[i] AS m, length(vs[i]) AS v, CAST({upto('gs', 'i')} + {upto('ms', 'i - 1')} AS BIGINT) AS a
+      FROM (SELECT doc_id, gs, ms, vs, unnest(range(1, len(ms) + 1)) AS i FROM (
+        SELECT doc_id, string_split_regex(text, {p}) AS gs, regexp_extract_all(text, {p}) AS ms, regexp_extract_all(text, {p}, {r.group}) AS vs FROM d))) WHERE v >= {r.least}"""
+
+
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+s AS ({" UNION ALL ".join(_spans_sql(r, k) for k, r in enumerate(secrets.RULES))}),
+g AS (SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+  string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) FILTER (WHERE k < 3) AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+
+
 def queries() -> dict[str, Query]:
     return {"op1_url_filter": op1_url_filter, "op2_minhash": op2_minhash, "op3_substring": op3_substring, "op4_html_extract": op4_html_extract, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_fingerprints": op7_fingerprints, "op8_bpe": op8_bpe, "op9_exact_dedup": op9_exact_dedup, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op3_substring": OP3_SQL, "op4_html_extract": OP4_SQL, "op9_exact_dedup": OP9_SQL, "op10_secrets": OP10_SQL}

@@ -323,6 +323,7 @@ def test_queries_and_their_sql(spark):
     import duckdb
 
     con = duckdb.connect()
+    con.execute("SET threads = 4")
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'; CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
     for name, sql in oracle_sql().items():
         df = queries()[name](spark, SF)
