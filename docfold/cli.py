@@ -98,9 +98,11 @@ def run(path: Path) -> int:
 
 
 def restore(path: Path, book: str, schema: str, checkpoint: str | None, latest: bool) -> int:
+    from docfold.sources.epub import book_id
+
     c = C.load(path)
     ledger = Ledger(session(), str((path.parent / c.workspace_root).resolve()))
-    got = ledger.restore(Path(book).stem, Path(schema).stem, c.batching.checkpoint_every_n_chapters, checkpoint, latest)
+    got = ledger.restore(book_id(str((path.parent / book).resolve())), Path(schema).stem, c.batching.checkpoint_every_n_chapters, checkpoint, latest)
     export(ledger.documents(c.merge), f"{ledger.root}/output")
     print(f"restored {got}")
     return 0

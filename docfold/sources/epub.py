@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import posixpath
 import re
@@ -110,6 +111,14 @@ def page_text(html: bytes | str) -> tuple[str, str]:
     return title or "Unnamed Chapter", "\n".join(p for p in page.paragraphs if p)
 
 
+def book_id(path: str) -> str:
+    """A slug of the file's name and a hash of its whole path, so that books of one name stay apart."""
+    whole = re.sub(r"^file:/+", "/", path)
+    stem = posixpath.splitext(posixpath.basename(whole))[0]
+    slug = re.sub(r"[^\w.-]+", "-", stem.strip().lower()).strip("-._") or "epub"
+    return f"{slug}-{hashlib.sha256(whole.encode()).hexdigest()[:8]}"
+
+
 def pages_of(book: str, content: bytes) -> list[tuple[str, int, str, str, str]]:
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         order = spine_of(z) or [n for n in z.namelist() if posixpath.splitext(n)[1].lower() in PAGES]
@@ -123,6 +132,6 @@ def read_epubs(spark: SparkSession, *paths: str) -> DataFrame:
     def opened(batches):
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                yield pd.DataFrame(pages_of(posixpath.splitext(posixpath.basename(path))[0], bytes(content)), columns=["book", "pos", "title", "text", "source_path"])
+                yield pd.DataFrame(pages_of(book_id(path), bytes(content)), columns=["book", "pos", "title", "text", "source_path"])
 
     return chapters(files.mapInPandas(opened, ROWS))

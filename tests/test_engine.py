@@ -3,6 +3,7 @@
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from docfold import cli
@@ -11,7 +12,7 @@ from docfold.clients import Echo, Scripted, delta_of, error_text
 from docfold.extraction import attempts, with_chapters
 from docfold.operators.batching import batches
 from docfold.sinks.ledger import Ledger, to_yaml
-from docfold.sources.epub import page_text, read_epubs
+from docfold.sources.epub import book_id, page_text, read_epubs
 from docfold.streaming.upsert import StateTable, upsert_stream
 
 SCHEMA = {"schema": "characters", "root_key": "actors", "schema_text": "actors: {}", "sample": {"k": "", "tags": []}}
@@ -40,7 +41,8 @@ def test_reading_order(spark, tmp_path):
     one = book(tmp_path / "one.epub", pages, ["a.html", "empty.html", "b.xhtml", "x.txt"])
     two = book(tmp_path / "two.epub", pages, container=False)
     rows = read_epubs(spark, one, two).orderBy("book", "chapter_index").collect()
-    assert [(r.book, r.chapter_index, r.title) for r in rows] == [("one", 1, "A"), ("one", 2, "B"), ("two", 1, "B"), ("two", 2, "A")]
+    assert [(r.book, r.chapter_index, r.title) for r in rows] == [(book_id(one), 1, "A"), (book_id(one), 2, "B"), (book_id(two), 1, "B"), (book_id(two), 2, "A")]
+    assert book_id(one).startswith("one-") and book_id("/x/one.epub") != book_id("/y/one.epub") and book_id("file:/x/A b!.epub")[:4] == "a-b-"
     assert rows[0].chapter_id.startswith("ch0001-") and rows[0].source_path == "OPS/a.html"
 
 
@@ -138,4 +140,7 @@ def test_command_line(spark, tmp_path):
     assert C.load(cfg).input_epubs == ("input/tale.epub",)
     assert cli.run(cfg) == 0
     p = Ledger(spark, str(tmp_path / "workspace")).progress().collect()
+    with pytest.raises(ValueError, match="no checkpoint"):
+        cli.restore(cfg, "input/tale.epub", "schemas/world.yaml", "ch0009", False)
+    assert cli.restore(cfg, "input/tale.epub", "schemas/world.yaml", None, True) == 0
     assert {(x.schema, x.status) for x in p} == {("characters", "completed"), ("world", "completed")}
