@@ -54,6 +54,47 @@ def batches(chapters: DataFrame, config: BatchingConfig = BatchingConfig()) -> D
     )
 
 
+def batches_streamed(chapters: DataFrame, config: BatchingConfig = BatchingConfig()) -> DataFrame:  # noqa: B008
+    """The same as ``batches`` for books of any length: a task streams over its sorted chapters and holds one
+    pending batch, where ``batches`` holds a book's (or a window's) lengths in a row."""
+    import pandas as pd
+
+    budget, window, oversize = config.budget, config.window, config.allow_oversize_single_chapter
+    single = not config.enable_multi_chapter or budget <= 0
+    of = lambda i: (i - 1) // window if window else 0
+
+    def run(pdfs):
+        book, no, pending = None, 0, None
+        for pdf in pdfs:
+            done = []
+
+            def close():
+                nonlocal no, pending
+                if pending is not None:
+                    no += 1
+                    done.append((book, no, *pending))  # noqa: B023
+                    pending = None
+
+            for b, i, t in zip(pdf["book"], pdf["chapter_index"].tolist(), pdf["token_estimate"].tolist(), strict=True):
+                if b != book:
+                    close()
+                    book, no = b, 0
+                if t > budget and not single and not oversize:
+                    raise ValueError(f"chapter {i} exceeds the budget of {budget} tokens")
+                if pending is not None and (single or t > budget or pending[3] + t > budget or of(i) != of(pending[0])):
+                    close()
+                pending = (i, i, 1, t) if pending is None else (pending[0], i, pending[2] + 1, pending[3] + t)
+            if done:
+                yield pd.DataFrame(done, columns=["book", "batch_no", "first", "last", "n", "tokens"])
+        if pending is not None:
+            yield pd.DataFrame([(book, no + 1, *pending)], columns=["book", "batch_no", "first", "last", "n", "tokens"])
+
+    kind = chapters.schema["book"].dataType.simpleString()
+    rows = chapters.select("book", F.col("chapter_index").cast("long").alias("chapter_index"), F.col("token_estimate").cast("long").alias("token_estimate"))
+    out = rows.repartition("book").sortWithinPartitions("book", "chapter_index").mapInPandas(run, f"book {kind}, batch_no long, first long, last long, n long, tokens long")
+    return out.select("book", "batch_no", T.batch_id(F.col("first"), F.col("last"), F.lit(0)).alias("batch_id"), F.col("first").alias("start_idx"), F.col("last").alias("end_idx"), F.col("n").alias("chapter_count"), F.col("tokens").alias("token_estimate"))
+
+
 def halves(rows: DataFrame) -> DataFrame:
     """Both halves of batches of several chapters: (…, half, depth, parent_batch_id). The first has n // 2."""
     mid = F.col("start_idx") + F.floor(F.col("chapter_count") / 2).cast("long")

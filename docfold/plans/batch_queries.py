@@ -72,6 +72,16 @@ def w2_documents(spark: SparkSession, sf: str) -> DataFrame:
     return B.batches(d)
 
 
+@query(f"WITH RECURSIVE {CH}, {packed_sql(300, 3)} {BATCH}")
+def w3_windows_streamed(spark: SparkSession, sf: str) -> DataFrame:
+    return B.batches_streamed(books(spark, sf), config(300, enable_checkpoint=True, checkpoint_every_n_chapters=3))
+
+
+@query(f"WITH RECURSIVE {CH}, {packed_sql(60, 0)} {BATCH}")
+def w2_oversize_streamed(spark: SparkSession, sf: str) -> DataFrame:
+    return B.batches_streamed(books(spark, sf), config(60))
+
+
 HALVES = """SELECT book, batch_id AS parent_batch_id, half, 1::BIGINT AS depth, CASE half WHEN 0 THEN start_idx ELSE start_idx + chapter_count // 2 END AS start_idx, CASE half WHEN 0 THEN start_idx + chapter_count // 2 - 1 ELSE end_idx END AS end_idx FROM b, (VALUES (0::BIGINT), (1::BIGINT)) h(half) WHERE chapter_count > 1"""
 
 

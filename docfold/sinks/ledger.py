@@ -54,10 +54,7 @@ class Ledger:
         p = self.pointer()
         if not p["runs"]:
             return self.spark.createDataFrame([], ATTEMPTS + ", run int, at long")
-        rows = None
-        for run in p["runs"]:
-            one = self.spark.read.schema(ATTEMPTS).parquet(f"{self.root}/attempts/run={run}").withColumn("run", F.lit(run))
-            rows = one if rows is None else rows.unionByName(one)
+        rows = self.spark.read.schema(ATTEMPTS + ", run int").option("basePath", f"{self.root}/attempts").parquet(*[f"{self.root}/attempts/run={r}" for r in p["runs"]])
         rows = rows.withColumn("at", F.col("run").cast("long") * ORDER + F.col("seq"))
         for h in p["hidden"]:
             rows = rows.where(~((F.col("book") == h["book"]) & (F.col("schema") == h["schema"]) & (F.col("at") > h["after"]) & (F.col("run") <= h["upto"])))
