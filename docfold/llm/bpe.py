@@ -118,11 +118,9 @@ def folded(word_hex: Column, buckets: Column) -> Column:
 def frequent_words(docs: DataFrame, most: int, longest: int = 64, buckets: int = 256) -> DataFrame:
     """The most frequent pre-tokens of all texts, of ``longest`` bytes at most: ``most`` at most. Counted within a
     batch first, so what is shuffled is distinct words; ranked within buckets of hashes, so no task ranks all."""
-    each_has = max(1, most // buckets)
+    each_has, classes = max(1, most // buckets), pretokens.class_table()
 
     def counting():
-        classes = pretokens.class_table()
-
         def each(batch: pa.RecordBatch):
             words, counts = [], []
             for part in pieces_of(batch, BATCH_BYTES):
@@ -198,14 +196,14 @@ def _sha(parts: pa.LargeBinaryArray, at: np.ndarray, less: int) -> list[str]:
 
 def _encoded(docs: DataFrame, ranks_path: str, dictionary_words: int, schema: str, finish) -> DataFrame:
     spark = docs.sparkSession
-    ranks = load_ranks(ranks_path)
+    ranks, classes = load_ranks(ranks_path), pretokens.class_table()
     known = dictionary(docs, ranks, dictionary_words).toArrow() if dictionary_words else None
     sent = spark.sparkContext.broadcast((ranks, known.to_batches() if known is not None else []))
 
     def encoding():
         ranks, batches = sent.value
         known = {w: i for b in batches for w, i in zip(b.column("word").to_pylist(), b.column("ids").to_pylist(), strict=True)}
-        encoder, table = Encoder(pretokens.class_table(), lambda w: fold(w, ranks), known), _pieces(ranks)
+        encoder, table = Encoder(classes, lambda w: fold(w, ranks), known), _pieces(ranks)
 
         def each(batch: pa.RecordBatch):
             out: dict[str, list] = {}

@@ -107,7 +107,7 @@ def tokenized(docs: DataFrame, ranks_path: str, room: int = SEQUENCE, end: int =
     """(doc_id, piece, start, length, ids_crc32): every document's ids and the closing one, cut if they
     are more than ``room``: whole pieces but for the first. The ranks are those of the vocabulary whose
     tokenizer file gives the same ids (tested); distinct pre-tokens are encoded once in a task."""
-    sent = docs.sparkSession.sparkContext.broadcast(bpe.load_ranks(ranks_path))
+    sent, classes = docs.sparkSession.sparkContext.broadcast(bpe.load_ranks(ranks_path)), pretokens.class_table()
 
     def encoding():
         import tiktoken
@@ -120,7 +120,7 @@ def tokenized(docs: DataFrame, ranks_path: str, room: int = SEQUENCE, end: int =
             whole = ranks.get(word)
             return one.encode_ordinary(word.decode()) if whole is None else [whole]
 
-        encoder = bpe.Encoder(pretokens.class_table(), ids_of)
+        encoder = bpe.Encoder(classes, ids_of)
 
         def each(batch: pa.RecordBatch):
             rows, piece, start, length, crc = [], [], [], [], []

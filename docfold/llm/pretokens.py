@@ -20,8 +20,13 @@ SPACE, LETTER, NUMBER, OTHER = range(4)
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 
+_TABLE: list[np.ndarray] = []
+
+
 def class_table() -> np.ndarray:
-    """The class of every code point."""
+    """The class of every code point. Made once, by the driver; tasks get it with what they run."""
+    if _TABLE:
+        return _TABLE[0]
     out = np.full(0x110000, OTHER, np.uint8)
     for c in range(0x110000):
         kind = unicodedata.category(chr(c))[0]
@@ -30,6 +35,7 @@ def class_table() -> np.ndarray:
         elif kind == "N":
             out[c] = NUMBER
     out[WHITE] = SPACE
+    _TABLE.append(out)
     return out
 
 

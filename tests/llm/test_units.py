@@ -59,7 +59,7 @@ def test_fingerprints_compose(data, chunk, cut):
 
 
 @settings(deadline=None)
-@given(st.lists(st.integers(1, 64), max_size=120), st.integers(1, 20))
+@given(st.lists(st.integers(1, 64), max_size=120), st.sampled_from([1, 5, 20, 200]))
 def test_packing_is_valid_and_tight(lengths, groups):
     lengths = np.array(lengths, np.int64)
     sequence, offset = packing.pack(lengths, 64, groups)
@@ -67,7 +67,7 @@ def test_packing_is_valid_and_tight(lengths, groups):
         own = np.flatnonzero(sequence == s)
         own = own[np.argsort(offset[own])]
         assert offset[own].tolist() == (np.cumsum(lengths[own]) - lengths[own]).tolist() and lengths[own].sum() <= 64
-    if len(lengths):
+    if groups >= len(lengths) > 0:  # with fewer groups, lengths are rounded up
         assert len(set(sequence.tolist())) <= 1.7 * max(1, lengths.sum() / 64) + 1
 
 
