@@ -14,9 +14,23 @@ from pyspark.sql.types import DoubleType
 from docfold.config import MergeConfig
 
 
+#: Ratios of pairs of short texts that a task has seen; folds meet the same pairs again and again.
+_SEEN: dict[tuple[str, str], float] = {}
+SHORT, MOST_SEEN = 64, 200_000
+
+
 def text_ratio(a: str, b: str) -> float:
     """Ratcliff-Obershelp, with the matcher's popularity heuristic, existing text first. Equal texts are 1."""
-    return 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
+    if a == b:
+        return 1.0
+    if len(a) + len(b) > 2 * SHORT:
+        return SequenceMatcher(None, a, b).ratio()
+    got = _SEEN.get((a, b))
+    if got is None:
+        if len(_SEEN) >= MOST_SEEN:
+            _SEEN.clear()
+        got = _SEEN[a, b] = SequenceMatcher(None, a, b).ratio()
+    return got
 
 
 def text_bound(a: str, b: str) -> float:
@@ -68,9 +82,13 @@ def merged_array(current: list, incoming: list, config: MergeConfig) -> list:
     out, taken = list(current), set()
     for x in incoming:
         best, at = 0.0, None
-        for i, y in enumerate(out):
-            if i not in taken and (s := similarity(y, x, config.field_weights, least=config.similarity_threshold)) > best:
-                best, at = s, i
+        if isinstance(x, str):  # only an equal text has ratio 1, and the first of the best is taken
+            at = next((i for i, y in enumerate(out) if y == x and i not in taken and isinstance(y, str)), None)
+            best = 0.0 if at is None else 1.0
+        if at is None:
+            for i, y in enumerate(out):
+                if i not in taken and (s := similarity(y, x, config.field_weights, least=max(best, config.similarity_threshold))) > best:
+                    best, at = s, i
         if at is not None and best >= config.similarity_threshold:
             out[at] = x
             taken.add(at)
