@@ -92,7 +92,7 @@ def exact_groups(docs: DataFrame, huge_chars: int = 8 << 20, per_salt: int = 512
     left, found = base, None
     while True:
         groups = left.groupBy("fp", "n_bytes").agg(F.max(F.struct("id", "text_sha256")).alias("top"), F.count("*").alias("n"))
-        groups = groups.where("n > 1").select("fp", "n_bytes", "n", F.col("top.id").alias("keep"), F.col("top.text_sha256").alias("keep_sha"))
+        groups = written(groups.where("n > 1").select("fp", "n_bytes", "n", F.col("top.id").alias("keep"), F.col("top.text_sha256").alias("keep_sha")), "repeated")
         members = left.join(groups, ["fp", "n_bytes"]).where("id <> keep or text_sha256 <> keep_sha").select("id", "text_sha256", "keep", "keep_sha", "n")
         judged = written(_compared(docs, members, per_salt), "compared")
         same = judged.where("same").select("id", "text_sha256", "keep")
