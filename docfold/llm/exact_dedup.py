@@ -81,7 +81,7 @@ def _compared(docs: DataFrame, members: DataFrame, per_salt: int) -> DataFrame:
     return pairs.groupBy("id", "text_sha256", "keep").agg(F.every(F.coalesce(F.col("text") == F.col("kept_text"), F.lit(False))).alias("same"))
 
 
-def exact_groups(docs: DataFrame, huge_chars: int = 8 << 20, per_salt: int = 512) -> DataFrame:
+def exact_groups(docs: DataFrame, huge_chars: int = 8 << 20, per_salt: int = 128) -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts, the row with the largest doc_id stays. A null text is the empty one. A null doc_id
