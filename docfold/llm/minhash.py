@@ -6,7 +6,8 @@ element's weight count, and each coordinate keeps its dart of least rank. Texts
 the probability of their weighted Jaccard similarity. Signatures are cut into bands. Of the texts that share a
 band's value, each is compared by signature with its bucket's leaders, in one of a few orders: one like none of
 them leads as well. What agrees well enough is compared exactly, and links join to classes by
-alternating stars.
+alternating stars. Members of a bucket that aren't in one class by then are compared with each other: first with those
+they agree with best, then with all that are still in other classes.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ PART = 256
 #: Orders in which buckets are gone through. With one, a large class has one leader in all of its buckets, and two like
 #: texts that aren't leaders might never meet; with one for each band, each text is compared with twenty leaders.
 ORDERS = 3
+#: Members of other classes, those that agree best, with which a member is compared in a block before it is with all: in
+#: a star of edits it joins its class by them, and the comparisons with the rest of the class needn't be made.
+BEST = 8
 NONE = -(2**63)
 
 
@@ -219,6 +223,57 @@ def _led(rows: DataFrame, agree: float) -> DataFrame:
     return sorted_.select("band", "part", "parts", "id", "sig").mapInArrow(run, "band long, a long, b long, sig binary")
 
 
+def _apart(buckets: DataFrame, sigs: DataFrame, links: DataFrame, agree: float, best: int | None) -> DataFrame:
+    """buckets (id, band): pairs (a, b) of bucket members that ``links`` leave in different classes and that agree; with
+    ``best``, only so many of each member in a block.
+
+    In each bucket, the members outside of its largest class meet all members, in blocks of a part of the ones and a
+    part of the others."""
+    roots = components(links).withColumnRenamed("v", "id")
+    members = buckets.join(roots, "id", "left").select("id", "band", F.coalesce("root", "id").alias("class"))
+    members = written(members, "members")
+    sizes = members.groupBy("band", "class").agg(F.count("*").alias("n"))
+    parts = lambda c: F.ceil(c / PART).cast("int")
+    top = sizes.groupBy("band").agg(F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("n")).where("n > top.n")
+    top = written(top.select("band", F.col("top.class").alias("top"), parts(F.col("n")).alias("ins"), parts(F.col("n") - F.col("top.n")).alias("outs")), "mixed")
+    placed = members.join(top, "band").withColumn("minor", F.col("class") != F.col("top"))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    hosts = placed.select("id", "band", "class", "minor", F.lit(False).alias("guest"), own("ins").alias("part"), every("outs").alias("from"))
+    guests = placed.where("minor").select("id", "band", "class", "minor", F.lit(True).alias("guest"), own("outs").alias("from"), every("ins").alias("part"))
+
+    def run(batches):
+        key, hosts = None, []
+        for batch in batches:
+            a, b = [], []
+            columns = [batch.column(c).to_pylist() for c in ("band", "part", "from", "guest", "minor", "class", "id", "sig")]
+            for band, part, other, guest, minor, cls, own, sig in zip(*columns, strict=True):
+                if (band, part, other) != key:
+                    key, hosts, table = (band, part, other), [], None
+                if not guest:
+                    hosts.append((sig, minor, cls, own))
+                    table = None
+                    continue
+                if not hosts:
+                    continue
+                if table is None:
+                    table = np.stack([np.frombuffer(h[0], np.uint16) for h in hosts]), *(np.array([h[k] for h in hosts]) for k in (1, 2, 3))
+                sigs, minors, classes, ids = table
+                share = (sigs == np.frombuffer(sig, np.uint16)).mean(axis=1)
+                # Two that are both outside of the largest class meet twice.
+                like = np.flatnonzero((share >= agree) & (classes != cls) & (~minors | (ids > own) | (best is not None)))
+                if best is not None and len(like) > best:
+                    like = like[np.argsort(-share[like], kind="stable")[:best]]
+                a += [own] * len(like)
+                b += ids[like].tolist()
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    rows = hosts.unionByName(guests).join(sigs, "id").repartition("band", "part", "from").sortWithinPartitions("band", "part", "from", "guest", "id")
+    met = rows.select("band", "part", "from", "guest", "minor", "class", "id", "sig").mapInArrow(run, "a long, b long")
+    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def _verified(texts: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     """pairs (a, b) with ``same``: whether their texts are of similarity ``least`` or more."""
     one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -271,7 +326,7 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS,
     what is linked to one of them is linked to all; so are rows with a null doc_id, which counts as smaller
     than any other. A pair of similarity ``least`` shares a band with probability 1 - (1 - least**rows)**bands
     (0.9996 by default), and is looked at if ``agree`` of its
-    coordinates agree; no bucket is capped or sampled. Other columns are ignored; no rows in, no rows out."""
+    coordinates agree; no bucket is capped or sampled, and what shares one is compared unless it is in one class anyway. Other columns are ignored; no rows in, no rows out."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("id"), text_of().alias("text"))
     signs = written(signed(texts, bands, rows), "signatures")
     worded = signs.where(F.size("bands") > 0)
@@ -281,13 +336,19 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS,
     # Two texts of one id are two rows here: both lead and follow under their document's id.
     firsts = written(firsts.select("id", "sig", "bands"), "firsts")
     buckets = firsts.select("id", F.explode("bands").alias("band"))
-    shared = written(buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "shared")
+    shared = written(buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", "n", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "shared")
     members = buckets.join(shared, "band").select("id", "band", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
     led = written(_led(members.distinct().join(firsts.select("id", "sig"), "id"), agree), "led")
     again = led.where("b is null").select("band", F.lit(0).alias("part"), F.lit(1).alias("parts"), F.col("a").alias("id"), "sig")
     asked = led.where("b is not null").select("a", "b").unionByName(_led(again, agree).where("b is not null").select("a", "b"))
     pairs = asked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     judged = written(_verified(texts, written(pairs, "pairs"), least), "judged")
+    # In a bucket of two, the leader has met the other one.
+    crowded = written(buckets.join(shared.where("n > 2").select("band"), "band").select("id", "band").distinct(), "crowded")
+    for best in (BEST, None):
+        links = judged.where("same").select("a", "b")
+        asked = written(_apart(crowded, firsts.select("id", "sig"), links, agree, best).join(judged, ["a", "b"], "left_anti"), "apart")
+        judged = judged.unionByName(written(_verified(texts, asked, least), "judged"))
     links = own.unionByName(judged.where("same").select("a", "b"))
     roots = written(components(links), "roots")
     out = texts.select("id").join(roots.withColumnRenamed("v", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("class"), F.col("root").isNotNull().alias("linked"))

@@ -4,9 +4,11 @@ columns of clashing names."""
 import collections
 import hashlib
 import itertools
+import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +101,28 @@ def test_near_classes(docs, none, monkeypatch):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {find(i) for i, _ in rows} | {None}
 
 
+def test_near_classes_of_a_star(spark):
+    """A thousand edits of one base: like it, unlike each other."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(300)]
+    texts = [base]
+    for k in range(1, 1001):
+        own = list(base)
+        for place in rng.sample(range(5, 295, 5), 5):
+            own[place] = f"e{k}x{place}"
+        texts.append(own)
+    places = {tuple(base[i : i + 5]): i for i in range(296)}
+    has = np.zeros((len(texts), 296), np.float32)
+    for k, own in enumerate(texts):
+        has[k, [places[r] for i in range(296) if (r := tuple(own[i : i + 5])) in places]] = 1
+    shared = has @ has.T  # what an edit adds, no other text has
+    like = shared / (2 * 296 - shared) >= 0.8
+    assert like[0].all() and like[1:, 1:].mean() < 0.05
+    docs = spark.createDataFrame([((k + 500) % 1001, " ".join(own)) for k, own in enumerate(texts)], "doc_id long, text string")
+    got = minhash.near_classes(docs).collect()
+    assert len(got) == 1001 and {(r.class_id, r.class_size) for r in got} == {(0, 1001)}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     roots = {r.v: r.root for r in minhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
