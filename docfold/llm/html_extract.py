@@ -235,8 +235,10 @@ def wrappers(pages: DataFrame, per_task: int = 200) -> DataFrame:
 
 def main_text(page: str, content: set[str], fixed: set[str]) -> str:
     got = [b for b in blocks(page) if b[0] == "#" and "!" not in b[1]]
-    if any(b[1] in content for b in got):
-        return "\n\n".join(b[2] for b in got if b[1] in content)
+    # Where layouts differ, the wrapper lacks paths of some of them: tags are aligned one by one.
+    chosen = [b for b in got if b[1] in content or is_content(b[1])]
+    if chosen:
+        return "\n\n".join(b[2] for b in chosen)
     return "\n\n".join(b[2] for b in got if b[1] not in fixed and b[3] < 0.8)
 
 

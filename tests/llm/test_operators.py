@@ -319,6 +319,14 @@ def test_html_extraction(spark):
     assert html_extract.extracted(pages.where("page_id < 0")).count() == 0
 
 
+def test_html_blocks_of_mixed_layouts(spark):
+    bodies = ["<h2>a1</h2>", "<blockquote>b1</blockquote>", "<p>c1</p>", "<ul><li>d1</li><li>d2</li></ul>", "<h3>e1</h3>", "<pre>f1</pre>", "<table><tr><td>g1</td></tr></table>", "<div><div>h1</div></div><p>h2</p>"]
+    rows = [(f"{i}-{j}", f"http://h{i}x{j}.com/{k}", f"<html><body><article><h1>T</h1>{b}</article></body></html>", "\n\n".join(["T", *re.findall(r"[a-h][0-9](?=<)", b)])) for i, j in itertools.combinations(range(len(bodies)), 2) for k, b in enumerate((bodies[i], bodies[j]))]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string, want string")
+    got = {r.url: r.text for r in html_extract.extracted(pages).collect()}
+    assert got == {r[1]: r[3] for r in rows}
+
+
 def test_pipeline_stages_follow_brute_force(spark):
     import corpus_pipeline as P
 
