@@ -4,11 +4,13 @@ A page becomes a stream of block tags and text slots; immediate repetitions fold
 distinct streams of a host are aligned one after another, and what only some of them have becomes optional.
 The slots of the resulting wrapper are then told apart: those in an article (or main) element are content,
 unless they stand in a menu, header, footer, sidebar, notice, advert, form or reader comments. Of pages without
-such an element, slots are content whose text varies between the host's pages and is not mostly links.
+such an element, blocks are content unless all of the host's pages that have their slot repeat them or they are mostly
+links.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -188,6 +190,10 @@ def is_content(path: str) -> bool:
     return "!" not in path and bool(ROOTS & set(path.split(">")))
 
 
+def digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def _aligned_all(group: pd.DataFrame) -> list:
     wrapper = None
     for s in sorted(group["stream"]):
@@ -200,8 +206,9 @@ def wrappers(pages: DataFrame, per_task: int = 200) -> DataFrame:
     """(host, wrapper, content, fixed): from all ``pages`` (host, html).
 
     The distinct streams of a host are dealt to tasks of about ``per_task`` and the tasks' wrappers aligned
-    in turn. ``content``: paths of slots in an article or main element; ``fixed``: of slots of pages without
-    one, those whose text is the same on all pages that have it, three different ones at least."""
+    in turn. ``content``: paths of slots in an article or main element; ``fixed``: of blocks of pages without
+    one, (path, digest of the text) of those that all pages which have the path have in it, three different pages at
+    least."""
 
     def reading():
         def each(batch: pa.RecordBatch):
@@ -210,14 +217,14 @@ def wrappers(pages: DataFrame, per_task: int = 200) -> DataFrame:
                 tokens = list(blocks(page))
                 hosts.append(host)
                 streams.append(json.dumps(folded(["#" if k == "#" else ("/" if k == "/" else "") + name for k, name, *_ in tokens])))
-                own = {} if any(is_content(t[1]) for t in tokens if t[0] == "#") else {t[1]: t[2] for t in tokens if t[0] == "#" and "!" not in t[1]}
-                paths.append(list(own))
-                texts.append(list(own.values()))
+                own = [] if any(is_content(t[1]) for t in tokens if t[0] == "#") else sorted({(t[1], digest(t[2])) for t in tokens if t[0] == "#" and "!" not in t[1]})
+                paths.append([path for path, _ in own])
+                texts.append([text for _, text in own])
             return {"host": hosts, "stream": streams, "paths": paths, "texts": texts}
 
         return each
 
-    read = written(arrow_map(pages.select("host", "html"), reading, "host string, stream string, paths array<string>, texts array<string>").groupBy("host", "stream", "paths", "texts").agg(F.count("*").alias("n")), "streams")
+    read = written(arrow_map(pages.select("host", "html"), reading, "host string, stream string, paths array<string>, texts array<binary>").groupBy("host", "stream", "paths", "texts").agg(F.count("*").alias("n")), "streams")
     streams = read.select("host", "stream").distinct()
     salts = streams.groupBy("host").agg(F.ceil(F.count("*") / per_task).alias("salts"))
     dealt = streams.join(salts, "host").withColumn("salt", F.pmod(F.xxhash64("stream"), F.col("salts")))
@@ -228,18 +235,19 @@ def wrappers(pages: DataFrame, per_task: int = 200) -> DataFrame:
         return pd.DataFrame({"host": [g["host"].iloc[0]], "wrapper": [json.dumps(wrapper)], "content": [sorted(p for p in slots(wrapper) if is_content(p))]})
 
     out = dealt.groupBy("host", "salt").applyInPandas(part, "host string, stream string").groupBy("host").applyInPandas(whole, "host string, wrapper string, content array<string>")
-    each = read.select("host", F.explode(F.arrays_zip("paths", "texts")).alias("x")).groupBy("host", "x.paths").agg(F.count("*").alias("n"), F.min(F.xxhash64("x.texts")).alias("low"), F.max(F.xxhash64("x.texts")).alias("high"))
-    fixed = each.where("n >= 3 and low = high").groupBy("host").agg(F.sort_array(F.collect_list("paths")).alias("fixed"))
+    each = read.select("host", F.explode(F.arrays_zip("paths", "texts")).alias("x")).groupBy("host", F.col("x.paths").alias("path"), F.col("x.texts").alias("text")).agg(F.count("*").alias("n"))
+    having = read.select("host", F.explode(F.array_distinct("paths")).alias("path")).groupBy("host", "path").agg(F.count("*").alias("n"))
+    fixed = each.where("n >= 3").join(having, ["host", "path", "n"]).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", "text"))).alias("fixed"))
     return out.join(fixed, "host", "left")
 
 
-def main_text(page: str, content: set[str], fixed: set[str]) -> str:
+def main_text(page: str, content: set[str], fixed: set[tuple[str, bytes]]) -> str:
     got = [b for b in blocks(page) if b[0] == "#" and "!" not in b[1]]
     # Where layouts differ, the wrapper lacks paths of some of them: tags are aligned one by one.
     chosen = [b for b in got if b[1] in content or is_content(b[1])]
     if chosen:
         return "\n\n".join(b[2] for b in chosen)
-    return "\n\n".join(b[2] for b in got if b[1] not in fixed and b[3] < 0.8)
+    return "\n\n".join(b[2] for b in got if (b[1], digest(b[2])) not in fixed and b[3] < 0.8)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -258,7 +266,7 @@ def extracted(pages: DataFrame) -> DataFrame:
             out = []
             for part in pieces_of(batch, BATCH_BYTES, "html"):
                 for page, content, fixed in zip(*(part.column(c).to_pylist() for c in ("html", "content", "fixed")), strict=True):
-                    out.append(main_text(page, set(content or ()), set(fixed or ())))
+                    out.append(main_text(page, set(content or ()), {(x["path"], x["text"]) for x in fixed or ()}))
             return {"page_id": batch.column("page_id"), "url": batch.column("url"), "text": out, "n_chars": [len(t) for t in out]}
 
         return each

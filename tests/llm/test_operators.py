@@ -327,6 +327,13 @@ def test_html_blocks_of_mixed_layouts(spark):
     assert got == {r[1]: r[3] for r in rows}
 
 
+def test_html_sign_off_goes_alone(spark):
+    """Pages without an article whose paragraphs share a path and end alike."""
+    rows = [(i, f"http://a.net/{i}", f"<body><div><p>First {i}</p><p>Second {i}</p><p>All rights reserved</p></div></body>") for i in range(5)]
+    got = html_extract.extracted(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"First {i}\n\nSecond {i}" for i in range(5)}
+
+
 def test_pipeline_stages_follow_brute_force(spark):
     import corpus_pipeline as P
 
