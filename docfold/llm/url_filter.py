@@ -1,7 +1,7 @@
 """URL filters: rules by host and path, and templates learned from the pages that rules label.
 
 Each host's paths form a tree. Level by level, a node whose next segments are many is generalised into a
-wildcard (its extension is kept); of a node with few, the branches whose shares of blocked, allowed and
+wildcard (its extension is kept), but for those whose shares differ significantly from the rest's; of a node with few, the branches whose shares of blocked, allowed and
 unlabelled pages don't differ significantly from the largest branch are merged with it. The leaves are
 templates; those whose smoothed share of blocked pages among the labelled ones is high are rejected.
 """
@@ -16,8 +16,6 @@ from docfold.llm.common import written
 #: (action, host and path). Fixed values of the registered query.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A segment that stands for a path's end, and the template of what is deeper than the tree.
-END, DEEPER = "", "**"
 
 
 def host_and_path(url: str = "url") -> tuple[Column, Column]:
@@ -46,29 +44,56 @@ def _differs(a: list[Column], b: list[Column], least: float) -> Column:
     return total >= least
 
 
-def templates(pages: DataFrame, depth: int = 4, few: int = 16, chi2: float = 9.21) -> DataFrame:
+def _standing_out(child: DataFrame, node: DataFrame, chi2: float) -> DataFrame:
+    """host, _t, _seg of the branches whose counts differ from those of the rest of their node, pooled; what differs leaves
+    the rest, until none does. ``node``: host, _t and the sums b, a, u of nodes whose branches are in ``child``.
+
+    A branch of n pages can't differ from another of that size if 2n < chi2, and is taken for a value, not a section."""
+    keys = ["host", "_t"]
+    left = written(child.where((F.col("b") + F.col("a") + F.col("u")) * 2 >= chi2).join(node.select(*keys), keys).select(*keys, "_seg", "b", "a", "u"), "sections")
+    found, rest = left.where("false").select(*keys, "_seg"), node.select(*keys, *(F.col(c).alias("all_" + c) for c in "bau"))
+    while True:
+        both = left.join(rest, keys)
+        differs = _differs([F.col(c) for c in "bau"], [F.col("all_" + c) - F.col(c) for c in "bau"], chi2)
+        alone = sum((F.col("all_" + c) - F.col(c) for c in "bau"), F.lit(0)) == 0
+        both = written(both.withColumn("out", F.when(alone, False).otherwise(differs)), "compared")
+        if both.where("out").isEmpty():
+            return found
+        found = found.unionByName(both.where("out").select(*keys, "_seg"))
+        left = both.where("not out").select(*keys, "_seg", "b", "a", "u")
+        # Only nodes that lost a branch are looked at again.
+        gone = both.where("out").groupBy(*keys).agg(*(F.sum(c).alias("gone_" + c) for c in "bau"))
+        rest = written(rest.join(gone, keys).select(*keys, *((F.col("all_" + c) - F.col("gone_" + c)).alias("all_" + c) for c in "bau")), "rest")
+
+
+def templates(pages: DataFrame, few: int = 16, chi2: float = 9.21) -> DataFrame:
     """Adds ``template`` to rows with ``host``, ``path`` and ``label`` (1 blocked, 0 allowed, else null).
 
-    ``few``: branches of a node that are kept apart at most; ``chi2``: the statistic from which two
-    branches differ (9.21: one in a hundred, two degrees of freedom)."""
+    ``few``: branches up to which a node's are compared with the largest one; of a node with more, those that differ
+    from the rest are kept apart and the rest is a wildcard. ``chi2``: the statistic from which two
+    branches differ (9.21: one in a hundred, two degrees of freedom). The tree is as deep as the paths."""
     cur = pages.withColumn("_segs", F.split(F.regexp_replace("path", "^/", ""), "/")).withColumn("_t", F.lit(""))
     counts = [F.count_if(F.col("label") == 1).alias("b"), F.count_if(F.col("label") == 0).alias("a"), F.count_if(F.col("label").isNull()).alias("u")]
+    depth = cur.agg(F.max(F.size("_segs"))).first()[0] or 0
     for level in range(depth):
         # A row whose path has ended stays as it is.
         cur = written(cur.withColumn("_seg", F.get("_segs", F.lit(level))), f"level{level}")
         open_ = cur.where("_seg is not null")
-        child = open_.groupBy("host", "_t", "_seg").agg(*counts)
+        child = written(open_.groupBy("host", "_t", "_seg").agg(*counts), "children")
         # Hosts may have any number of segments, so sums over them go by parts and no row lists them.
-        node = child.groupBy("host", "_t").agg(F.count("*").alias("k"), F.max(F.struct((F.col("b") + F.col("a") + F.col("u")).alias("n"), "_seg", "b", "a", "u")).alias("top"))
-        kept = child.join(node.where(F.col("k") <= few), ["host", "_t"])
+        sums = [F.sum(c).alias(c) for c in "bau"]
+        node = written(child.groupBy("host", "_t").agg(F.count("*").alias("k"), *sums, F.max(F.struct((F.col("b") + F.col("a") + F.col("u")).alias("n"), "_seg", "b", "a", "u")).alias("top")), "nodes")
+        kept = child.join(node.where(F.col("k") <= few).select("host", "_t", "top"), ["host", "_t"])
         apart = _differs([F.col("b"), F.col("a"), F.col("u")], [F.col("top.b"), F.col("top.a"), F.col("top.u")], chi2)
         alike = F.count_if(~apart).over(Window.partitionBy("host", "_t"))  # the largest branch is one of them
         kept = kept.select("host", "_t", "_seg", F.when(apart | (alike == 1), F.col("_seg")).otherwise("{}").alias("_name"))
+        out = _standing_out(child, node.where(F.col("k") > few), chi2)
+        kept = kept.unionByName(out.withColumn("_name", F.col("_seg")))
         # Written, so that the join can split the rows of a host that has a third of all.
         named = cur.join(written(kept, "branches"), ["host", "_t", "_seg"], "left")
         variable = F.concat(F.lit("*"), F.regexp_extract("_seg", r"\.[A-Za-z]{1,5}$", 0))
         cur = named.withColumn("_t", F.when(F.col("_seg").isNull(), F.col("_t")).otherwise(F.concat("_t", F.lit("/"), F.coalesce("_name", variable)))).drop("_name", "_seg")
-    return cur.withColumn("template", F.when(F.size("_segs") > depth, F.concat("_t", F.lit("/" + DEEPER))).otherwise(F.col("_t"))).drop("_t", "_segs")
+    return cur.withColumn("template", F.col("_t")).drop("_t", "_segs")
 
 
 def judged(pages: DataFrame, rules=RULES, reject: float = 0.9, strength: float = 4.0, prior: float = 0.5) -> DataFrame:

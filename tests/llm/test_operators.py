@@ -307,6 +307,24 @@ def test_impure_templates_are_rejected(spark):
     assert got == {"/ads/*", "/news/*"}
 
 
+def test_sections_of_a_broad_node_stay_apart(spark):
+    """Of more sections than few, the blocked one doesn't decide for the others, nor a smaller blocked one; nor for deeper ones."""
+    rows = [("de", i, 1) for i in range(1000)] + [("at", i, 1) for i in range(40)] + [(f"s{k}", i, None) for k in range(20) for i in range(k % 7 + 1)]
+    for top in ("", "a/b/c/d/e/"):
+        pages = spark.createDataFrame([(n, "x.com", f"/{top}{s}/{i}", y) for n, (s, i, y) in enumerate(rows)], "page_id long, host string, path string, label int")
+        got = collections.defaultdict(set)
+        for r in url_filter.templates(pages).collect():
+            got[r.template].add(r.label)
+        assert got[f"/{top}de/*"] == {1} and all(len(labels) == 1 for labels in got.values())
+    # All branches but one leave the rest.
+    rows_ = [("big", 0)] * 1000 + [("mix", 0)] * 25 + [("mix", None)] * 4 + [(f"s{k}", None) for k in range(16) for _ in range(10)]
+    alone = spark.createDataFrame([(n, "x.com", f"/{s}/{n}", y) for n, (s, y) in enumerate(rows_)], "page_id long, host string, path string, label int")
+    assert {r.template for r in url_filter.templates(alone).collect()} == {"/big/*", "/*/*", *(f"/s{k}/{x}" for k in range(16) for x in ("{}",))}
+    urls = [f"http://s.example.com/{top}{s}/{i}" for top in ("", "de/x/y/z/") for s, i, _ in rows] + [f"http://s.example.com/s1/x/y/z/w/{i}" for i in range(3)]
+    judged = url_filter.judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert len(judged) == len(urls) and all((r.verdict == "block") == r.path.startswith("/de/") for r in judged)
+
+
 def test_html_extraction(spark):
     page = lambda i, extra="": f"<html><body><nav><a>home</a></nav><div class='ad'>buy {i}</div><article><h1>Title {i}</h1><p>Text &amp; {i}<p>More{extra}</article><footer>&copy; me</footer>"
     plain = lambda i: f"<body><div><a>Menu of all</a></div><div id=top>Same everywhere</div><div class=x><p>Own text {i}</p></div></body>"
