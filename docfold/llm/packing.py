@@ -9,6 +9,7 @@ take their groups' places, and the short ones go where they leave least room, by
 from __future__ import annotations
 
 import heapq
+import json
 from zlib import crc32
 
 import numpy as np
@@ -103,33 +104,75 @@ def pack(lengths: np.ndarray, room: int = SEQUENCE, groups: int = 1000) -> tuple
     return sequence, offset
 
 
-def tokenized(docs: DataFrame, ranks_path: str, room: int = SEQUENCE, end: int = 0) -> DataFrame:
+class Vocabulary:
+    """A byte-level tokenizer file: its pieces' ranks and its added tokens. Bounded by the vocabulary.
+
+    Ranks are ids: such a file lists its merges in the order of the pieces that they make (checked)."""
+
+    def __init__(self, file: str) -> None:
+        self.file = file
+        read = json.loads(file)
+        model = read["model"]
+        byte_of = _bytes_of_characters()
+        self.ranks = {bytes(byte_of[c] for c in piece): i for piece, i in model["vocab"].items()}
+        made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        if made != sorted(made):
+            raise ValueError("the file's merges aren't in the order of their ids")
+        self.added = [t["content"] for t in read.get("added_tokens", ())]
+
+    def whole(self):
+        """The library's tokenizer, for texts that hold added tokens."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.file)
+
+
+def _bytes_of_characters() -> dict[str, int]:
+    """Byte-level files write printable bytes of Latin-1 as themselves and the others as characters from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
+def tokenized(docs: DataFrame, tokenizer_path: str, room: int = SEQUENCE, end: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every document's ids and the closing one, cut if they
-    are more than ``room``: whole pieces but for the first. The ranks are those of the vocabulary whose
-    tokenizer file gives the same ids (tested); distinct pre-tokens are encoded once in a task."""
-    sent, classes = docs.sparkSession.sparkContext.broadcast(bpe.load_ranks(ranks_path)), pretokens.class_table()
+    are more than ``room``: whole pieces but for the first. Ids are those that the tokenizer file gives without a
+    template's special tokens: distinct pre-tokens are encoded once in a task, and a text that holds the string of
+    an added token goes through the library's tokenizer as a whole. The file is read by the driver."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        file = f.read()
+    sent, classes = docs.sparkSession.sparkContext.broadcast(file), pretokens.class_table()
 
     def encoding():
         import tiktoken
 
-        ranks = sent.value
+        vocabulary = Vocabulary(sent.value)
+        ranks, added = vocabulary.ranks, vocabulary.added
         # Pre-tokens are single matches, so the pattern takes all of what it gets.
         one = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+        library: list = []
 
         def ids_of(word: bytes) -> list[int]:
             whole = ranks.get(word)
             return one.encode_ordinary(word.decode()) if whole is None else [whole]
 
+        def by_library(text: str) -> np.ndarray:
+            if not library:
+                library.append(vocabulary.whole())
+            return np.array(library[0].encode(text, add_special_tokens=False).ids, "<u4")
+
         encoder = bpe.Encoder(classes, ids_of)
 
         def each(batch: pa.RecordBatch):
             rows, piece, start, length, crc = [], [], [], [], []
             base = 0
             for part in pieces_of(batch, bpe.BATCH_BYTES):
-                ids, at = encoder(part.column("text").to_pylist())
+                texts = part.column("text").to_pylist()
+                special = {r for r, t in enumerate(texts) if any(a in t for a in added)}
+                ids, at = encoder(["" if r in special else t for r, t in enumerate(texts)])
                 ids = ids.astype("<u4")
                 for r, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-                    own = np.append(ids[a:b], np.uint32(end)).astype("<u4")
+                    own = np.append(by_library(texts[r]) if r in special else ids[a:b], np.uint32(end)).astype("<u4")
                     n = len(own)
                     cuts = [0, *range(n % room or room, n + 1, room)]
                     for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
@@ -146,13 +189,14 @@ def tokenized(docs: DataFrame, ranks_path: str, room: int = SEQUENCE, end: int =
     return arrow_map(docs.select(F.col("doc_id").cast("long"), text_of().alias("text")), encoding, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def packed(docs: DataFrame, ranks_path: str, room: int = SEQUENCE, per_task: int = 50_000) -> DataFrame:
+def packed(docs: DataFrame, tokenizer_path: str, room: int = SEQUENCE, per_task: int = 50_000) -> DataFrame:
     """The pieces of every row of ``docs`` with ``sequence_id`` and ``offset``.
 
-    A null text is the empty one: its piece is the closing id alone. Repeated rows are packed each. Other
+    A null text is the empty one: its piece is the closing id alone. A text of any length is cut into pieces of
+    ``room``. Ties are settled by doc_id and piece. Repeated rows are packed each. Other
     columns are ignored; no rows in, no rows out. Pieces are dealt by hash to tasks of about ``per_task``,
     each of which packs its own: one sequence at most is left partly empty by each task for the dealing."""
-    pieces = written(tokenized(docs, ranks_path, room), "pieces")
+    pieces = written(tokenized(docs, tokenizer_path, room), "pieces")
     tasks = -(-pieces.count() // per_task) or 1
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 

@@ -36,8 +36,7 @@ def tokenizer_file(name: str) -> str:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The rank file has the same vocabulary as byte_bpe_50k.json; the tests hold both to the same ids.
-    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

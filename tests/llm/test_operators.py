@@ -225,8 +225,36 @@ def test_fingerprints(docs, none):
 
 def test_next_over_many_ranges(spark):
     ids = [-(2**63) + 5, -7, 0, 3, 4, 10**6, 2**62]
-    got = {r.doc_id: r.next_text for r in fingerprints.with_next(spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string"), 16, 1).collect()}
-    assert got == {i: str(j) for i, j in zip(ids, ids[1:] + ids[:1], strict=True)}
+    for per_range, most in ((1, 16), (2, 3), (100, 5)):
+        got = {r.doc_id: r.next_text for r in fingerprints.with_next(spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string"), per_range, most).collect()}
+        assert got == {i: str(j) for i, j in zip(ids, ids[1:] + ids[:1], strict=True)}
+
+
+def test_ranges_of_uneven_ids(spark):
+    """Of ids of which one is far from all others, the ranges hold about as many each."""
+    ids = spark.createDataFrame([(i,) for i in [*range(5000), 2**60]], "id long")
+    sizes = sorted(r[1] for r in ids.groupBy(fingerprints._ranges(ids, 100, 1 << 16).alias("r")).count().collect())
+    assert len(sizes) >= 45 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+
+
+def test_fingerprints_are_their_plain_tables(docs):
+    """Each cell of the returned fingerprint: count, and XOR of the digests that three hashes put there."""
+    rows = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    hashed = rows.select("doc_id", F.expr(f"{fingerprints.digests('coalesce(text, \'\')')}").alias("keys"))
+    placed = hashed.select("doc_id", F.explode("keys").alias("k")).selectExpr("doc_id", "k", "xxhash64(k, 12) AS h", *[f"{8 * j} + pmod(xxhash64(k, {13 + j}, 8), 8) AS p{j}" for j in range(3)]).collect()
+    size = {r.doc_id: len(r["keys"]) for r in hashed.collect()}
+    table = {i: [[0, 0, 0] for _ in range(24)] for i in size}
+    for r in placed:
+        for p in (r.p0, r.p1, r.p2):
+            cell = table[r.doc_id][p]
+            cell[0], cell[1], cell[2] = cell[0] + 1, cell[1] ^ r.k, cell[2] ^ r.h
+    up = lambda x: f"{x % 2**64:X}"
+    for r in fingerprints.fingerprints(rows).collect():
+        count, cells_ = r.fingerprint.split(":")
+        assert int(count) == size[r.doc_id]
+        for got, (c, k, h) in zip(cells_.split(","), table[r.doc_id], strict=True):
+            a, b, d = got.split(".")
+            assert (a, b) == (up(c), up(k)) and d in (up(h).zfill(4), up(h)[:4], up(h))
 
 
 def test_likeness_with_larger_tables(spark):
@@ -252,27 +280,30 @@ def test_bpe(docs, none, spark):
     assert rows and all(list(r.ids) == bpe.fold(bytes(r.word), ranks) == one.encode_ordinary(bytes(r.word).decode()) for r in rows)
 
 
-def test_packing(docs, none):
-    import numpy as np
-    import tiktoken
+def test_packing(docs, none, spark):
+    from tokenizers import Tokenizer
 
-    one = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
+    path = public.path("byte_bpe_50k.json")
+    one = Tokenizer.from_file(path)
+    special = [(100, "one <|endoftext|> two"), (101, "<|endoftext|>" * 3), (102, "a<|endoftext|>  b " * 2000), (103, "<|endoftext"), (101, "<|endoftext|>" * 3)]
+    docs = docs.unionByName(spark.createDataFrame(special, "doc_id long, text string"), allowMissingColumns=True)
     texts = [(r.doc_id, r.text or "") for r in docs.collect()]
     for per_task in (50_000, 3):
-        rows = packing.packed(docs, RANKS, per_task=per_task).collect()
+        rows = packing.packed(docs, path, per_task=per_task).collect()
         want: list = []
         for i, t in texts:
-            ids = np.array([*one.encode_ordinary(t), 0], "<u4")
+            ids = np.array([*one.encode(t, add_special_tokens=False).ids, 0], "<u4")
             cuts = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)]
             want += [(i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(itertools.pairwise(cuts))]
         assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == collections.Counter(want)
+        assert [r.length for r in rows if r.doc_id == 100] == [5]
         for _, own in itertools.groupby(sorted(rows, key=lambda r: (r.sequence_id, r.offset)), key=lambda r: r.sequence_id):
             at = 0
             for r in own:
                 assert r.offset == at
                 at += r.length
             assert at <= 2048
-    assert packing.packed(none, RANKS).count() == 0
+    assert packing.packed(none, path).count() == 0
 
 
 def rule(url):

@@ -46,8 +46,9 @@ def test_encoder_is_both_libraries(texts):
     one = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
     assert own == [one.encode_ordinary(t) for t in texts]
     two = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    two.encode_special_tokens = True
     assert own == [e.ids for e in two.encode_batch(texts, add_special_tokens=False)]
+    file = packing.Vocabulary(open(public.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    assert file.ranks == ranks and file.added == ["<|endoftext|>"]
     assert base64.b64encode(b"".join(bpe._pieces(ranks)["bytes"].take(pa.array(ids)).to_pylist())) == base64.b64encode("".join(texts).encode())
 
 
