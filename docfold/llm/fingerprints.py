@@ -9,7 +9,9 @@ the digests themselves are compared. The likeness of two versions is shared / (s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docfold.llm.common import text_of
@@ -75,18 +77,35 @@ def sketch(keys: str) -> str:
     return f"concat(size({keys}), ':', array_join(transform({cells}, x -> concat(hex(x.c), '.', hex(x.k), '.', lpad(hex(x.h), 4, '0'))), ','))"
 
 
-def with_next(docs: DataFrame, most_ranges: int = 1 << 16, least_width: int = 512) -> DataFrame:
+def _ranges(ids: DataFrame, per_range: int, most: int) -> Column:
+    """The number of the range that ``id`` is in: ranges between quantiles of all ids, so that each has about
+    ``per_range`` rows however the ids lie, ``most`` ranges at most. The bounds are a literal of two levels, gone through one
+    after another."""
+    count = max(1, min(most, -(-ids.count() // per_range)))
+    bounds: list[int] = []
+    if count > 1:
+        shares = "array(" + ",".join(f"{k / count}D" for k in range(1, count)) + ")"
+        found = ids.select(F.expr(f"percentile_approx(id, {shares}, {max(10_000, 4 * count)})")).first()[0]
+        bounds = sorted(set(found or ()))
+    width = max(1, int(len(bounds) ** 0.5))
+    groups = [bounds[k : k + width] for k in range(0, len(bounds), width)]
+    if not groups:
+        return F.lit(0).cast("long")
+    literal = F.from_json(F.lit(json.dumps([{"low": g[0], "all": g} for g in groups])), "array<struct<low:bigint,all:array<bigint>>>")
+    group = F.size(F.filter(literal, lambda g: g["low"] <= F.col("id"))) - 1
+    inside = F.size(F.filter(F.get(literal, group)["all"], lambda x: x <= F.col("id")))
+    return F.when(group < 0, 0).otherwise(group * width + inside).cast("long")
+
+
+def with_next(docs: DataFrame, per_range: int = 256, most_ranges: int = 1 << 16) -> DataFrame:
     """(doc_id, text, next_text): of the next row by doc_id (null first, repeated ids by the text's hash),
-    of the first row after the last. Ids are cut into at most ``most_ranges`` ranges; each range's first
-    document, found with a broadcast table of that many rows at most, is a guest at the end of the range
-    before it, so rows are shuffled once and no task gets more than one range at a time."""
+    of the first row after the last. Ids are cut into ranges of about equal numbers of rows; rows of one id share a range.
+    Each range's first document, found with a broadcast table of ``most_ranges`` rows at most, is a guest at the end of
+    the range before it, so rows are shuffled once and no task gets more than one range at a time."""
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), text_of().alias("text"))
-    low, high = d.select(F.min("id"), F.max("id")).first()
-    width = max(least_width, -(-((high or 0) - (low or 0) + 1) // most_ranges))
-    # Ids may be as far apart as a long allows, so their distance is taken in decimals.
-    bucket = F.floor((F.col("id").cast("decimal(20,0)") - F.lit(low or 0).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("long")
+    bucket = _ranges(d.select("id"), per_range, most_ranges)
     heads = d.select("id", bucket.alias("bucket")).groupBy("bucket").agg(F.min("id").alias("id"))
-    order = Window.orderBy("bucket")
+    order = Window.orderBy("bucket")  # of a row for each range
     hosts = heads.select("id", F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("host"), F.lag("bucket").over(order).isNull().alias("around"))
     guests = d.join(F.broadcast(hosts), "id").select("id", "text", F.col("host").alias("bucket"), F.when(F.col("around"), 2).otherwise(1).alias("guest"))
     rows = d.select("id", "text", bucket.alias("bucket"), F.lit(0).alias("guest")).unionByName(guests)
@@ -106,6 +125,8 @@ def edited(docs: DataFrame) -> DataFrame:
     """Each row's fingerprint, that of its edited text, and how like it is to that and to the next one's.
 
     The edited text has the last floor(n / 2) code points replaced by the first as many of the next text.
+    ``near_*`` are those of the whole sketch that grows until it peels: two of the returned 24-slot fingerprints give the
+    same number where they differ in so few cells that they peel, else larger tables are made from the digests.
     Null texts are empty ones; a single row is its own next; repeated rows are neighbours of each other;
     other columns are ignored; no rows in, no rows out."""
     pairs = with_next(docs)
