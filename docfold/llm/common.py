@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -22,23 +23,37 @@ def text_of(column: str = "text") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of this machine only where none is set."""
+    """The folder that driver and executors share, from the session. Where none is set, one of this machine's is, if
+    the session runs on this machine alone; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "/tmp/checkpoints"
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="docfold-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/docfold-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table into the shared folder and read again: lineage ends here, and losing
-    an executor costs no rework. Codec: zstd, since these tables count as disk."""
+    """``df`` written as a table into the application's part of the shared folder and read again: lineage ends here, and
+    losing an executor costs no rework. Codec: zstd, since these tables count as disk. See ``release``."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/docfold-{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that ``written`` made in this application, also those of failed runs. Results that still read
+    them must have been written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, object] | None]], schema: str) -> DataFrame:
     """mapInArrow by a function from a batch to columns. ``make`` runs once in each task, so that what
     it prepares (vocabularies, caches) serves all of the task's batches."""
