@@ -35,7 +35,7 @@ def clean_of_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, each with its sequence and place there."""
-    return packing.packed(docs, tokenizer_file("byte_bpe_50k.tiktoken"))
+    return packing.packed(docs, tokenizer_file("byte_bpe_50k.json"))
 
 
 STAGES = [
