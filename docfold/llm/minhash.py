@@ -6,14 +6,18 @@ element's weight count, and each coordinate keeps its dart of least rank. Texts
 the probability of their weighted Jaccard similarity. Signatures are cut into bands. Of the texts that share a
 band's value, each is compared by signature with its bucket's leaders, in one of a few orders: one like none of
 them leads as well. What agrees well enough is compared exactly, and links join to classes by
-alternating stars. Members of a bucket that aren't in one class by then are compared with each other: first with those
-they agree with best, then with all that are still in other classes.
+alternating stars. Members of a bucket that aren't in one class by then are compared with each other, part by part: each
+pair once, in the first bucket that it shares, exactly where its signatures agree, unless what the same task has found
+has joined them meanwhile. Only links leave the task.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +36,8 @@ PART = 256
 #: Orders in which buckets are gone through. With one, a large class has one leader in all of its buckets, and two like
 #: texts that aren't leaders might never meet; with one for each band, each text is compared with twenty leaders.
 ORDERS = 3
-#: Members of other classes, those that agree best, with which a member is compared in a block before it is with all: in
-#: a star of edits it joins its class by them, and the comparisons with the rest of the class needn't be made.
-BEST = 8
+#: Characters of a part of a bucket, about, where its members are compared exactly.
+PART_CHARS = 4 << 20
 NONE = -(2**63)
 
 
@@ -170,8 +173,8 @@ def similarity(a: pa.Array, b: pa.Array, hasher: Hasher, length: int = WORDS) ->
 
 
 def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(id, h1, h2, bands, sig) of every row: two hashes of its word sequence, the bands' values (none for a text
-    without words), and 16 bits of each coordinate."""
+    """(id, h1, h2, chars, bands, sig) of every row: two hashes of its word sequence, its bytes, the bands' values (none for a
+    text without words), and 16 bits of each coordinate."""
 
     def make():
         hasher = Hasher()
@@ -186,11 +189,11 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 keys.append(hashes)
                 values += [v if k else [] for v, k in zip(value.tolist(), n, strict=True)]
             keys = np.concatenate(keys, axis=1)
-            return {"id": batch.column("id"), "h1": keys[0], "h2": keys[1], "bands": values, "sig": sigs}
+            return {"id": batch.column("id"), "h1": keys[0], "h2": keys[1], "chars": pc.binary_length(batch.column("text")), "bands": values, "sig": sigs}
 
         return each
 
-    return arrow_map(docs.select("id", "text"), make, "id long, h1 long, h2 long, bands array<long>, sig binary")
+    return arrow_map(docs.select("id", "text"), make, "id long, h1 long, h2 long, chars long, bands array<long>, sig binary")
 
 
 def _led(rows: DataFrame, agree: float) -> DataFrame:
@@ -223,55 +226,91 @@ def _led(rows: DataFrame, agree: float) -> DataFrame:
     return sorted_.select("band", "part", "parts", "id", "sig").mapInArrow(run, "band long, a long, b long, sig binary")
 
 
-def _apart(buckets: DataFrame, sigs: DataFrame, links: DataFrame, agree: float, best: int | None) -> DataFrame:
-    """buckets (id, band): pairs (a, b) of bucket members that ``links`` leave in different classes and that agree; with
-    ``best``, only so many of each member in a block.
+def _bag(text: str, hasher: Hasher) -> frozenset[int]:
+    """The shingles of a text, the repetitions of one counting as different ones."""
+    _, shingle, weight, *_ = elements(pa.array([text]), hasher)
+    own = shingle.tolist()
+    for i in np.flatnonzero(weight > 1).tolist():
+        own += [(own[i], k) for k in range(1, int(weight[i]))]
+    return frozenset(own)
+
+
+def _alike(a: frozenset[int], b: frozenset[int], least: float) -> bool:
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    shared = len(a & b)
+    return shared / (len(a) + len(b) - shared) >= least
+
+
+def _apart(members: DataFrame, texts: DataFrame, firsts: DataFrame, links: DataFrame, agree: float, least: float) -> DataFrame:
+    """members (id, band): links (a, b) between bucket members that ``links`` leave in different classes, enough to join all
+    that belong together.
 
     In each bucket, the members outside of its largest class meet all members, in blocks of a part of the ones and a
-    part of the others."""
+    part of the others. A task holds one part."""
     roots = components(links).withColumnRenamed("v", "id")
-    members = buckets.join(roots, "id", "left").select("id", "band", F.coalesce("root", "id").alias("class"))
-    members = written(members, "members")
-    sizes = members.groupBy("band", "class").agg(F.count("*").alias("n"))
-    parts = lambda c: F.ceil(c / PART).cast("int")
-    top = sizes.groupBy("band").agg(F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("n")).where("n > top.n")
-    top = written(top.select("band", F.col("top.class").alias("top"), parts(F.col("n")).alias("ins"), parts(F.col("n") - F.col("top.n")).alias("outs")), "mixed")
-    placed = members.join(top, "band").withColumn("minor", F.col("class") != F.col("top"))
+    placed = members.join(roots, "id", "left").select("id", "band", "chars", F.coalesce("root", "id").alias("class"))
+    placed = written(placed, "members")
+    sizes = placed.groupBy("band", "class").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    parts = lambda n, chars: F.greatest(F.ceil(n / PART), F.ceil(chars / PART_CHARS), F.lit(1)).cast("int")
+    top = sizes.groupBy("band").agg(F.max(F.struct("n", "class", "chars")).alias("top"), F.sum("n").alias("n"), F.sum("chars").alias("chars")).where("n > top.n")
+    top = written(top.select("band", F.col("top.class").alias("top"), parts(F.col("n"), F.col("chars")).alias("ins"), parts(F.col("n") - F.col("top.n"), F.col("chars") - F.col("top.chars")).alias("outs")), "mixed")
+    placed = placed.join(top, "band").withColumn("minor", F.col("class") != F.col("top"))
+    needed = written(placed.select("id").distinct(), "needed")
+    details = written(firsts.join(needed, "id", "left_semi").select("id", "sig", "bands").join(texts.join(needed, "id", "left_semi"), "id"), "details")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
     hosts = placed.select("id", "band", "class", "minor", F.lit(False).alias("guest"), own("ins").alias("part"), every("outs").alias("from"))
     guests = placed.where("minor").select("id", "band", "class", "minor", F.lit(True).alias("guest"), own("outs").alias("from"), every("ins").alias("part"))
 
     def run(batches):
-        key, hosts = None, []
+        key, hosts, table, joined = None, [], None, {}
+        hasher, bags = Hasher(), {}
+
+        def find(c: int) -> int:
+            while (up := joined.get(c, c)) != c:
+                joined[c] = c = joined.get(up, up)
+            return c
+
         for batch in batches:
             a, b = [], []
-            columns = [batch.column(c).to_pylist() for c in ("band", "part", "from", "guest", "minor", "class", "id", "sig")]
-            for band, part, other, guest, minor, cls, own, sig in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("band", "part", "from", "guest", "minor", "class", "id", "sig", "bands", "text")]
+            for band, part, other, guest, minor, cls, id_, sig, bands, text in zip(*columns, strict=True):
                 if (band, part, other) != key:
-                    key, hosts, table = (band, part, other), [], None
+                    key, hosts, table, joined, bags = (band, part, other), [], None, {}, {}
                 if not guest:
-                    hosts.append((sig, minor, cls, own))
+                    hosts.append((sig, bands, minor, cls, id_, text))
                     table = None
                     continue
                 if not hosts:
                     continue
                 if table is None:
-                    table = np.stack([np.frombuffer(h[0], np.uint16) for h in hosts]), *(np.array([h[k] for h in hosts]) for k in (1, 2, 3))
-                sigs, minors, classes, ids = table
+                    table = np.stack([np.frombuffer(h[0], np.uint16) for h in hosts]), *(np.array([h[k] for h in hosts]) for k in (1, 2, 3, 4))
+                sigs, values, minors, classes, ids = table
                 share = (sigs == np.frombuffer(sig, np.uint16)).mean(axis=1)
                 # Two that are both outside of the largest class meet twice.
-                like = np.flatnonzero((share >= agree) & (classes != cls) & (~minors | (ids > own) | (best is not None)))
-                if best is not None and len(like) > best:
-                    like = like[np.argsort(-share[like], kind="stable")[:best]]
-                a += [own] * len(like)
-                b += ids[like].tolist()
+                like = np.flatnonzero((share >= agree) & (classes != cls) & (~minors | (ids > id_)))
+                if not len(like):
+                    continue
+                common = (values[like] == np.array(bands)).argmax(axis=1)  # a pair is compared in the first bucket that it shares
+                like = like[values[like, common] == band]
+                mine = None
+                for k in like[np.argsort(-share[like], kind="stable")].tolist():
+                    if find(int(classes[k])) == find(cls):
+                        continue
+                    if mine is None:
+                        mine = _bag(text, hasher)
+                    if (its := bags.get(k)) is None:
+                        its = bags[k] = _bag(hosts[k][5], hasher)
+                    if _alike(mine, its, least):
+                        joined[find(int(classes[k]))] = find(cls)
+                        a.append(id_)
+                        b.append(int(ids[k]))
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    rows = hosts.unionByName(guests).join(sigs, "id").repartition("band", "part", "from").sortWithinPartitions("band", "part", "from", "guest", "id")
-    met = rows.select("band", "part", "from", "guest", "minor", "class", "id", "sig").mapInArrow(run, "a long, b long")
-    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    rows = hosts.unionByName(guests).join(details, "id").repartition("band", "part", "from").sortWithinPartitions("band", "part", "from", "guest", "id")
+    return rows.select("band", "part", "from", "guest", "minor", "class", "id", "sig", "bands", "text").mapInArrow(run, "a long, b long")
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
@@ -326,7 +365,8 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS,
     what is linked to one of them is linked to all; so are rows with a null doc_id, which counts as smaller
     than any other. A pair of similarity ``least`` shares a band with probability 1 - (1 - least**rows)**bands
     (0.9996 by default), and is looked at if ``agree`` of its
-    coordinates agree; no bucket is capped or sampled, and what shares one is compared unless it is in one class anyway. Other columns are ignored; no rows in, no rows out."""
+    coordinates agree; no bucket is capped or sampled, and what shares one is compared unless it is in one class anyway. Texts
+    of any length are read whole. Other columns are ignored; no rows in, no rows out."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("id"), text_of().alias("text"))
     signs = written(signed(texts, bands, rows), "signatures")
     worded = signs.where(F.size("bands") > 0)
@@ -334,22 +374,29 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS,
     own = worded.select("id", "h1", "h2").join(copies.where("n > 1"), ["h1", "h2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     firsts = worded.join(copies.select("h1", "h2", F.col("rep").alias("id")), ["h1", "h2", "id"], "left_semi")
     # Two texts of one id are two rows here: both lead and follow under their document's id.
-    firsts = written(firsts.select("id", "sig", "bands"), "firsts")
+    firsts = written(firsts.select("id", "sig", "bands", "chars"), "firsts")
     buckets = firsts.select("id", F.explode("bands").alias("band"))
     shared = written(buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", "n", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "shared")
     members = buckets.join(shared, "band").select("id", "band", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
-    led = written(_led(members.distinct().join(firsts.select("id", "sig"), "id"), agree), "led")
-    again = led.where("b is null").select("band", F.lit(0).alias("part"), F.lit(1).alias("parts"), F.col("a").alias("id"), "sig")
-    asked = led.where("b is not null").select("a", "b").unionByName(_led(again, agree).where("b is not null").select("a", "b"))
+    asked, waiting = [], members.distinct().join(firsts.select("id", "sig"), "id")
+    before = None
+    while True:
+        led = written(_led(waiting, agree), "led")
+        asked.append(led.where("b is not null").select("a", "b"))
+        # The leaders of buckets of several parts meet again, dealt anew, as long as that leaves less than half of them.
+        alone = led.where("b is null").select("band", F.col("a").alias("id"), "sig")
+        count = alone.count()
+        if not count or (before is not None and 2 * count > before):
+            break
+        before = count
+        again = written(alone.groupBy("band").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "again")
+        waiting = alone.join(again, "band").withColumn("part", F.pmod(F.xxhash64("id", F.lit(len(asked))), F.col("parts")).cast("int"))
+    asked = reduce(DataFrame.unionByName, asked)
     pairs = asked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    judged = written(_verified(texts, written(pairs, "pairs"), least), "judged")
-    # In a bucket of two, the leader has met the other one.
-    crowded = written(buckets.join(shared.where("n > 2").select("band"), "band").select("id", "band").distinct(), "crowded")
-    for best in (BEST, None):
-        links = judged.where("same").select("a", "b")
-        asked = written(_apart(crowded, firsts.select("id", "sig"), links, agree, best).join(judged, ["a", "b"], "left_anti"), "apart")
-        judged = judged.unionByName(written(_verified(texts, asked, least), "judged"))
-    links = own.unionByName(judged.where("same").select("a", "b"))
+    links = written(_verified(texts, written(pairs, "pairs"), least).where("same").select("a", "b"), "judged")
+    # In a bucket of two in one part, the leader has met the other one.
+    crowded = firsts.select("id", "chars", F.explode("bands").alias("band")).join(shared.where("n > 2 OR parts > 1").select("band"), "band").select("id", "band", "chars").distinct()
+    links = own.unionByName(links).unionByName(written(_apart(crowded, texts, firsts, links, agree, least), "apart"))
     roots = written(components(links), "roots")
     out = texts.select("id").join(roots.withColumnRenamed("v", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("class"), F.col("root").isNotNull().alias("linked"))
     return sized(written(out, "classes"))
@@ -364,7 +411,10 @@ def sized(out: DataFrame) -> DataFrame:
 
 
 def without_near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each class: the one of the least doc_id."""
+    """``docs`` with one document of each class: the one of the least doc_id.
+
+    Texts without words (null, empty) are each alone and stay; rows that repeat a doc_id stay or go together; rows with a
+    null doc_id are one document. All columns are kept as they are; no rows in, no rows out."""
     key = free_name(docs, "_id")
     id_of = F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias(key)
     chosen = near_classes(docs, least).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(id_of)

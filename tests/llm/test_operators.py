@@ -123,6 +123,48 @@ def test_near_classes_of_a_star(spark):
     assert len(got) == 1001 and {(r.class_id, r.class_size) for r in got} == {(0, 1001)}
 
 
+def family(seed, size, words, edits):
+    """Edited copies of one text whose similarities lie on both sides of 0.8."""
+    rng = random.Random(seed)
+    base = [f"f{i}" for i in range(words)]
+    out = []
+    for k in range(size):
+        own = list(base)
+        for place in rng.sample(range(words), rng.randint(*edits)):
+            own[place] = f"e{rng.randint(0, 30)}"
+        out.append(own)
+    return out
+
+
+def classes_of(texts):
+    like = {}
+    bags = [frozenset((g, n) for g, c in collections.Counter(tuple(t[i : i + 5]) for i in range(len(t) - 4)).items() for n in range(c)) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        shared = len(bags[i] & bags[j])
+        if shared / (len(bags[i]) + len(bags[j]) - shared) >= 0.8:
+            like[i, j] = True
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(texts))], like
+
+
+@pytest.mark.parametrize("part", [256, 40])
+def test_near_classes_of_a_dense_family(spark, monkeypatch, part):
+    """Of 400 edits of one text, no link is lost, however buckets are cut."""
+    monkeypatch.setattr(minhash, "PART", part)
+    texts = family(3, 400, 120, (1, 6))
+    want, like = classes_of(texts)
+    assert len(like) > 3000 and len(set(want)) > 200
+    got = {r.doc_id: r.class_id for r in minhash.near_classes(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(400)] == want
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     roots = {r.v: r.root for r in minhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
