@@ -418,6 +418,22 @@ def test_html_blocks_of_mixed_layouts(spark):
     assert got == {r[1]: r[3] for r in rows}
 
 
+def test_html_pages_of_one_host_that_share_a_heading(spark):
+    rows = [(1, "http://a.net/1", "<article><h1>T</h1><p>Hello</p></article>"), (2, "http://a.net/2", "<article><h1>T</h1><div>World</div></article>")]
+    rows += [(2 + k, f"http://a.net/{k}", h) for k, h in enumerate(["<article><h1>T</h1><p>Hello</p></article>", "<article><h1>T</h1><ul><li>one<li>two</ul></article>"], 1)]
+    got = html_extract.extracted(spark.createDataFrame([*rows, rows[0]], "page_id int, url string, html string")).collect()
+    assert sorted((r.page_id, r.text) for r in got) == [(1, "T\n\nHello"), (1, "T\n\nHello"), (2, "T\n\nWorld"), (3, "T\n\nHello"), (4, "T\n\none\n\ntwo")]
+
+
+def test_html_wrappers_of_many_parts(spark):
+    """Wrappers merged in several rounds say the same as in one."""
+    rows = [(f"h{k % 2}.com", f"<div class=m><p>Menu</p></div><div><h1>A{k}</h1>" + "<p>b</p>" * (k % 3) + "<ul><li>c</ul>" * (k % 5 == 0) + "</div>") for k in range(60)]
+    pages = spark.createDataFrame(rows, "host string, html string").repartition(30)
+    one = {r.host: (sorted(r.away), sorted(r.shared)) for r in html_extract.wrappers(pages).collect()}
+    many = {r.host: (sorted(r.away), sorted(r.shared)) for r in html_extract.wrappers(pages, 2).collect()}
+    assert one == many and all(shared for _, shared in one.values())
+
+
 def test_html_sign_off_goes_alone(spark):
     """Pages without an article whose paragraphs share a path and end alike."""
     rows = [(i, f"http://a.net/{i}", f"<body><div><p>First {i}</p><p>Second {i}</p><p>All rights reserved</p></div></body>") for i in range(5)]

@@ -133,15 +133,64 @@ PAGE = """<html><head><title>T</title><script>var a="</p><article>";</script></h
 <section id="comments"><article><p>c</p></article></section></main><footer>f</footer></body>"""
 
 
-def test_main_text_of_a_page():
-    wrapper = html_extract.folded(["#" if k == "#" else ("/" if k == "/" else "") + n for k, n, *_ in html_extract.blocks(PAGE)])
-    content = {p for p in html_extract.slots(wrapper) if html_extract.is_content(p)}
-    assert html_extract.main_text(PAGE, content, set()) == "Ti&tle\n\nOne bold x y\n\nTwo <3"
-    assert ["+", "li", "#", "/li"] in wrapper and ["+", "p", "#", "/p"] in wrapper
+def wrapper_of(pages):
+    out = html_extract.page_wrapper(pages[0])
+    for p in pages[1:]:
+        out = html_extract.merged(out, html_extract.loaded(html_extract.dumped(html_extract.page_wrapper(p))))
+    return out
+
 
+def texts_of(*pages):
+    away, shared = (set(x) for x in html_extract.decided(wrapper_of(pages)))
+    return [html_extract.main_text(p, away, shared) for p in pages]
 
-def test_alignment_makes_what_is_missing_optional():
-    a, b = ["x", ["+", "p", "/p"], "/x"], ["x", "h", "/h", ["+", "p", "/p"], "/x"]
-    both = html_extract.aligned(a, b)
-    assert both == ["x", ["?", "h"], ["?", "/h"], ["+", "p", "/p"], "/x"] and html_extract.aligned(both, a) == both
-    assert html_extract.folded(list("ab") * 3) == list("ab") * 3  # only closed elements repeat
+
+def test_main_text_of_a_page():
+    assert texts_of(PAGE) == ["Ti&tle\n\nOne bold x y\n\nTwo <3"]
+    assert html_extract.expression(wrapper_of(["<ul><li>a<li>b</ul><p>c<p>d"])) == "<ul>(<li>#</li>)+</ul><p>#</p>+".replace("(<li>#</li>)", "<li>#</li>")
+
+
+def test_alignment_resolves_mismatches():
+    f, al = html_extract.folded, html_extract.aligned
+    assert f(list("abbc")) == [[False, ["a"]], [True, ["b"]], [False, ["c"]]]
+    assert f(list("abcbd")) == [[False, ["a"]], [True, ["b", "c"]], [False, ["d"]]]
+    a, b = f(list("ac")), f(list("abc"))
+    assert al(a, b) == al(b, a) == f(list("abc"))  # optional: fewer pages have it
+    assert al(f(list("abc")), f(list("acb"))) == [[False, ["a"]], [True, ["b", "c"]]]  # contradicting orders: a repeated group
+    one = wrapper_of(["<div><h1>a</h1><p>b</p></div>", "<div><p>c</p><p>d</p><h2>e</h2></div>"])
+    assert html_extract.expression(one) == "<div><h1>#</h1>?<p>#</p>+<h2>#</h2>?</div>"
+
+
+@given(st.lists(st.lists(st.sampled_from("abcdef"), max_size=8), min_size=1, max_size=6))
+def test_wrappers_accept_all_their_sequences(rows):
+    """Each sequence goes through the groups in order, members of a repeated group in any."""
+    groups = html_extract.folded(rows[0])
+    for r in rows[1:]:
+        groups = html_extract.aligned(groups, html_extract.folded(r))
+    names = [x for _, g in groups for x in g]
+    assert len(names) == len(set(names)) and set(names) == {x for r in rows for x in r}
+    for r in rows:
+        places = [next(k for k, (_, g) in enumerate(groups) if x in g) for x in r]
+        assert places == sorted(places)
+        assert all(groups[k][0] for k in set(places) if places.count(k) > 1)
+
+
+def test_wrapper_decides_by_variation_links_and_weight():
+    art = lambda i, extra: f"<article><h1>T{i}</h1><p>Body of page {i}.</p>{extra}</article>"
+    # A name that only holds a word of the list decides nothing by itself.
+    assert texts_of(art(1, '<div class="share-price"><p>The share price fell.</p></div><p class="search">How search works</p>')) == ["T1\n\nBody of page 1.\n\nThe share price fell.\n\nHow search works"]
+    # The same text on all pages under such a name, or links, are no main text.
+    assert texts_of(*(art(i, '<p class="site-notice-de">We moved</p>') for i in range(3))) == [f"T{i}\n\nBody of page {i}." for i in range(3)]
+    assert texts_of(art(1, '<p class="related-x"><a href=a>one</a> <a href=b>two</a></p>')) == ["T1\n\nBody of page 1."]
+    # An article's own repeated paragraph stays, and an odd page takes nothing from the others.
+    same = [art(i, "<p>The same</p>") for i in range(4)]
+    assert texts_of(*same, "<article><section><p>odd</p></section></article>") == [*(f"T{i}\n\nBody of page {i}.\n\nThe same" for i in range(4)), "odd"]
+    # What is named as an advert but holds the pages' own text is it.
+    assert texts_of('<body><div class="promo"><h1>A</h1><p>All of the long text is here</p></div><p>x</p>') == ["A\n\nAll of the long text is here\n\nx"]
+    assert texts_of('<div class="ad-box">buy</div><article><p>Long enough to be the text</p><div id="comments"><p>first of very many comments, longer than all else</p></div></article>') == ["Long enough to be the text"]
+
+
+def test_deep_and_long_pages():
+    deep = "<div>" * 3000 + "text" + "</div>" * 3000
+    long_ = "<article>" + "".join(f"<p>Paragraph {i} of many</p>" for i in range(20_000)) + "</article>"
+    assert texts_of(deep, deep, long_) == ["text", "text", "\n\n".join(f"Paragraph {i} of many" for i in range(20_000))]
