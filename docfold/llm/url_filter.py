@@ -1,14 +1,19 @@
 """URL filters: rules by host and path, and templates learned from the pages that rules label.
 
-Each host's paths form a tree. Level by level, a node whose next segments are many is generalised into a
-wildcard (its extension is kept), but for those whose shares differ significantly from the rest's; of a node with few, the branches whose shares of blocked, allowed and
-unlabelled pages don't differ significantly from the largest branch are merged with it. The leaves are
-templates; those whose smoothed share of blocked pages among the labelled ones is high are rejected.
+Each host's paths form a tree. Level by level, segments with too few pages to tell them from each other are variable and
+become a wildcard (their extension is kept). The other branches are compared with each other: those whose subtrees have
+the same shape are pooled, those without labelled pages with the labelled ones, and a branch whose share of blocked pages among the
+labelled ones, or of its subtree's main shape, differs significantly from the rest of its pool leaves it. What is left is
+merged. The leaves are templates; those whose smoothed labelled purity is high are rejected, with their pages without
+a label. As a rule labels whole branches, the evidence of a generalised segment is the number of its labelled values, not of pages:
+one blocked section says nothing about its merged neighbours, many do.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docfold.llm.common import written
@@ -34,81 +39,114 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def _differs(a: list[Column], b: list[Column], least: float) -> Column:
-    """Whether two rows of counts have a chi-squared statistic of ``least`` or more."""
-    na, nb = sum(a[1:], a[0]), sum(b[1:], b[0])
-    total = F.lit(0.0)
-    for x, y in zip(a, b, strict=True):
-        share = (x + y) / (na + nb)
-        total = total + F.when(x + y > 0, F.pow(x - na * share, F.lit(2)) / (na * share) + F.pow(y - nb * share, F.lit(2)) / (nb * share)).otherwise(0.0)
-    return total >= least
+def _chi2(a: Column, not_a: Column, b: Column, not_b: Column) -> Column:
+    """The chi-squared statistic of two rows of counts; 0 where one kind or one row has none."""
+    a, not_a, b, not_b = (x.cast("double") for x in (a, not_a, b, not_b))
+    margins = (a + not_a) * (b + not_b) * (a + b) * (not_a + not_b)
+    return F.when(margins > 0, (a + not_a + b + not_b) * F.pow(a * not_b - not_a * b, F.lit(2)) / margins).otherwise(0.0)
+
+
+NODE = ["host", "_t"]
 
 
-def _standing_out(child: DataFrame, node: DataFrame, chi2: float) -> DataFrame:
-    """host, _t, _seg of the branches whose counts differ from those of the rest of their node, pooled; what differs leaves
-    the rest, until none does. ``node``: host, _t and the sums b, a, u of nodes whose branches are in ``child``.
+def _merged(shapes: DataFrame, chi2: float) -> DataFrame:
+    """host, _t, _seg, _name of the branches that are sections: a name of its own, or that of the branches that it is merged
+    with; null if it is merged with the values. ``shapes``: host, _t, _seg, _shape with their pages n, blocked b and allowed a.
 
     A branch of n pages can't differ from another of that size if 2n < chi2, and is taken for a value, not a section."""
-    keys = ["host", "_t"]
-    left = written(child.where((F.col("b") + F.col("a") + F.col("u")) * 2 >= chi2).join(node.select(*keys), keys).select(*keys, "_seg", "b", "a", "u"), "sections")
-    found, rest = left.where("false").select(*keys, "_seg"), node.select(*keys, *(F.col(c).alias("all_" + c) for c in "bau"))
+    branch = shapes.groupBy(*NODE, "_seg").agg(*(F.sum(c).alias(c) for c in "bna"), F.max(F.struct("n", "_shape")).alias("top")).where(F.col("n") * 2 >= chi2)
+    branch = branch.select(*NODE, "_seg", "b", "a", "n", F.col("top.n").alias("m"), F.col("top._shape").alias("_shape"))
+    branch = written(branch.withColumn("lean", F.when(F.col("b") > F.col("a"), 1).when(F.col("a") > 0, 0)), "sections")
+    # Branches without labels go with the labelled ones, if these are all of one kind.
+    leans = branch.groupBy(*NODE, "_shape").agg(F.when(F.min("lean") == F.max("lean"), F.min("lean")).otherwise(2).alias("only"))
+    pool = [*NODE, "_shape", "lean"]
+    left = written(branch.join(leans, [*NODE, "_shape"]).withColumn("lean", F.coalesce("lean", "only")).drop("only"), "pooled")
+    alone = []
     while True:
-        both = left.join(rest, keys)
-        differs = _differs([F.col(c) for c in "bau"], [F.col("all_" + c) - F.col(c) for c in "bau"], chi2)
-        alone = sum((F.col("all_" + c) - F.col(c) for c in "bau"), F.lit(0)) == 0
-        both = written(both.withColumn("out", F.when(alone, False).otherwise(differs)), "compared")
+        rest = left.groupBy(*pool).agg(*(F.sum(c).alias("all_" + c) for c in "banm"), F.count("*").alias("k"), F.min("_seg").alias("first"))
+        other = {c: F.col("all_" + c) - F.col(c) for c in "banm"}
+        by_label = _chi2(F.col("b"), F.col("a"), other["b"], other["a"])
+        by_shape = _chi2(F.col("m"), F.col("n") - F.col("m"), other["m"], other["n"] - other["m"])
+        tested = written(left.join(written(rest, "pools"), pool).withColumn("x", F.greatest(by_label, by_shape)), "tested")
+        # What differs most leaves first: others may only differ from it.
+        most = tested.groupBy(*pool).agg(F.max("x").alias("most"))
+        both = written(tested.join(written(most, "most"), pool).withColumn("out", (F.col("x") >= chi2) & (F.col("x") * 2 >= F.col("most"))), "compared")
+        alone.append(both.where("out").select(*NODE, "_seg", F.col("_seg").alias("_name")))
         if both.where("out").isEmpty():
-            return found
-        found = found.unionByName(both.where("out").select(*keys, "_seg"))
-        left = both.where("not out").select(*keys, "_seg", "b", "a", "u")
-        # Only nodes that lost a branch are looked at again.
-        gone = both.where("out").groupBy(*keys).agg(*(F.sum(c).alias("gone_" + c) for c in "bau"))
-        rest = written(rest.join(gone, keys).select(*keys, *((F.col("all_" + c) - F.col("gone_" + c)).alias("all_" + c) for c in "bau")), "rest")
-
-
-def templates(pages: DataFrame, few: int = 16, chi2: float = 9.21) -> DataFrame:
-    """Adds ``template`` to rows with ``host``, ``path`` and ``label`` (1 blocked, 0 allowed, else null).
-
-    ``few``: branches up to which a node's are compared with the largest one; of a node with more, those that differ
-    from the rest are kept apart and the rest is a wildcard. ``chi2``: the statistic from which two
-    branches differ (9.21: one in a hundred, two degrees of freedom). The tree is as deep as the paths."""
-    cur = pages.withColumn("_segs", F.split(F.regexp_replace("path", "^/", ""), "/")).withColumn("_t", F.lit(""))
-    counts = [F.count_if(F.col("label") == 1).alias("b"), F.count_if(F.col("label") == 0).alias("a"), F.count_if(F.col("label").isNull()).alias("u")]
-    depth = cur.agg(F.max(F.size("_segs"))).first()[0] or 0
-    for level in range(depth):
-        # A row whose path has ended stays as it is.
-        cur = written(cur.withColumn("_seg", F.get("_segs", F.lit(level))), f"level{level}")
-        open_ = cur.where("_seg is not null")
-        child = written(open_.groupBy("host", "_t", "_seg").agg(*counts), "children")
-        # Hosts may have any number of segments, so sums over them go by parts and no row lists them.
-        sums = [F.sum(c).alias(c) for c in "bau"]
-        node = written(child.groupBy("host", "_t").agg(F.count("*").alias("k"), *sums, F.max(F.struct((F.col("b") + F.col("a") + F.col("u")).alias("n"), "_seg", "b", "a", "u")).alias("top")), "nodes")
-        kept = child.join(node.where(F.col("k") <= few).select("host", "_t", "top"), ["host", "_t"])
-        apart = _differs([F.col("b"), F.col("a"), F.col("u")], [F.col("top.b"), F.col("top.a"), F.col("top.u")], chi2)
-        alike = F.count_if(~apart).over(Window.partitionBy("host", "_t"))  # the largest branch is one of them
-        kept = kept.select("host", "_t", "_seg", F.when(apart | (alike == 1), F.col("_seg")).otherwise("{}").alias("_name"))
-        out = _standing_out(child, node.where(F.col("k") > few), chi2)
-        kept = kept.unionByName(out.withColumn("_name", F.col("_seg")))
+            # The only pool of a node goes with its values.
+            pools = both.where("k > 1").groupBy(*NODE).agg((F.count_distinct("_shape", "lean") > 1).alias("several"))
+            name = F.when(F.col("k") == 1, F.col("_seg")).when(F.col("several"), F.concat(F.lit("{"), "first", F.lit("}")))
+            return reduce(DataFrame.unionByName, alone).unionByName(both.join(written(pools, "several"), NODE, "left").select(*NODE, "_seg", name.alias("_name")))
+        left = both.where("not out").select(*left.columns)
+
+
+def _shape(segments: Column) -> Column:
+    """Segments as numbers (0) or words (a), with their extensions."""
+    words = F.regexp_replace(segments, r"(?<=^|/)[\p{L}\p{N}_-]*[\p{L}_-][\p{L}\p{N}_-]*(?=[/.]|$)", "a")
+    return F.regexp_replace(words, r"(?<=^|/)[0-9]+(?=[/.]|$)", "0")
+
+
+def templates(pages: DataFrame, chi2: float = 6.63) -> DataFrame:
+    """Adds ``template`` and ``values`` to rows with ``host``, ``path`` and ``label`` (1 blocked, 0 allowed, else null).
+
+    ``values``: the generalised segments (place, segment) of the row's path. ``chi2``: the statistic from which two branches
+    differ (6.63: one in a hundred, one degree of freedom). The tree is as deep as the paths."""
+    cur = pages.withColumn("_segs", F.split(F.regexp_replace("path", "^/", ""), "/")).withColumn("_t", F.lit("")).withColumn("values", F.array().cast("array<struct<place:int,segment:string>>"))
+    done, level = [], 0
+    extension = lambda seg: F.concat(F.lit("*"), F.regexp_extract(seg, r"\.[A-Za-z]{1,5}$", 0))
+    while True:
+        done.append(cur.where(F.size("_segs") <= level).drop("_segs"))
+        open_ = cur.where(F.size("_segs") > level)
+        if level >= 4:
+            # Nodes of so few pages have no sections; their paths are followed to the end at once.
+            size = written(open_.groupBy(*NODE).agg((F.count("*") * 2 < chi2).alias("_few")), "few")
+            open_ = open_.join(size, NODE)
+            end = F.slice("_segs", level + 1, F.greatest(F.size("_segs") - level, F.lit(0)))
+            few = open_.where("_few").withColumn("_t", F.concat("_t", F.lit("/"), F.array_join(F.transform(end, extension), "/")))
+            few = few.withColumn("values", F.concat("values", F.transform(end, lambda x, i: F.struct((i + level).cast("int").alias("place"), x.alias("segment")))))
+            done.append(few.drop("_segs", "_few"))
+            open_ = open_.where("not _few").drop("_few")
+        after = F.array_join(F.slice("_segs", level + 2, F.greatest(F.size("_segs") - level - 1, F.lit(0))), "/")
+        open_ = written(open_.withColumn("_seg", F.get("_segs", F.lit(level))).withColumn("_shape", _shape(after)), f"level{level}")
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, done).withColumnRenamed("_t", "template")
+        shapes = written(open_.groupBy(*NODE, "_seg", "_shape").agg(F.count_if(F.col("label") == 1).alias("b"), F.count_if(F.col("label") == 0).alias("a"), F.count("*").alias("n")), "shapes")
         # Written, so that the join can split the rows of a host that has a third of all.
-        named = cur.join(written(kept, "branches"), ["host", "_t", "_seg"], "left")
-        variable = F.concat(F.lit("*"), F.regexp_extract("_seg", r"\.[A-Za-z]{1,5}$", 0))
-        cur = named.withColumn("_t", F.when(F.col("_seg").isNull(), F.col("_t")).otherwise(F.concat("_t", F.lit("/"), F.coalesce("_name", variable)))).drop("_name", "_seg")
-    return cur.withColumn("template", F.col("_t")).drop("_t", "_segs")
+        named = open_.join(written(_merged(shapes, chi2), "branches"), [*NODE, "_seg"], "left")
+        value = F.struct(F.lit(level).alias("place"), F.col("_seg").alias("segment"))
+        named = named.withColumn("values", F.when(F.col("_name") == F.col("_seg"), F.col("values")).otherwise(F.concat("values", F.array(value))))
+        cur = written(named.withColumn("_t", F.concat("_t", F.lit("/"), F.coalesce("_name", extension(F.col("_seg"))))).drop("_name", "_seg", "_shape"), f"after{level}")
+        level += 1
+
+
+def purities(rows: DataFrame, strength: float, prior: float) -> DataFrame:
+    """host, template, purity: of each template, ``(blocked + strength * prior) / (blocked + allowed + strength)``.
+
+    Both count distinct values of a generalised segment: the one that has the fewest of those that have values without any label,
+    since what is said about these pages is carried over from labelled values; else the one that has the most. Where nothing
+    is generalised, they count pages."""
+    counted = rows.select("host", "template", "label", F.explode_outer("values").alias("v"))
+    counted = counted.select("host", "template", "label", F.coalesce(F.col("v.place"), F.lit(-1)).alias("place"), F.col("v.segment").alias("segment"))
+    value = counted.groupBy("host", "template", "place", "segment").agg(F.count_if(F.col("label") == 1).alias("b"), F.count_if(F.col("label") == 0).alias("a"))
+    units = lambda c: F.when(F.col("place") < 0, F.sum(c)).otherwise(F.count_if(F.col(c) > 0)).alias(c)
+    place = value.groupBy("host", "template", "place").agg(units("b"), units("a"), (F.count_if(F.col("b") + F.col("a") == 0) > 0).alias("open"))
+    fewest = lambda c: F.coalesce(F.min(F.when(F.col("open"), F.col(c))), F.max(c))
+    evidence = place.groupBy("host", "template").agg(fewest("b").alias("b"), fewest("a").alias("a"))
+    return evidence.select("host", "template", ((F.col("b") + strength * prior) / (F.col("b") + F.col("a") + strength)).alias("purity"))
 
 
 def judged(pages: DataFrame, rules=RULES, reject: float = 0.9, strength: float = 4.0, prior: float = 0.5) -> DataFrame:
     """``page_id, host, path, rule, verdict, template, purity`` of every row.
 
-    A fitting rule decides; else the template does: it is blocked if ``(blocked + strength * prior) /
-    (labelled + strength)`` is ``reject`` or more, so a template with few labelled pages is allowed.
-    Null urls and those without a host share the empty host; repeated rows count each; other columns
+    A fitting rule decides; else the template does: it is blocked if its purity (see ``purities``) is ``reject`` or more, so a
+    template with little evidence is allowed.
+    Null urls and those without a host share the empty host; paths of any length are followed to their end; repeated rows count each; other columns
     are ignored; no rows in, no rows out."""
     host, path = host_and_path()
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("_rule", rule_for(F.col("host"), F.col("path"), rules))
     rows = rows.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.when(F.col("_rule.action") == "block", 1).when(F.col("_rule.action") == "allow", 0).alias("label"))
     rows = written(templates(rows), "templates")
-    pure = rows.groupBy("host", "template").agg(F.count_if(F.col("label") == 1).alias("b"), F.count("label").alias("n"))
-    pure = pure.select("host", "template", ((F.col("b") + strength * prior) / (F.col("n") + strength)).alias("purity"))
+    pure = written(purities(rows, strength, prior), "purity")
     verdict = F.when(F.col("label") == 1, "block").when(F.col("label") == 0, "allow").when(F.col("purity") >= reject, "block").otherwise("allow")
-    return rows.join(written(pure, "purity"), ["host", "template"], "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
+    return rows.join(pure, ["host", "template"], "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")

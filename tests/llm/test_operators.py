@@ -368,34 +368,56 @@ def test_url_filter(spark):
         host, path, action, name = rule(urls[r.page_id])
         assert (r.host, r.path, r.rule) == (host, path, name) and r.verdict in ("allow", "block") and (action is None or r.verdict == action)
     by = {r.path.rpartition("/")[0]: r.template for r in rows if r.host == "s.example.com"}
-    assert by == {"/de": "/de/*.html", "/en": "/{}/*.html", "/fr": "/{}/*.html", "/es": "/{}/*.html"}
+    assert by == {f"/{lang}": "/*/*.html" for lang in ("de", "en", "fr", "es")}  # merged, but one blocked section decides for itself only
     assert url_filter.judged(pages.where("page_id < 0")).count() == 0
 
 
-def test_impure_templates_are_rejected(spark):
-    """Pages without a rule of a template whose labelled pages are blocked."""
-    rows = [(i, f"h://x.com/ads/{i}", 1 if i < 90 else None) for i in range(100)] + [(200 + i, f"h://x.com/news/{i}", 0 if i < 90 else None) for i in range(100)]
-    pages = spark.createDataFrame([(i, "x.com", u[9:], y) for i, u, y in rows], "page_id long, host string, path string, label int")
-    got = {r.template for r in url_filter.templates(pages).collect()}
-    assert got == {"/ads/*", "/news/*"}
-
-
-def test_sections_of_a_broad_node_stay_apart(spark):
-    """Of more sections than few, the blocked one doesn't decide for the others, nor a smaller blocked one; nor for deeper ones."""
-    rows = [("de", i, 1) for i in range(1000)] + [("at", i, 1) for i in range(40)] + [(f"s{k}", i, None) for k in range(20) for i in range(k % 7 + 1)]
-    for top in ("", "a/b/c/d/e/"):
-        pages = spark.createDataFrame([(n, "x.com", f"/{top}{s}/{i}", y) for n, (s, i, y) in enumerate(rows)], "page_id long, host string, path string, label int")
-        got = collections.defaultdict(set)
-        for r in url_filter.templates(pages).collect():
-            got[r.template].add(r.label)
-        assert got[f"/{top}de/*"] == {1} and all(len(labels) == 1 for labels in got.values())
-    # All branches but one leave the rest.
-    rows_ = [("big", 0)] * 1000 + [("mix", 0)] * 25 + [("mix", None)] * 4 + [(f"s{k}", None) for k in range(16) for _ in range(10)]
-    alone = spark.createDataFrame([(n, "x.com", f"/{s}/{n}", y) for n, (s, y) in enumerate(rows_)], "page_id long, host string, path string, label int")
-    assert {r.template for r in url_filter.templates(alone).collect()} == {"/big/*", "/*/*", *(f"/s{k}/{x}" for k in range(16) for x in ("{}",))}
-    urls = [f"http://s.example.com/{top}{s}/{i}" for top in ("", "de/x/y/z/") for s, i, _ in rows] + [f"http://s.example.com/s1/x/y/z/w/{i}" for i in range(3)]
-    judged = url_filter.judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
-    assert len(judged) == len(urls) and all((r.verdict == "block") == r.path.startswith("/de/") for r in judged)
+def pages_of(spark, rows):
+    return spark.createDataFrame([(i, "x.com", p, y) for i, (p, y) in enumerate(rows)], "page_id long, host string, path string, label int")
+
+
+def templates_of(spark, rows):
+    got = collections.defaultdict(set)
+    for r in url_filter.templates(pages_of(spark, rows)).collect():
+        got[r.template].add(r.path)
+    return dict(got)
+
+
+def test_branches_are_merged_by_labels_and_subtrees(spark):
+    many = lambda top, n, y, rest="{}": [(f"/{top}/" + rest.format(i), y) for i in range(n)]
+    got = templates_of(spark, many("ads", 90, 1) + many("ads2", 90, None) + many("news", 90, 0) + many("blog", 90, None, "a{}/b/{}.html".replace("{}", "{0}")))
+    # Unlabelled ads2 has labelled neighbours of both kinds and stays apart; the blog's subtree is another one.
+    assert {t: len(p) for t, p in got.items()} == {"/ads/*": 90, "/ads2/*": 90, "/news/*": 90, "/blog/*/b/*.html": 90}
+    # Without the allowed ones, ads2 joins them; a branch of mixed labels leaves.
+    got = templates_of(spark, many("ads", 90, 1) + many("ads3", 90, 1) + many("ads2", 90, None) + many("mix", 45, 1) + [(f"/mix/x{i}x", 0) for i in range(40)])
+    assert set(got) == {"/*/*", "/mix/*"}
+    # What has few pages is a value, however many there are.
+    assert set(templates_of(spark, [(f"/u{i}", None) for i in range(300)])) == {"/*"}
+
+
+def test_method_blocks_pages_without_a_rule(spark):
+    """Of 60 alike branches, 20 are blocked by rules: the other 40 are too; one blocked branch takes nobody with it."""
+    rules = [("block", f"bad.com/u{k}/") for k in range(20)] + [("block", "one.com/u0/"), ("allow", "bad.com/help/")]
+    urls = [f"http://{h}.com/u{k}/{i}.html" for h in ("bad", "one") for k in range(60) for i in range(6)] + [f"http://bad.com/help/topic/{i}" for i in range(30)] + [f"http://bad.com/about/us/{i}" for i in range(30)]
+    got = url_filter.judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+    blocked = {(r.host, r.path.split("/")[1]) for r in got if r.verdict == "block"}
+    assert blocked == {("bad.com", f"u{k}") for k in range(60)} | {("one.com", "u0")}
+    assert sum(r.verdict == "block" and r.rule is None for r in got) == 240
+
+
+def test_number_of_sections_changes_no_verdict(spark):
+    rows = [("de", i) for i in range(1000)] + [("at", i) for i in range(40)] + [(f"s{k}", i) for k in range(20) for i in range(k % 7 + 1)]
+    for few in (5, 10, len({s for s, _ in rows})):
+        names = ["de", "at", *(f"s{k}" for k in range(20))][:few]
+        urls = [f"http://s.example.com/{top}{s}/{i}" for top in ("", "de/x/y/z/") for s, i in rows if s in names] + [f"http://s.example.com/s1/x/y/z/w/{i}" for i in range(3)]
+        judged = url_filter.judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+        assert len(judged) == len(urls) and all((r.verdict == "block") == r.path.startswith("/de/") for r in judged)
+
+
+def test_long_paths_are_followed_to_their_end(spark):
+    deep = "/".join(f"d{i}" for i in range(400))
+    got = templates_of(spark, [("/" + deep + f"/{i}.html", None) for i in range(3)] + [("/a/b/c/d/e/f/g/" + s + f"/{i}", y) for s, y in (("x", 1), ("y", 0)) for i in range(30)])
+    assert set(got) == {"/" + "/".join(["*"] * 400) + "/*.html", "/a/b/c/d/e/f/g/x/*", "/a/b/c/d/e/f/g/y/*"}
 
 
 def test_html_extraction(spark):
