@@ -226,13 +226,27 @@ def _led(rows: DataFrame, agree: float) -> DataFrame:
     return sorted_.select("band", "part", "parts", "id", "sig").mapInArrow(run, "band long, a long, b long, sig binary")
 
 
-def _bag(text: str, hasher: Hasher) -> frozenset[int]:
-    """The shingles of a text, the repetitions of one counting as different ones."""
-    _, shingle, weight, *_ = elements(pa.array([text]), hasher)
-    own = shingle.tolist()
-    for i in np.flatnonzero(weight > 1).tolist():
-        own += [(own[i], k) for k in range(1, int(weight[i]))]
-    return frozenset(own)
+def _bags(texts: DataFrame) -> DataFrame:
+    """(id, bag) of (id, text): the shingles of a text, the repetitions of one counting as different ones."""
+
+    def make():
+        hasher = Hasher()
+
+        def each(batch: pa.RecordBatch):
+            bags, sizes = [], []
+            for part in pieces_of(batch, BATCH_BYTES):
+                row, shingle, weight, *_ = elements(part.column("text"), hasher)
+                times = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
+                with np.errstate(over="ignore"):
+                    every = np.repeat(shingle, weight) + times.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                bags.append(every.view(np.int64))
+                sizes.append(np.bincount(row, weight, part.num_rows).astype(np.int64))
+            ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+            return {"id": batch.column("id"), "bag": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(bags)))}
+
+        return each
+
+    return arrow_map(texts.select("id", "text"), make, "id long, bag array<long>")
 
 
 def _alike(a: frozenset[int], b: frozenset[int], least: float) -> bool:
@@ -257,7 +271,7 @@ def _apart(members: DataFrame, texts: DataFrame, firsts: DataFrame, links: DataF
     top = written(top.select("band", F.col("top.class").alias("top"), parts(F.col("n"), F.col("chars")).alias("ins"), parts(F.col("n") - F.col("top.n"), F.col("chars") - F.col("top.chars")).alias("outs")), "mixed")
     placed = placed.join(top, "band").withColumn("minor", F.col("class") != F.col("top"))
     needed = written(placed.select("id").distinct(), "needed")
-    details = written(firsts.join(needed, "id", "left_semi").select("id", "sig", "bands").join(texts.join(needed, "id", "left_semi"), "id"), "details")
+    details = written(firsts.join(needed, "id", "left_semi").select("id", "sig", "bands").join(_bags(texts.join(needed, "id", "left_semi")), "id"), "details")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
     hosts = placed.select("id", "band", "class", "minor", F.lit(False).alias("guest"), own("ins").alias("part"), every("outs").alias("from"))
@@ -265,7 +279,7 @@ def _apart(members: DataFrame, texts: DataFrame, firsts: DataFrame, links: DataF
 
     def run(batches):
         key, hosts, table, joined = None, [], None, {}
-        hasher, bags = Hasher(), {}
+        bags: dict[int, frozenset[int]] = {}
 
         def find(c: int) -> int:
             while (up := joined.get(c, c)) != c:
@@ -274,34 +288,35 @@ def _apart(members: DataFrame, texts: DataFrame, firsts: DataFrame, links: DataF
 
         for batch in batches:
             a, b = [], []
-            columns = [batch.column(c).to_pylist() for c in ("band", "part", "from", "guest", "minor", "class", "id", "sig", "bands", "text")]
-            for band, part, other, guest, minor, cls, id_, sig, bands, text in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("band", "part", "from", "guest", "minor", "class", "id", "sig")]
+            rows_ = batch.column("bands"), batch.column("bag")
+            for n, (band, part, other, guest, minor, cls, id_, sig) in enumerate(zip(*columns, strict=True)):
                 if (band, part, other) != key:
                     key, hosts, table, joined, bags = (band, part, other), [], None, {}, {}
                 if not guest:
-                    hosts.append((sig, bands, minor, cls, id_, text))
+                    hosts.append((sig, rows_[0][n].values.to_numpy(), minor, cls, id_, rows_[1][n].values))
                     table = None
                     continue
                 if not hosts:
                     continue
                 if table is None:
-                    table = np.stack([np.frombuffer(h[0], np.uint16) for h in hosts]), *(np.array([h[k] for h in hosts]) for k in (1, 2, 3, 4))
+                    table = np.stack([np.frombuffer(h[0], np.uint16) for h in hosts]), np.stack([h[1] for h in hosts]), *(np.array([h[k] for h in hosts]) for k in (2, 3, 4))
                 sigs, values, minors, classes, ids = table
                 share = (sigs == np.frombuffer(sig, np.uint16)).mean(axis=1)
                 # Two that are both outside of the largest class meet twice.
                 like = np.flatnonzero((share >= agree) & (classes != cls) & (~minors | (ids > id_)))
                 if not len(like):
                     continue
-                common = (values[like] == np.array(bands)).argmax(axis=1)  # a pair is compared in the first bucket that it shares
+                common = (values[like] == rows_[0][n].values.to_numpy()).argmax(axis=1)  # a pair is compared in the first bucket that it shares
                 like = like[values[like, common] == band]
                 mine = None
                 for k in like[np.argsort(-share[like], kind="stable")].tolist():
                     if find(int(classes[k])) == find(cls):
                         continue
                     if mine is None:
-                        mine = _bag(text, hasher)
+                        mine = frozenset(rows_[1][n].values.tolist())
                     if (its := bags.get(k)) is None:
-                        its = bags[k] = _bag(hosts[k][5], hasher)
+                        its = bags[k] = frozenset(hosts[k][5].tolist())
                     if _alike(mine, its, least):
                         joined[find(int(classes[k]))] = find(cls)
                         a.append(id_)
@@ -310,7 +325,7 @@ def _apart(members: DataFrame, texts: DataFrame, firsts: DataFrame, links: DataF
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     rows = hosts.unionByName(guests).join(details, "id").repartition("band", "part", "from").sortWithinPartitions("band", "part", "from", "guest", "id")
-    return rows.select("band", "part", "from", "guest", "minor", "class", "id", "sig", "bands", "text").mapInArrow(run, "a long, b long")
+    return rows.select("band", "part", "from", "guest", "minor", "class", "id", "sig", "bands", "bag").mapInArrow(run, "a long, b long")
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
