@@ -8,13 +8,10 @@ import subprocess
 import sys
 from pathlib import Path
 
-from pyspark.sql import functions as F
-
 from docfold import config as C
 from docfold.clients import client_of
-from docfold.extraction import attempts, with_chapters
-from docfold.operators.batching import batches
 from docfold.operators.schema import infer
+from docfold.pipeline import Pipeline
 from docfold.session import session
 from docfold.sinks.ledger import Ledger, export
 
@@ -82,18 +79,13 @@ def run(path: Path) -> int:
     spark = session()
     ledger = Ledger(spark, str((base / c.workspace_root).resolve()))
     schemas = schemas_of(c, base)
-    chapters = read_epubs(spark, *[str((base / b).resolve()) for b in c.input_epubs]).persist()
-    plan = with_chapters(batches(chapters, c.batching), chapters)
-    resumed = ledger.resume(c.merge) if c.runtime.resume and ledger.pointer()["runs"] else None
-    rows = attempts(plan, schemas, templates_of(c, base), client_of(c.model), c, resumed)
-    ledger.commit(rows, schemas, chapters.groupBy("book").agg(F.max("chapter_index").alias("total")))
-    export(ledger.documents(c.merge), f"{ledger.root}/output")
+    chapters = read_epubs(spark, *[str((base / b).resolve()) for b in c.input_epubs])
+    progress = Pipeline(ledger, schemas, templates_of(c, base), client_of(c.model), c).run(chapters)
     failed = 0
-    for p in ledger.progress().orderBy("book", "schema").toLocalIterator():
+    for p in progress.orderBy("book", "schema").toLocalIterator():
         failed += p.status == "failed"
         if c.emit_console_progress:
             print(f"[{p.status}] {p.book} {p.schema} {p.last_completed}/{p.total} {p.batch_id} merged={p.replaced_nodes} appended={p.appended_nodes}" + f" error={p.last_error}" * bool(p.last_error))
-    chapters.unpersist()
     return 2 if failed else 0
 
 

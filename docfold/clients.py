@@ -10,8 +10,10 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
+from docfold.functions.text import ERROR_CODE, ERROR_LENGTH, PARAGRAPH, TITLE, WHITE
+
 TIMEOUT = 300
-ROOT_PATTERNS = (r"root_key\s*[:=]\s*`?([A-Za-z_][\w-]*)`?", r"(?m)^([A-Za-z_][\w-]*):\s*$")
+ROOT_PATTERNS = (r"root_key\s*[:=]\s*`?([A-Za-z_][A-Za-z0-9_-]*)`?", r"(?m)^([A-Za-z_][A-Za-z0-9_-]*):\s*$")
 
 
 class Client(Protocol):
@@ -96,13 +98,16 @@ def error_text(body: str) -> str:
     """The best of an error's body: of a page its title and first paragraph; white space collapsed, 240 at most."""
     low = body.lower()
     if "<html" in low or "<!doctype html" in low:
-        found = [re.search(p, body, re.I | re.S) for p in (r"<title[^>]*>(.*?)</title>", r"<p(?:\s[^>]*)?>(.*?)</p>")]
-        parts = [" ".join(re.sub(r"<[^>]+>", " ", m[1]).split()) for m in found if m]
-        if code := re.search(r"cloudflare[^0-9]{0,80}?\b(\d{3})\b", body, re.I):
-            parts.insert(1, f"Cloudflare {code[1]}")
-        body = " | ".join(p for p in parts if p) or body
-    body = " ".join(body.split())
-    return body if len(body) <= 240 else body[:237] + "..."
+        part = lambda pattern: compact(re.sub(r"<[^>]+>", " ", m[1])) if (m := re.search(pattern, body)) else ""
+        code = re.search(ERROR_CODE, body)
+        body = " | ".join(p for p in (part(TITLE), f"Cloudflare {code[1]}" if code else "", part(PARAGRAPH)) if p) or body
+    return compact(body)
+
+
+def compact(text: str, most: int = ERROR_LENGTH) -> str:
+    """White space collapsed, trimmed, and cut with dots."""
+    text = re.sub(WHITE, " ", text).strip(" ")
+    return text if len(text) <= most else text[: most - 3] + "..."
 
 
 def client_of(model: dict[str, Any]) -> Client:

@@ -8,11 +8,11 @@ written once, and state is folded from those that were merged.
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docfold.clients import Client
@@ -22,7 +22,11 @@ from docfold.operators.increments import GONE, decode, encode, parsed, sanitized
 from docfold.operators.schema import MATCH_KEY
 from docfold.operators.similarity import merged
 
-ATTEMPTS = "book string, schema string, batch_id string, parent_batch_id string, depth int, start_idx long, end_idx long, retry int, template string, prompt string, response string, chunks int, status string, error string, increment string, replaced int, appended int, seq long"
+ATTEMPTS = "book string, schema string, batch_id string, parent_batch_id string, depth int, start_idx long, end_idx long, retry int, template string, prompt string, response string, chunks int, status string, error string, increment string, replaced int, appended int, seq long, stamp string"
+
+
+#: Gets (book, schema, batch_id, chunk).
+Sink = Callable[[str, str, str, str], None]
 
 
 def render(template: str, values: dict[str, Any]) -> str:
@@ -53,23 +57,28 @@ def upsert(state: dict, increment: dict, root: str, config: AppConfig) -> tuple[
 
 
 class Task:
-    """One (book, schema): its state so far, and the attempts that it makes."""
+    """One (book, schema): its state so far, and the attempts that it makes. ``sink`` gets each chunk when it comes."""
 
-    def __init__(self, book: str, schema: dict, templates: list[dict], client: Client, config: AppConfig, state: dict, world: str) -> None:
+    def __init__(self, book: str, schema: dict, templates: list[dict], client: Client, config: AppConfig, state: dict, world: str, sink: Sink | None = None) -> None:
+        self.sink = sink
         self.book, self.schema, self.templates, self.client, self.config, self.state, self.world = book, schema, templates, client, config, state, world
         self.seq, self.failed = 0, False
 
     def row(self, batch: dict, **more: Any) -> dict:
         self.seq += 1
-        return {"book": self.book, "schema": self.schema["schema"], **{k: batch[k] for k in ("batch_id", "parent_batch_id", "depth", "start_idx", "end_idx")}, "retry": 0, "template": "", "prompt": "", "response": "", "chunks": 0, "error": "", "increment": None, "replaced": 0, "appended": 0, "seq": self.seq} | more
+        return {"book": self.book, "schema": self.schema["schema"], **{k: batch[k] for k in ("batch_id", "parent_batch_id", "depth", "start_idx", "end_idx")}, "retry": 0, "template": "", "prompt": "", "response": "", "chunks": 0, "error": "", "increment": None, "replaced": 0, "appended": 0, "seq": self.seq, "stamp": time.strftime("%Y-%m-%d %H:%M:%S", time.gmtime())} | more
 
     def attempt(self, batch: dict, retry: int, template: dict, error: str) -> dict:
         prompt = render(template["content"], prompt_values(batch["chapters"], batch["batch_id"], self.schema, self.state, self.world, error))
         base = {"retry": retry, "template": template["name"], "prompt": prompt}
+        chunks: list[str] = []
         try:
-            chunks = list(self.client(prompt))
-        except Exception as e:  # noqa: BLE001  whatever the model's client raises is a failed attempt
-            return self.row(batch, **base, status="interrupted", error=f"stream failed: {e}")
+            for chunk in self.client(prompt):
+                chunks.append(chunk)
+                if self.sink is not None:
+                    self.sink(self.book, self.schema["schema"], batch["batch_id"], chunk)
+        except Exception as e:  # noqa: BLE001  whatever the model's client raises is a failed attempt; what has come by then is kept
+            return self.row(batch, **base, response="".join(chunks), chunks=len(chunks), status="interrupted", error=f"stream failed: {e}")
         text = "".join(chunks)
         base |= {"response": text, "chunks": len(chunks)}
         if hit := next((k for k in self.config.blacklist_keywords if k.strip() and k in text), None):
@@ -126,37 +135,49 @@ def halves(batch: dict) -> list[dict]:
 
 
 def with_chapters(batches: DataFrame, chapters: DataFrame) -> DataFrame:
-    """Batches with their chapters as an ordered array; joined by book and place, one shuffle each."""
+    """Batches with their chapters as an ordered array: each batch's places are listed, and joined by (book, place)."""
     c = F.struct("chapter_index", "chapter_id", "title", "text")
-    rows = chapters.join(batches.select("book", "batch_id", "start_idx", "end_idx"), "book").where(F.col("chapter_index").between(F.col("start_idx"), F.col("end_idx")))
+    places = batches.select("book", "batch_id", "start_idx", "end_idx", F.explode(F.sequence("start_idx", "end_idx")).alias("chapter_index"))
+    rows = places.join(chapters.select("book", F.col("chapter_index").cast("long").alias("chapter_index"), "chapter_id", "title", "text"), ["book", "chapter_index"])
     return rows.groupBy("book", "batch_id", "start_idx", "end_idx").agg(F.array_sort(F.collect_list(c)).alias("chapters"))
 
 
-def attempts(batches: DataFrame, schemas: list[dict], templates: list[dict], client: Client, config: AppConfig, states: DataFrame | None = None) -> DataFrame:
+def attempts(batches: DataFrame, schemas: list[dict], templates: list[dict], client: Client, config: AppConfig, states: DataFrame | None = None, workers: int | None = None, fair: bool = False, sink: Sink | None = None) -> DataFrame:
     """All attempts (see ATTEMPTS) at batches with chapters, for every schema: (schema, root_key, schema_text,
-    sample). ``states`` has (book, schema, state, world, last_completed): where tasks go on from.
+    sample). ``states`` has (book, schema, state, world, last_completed): where tasks go on from; they reach a task as one row that
+    comes before its batches.
 
-    Rows of a task are sorted and streamed, so a task holds one batch's text and one document's state. Write the
+    ``workers``: streams at most, and so calls to the model at a time. ``fair``: a stream gives each of its tasks one batch in turn,
+    book by book, and holds the documents of all of them; else it finishes one task after another and holds one's. Write the
     result before using it: the model is asked again whenever it is recomputed."""
     by_name = {s["schema"]: s for s in schemas}
     names = F.array(*[F.lit(s["schema"]) for s in schemas])
-    rows = batches.withColumn("schema", F.explode(names))
+    rows = batches.select("book", "batch_id", "start_idx", "end_idx", "chapters").withColumn("schema", F.explode(names))
+    nothing = F.lit(None).cast("string")
+    if states is not None:
+        done = states.select("book", "schema", "last_completed")
+        rows = rows.join(done, ["book", "schema"], "left").where(F.col("start_idx") > F.coalesce("last_completed", F.lit(0))).drop("last_completed")
+    turn = F.row_number().over(Window.partitionBy("book", "schema").orderBy("start_idx"))
+    rows = rows.withColumn("state", nothing).withColumn("world", nothing).withColumn("turn", turn)
     if states is not None:
-        rows = rows.join(states.select("book", "schema", "state", "world", "last_completed"), ["book", "schema"], "left").where(F.col("start_idx") > F.coalesce("last_completed", F.lit(0)))
-    else:
-        rows = rows.withColumn("state", F.lit(None).cast("string")).withColumn("world", F.lit(None).cast("string"))
-    rows = rows.select("book", "schema", "batch_id", "start_idx", "end_idx", "chapters", "state", "world")
+        seeds = states.select("book", "schema", "state", "world").where(F.col("schema").isin(list(by_name))).withColumn("turn", F.lit(0))
+        rows = rows.unionByName(seeds, allowMissingColumns=True)
 
     def run(pdfs):
-        task = None
+        tasks: dict[tuple, Task] = {}
         for pdf in pdfs:
             out: list[dict] = []
             for r in pdf.to_dict("records"):
-                if task is None or (task.book, task.schema["schema"]) != (r["book"], r["schema"]):
-                    task = Task(r["book"], by_name[r["schema"]], templates, client, config, decode(r["state"]) if r["state"] else {}, r["world"] or "")
-                if not task.failed:
-                    out += task.run({"batch_id": r["batch_id"], "parent_batch_id": "", "depth": 0, "start_idx": r["start_idx"], "end_idx": r["end_idx"], "chapters": [dict(c) for c in r["chapters"]]})
+                key = (r["book"], r["schema"])
+                if key not in tasks:
+                    if not fair:
+                        tasks.clear()
+                    tasks[key] = Task(r["book"], by_name[r["schema"]], templates, client, config, decode(r["state"]) if r["state"] else {}, r["world"] or "", sink)
+                if r["turn"] and not tasks[key].failed:
+                    out += tasks[key].run({"batch_id": r["batch_id"], "parent_batch_id": "", "depth": 0, "start_idx": int(r["start_idx"]), "end_idx": int(r["end_idx"]), "chapters": [dict(c) for c in r["chapters"]]})
             if out:
                 yield pd.DataFrame(out)[[c.split()[0] for c in ATTEMPTS.split(", ")]]
 
-    return rows.repartition("book", "schema").sortWithinPartitions("book", "schema", "start_idx").mapInPandas(run, ATTEMPTS)
+    dealt = rows.repartition(workers, "book", "schema") if workers else rows.repartition("book", "schema")
+    order = ("turn", "book", "schema") if fair else ("book", "schema", "turn")
+    return dealt.sortWithinPartitions(*order).select("book", "schema", "batch_id", "start_idx", "end_idx", "chapters", "state", "world", "turn").mapInPandas(run, ATTEMPTS)

@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The characters that are stripped, line ends, characters for a token.
+#: The characters that are stripped, line ends, white space of Unicode, characters for a token.
 STRIP = " \r\n\t\u3000"
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85" + chr(0x2028) + chr(0x2029) + "]"
+WHITE = "[\\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+BLANK = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 CHARS_PER_TOKEN = 4
 ERROR_LENGTH = 240
+#: What is looked for in error pages.
+TITLE = "(?is)<title>(.*?)</title>"
+PARAGRAPH = "(?is)<p>(.*?)</p>"
+ERROR_CODE = "(?i)Error[\\s\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*([0-9]{3,4})"
 
 
 def stripped(text: Column) -> Column:
@@ -72,8 +78,8 @@ def window_index(index: Column, size: int) -> Column:
 
 
 def compact(text: Column, most: int = ERROR_LENGTH) -> Column:
-    """White space collapsed, trimmed, and cut with dots."""
-    one = F.btrim(F.regexp_replace(text, r"\s+", " "), F.lit(" "))
+    """White space (that of Unicode) collapsed, trimmed, and cut with dots."""
+    one = F.btrim(F.regexp_replace(text, WHITE, " "), F.lit(" "))
     return F.when(F.length(one) > most, F.concat(F.substring(one, 1, most - 3), F.lit("..."))).otherwise(one)
 
 
@@ -91,11 +97,11 @@ def first_keyword(text: Column, keywords: list[str]) -> Column:
 
 def unfenced(text: Column) -> Column:
     """The inside of a fenced block: without the opening line, cut at the last fence after it."""
-    t = F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
+    blank = F.lit(BLANK)
+    t = F.btrim(text, blank)
     body = F.regexp_extract(t, r"(?s)^```[^\n]*\n(.*)$", 1)
     closed = body.contains("```")
     inside = F.regexp_extract(body, r"(?s)^(.*)```", 1)
-    blank = F.lit(" \t\n\r\x0b\x0c")
     return F.when(~t.startswith("```") | ~t.contains("\n"), t).when(closed, F.btrim(inside, blank)).otherwise(F.rtrim(body, blank))
 
 
@@ -111,7 +117,7 @@ def delta_text(chunk: Column) -> Column:
     return F.coalesce(F.when(kind == "STRING", F.try_variant_get(content, "$", "string")).when(kind.startswith("ARRAY"), joined), F.lit(""))
 
 
-def root_of_prompt(prompt: Column, patterns: tuple[str, ...] = (r"root_key\s*[:=]\s*`?([A-Za-z_][\w-]*)`?", r"(?m)^([A-Za-z_][\w-]*):\s*$")) -> Column:
+def root_of_prompt(prompt: Column, patterns: tuple[str, ...] = (r"root_key\s*[:=]\s*`?([A-Za-z_][A-Za-z0-9_-]*)`?", r"(?m)^([A-Za-z_][A-Za-z0-9_-]*):\s*$")) -> Column:
     """The first pattern's group that matches the prompt; null if none does."""
     return F.coalesce(*[F.nullif(F.regexp_extract(prompt, p, 1), F.lit("")) for p in patterns])
 
@@ -126,10 +132,10 @@ def html_part(body: Column, pattern: str) -> Column:
 
 
 def html_error(body: Column) -> Column:
-    """Title, gateway code and first paragraph of an error page, as far as there are any."""
-    title = F.nullif(html_part(body, "(?is)<title[^>]*>(.*?)</title>"), F.lit(""))
-    code = F.nullif(F.regexp_extract(body, r"(?i)cloudflare[^0-9]{0,80}?\b(\d{3})\b", 1), F.lit(""))
-    first = F.nullif(html_part(body, r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"), F.lit(""))
+    """Title, gateway code and first paragraph of an error page, as far as there are any; the tags have no attributes."""
+    title = F.nullif(html_part(body, TITLE), F.lit(""))
+    code = F.nullif(F.regexp_extract(body, ERROR_CODE, 1), F.lit(""))
+    first = F.nullif(html_part(body, PARAGRAPH), F.lit(""))
     joined = F.concat_ws(" | ", title, F.concat(F.lit("Cloudflare "), code), first)
     return F.when(joined == "", compact(body)).otherwise(compact(joined))
 
@@ -140,3 +146,13 @@ def base_url(url: Column) -> Column:
 
 def issue_summary(issues: Column) -> Column:
     return F.array_join(F.transform(issues, lambda x: F.concat(x["path"], F.lit(": "), x["reason"])), "; ")
+
+
+def last_error(error: Column) -> Column:
+    """The trimmed error, empty without one."""
+    return F.coalesce(F.btrim(error, F.lit(BLANK)), F.lit(""))
+
+
+def is_page(path: Column) -> Column:
+    """Whether a member of a book is a page, by its extension."""
+    return path.rlike(r"(?i)\.(html|xhtml|htm)$")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from docfold.config import MergeConfig, yaml
+from docfold.functions.text import BLANK
 from docfold.operators.similarity import merged
 
 GONE = object()
@@ -108,21 +109,28 @@ def validated(data: dict, root: str, skeleton: Any, mode: str = "permissive") ->
     return out
 
 
-@F.pandas_udf(PARSED)
-def parse_yaml(texts: pd.Series) -> pd.DataFrame:
-    rows = [parsed(t or "") for t in texts]
-    return pd.DataFrame({"node": [None if d is None else encode(d) for d, _ in rows], "error": [e or None for _, e in rows]}, dtype=object)
+def parse_yaml(text: Column) -> Column:
+    """(node, error): the mapping as JSON, or the reason why there is none."""
 
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = [parsed(t or "") for t in texts]
+        return pd.DataFrame({"node": [None if d is None else encode(d) for d, _ in rows], "error": [e or None for _, e in rows]}, dtype=object)
 
-@F.pandas_udf(StringType())
-def sanitize_json(nodes: pd.Series) -> pd.Series:
+    return F.pandas_udf(run, PARSED)(text)
+
+
+def sanitize_json(node: Column) -> Column:
     """Sanitized JSON; an empty object if nothing is left."""
-    return pd.Series([None if n is None else encode({} if (s := sanitized(decode(n))) is GONE else s) for n in nodes], dtype=object)
+
+    def run(nodes: pd.Series) -> pd.Series:
+        return pd.Series([None if n is None else encode({} if (s := sanitized(decode(n))) is GONE else s) for n in nodes], dtype=object)
+
+    return F.pandas_udf(run, StringType())(node)
 
 
 def sanitized_flat(m: Column) -> Column:
     """A flat map of texts without blank keys and values, trimmed, inside the JVM."""
-    blank = F.lit(" \t\n\r\x0b\x0c")
+    blank = F.lit(BLANK)
     kept = F.filter(F.map_entries(m), lambda e: (F.btrim(e["key"], blank) != "") & (F.coalesce(F.btrim(e["value"], blank), F.lit("")) != ""))
     return F.map_from_entries(F.transform(kept, lambda e: F.struct(F.btrim(e["key"], blank).alias("key"), F.btrim(e["value"], blank).alias("value"))))
 

@@ -109,10 +109,13 @@ def merged(current: Any, incoming: Any, config: MergeConfig) -> Any:
     return incoming
 
 
-@F.pandas_udf(DoubleType())
-def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def seq_ratio(a: Column | str, b: Column | str) -> Column:
     """Similarity of two text columns; null where one is."""
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return F.pandas_udf(run, DoubleType())(a, b)
 
 
 def length_bound(a: Column, b: Column) -> Column:

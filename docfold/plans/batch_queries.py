@@ -107,14 +107,17 @@ def p9_resume_filter(spark: SparkSession, sf: str) -> DataFrame:
     return resumed(b, done).select("book", "chapter_index", "title")
 
 
-@query("SELECT page_id FROM pages WHERE regexp_replace(html, '<[^>]*>', '', 'g') <> '' AND length(url) > 0")
+@query(f"SELECT page_id % 7 AS book, row_number() OVER (PARTITION BY page_id % 7 ORDER BY page_id) AS chapter_index, page_id AS pos FROM pages WHERE page_id % 5 <> 0 AND {norm("regexp_replace(html, '<[^>]+>', '', 'g')")} <> ''")
 def p1_empty_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").where((F.regexp_replace("html", "<[^>]*>", "") != "") & (F.length("url") > 0)).select("page_id")
+    """Pages without text are no chapters, and get no number."""
+    body = F.when(F.col("page_id") % 5 == 0, " \n\u3000\t").otherwise(F.regexp_replace("html", "<[^>]+>", ""))
+    rows = table(spark, sf, "pages").select((F.col("page_id") % 7).alias("book"), F.col("page_id").alias("pos"), F.lit("t").alias("title"), body.alias("text"), F.col("page_id").cast("string").alias("source_path"))
+    return chapters(rows).select("book", "chapter_index", F.col("source_path").cast("long").alias("pos"))
 
 
 @query("SELECT page_id, url FROM pages WHERE regexp_matches(url, '(?i)\\.(html|xhtml|htm)$')")
 def p2_html_extension(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").where(F.col("url").rlike(r"(?i)\.(html|xhtml|htm)$")).select("page_id", "url")
+    return table(spark, sf, "pages").where(T.is_page(F.col("url"))).select("page_id", "url")
 
 
 @query("SELECT o_orderkey, o_orderkey % 40 > 0 AND o_orderkey % 40 > o_custkey % 20 AND (o_orderkey % 40 >= 35 OR (o_orderkey % 40) % 3 = 0) AS due, FALSE AS never FROM orders")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docfold.functions import text as T
@@ -39,9 +39,6 @@ def j7_context_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return C.with_context(tasks, snap).select("c_custkey", "world")
 
 
-CHECKPOINTS = "ck AS (SELECT user_id AS task, (value * 100)::BIGINT % 50 + 1 AS chapter_index, event_id AS saved_seq FROM events WHERE event_type = 'purchase')"
-
-
 def _checkpoints(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").where("event_type = 'purchase'")
     return e.select(F.col("user_id").alias("task"), (F.col("event_id") % 50 + 1).alias("chapter_index"), F.col("event_id").alias("saved_seq")).withColumn("checkpoint_id", T.checkpoint_id(F.col("chapter_index")))
@@ -74,12 +71,6 @@ def o1_template_order(spark: SparkSession, sf: str) -> DataFrame:
     return C.templates(names).select("name", "idx")
 
 
-@query("SELECT p_brand, p_type, p_size, row_number() OVER (ORDER BY length(p_type) - length(replace(p_type, ' ', '')), p_type, p_partkey) AS pos FROM part")
-def o4_field_order(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part")
-    order = Window.orderBy(F.size(F.split("p_type", " ")) - 1, "p_type", "p_partkey")
-    return p.select("p_brand", "p_type", "p_size", F.row_number().over(order).cast("long").alias("pos"))
-
 
 @query("SELECT r_name AS book, n_name AS schema, row_number() OVER (ORDER BY rk, r_regionkey) AS turn FROM (SELECT *, row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) AS rk FROM region, nation)")
 def o5_round_robin(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,11 +79,6 @@ def o5_round_robin(spark: SparkSession, sf: str) -> DataFrame:
     return C.interleaved(C.tasks(books, schemas)).select("book", "schema", "turn")
 
 
-@query("SELECT n_nationkey, list_sort(list_distinct(list_concat([n_name[1:1], n_name[2:2], n_name[3:3]], [n_name[2:2], n_name[4:4]]))) AS keys FROM nation")
-def o7_key_union(spark: SparkSession, sf: str) -> DataFrame:
-    s = lambda i: F.substring("n_name", i, 1)
-    return table(spark, sf, "nation").select("n_nationkey", F.array_sort(F.array_union(F.array(s(1), s(2), s(3)), F.array(s(2), s(4)))).alias("keys"))
-
 
 @query("SELECT c_mktsegment AS entry FROM customer UNION SELECT p_brand FROM part")
 def o8_append_absent(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,15 +86,6 @@ def o8_append_absent(spark: SparkSession, sf: str) -> DataFrame:
     return C.append_absent(have, table(spark, sf, "part").select(F.col("p_brand").alias("entry")), ["entry"])
 
 
-@query("SELECT event_type AS kind, event_id AS id FROM events WHERE event_type = 'view' UNION ALL SELECT event_type, event_id FROM events WHERE event_id % 2 = 0")
-def o9_queue_union(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").select(F.col("event_type").alias("kind"), F.col("event_id").alias("id"))
-    return e.where("kind = 'view'").unionByName(e.where("id % 2 = 0"))
-
-
-@query("SELECT page_id, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS first_h1 FROM pages")
-def o6_first_heading(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", F.regexp_extract("html", "(?is)<h1[^>]*>(.*?)</h1>", 1).alias("first_h1"))
 
 
 @query("""SELECT doc_id, CASE WHEN contains(text, 'token') THEN 'token' WHEN contains(text, 'idiot') THEN 'idiot' WHEN contains(text, 'the ') THEN 'the ' END AS hit FROM documents""")
@@ -116,9 +93,9 @@ def p3_blacklist(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.first_keyword(F.col("text"), ["token", " ", "idiot", "the "]).alias("hit"))
 
 
-@query("SELECT d.doc_id, min_by(substr(b.text, 1, 40), b.item_id) AS hit FROM documents d JOIN (SELECT item_id, text FROM benchmark) b ON contains(d.text, substr(b.text, 1, 40)) GROUP BY d.doc_id")
+@query("SELECT d.doc_id, min_by(b.text, b.item_id) AS hit FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY d.doc_id")
 def p3_blacklist_table(spark: SparkSession, sf: str) -> DataFrame:
-    return C.blacklisted(table(spark, sf, "documents"), table(spark, sf, "benchmark").select(F.col("item_id").alias("pos"), F.substring("text", 1, 40).alias("keyword"))).select("doc_id", F.col("keyword").alias("hit"))
+    return C.blacklisted(table(spark, sf, "documents"), table(spark, sf, "benchmark").select(F.col("item_id").alias("pos"), F.col("text").alias("keyword"))).select("doc_id", F.col("keyword").alias("hit"))
 
 
 @query("""WITH l AS (SELECT conv_id, turn, CASE WHEN turn = 4 THEN 'data: [DONE]' WHEN turn % 3 = 1 THEN '' WHEN turn % 3 = 2 THEN ': ping' ELSE 'data: ' || role END AS line FROM conversations),
@@ -130,9 +107,9 @@ def p12_sse_filter(spark: SparkSession, sf: str) -> DataFrame:
     return C.events_of_stream(table(spark, sf, "conversations").select("conv_id", "turn", line.alias("line")), ["conv_id"], "turn")
 
 
-@query("SELECT conv_id, string_agg(substr(text, 1, 7), '' ORDER BY turn) AS body, count(*) AS chunks FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, string_agg(text, '' ORDER BY turn) AS body, count(*) AS chunks FROM conversations GROUP BY conv_id")
 def a7_chunk_concat(spark: SparkSession, sf: str) -> DataFrame:
-    return C.collected(table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("seq"), F.substring("text", 1, 7).alias("chunk")), ["conv_id"])
+    return C.collected(table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("seq"), F.col("text").alias("chunk")), ["conv_id"])
 
 
 @query("SELECT count(*) FILTER (WHERE o_orderstatus = 'F') AS failed, count(*) FILTER (WHERE o_orderstatus <> 'F') AS completed, CASE WHEN count(*) FILTER (WHERE o_orderstatus = 'F') > 0 THEN 2 ELSE 0 END AS exit_code FROM orders")
@@ -167,12 +144,6 @@ def c1_attempt_loop(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("batch", "attempts", (F.col("retry") * 10 + F.col("template")).alias("first_success"), "outcome")
 
 
-@query("SELECT status, count(*) AS n, CAST(sum(issues) AS BIGINT) AS error_count FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'failed' ELSE 'passed' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 0 END AS issues FROM orders) GROUP BY status")
-def a9_error_counts(spark: SparkSession, sf: str) -> DataFrame:
-    issues = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>"))
-    rows = table(spark, sf, "orders").select(issues.alias("issues"))
-    return rows.groupBy(F.when(F.size("issues") > 0, "failed").otherwise("passed").alias("status")).agg(F.count("*").alias("n"), F.sum(F.size("issues").cast("long")).alias("error_count"))
-
 
 @query("SELECT user_id AS task, max_by(event_type, event_id) AS status, max(event_id) AS seq, coalesce(max_by(value, event_id) FILTER (WHERE event_type = 'purchase'), 0.0) AS last_value FROM events GROUP BY user_id")
 def s8_progress_scan(spark: SparkSession, sf: str) -> DataFrame:
@@ -180,11 +151,6 @@ def s8_progress_scan(spark: SparkSession, sf: str) -> DataFrame:
     return C.current(e, ["task"], {"status": None, "value": "status = 'purchase'"}, {"value": 0.0}).withColumnRenamed("value", "last_value")
 
 
-@query("""SELECT user_id AS task, coalesce(max(value) FILTER (WHERE event_type = 'view'), -1.0) AS top_view, max_by(event_type, event_id) AS status, count(*) AS transitions, count(*) FILTER (WHERE event_type = 'error') AS failures FROM events GROUP BY user_id""")
-def c9_progress_fold(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events")
-    return e.groupBy(F.col("user_id").alias("task")).agg(F.coalesce(F.max(F.when(F.col("event_type") == "view", F.col("value"))), F.lit(-1.0)).alias("top_view"), F.max_by("event_type", "event_id").alias("status"), F.count("*").alias("transitions"), F.count_if(F.col("event_type") == "error").alias("failures"))
-
 
 @query("""SELECT c_custkey, coalesce(p.status, 'pending') AS status, coalesce(p.n, 0) AS completed FROM customer LEFT JOIN (SELECT user_id, 'running' AS status, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY user_id) p ON p.user_id = c_custkey""")
 def c8_progress_init(spark: SparkSession, sf: str) -> DataFrame:
@@ -198,13 +164,16 @@ def c13_console_line(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", C.console_line(F.lower("o_orderstatus"), k % 20, F.lit(20), T.checkpoint_id(k % 20 + 1), k % 3, F.when(k % 3 == 2, "late")).alias("line"))
 
 
-@query("SELECT name, idx, length(content) AS n FROM (VALUES ('base', 0::BIGINT, 'a {{source_text}}'), ('retry_format', 1::BIGINT, 'bb'), ('zz', 2::BIGINT, 'c')) t(name, idx, content)")
-def s6_template_scan(spark: SparkSession, sf: str) -> DataFrame:
-    files = spark.createDataFrame([("zz.md", "c"), ("retry_format.md", "bb"), ("base.md", "a {{source_text}}")], "name string, content string")
-    return C.templates(files).select(F.regexp_replace("name", r"\.[^.]*$", "").alias("name"), "idx", F.length("content").cast("long").alias("n"))
-
 
 @query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'actors: []' ELSE 'root: []' END AS reply FROM nation")
 def s11_echo(spark: SparkSession, sf: str) -> DataFrame:
     prompt = F.when(F.col("n_nationkey") % 2 == 0, "root_key: actors").otherwise("nothing")
     return table(spark, sf, "nation").select("n_nationkey", C.echo(prompt, "root").alias("reply"))
+
+
+@query("SELECT name, idx, length(content) AS n FROM (SELECT split_part(file, '.', 1) AS name, content, row_number() OVER (ORDER BY CASE file WHEN 'base.md' THEN 0 WHEN 'retry_format.md' THEN 1 WHEN 'retry_schema.md' THEN 2 ELSE 3 END, file) - 1 AS idx FROM (SELECT CASE n_nationkey WHEN 3 THEN 'retry_schema' WHEN 9 THEN 'base' WHEN 20 THEN 'retry_format' ELSE lower(replace(n_name, ' ', '_')) END || '.md' AS file, 'read {{source_text}} ' || n_nationkey AS content FROM nation))")
+def s6_template_scan(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    stem = F.when(k == 3, "retry_schema").when(k == 9, "base").when(k == 20, "retry_format").otherwise(F.lower(F.replace("n_name", F.lit(" "), F.lit("_"))))
+    files = table(spark, sf, "nation").select(F.concat(stem, F.lit(".md")).alias("name"), F.concat(F.lit("read {{source_text}} "), k.cast("string")).alias("content"))
+    return C.templates(files).select(F.regexp_replace("name", r"\.[^.]*$", "").alias("name"), "idx", F.length("content").cast("long").alias("n"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docfold.config import MergeConfig
 from docfold.operators import increments as I  # noqa: N812
 from docfold.operators import similarity as S
-from docfold.plans.registry import query, table
+from docfold.plans.registry import by_row, query, table
 
 
 @query("""WITH inc AS (SELECT user_id AS entity, event_type AS field, max_by(value, event_id) AS v FROM events GROUP BY user_id, event_type)
@@ -44,7 +44,8 @@ SELECT entity, array_to_string(list_concat(coalesce(cur, []), list_filter(coales
 def m2_primitive_arrays(spark: SparkSession, sf: str) -> DataFrame:
     pick = lambda t, k: F.array_sort(F.collect_set(F.when(F.col("event_type") == t, F.col("event_id") % k)))
     rows = table(spark, sf, "events").groupBy(F.col("user_id").alias("entity")).agg(pick("view", 7).alias("cur"), pick("click", 11).alias("inc"))
-    return rows.select("entity", F.array_join(F.array_union("cur", "inc").cast("array<string>"), ",").alias("merged"))
+    each = lambda r: [(r["entity"], ",".join(map(str, S.merged_array([int(x) for x in r["cur"]], [int(x) for x in r["inc"]], MergeConfig()))))]
+    return by_row(rows, each, "entity long, merged string")
 
 
 @query("""WITH p AS (SELECT p_partkey, p_brand AS b1, p_type AS t1, p_size % 3 AS s1, lead(p_brand, 1, p_brand) OVER (ORDER BY p_partkey) AS b2, lead(p_type, 1, p_type) OVER (ORDER BY p_partkey) AS t2, lead(p_size % 3, 1, p_size % 3) OVER (ORDER BY p_partkey) AS s2 FROM part)
@@ -55,49 +56,123 @@ def m5_flat_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return p.join(nxt, "p_partkey", "left").select("p_partkey", S.flat_similarity(F.col("m"), F.coalesce("n", "m"), {"brand": 2.0}).alias("sim"))
 
 
-@query("SELECT p_brand, round(sum(p_size * p_retailprice) / sum(p_size), 6) AS mean FROM part GROUP BY p_brand")
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each order's lines, in order: the lengths of the first three, and of the fourth (of orders that have one)."""
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_quantity"))
+    li = table(spark, sf, "lineitem").select("l_orderkey", n.alias("n"), F.col("l_quantity").cast("int").alias("q")).where("n <= 4")
+    first = F.array_sort(F.collect_list(F.when(F.col("n") <= 3, F.struct("n", "q"))))
+    return li.groupBy("l_orderkey").agg(first.alias("have"), F.max(F.when(F.col("n") == 4, F.col("q"))).alias("new")).where("new IS NOT NULL")
+
+
+#: The ratio of a run of one character with another.
+RUNS = """li AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS q FROM lineitem),
+inc AS (SELECT l_orderkey, l_linenumber AS n, q FROM li WHERE l_linenumber > 3), cur AS (SELECT l_orderkey, l_linenumber AS n, q FROM li WHERE l_linenumber <= 3),
+pr AS (SELECT inc.l_orderkey, inc.n AS incoming, cur.n AS existing, 2.0::DOUBLE * least(inc.q, cur.q) / (inc.q + cur.q) AS ratio, cur.q AS cq, inc.q AS iq FROM inc JOIN cur USING (l_orderkey))"""
+
+
+@query("""WITH li AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS n, CAST(l_quantity AS INT) AS q FROM lineitem),
+b AS (SELECT c.l_orderkey, arg_max(c.n, (2.0 * least(i.q, c.q) / (i.q + c.q), -c.n)) AS spot, max(2.0 * least(i.q, c.q) / (i.q + c.q)) AS best, any_value(i.q) AS iq FROM li c JOIN li i ON i.l_orderkey = c.l_orderkey AND i.n = 4 WHERE c.n <= 3 GROUP BY c.l_orderkey)
+SELECT b.l_orderkey, string_agg(CASE WHEN li.n = spot AND best >= 0.6 THEN iq ELSE li.q END::VARCHAR, ',' ORDER BY li.n) || CASE WHEN any_value(best) >= 0.6 THEN '' ELSE ',' || any_value(iq) END AS lengths FROM b JOIN li ON li.l_orderkey = b.l_orderkey AND li.n <= 3 GROUP BY b.l_orderkey""")
+def a6_arg_max(spark: SparkSession, sf: str) -> DataFrame:
+    """An incoming text takes the place of the first of the most similar ones, or is appended."""
+    def each(r):
+        out = S.merged_array(["x" * int(h["q"]) for h in r["have"]], ["x" * int(r["new"])], MergeConfig())
+        return [(r["l_orderkey"], ",".join(str(len(t)) for t in out))]
+
+    return by_row(_texts(spark, sf), each, "l_orderkey long, lengths string")
+
+
+@query("SELECT p_partkey, ((CASE WHEN p_size % 3 = p_partkey % 3 THEN 2.5 ELSE 0 END + CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END) / (2.5 + 1 + 1))::DOUBLE AS mean FROM part")
 def a4_weighted_mean(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").groupBy("p_brand").agg(F.round(F.sum(F.col("p_size") * F.col("p_retailprice")) / F.sum("p_size"), 6).alias("mean"))
+    """Similarity of mappings: fields by their weights, over the keys of both."""
+    def each(r):
+        a, b = {"person": {"name": int(r["p_size"]) % 3, "even": 0}, "left": 1}, {"person": {"name": int(r["p_partkey"]) % 3, "even": int(r["p_size"]) % 2}}
+        inner = S.similarity(a["person"] | {"left": 1}, b["person"], {"name": 2.5})
+        return [(r["p_partkey"], inner)]
 
+    return by_row(table(spark, sf, "part").select("p_partkey", "p_size"), each, "p_partkey long, mean double")
 
-@query("SELECT o_orderkey, round(avg(l_discount) * least(count(*), 4) / greatest(count(*), 4), 9) AS score FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+
+@query("WITH n AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE l_linenumber % 2 = 1) AS odd FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey, round(odd / n::DOUBLE, 12) AS same, round((n / (n + 2.0)) * (n / (n + 2.0)), 12)::DOUBLE AS shorter FROM n")
 def a5_penalised_mean(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem").join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
-    n = F.count("*")
-    return li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.round(F.avg("l_discount") * F.least(n, F.lit(4)) / F.greatest(n, F.lit(4)), 9).alias("score"))
+    """Similarity of lists: the mean over the left one's elements, times the ratio of the lengths."""
+    def each(r):
+        b = sorted(int(x) for x in r["xs"])
+        a = [x for x in b if x % 2 == 1]
+        return [(r["l_orderkey"], round(S.similarity(a, b, {}), 12), round(S.similarity([*b, "no", None], b, {}), 12))]
 
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("xs"))
+    return by_row(rows, each, "l_orderkey long, same double, shorter double")
+
+
+@query("WITH n AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey, CASE WHEN n = 1 THEN 0.0 WHEN n = 2 THEN 0.5 ELSE round((n - 1) / n::DOUBLE, 12) END::DOUBLE AS score FROM n WHERE n < 3")
+def j5_greedy_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Each left element claims its best unclaimed right one, also one that is unlike: a later equal one may find it taken."""
+    def each(r):
+        b = list(range(int(r["n"])))
+        a = [99, *b[1:]]  # 99 is like none and claims 0
+        return [(r["l_orderkey"], round(S.similarity(a, b, {}), 12))]
+
+    return by_row(table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")).where("n < 3"), each, "l_orderkey long, score double")
+
+
+SAMPLE = {"name": "", "tags": [""], "details": {"height": 0}}
 
-@query("SELECT l_orderkey, arg_min(l_linenumber, (-l_quantity, l_linenumber)) AS best_idx, max(l_quantity) AS best FROM lineitem GROUP BY l_orderkey")
-def a6_arg_max(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.max_by("l_linenumber", F.struct("l_quantity", (-F.col("l_linenumber")).alias("i"))).alias("best_idx"), F.max("l_quantity").alias("best"))
 
+def _answers(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select("event_id")
 
-@query("SELECT p_type AS path, min_by(p_brand, p_partkey) AS kind FROM part GROUP BY p_type")
-def a8_first_wins(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").groupBy(F.col("p_type").alias("path")).agg(F.min_by("p_brand", "p_partkey").alias("kind"))
 
+def _entry(k: int) -> dict:
+    """By event_id % 4: a field too many, a scalar in place of a mapping, a clean entry, a list's item that is none."""
+    return ({"name": "a", "nose": k}, {"details": k}, {"name": "b", "tags": ["x"], "details": {"height": 1}}, {"tags": "x", "name": "c"})[k % 4]
 
-@query("SELECT event_id, TRUE AS ok FROM events")
+
+@query("SELECT event_id, TRUE AS ok, CASE WHEN event_id % 4 = 2 THEN 0 ELSE 1 END::BIGINT AS strict_issues FROM events")
 def p6_validate_permissive(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select("event_id", F.lit(True).alias("ok"))
+    each = lambda r: [(r["event_id"], I.validated({"actors": {"a": _entry(r["event_id"])}}, "actors", SAMPLE) == [], len(I.validated({"actors": {"a": _entry(r["event_id"])}}, "actors", SAMPLE, "strict")))]
+    return by_row(_answers(spark, sf), each, "event_id long, ok boolean, strict_issues long")
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'unexpected field' WHEN event_id % 4 = 1 THEN 'expected mapping' END AS reason FROM events WHERE event_id % 4 < 2""")
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '$.actors.a.nose' WHEN 1 THEN '$.actors.a.details' ELSE '$.actors.a.tags' END AS path, CASE event_id % 4 WHEN 0 THEN 'unexpected field' WHEN 1 THEN 'expected mapping' ELSE 'expected list' END AS reason FROM events WHERE event_id % 4 <> 2
+UNION ALL SELECT event_id, '$.other', 'unexpected field' FROM events WHERE event_id % 5 = 0""")
 def p7_strict_paths(spark: SparkSession, sf: str) -> DataFrame:
-    """Flattened leaves against the schema's paths: a path that isn't there is unexpected; a scalar where the
-    schema has fields should be a mapping."""
-    k = F.col("event_id") % 4
-    path = F.when(k == 0, "actors[].nose").when(k == 1, "actors[].details").when(k == 2, "actors[].name").otherwise("actors[].tags[3]")
-    leaves = table(spark, sf, "events").select("event_id", F.regexp_replace(path, r"\[\d+\]", "[]").alias("path"))
-    schema = spark.createDataFrame([("actors[].name", "string"), ("actors[].details", "object"), ("actors[].tags[]", "string")], "path string, kind string")
-    reason = F.when(F.col("kind").isNull(), "unexpected field").when(F.col("kind") == "object", "expected mapping")
-    return leaves.join(F.broadcast(schema), "path", "left").select("event_id", reason.alias("reason")).where("reason is not null")
+    def each(r):
+        k = r["event_id"]
+        data = ({"other": 1} if k % 5 == 0 else {}) | {"actors": {"a": _entry(k)}}
+        return [(k, *x) for x in I.validated(data, "actors", SAMPLE, "strict")]
 
+    return by_row(_answers(spark, sf), each, "event_id long, path string, reason string")
 
-@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN TRUE WHEN 1 THEN TRUE ELSE FALSE END AS missing FROM customer")
+
+@query("SELECT c_custkey, c_custkey % 3 < 2 AS missing FROM customer")
 def p8_missing_key(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.when(F.col("c_custkey") % 3 == 0, F.lit("  ")).when(F.col("c_custkey") % 3 == 2, F.col("c_name"))
-    return table(spark, sf, "customer").select("c_custkey", (F.coalesce(F.trim(k), F.lit("")) == "").alias("missing"))
+    def each(r):
+        key = ("  ", None, r["c_name"])[r["c_custkey"] % 3]
+        return [(r["c_custkey"], ("$.actors", "missing entry key") in I.validated({"actors": {key: {}}}, "actors", {}, "strict"))]
+
+    return by_row(table(spark, sf, "customer").select("c_custkey", "c_name"), each, "c_custkey long, missing boolean")
+
+
+@query("SELECT CASE WHEN event_id % 4 = 2 THEN 'passed' ELSE 'failed' END AS status, count(*) AS n, sum(CASE WHEN event_id % 4 = 2 THEN 0 ELSE 1 END + CASE WHEN event_id % 8 = 1 THEN 1 ELSE 0 END)::BIGINT AS error_count FROM events GROUP BY 1")
+def a9_error_counts(spark: SparkSession, sf: str) -> DataFrame:
+    def each(r):
+        k = r["event_id"]
+        found = I.validated({"actors": {"a": _entry(k)}} | ({"x": 0} if k % 8 == 1 else {}), "actors", SAMPLE, "strict")
+        return [("failed" if found else "passed", len(found))]
+
+    rows = by_row(_answers(spark, sf), each, "status string, issues long")
+    return rows.groupBy("status").agg(F.count("*").alias("n"), F.sum("issues").alias("error_count"))
+
+
+@query("SELECT n_nationkey, round(CASE WHEN length(n_name) > 4 THEN list_unique(list_intersect(l1, l2)) / list_unique(list_concat(l1, l2))::DOUBLE ELSE 1.0 END, 9) AS sim FROM (SELECT *, [n_name[1], n_name[2], n_name[3]] AS l1, [n_name[2], n_name[4]] AS l2 FROM nation) WHERE length(n_name) > 4")
+def o7_key_union(spark: SparkSession, sf: str) -> DataFrame:
+    """Similarity goes over the keys of both sides, in order; a key that one lacks counts as unlike."""
+    def each(r):
+        n = r["n_name"]
+        return [(r["n_nationkey"], round(S.similarity({c: 1 for c in n[:3]}, {c: 1 for c in n[1] + n[3]}, {}), 9))]
+
+    return by_row(table(spark, sf, "nation").where(F.length("n_name") > 4).select("n_nationkey", "n_name"), each, "n_nationkey long, sim double")
 
 
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'invalid json' WHEN 2 THEN 'document is empty' ELSE 'root must be mapping' END AS error FROM events""")
@@ -116,62 +191,84 @@ def p5_sanitize_flat(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "nation").select("n_nationkey", F.array_join(kept, ",").alias("kept"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, 'BIGINT' AS kind FROM events")
+@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'integer' WHEN 1 THEN 'number' WHEN 2 THEN 'boolean' WHEN 3 THEN 'string' WHEN 4 THEN 'list' ELSE 'object' END AS kind FROM events")
 def f35_scalar_type(spark: SparkSession, sf: str) -> DataFrame:
-    v = F.variant_get(F.parse_json("props"), "$.k", "variant")
-    return table(spark, sf, "events").select("event_id", F.variant_get(v, "$", "bigint").alias("k"), F.schema_of_variant(v).alias("kind"))
+    """The types that scalars of an answer have."""
+    from docfold.operators.schema import value_type
 
+    def each(r):
+        k = r["event_id"]
+        data, _ = I.parsed(f"v: {(k, k + 0.5, 'yes', 'text', '[1]', '{a: 1}')[k % 6]}")
+        return [(k, value_type(data["v"]))]
 
-@query("SELECT user_id, to_json({'k': max(event_id), 'n': count(*)})::VARCHAR AS doc FROM events GROUP BY user_id")
-def f33_dump_json(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").groupBy("user_id").agg(F.to_json(F.struct(F.max("event_id").alias("k"), F.count("*").alias("n"))).alias("doc"))
+    return by_row(_answers(spark, sf), each, "event_id long, kind string")
 
 
-# What follows has no SQL: texts are matched, and merges depend on their order.
+@query("""SELECT user_id, '{"z": ' || max(event_id) || ', "a": [' || count(*) || ', "é"], "d": {"$date": "2024-01-02"}}' AS doc FROM events GROUP BY user_id""")
+def f33_dump_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Ordered JSON of an answer: keys as they come, dates told apart, and the same after reading it again."""
+    rows = table(spark, sf, "events").groupBy("user_id").agg(F.max("event_id").alias("k"), F.count("*").alias("n"))
+    each = lambda r: [(r["user_id"], I.encode(I.decode(I.encode(I.parsed(f"z: {r['k']}\na: [{r['n']}, é]\nd: 2024-01-02")[0]))))]
+    return by_row(rows, each, "user_id long, doc string")
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("a"))
+    """Each part's text and the next one's: runs of two characters, which the matcher's blocks meet in the middle."""
+    text = F.concat(F.repeat(F.lit("x"), F.col("p_size").cast("int")), F.repeat(F.lit("y"), (F.col("p_partkey") % 30).cast("int")))
+    p = table(spark, sf, "part").select("p_partkey", text.alias("a"))
     return p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("a").alias("b")), "p_partkey")
 
 
-@query()
+@query("""WITH p AS (SELECT p_partkey, p_size AS x, p_partkey % 30 AS y FROM part) SELECT a.p_partkey, 2.0::DOUBLE * (least(a.x, b.x) + least(a.y, b.y)) / (a.x + a.y + b.x + b.y) AS ratio FROM p a JOIN p b ON b.p_partkey = a.p_partkey + 1""")
 def m4_text_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    return pairs(spark, sf).select("p_partkey", S.seq_ratio("a", "b").alias("ratio"))
+    return pairs(spark, sf).select("p_partkey", S.seq_ratio(F.col("a"), F.col("b")).alias("ratio"))
 
 
-@query()
+@query(f"WITH {RUNS} SELECT l_orderkey, incoming, arg_max(existing, (ratio, -existing)) AS existing, max(ratio) AS ratio FROM pr WHERE ratio >= 0.6 GROUP BY ALL")
 def j4_similarity_pruned(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs at or over the threshold: bounds inside the JVM first, the matcher for what they leave."""
+    """Each incoming text's best match among all existing ones of its entity, at or over the threshold: bounds inside the
+    JVM first, the matcher for what they leave."""
     theta = MergeConfig().similarity_threshold
-    rows = pairs(spark, sf).where(S.length_bound(F.col("a"), F.col("b")) >= theta).where(S.bag_bound(F.col("a"), F.col("b")) >= theta)
-    return rows.withColumn("ratio", S.seq_ratio("a", "b")).where(F.col("ratio") >= theta).select("p_partkey", "ratio")
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.repeat(F.lit("x"), F.col("l_quantity").cast("int")).alias("t"))
+    cur = li.where("l_linenumber <= 3").select("l_orderkey", F.col("l_linenumber").alias("existing"), F.col("t").alias("a"))
+    inc = li.where("l_linenumber > 3").select("l_orderkey", F.col("l_linenumber").alias("incoming"), F.col("t").alias("b"))
+    rows = inc.join(cur, "l_orderkey").where(S.length_bound(F.col("a"), F.col("b")) >= theta).where(S.bag_bound(F.col("a"), F.col("b")) >= theta)
+    rows = rows.withColumn("ratio", S.seq_ratio(F.col("a"), F.col("b"))).where(F.col("ratio") >= theta)
+    best = F.max(F.struct("ratio", (-F.col("existing")).alias("i")))
+    return rows.groupBy("l_orderkey", "incoming").agg(best.alias("m")).select("l_orderkey", "incoming", (-F.col("m.i")).alias("existing"), F.col("m.ratio").alias("ratio"))
 
 
 def event_increments(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
-    node = F.to_json(F.struct(F.col("event_type").alias("last"), F.array(F.concat(F.col("event_type"), F.lit(" "), F.col("props"))).alias("notes"), F.struct(F.col("value").alias("v")).alias("details")))
+    node = F.to_json(F.struct(F.col("event_type").alias("last"), F.array("event_type").alias("kinds"), F.struct(F.col("event_id").alias("v")).alias("details")))
     return e.select(F.col("user_id").alias("entity"), F.col("event_id").alias("seq"), node.alias("node"))
 
 
-@query()
+FOLD = """'{"last": "' || max_by(event_type, event_id) || '", "kinds": ["' || @ || '"], "details": {"v": ' || max(event_id) || '}}' AS node, count(*) AS touches FROM events"""
+
+
+@query("SELECT e.user_id AS entity, " + FOLD.replace("@", "any_value(k)").replace("FROM events", "FROM events e") + """ JOIN (SELECT user_id, string_agg(event_type, '", "' ORDER BY first) AS k FROM (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY ALL) GROUP BY user_id) f ON f.user_id = e.user_id GROUP BY e.user_id""")
 def m3_similarity_fold(spark: SparkSession, sf: str) -> DataFrame:
+    """Increments folded in order: of texts that are no more alike than the threshold, the array gets each once, in the order in
+    which they first came."""
     return I.folded(event_increments(spark, sf), MergeConfig(similarity_threshold=0.9))
 
 
-@query()
+@query("SELECT user_id AS entity, " + FOLD.replace("@", "max_by(event_type, event_id)") + " GROUP BY user_id")
 def m6_replace_fold(spark: SparkSession, sf: str) -> DataFrame:
     return I.folded(event_increments(spark, sf), MergeConfig(array_policy="replace"))
 
 
-@query()
+@query("""SELECT event_id AS seq, '{"name": "' || event_type || '"' || CASE WHEN event_type <> 'view' THEN ', "deep": {"list": [{"k": "' || event_type || '"}], "zero": 0}' ELSE ', "deep": {"zero": 0}' END || ', "off": false}' AS node FROM events""")
 def p5_sanitize_deep(spark: SparkSession, sf: str) -> DataFrame:
-    rows = event_increments(spark, sf).select("seq", F.regexp_replace("node", '"view"', '"  "').alias("node"))
-    return rows.select("seq", I.sanitize_json("node").alias("node"))
+    t = F.col("event_type")
+    k = F.when(t == "view", " \t").otherwise(F.concat(F.lit(" "), t))
+    node = F.to_json(F.struct(F.concat(t, F.lit("\n")).alias(" name "), F.struct(F.array(F.struct(k.alias("k"), F.lit("").alias("blank")), F.struct(F.lit(" ").alias("k"), F.lit("").alias("blank"))).alias("list"), F.lit(0).alias("zero"), F.array().cast("array<string>").alias("none")).alias("deep"), F.lit("x").alias("  "), F.lit(False).alias("off")))
+    return table(spark, sf, "events").select(F.col("event_id").alias("seq"), I.sanitize_json(node).alias("node"))
 
 
-@query()
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{"actors": {"a": {"k": ' || event_id || '}}}' END AS node, CASE event_id % 4 WHEN 1 THEN '$: invalid yaml' WHEN 2 THEN '$: yaml document is empty' WHEN 3 THEN '$: yaml root must be mapping' END AS error FROM events""")
 def p4_parse_yaml(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("event_id") % 3
-    body = F.when(k == 0, F.concat(F.lit("```yaml\nactors:\n  a:\n    k: "), F.col("event_id").cast("string"), F.lit("\n```"))).when(k == 1, "[1").otherwise("")
-    return table(spark, sf, "events").select("event_id", I.parse_yaml(body).alias("x")).select("event_id", "x.node", "x.error")
+    k = F.col("event_id") % 4
+    body = F.when(k == 0, F.concat(F.lit("```yaml\nactors:\n  a:\n    k: "), F.col("event_id").cast("string"), F.lit("\n```"))).when(k == 1, "[1").when(k == 2, "").otherwise("- 1")
+    return table(spark, sf, "events").select("event_id", I.parse_yaml(body).alias("x")).select("event_id", "x.node", F.substring_index("x.error", ":", 2).alias("error"))

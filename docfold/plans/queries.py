@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docfold.plans import batch_queries, control_queries, merge_queries, schema_queries, text_queries  # noqa: F401
+from docfold.plans import batch_queries, control_queries, merge_queries, run_queries, schema_queries, text_queries  # noqa: F401
 from docfold.plans.registry import ORACLE, QUERIES, Query
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,3 +26,16 @@ def query(sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def by_row(df: DataFrame, each: Callable, schema: str) -> DataFrame:
+    """Rows that ``each`` makes of one row (a dictionary): tuples in the order of ``schema``. For operators that are plain
+    Python inside tasks."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        for pdf in batches:
+            rows = [out for r in pdf.to_dict("records") for out in each(r)]
+            yield pd.DataFrame(rows, columns=names, dtype=object)
+
+    return df.mapInPandas(run, schema)

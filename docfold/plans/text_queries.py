@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docfold.functions import html as H
 from docfold.functions import prompts as P
 from docfold.functions import text as T
-from docfold.plans.registry import query, table
+from docfold.plans.registry import by_row, query, table
 
 LINES = "regexp_split_to_array(@, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]')"
 STRIP = "' ' || chr(13) || chr(10) || chr(9) || chr(12288)"
@@ -20,7 +20,7 @@ def norm(x: str) -> str:
 
 
 def compact_sql(x: str) -> str:
-    one = f"trim(regexp_replace({x}, '\\s+', ' ', 'g'), ' ')"
+    one = f"trim(regexp_replace({x}, '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g'), ' ')"
     return f"CASE WHEN length({one}) > 240 THEN substr({one}, 1, 237) || '...' ELSE {one} END"
 
 
@@ -29,10 +29,10 @@ def f2_normalize_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.normalized(F.col("text")).alias("norm_text"))
 
 
-@query(f"SELECT doc_id, trim(substr(text, 1, 40), {STRIP}) AS stripped, length(trim(chr(12288) || ' ' || chr(9) || substr(text, 1, 9) || chr(160) || ' ', {STRIP})) AS kept FROM documents")
+@query(f"SELECT doc_id, trim(text, {STRIP}) AS stripped, length(trim(chr(12288) || ' ' || chr(9) || text || chr(160) || ' ', {STRIP})) AS kept FROM documents")
 def f3_strip(spark: SparkSession, sf: str) -> DataFrame:
-    padded = F.concat(F.lit("　 \t"), F.substring("text", 1, 9), F.lit("  "))
-    return table(spark, sf, "documents").select("doc_id", T.stripped(F.substring("text", 1, 40)).alias("stripped"), F.length(T.stripped(padded)).cast("long").alias("kept"))
+    padded = F.concat(F.lit("\u3000 \t"), F.col("text"), F.lit("\u00a0 "))
+    return table(spark, sf, "documents").select("doc_id", T.stripped(F.col("text")).alias("stripped"), F.length(T.stripped(padded)).cast("long").alias("kept"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'Chapter ' || (turn + 1) ELSE role END AS title FROM conversations")
@@ -61,9 +61,9 @@ def f7_range_ids(spark: SparkSession, sf: str) -> DataFrame:
 TOKEN = "coalesce(nullif(trim(regexp_replace(lower(trim({x})), '[^a-zA-Z0-9._-]+', '-', 'g'), '-._'), ''), 'value')"
 
 
-@query(f"SELECT page_id, {TOKEN.format(x='url')} AS token, {TOKEN.format(x="substr(url, 5, 3)")} AS short_token FROM pages")
+@query(f"SELECT page_id, {TOKEN.format(x='url')} AS token, {TOKEN.format(x="' -' || url || '- '")} AS padded_token FROM pages")
 def f8_debug_token(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", T.debug_token(F.col("url")).alias("token"), T.debug_token(F.substring("url", 5, 3)).alias("short_token"))
+    return table(spark, sf, "pages").select("page_id", T.debug_token(F.col("url")).alias("token"), T.debug_token(F.concat(F.lit(" -"), "url", F.lit("- "))).alias("padded_token"))
 
 
 @query(f"SELECT o_orderkey, {TOKEN.format(x='o_orderpriority')} || '.' || printf('ch%04d-ch%04d', o_orderkey % 50 + 1, o_orderkey % 50 + 4) || '.d1.' || printf('r%02d', o_orderkey % 3 + 1) || '.base.prompt.txt' AS artifact FROM orders")
@@ -72,9 +72,9 @@ def f9_artifact_name(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", T.artifact_name(F.col("o_orderpriority"), n + 1, n + 4, F.lit(1), F.col("o_orderkey") % 3 + 1, F.lit("Base"), F.lit("prompt.txt")).alias("artifact"))
 
 
-@query("SELECT doc_id, coalesce(nullif(trim(regexp_replace(lower(trim(substr(text, 1, 30))), '[^\\p{L}\\p{N}_.-]+', '-', 'g'), '-._'), ''), 'epub') AS slug FROM documents")
+@query("SELECT doc_id, coalesce(nullif(trim(regexp_replace(lower(trim(text)), '[^\\p{L}\\p{N}_.-]+', '-', 'g'), '-._'), ''), 'epub') AS slug FROM documents")
 def f10_slug(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", T.slug(F.substring("text", 1, 30)).alias("slug"))
+    return table(spark, sf, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 33 <= 0 THEN 0.0 ELSE round_even(CAST(o_custkey % 33 AS DOUBLE) / (o_orderkey % 33) * 100, 2) END AS pct FROM orders")
@@ -134,11 +134,11 @@ def f17_render_template(spark: SparkSession, sf: str) -> DataFrame:
 FENCE = "repeat(chr(96), 3)"
 
 
-@query(f"""WITH t AS (SELECT doc_id, substr(regexp_replace(text, '\\s+', ' ', 'g'), 1, 50) AS b FROM documents)
+@query(f"""WITH t AS (SELECT doc_id, regexp_replace(text, '\\s+', ' ', 'g') AS b FROM documents)
 SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN trim(b) WHEN 1 THEN trim(b) WHEN 2 THEN trim(b) WHEN 3 THEN {FENCE} || rtrim(b) ELSE {FENCE} || 'x' || chr(10) END AS kind_check,
 CASE doc_id % 5 WHEN 0 THEN trim(b) WHEN 1 THEN trim(b) WHEN 2 THEN trim(b) WHEN 3 THEN trim({FENCE} || b) ELSE trim(b || {FENCE} || b) END AS body FROM t""")
 def f18_strip_fence(spark: SparkSession, sf: str) -> DataFrame:
-    b, f, k = F.substring(F.regexp_replace("text", r"\s+", " "), 1, 50), F.lit("```"), F.col("doc_id") % 5
+    b, f, k = F.regexp_replace("text", r"\s+", " "), F.lit("```"), F.col("doc_id") % 5
     given = F.when(k == 0, F.concat(F.lit(" "), b)).when(k == 1, F.concat(f, F.lit("yaml\n"), b, F.lit("\n"), f)).when(k == 2, F.concat(f, F.lit("\n"), b)).when(k == 3, F.concat(f, b)).otherwise(F.concat(f, F.lit("YAML\n"), b, f, b, F.lit("\n"), f))
     check = F.when(k < 3, F.trim(b)).when(k == 3, F.concat(f, F.rtrim(b))).otherwise(F.concat(f, F.lit("x\n")))
     return table(spark, sf, "documents").select("doc_id", check.alias("kind_check"), T.unfenced(given).alias("body"))
@@ -170,10 +170,16 @@ def _part(rx: str) -> str:
     return compact_sql(f"regexp_replace(regexp_extract(html, '{rx}', 1), '<[^>]+>', ' ', 'g')")
 
 
-@query(f"""WITH p AS (SELECT page_id, html, nullif({_part('(?is)<title[^>]*>(.*?)</title>')}, '') AS t, nullif({_part('(?is)<p(?:[ \\t\\r\\n\\f][^>]*)?>(.*?)</p>')}, '') AS f FROM pages)
-SELECT page_id, {compact_sql("concat_ws(' | ', t, f)")} AS summary FROM p WHERE coalesce(t, f) IS NOT NULL""")
+PAGE_KIND = "CASE page_id % 4 WHEN 0 THEN 'error' || chr(160) || '522 ' WHEN 1 THEN 'Origin down Error 1020 ' WHEN 2 THEN 'cloudflare 502 ' ELSE chr(12288) || ' ' END"
+
+
+@query(f"""WITH h AS (SELECT page_id, {PAGE_KIND} || html AS html FROM pages), p AS (SELECT page_id, html, nullif({_part('(?is)<title>(.*?)</title>')}, '') AS t, nullif({_part('(?is)<p>(.*?)</p>')}, '') AS f,
+CASE page_id % 4 WHEN 0 THEN 'Cloudflare 522' WHEN 1 THEN 'Cloudflare 1020' ELSE 'Cloudflare ' || nullif(regexp_extract(html, '(?i)Error[ \\n\\t]*([0-9]{{3,4}})', 1), '') END AS c FROM h)
+SELECT page_id, {compact_sql("coalesce(nullif(concat_ws(' | ', t, c, f), ''), html)")} AS summary FROM p""")
 def f22_html_error(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", T.html_error(F.col("html")).alias("summary"))
+    k = F.col("page_id") % 4
+    before = F.when(k == 0, "error\u00a0522 ").when(k == 1, "Origin down Error 1020 ").when(k == 2, "cloudflare 502 ").otherwise("\u3000 ")
+    return table(spark, sf, "pages").select("page_id", T.html_error(F.concat(before, "html")).alias("summary"))
 
 
 @query(f"SELECT page_id, {_part('(?is)<title[^>]*>(.*?)</title>')} AS title, contains(lower(html), '<html') OR contains(lower(html), '<!doctype html') AS is_html FROM pages")
@@ -213,4 +219,35 @@ def f1_extract_html(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT event_id, coalesce(nullif(trim(CASE WHEN event_type = 'error' THEN '  boom ' || event_id || ' ' WHEN event_type = 'view' THEN '' ELSE NULL END), ''), '') AS last_error FROM events")
 def f36_last_error(spark: SparkSession, sf: str) -> DataFrame:
     raw = F.when(F.col("event_type") == "error", F.concat(F.lit("  boom "), F.col("event_id").cast("string"), F.lit(" "))).when(F.col("event_type") == "view", F.lit(""))
-    return table(spark, sf, "events").select("event_id", F.coalesce(F.trim(raw), F.lit("")).alias("last_error"))
+    return table(spark, sf, "events").select("event_id", T.last_error(raw).alias("last_error"))
+
+
+@query(f"SELECT page_id, CASE WHEN t = '' THEN 'Unnamed Chapter' ELSE t END AS first_h1 FROM (SELECT page_id, trim({_plain(f"regexp_extract(replace(html, '</article>', '<h1 id=x>later</h1></article>'), '{H_SQL}', 1)")}, {STRIP}) AS t FROM pages)")
+def o6_first_heading(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", H.title(F.replace("html", F.lit("</article>"), F.lit("<h1 id=x>later</h1></article>"))).alias("first_h1"))
+
+
+@query(f"""WITH h AS (SELECT page_id, {PAGE_KIND} || html AS html FROM pages), p AS (SELECT page_id, html, nullif({_part('(?is)<title>(.*?)</title>')}, '') AS t, nullif({_part('(?is)<p>(.*?)</p>')}, '') AS f,
+CASE page_id % 4 WHEN 0 THEN 'Cloudflare 522' WHEN 1 THEN 'Cloudflare 1020' ELSE 'Cloudflare ' || nullif(regexp_extract(html, '(?i)Error[ \\n\\t]*([0-9]{{3,4}})', 1), '') END AS c FROM h)
+SELECT page_id, {compact_sql("coalesce(nullif(concat_ws(' | ', t, c, f), ''), html)")} AS summary, {compact_sql("regexp_replace(html, '<', '(', 'g')")} AS plain_summary FROM p""")
+def f24_read_error(spark: SparkSession, sf: str) -> DataFrame:
+    """What a client says about an error's body: the form that runs beside the model."""
+    from docfold.clients import error_text
+
+    k = F.col("page_id") % 4
+    before = F.when(k == 0, "error\u00a0522 ").when(k == 1, "Origin down Error 1020 ").when(k == 2, "cloudflare 502 ").otherwise("\u3000 ")
+    rows = table(spark, sf, "pages").select("page_id", F.concat(before, "html").alias("body"))
+    return by_row(rows, lambda r: [(r["page_id"], error_text(r["body"]), error_text(r["body"].replace("<", "(")))], "page_id long, summary string, plain_summary string")
+
+
+@query("SELECT o_orderkey, greatest(o_orderkey % 9000 - 4500, 0) AS budget, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 12 ELSE 0 END AS window_size, TRUE AS same FROM orders")
+def s9_config(spark: SparkSession, sf: str) -> DataFrame:
+    """Settings from a mapping, given as text or number, and written back."""
+    from docfold import config
+
+    def each(r):
+        k = r["o_orderkey"]
+        c = config.from_mapping({"batching": {"max_input_tokens": str(k % 9000), "enable_checkpoint": k % 2 == 0, "checkpoint_every_n_chapters": k % 12}, "unknown": 1, "concurrency": {"max_workers": "3"}})
+        return [(k, c.batching.budget, c.batching.window, config.from_mapping(config.to_mapping(c)) == c and c.max_workers == 3)]
+
+    return by_row(table(spark, sf, "orders").select("o_orderkey"), each, "o_orderkey long, budget long, window_size long, same boolean")

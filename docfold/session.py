@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import uuid
 from typing import Any
 
 from pyspark.sql import SparkSession
@@ -16,6 +18,10 @@ def session(app: str = "docfold", **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
+class ConcurrentWrite(RuntimeError):
+    """Another writer was first; read again and repeat."""
+
+
 class Files:
     """Small files beside tables, on whatever file system the path is on."""
 
@@ -41,16 +47,35 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, name: str, value: Any) -> None:
-        """Written beside and renamed, so a reader sees the old value or the new one."""
-        path, fs = self._at(name)
-        beside, _ = self._at(f"{name}.tmp")
+    def versions(self, name: str) -> list[int]:
+        """The numbers n of the files ``<name>-<n>.json``."""
+        path, fs = self._at(f"{name}-*.json")
+        found = [str(f.getPath().getName()) for f in fs.globStatus(path) or ()]
+        return sorted(int(m[1]) for f in found if (m := re.fullmatch(re.escape(name) + r"-(\d+)\.json", f)))
+
+    def numbers(self, folder: str, key: str) -> list[int]:
+        """The numbers n of the folders ``<folder>/<key>=<n>``."""
+        path, fs = self._at(f"{folder}/{key}=*")
+        return sorted(int(str(f.getPath().getName()).partition("=")[2]) for f in fs.globStatus(path) or ())
+
+    def latest(self, name: str, default: Any = None) -> tuple[int, Any]:
+        """The greatest version and what it says; 0 and ``default`` without one."""
+        have = self.versions(name)
+        return (have[-1], self.read(f"{name}-{have[-1]}.json")) if have else (0, default)
+
+    def publish(self, name: str, version: int, value: Any, keep: int = 8) -> None:
+        """Makes ``value`` the next version: written beside and renamed to a name that must be new, so a reader sees the old
+        version or all of the new one, whenever the writer stops. Of two writers of a version, one fails."""
+        path, fs = self._at(f"{name}-{version}.json")
+        beside, _ = self._at(f"_{name}-{version}-{uuid.uuid4().hex}.tmp")
         out = fs.create(beside, True)
         out.write(bytearray(json.dumps(value, ensure_ascii=False), "utf-8"))
         out.close()
-        if fs.exists(path):
-            fs.delete(path, False)
-        fs.rename(beside, path)
+        if fs.exists(path) or not fs.rename(beside, path):
+            fs.delete(beside, False)
+            raise ConcurrentWrite(f"{name} has a version {version} already")
+        for old in self.versions(name)[:-keep]:
+            self.delete(f"{name}-{old}.json")
 
     def delete(self, name: str) -> None:
         path, fs = self._at(name)

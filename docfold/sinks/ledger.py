@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import datetime
 import json
+import uuid
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,11 +19,13 @@ from docfold.config import MergeConfig, yaml
 from docfold.extraction import ATTEMPTS
 from docfold.functions import text as T
 from docfold.operators import batching as B
+from docfold.operators.control import log_line, transitions
 from docfold.operators.increments import decode, encode, entries, folded
 from docfold.session import Files
 
-POINTER = "ledger.json"
+POINTER = "ledger"
 ORDER = 1 << 32
+EMPTY = {"runs": [], "hidden": [], "schemas": {}, "totals": [], "stamps": {}, "snapshot": None}
 
 
 def now() -> str:
@@ -29,26 +33,50 @@ def now() -> str:
 
 
 class Ledger:
+    """Versions of the pointer are files of their own, the greatest counts. Whatever a writer leaves half done isn't named by
+    one and never seen; nothing that a version names is deleted or written again."""
+
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark, root)
 
     def pointer(self) -> dict:
-        return self.files.read(POINTER, {"runs": [], "hidden": [], "schemas": {}, "totals": []})
+        return EMPTY | self.files.latest(POINTER, {})[1]
 
-    def commit(self, attempts: DataFrame, schemas: list[dict], totals: DataFrame | None = None) -> int:
-        """Writes a run's attempts, then makes them visible. ``totals``: (book, total) chapters."""
-        p = self.pointer()
-        run = max(p["runs"], default=0) + 1
-        self.files.delete(f"attempts/run={run}")  # of a run that never became visible
-        attempts.write.mode("overwrite").parquet(f"{self.root}/attempts/run={run}")
-        p["runs"].append(run)
-        p["schemas"] |= {s["schema"]: s["root_key"] for s in schemas}
+    def _publish(self, seen: int, pointer: dict) -> None:
+        self.files.publish(POINTER, seen + 1, pointer | {"updated_at": now()})
+
+    def _free(self) -> int:
+        """A run's number that no folder has, be it visible or not."""
+        have = self.files.numbers("attempts", "run") + self.files.numbers("totals", "run") + self.pointer()["runs"]
+        return max(have, default=0) + 1
+
+    def commit(self, attempts: DataFrame, schemas: list[dict], totals: DataFrame | None = None, snapshot: MergeConfig | None = None) -> int:
+        """Writes a run's attempts, then makes them visible. ``totals``: (book, total) chapters. ``snapshot``: the state as of
+        this run is written as well, so that it needn't be folded again from all attempts."""
+        run = self._free()
+        attempts.write.mode("errorifexists").parquet(f"{self.root}/attempts/run={run}")
         if totals is not None:
-            totals.write.mode("overwrite").parquet(f"{self.root}/totals/run={run}")
-            p["totals"].append(run)
-        self.files.write(POINTER, p | {"updated_at": now()})
+            totals.write.mode("errorifexists").parquet(f"{self.root}/totals/run={run}")
+        seen, p = self.files.latest(POINTER, {})
+        p = EMPTY | p
+        p = p | {"runs": [*p["runs"], run], "schemas": p["schemas"] | {s["schema"]: s["root_key"] for s in schemas}, "stamps": p["stamps"] | {str(run): now()}}
+        if totals is not None:
+            p["totals"] = [*p["totals"], run]
+        self._publish(seen, p)
+        if snapshot is not None:
+            self.snapshot(snapshot)
         return run
 
+    def snapshot(self, config: MergeConfig = MergeConfig()) -> None:  # noqa: B008
+        """Writes the state as of now and names it: later folds go on from it."""
+        seen, p = self.files.latest(POINTER, {})
+        p = EMPTY | p
+        if not p["runs"]:
+            return
+        name = f"state/{max(p['runs'])}-{len(p['hidden'])}-{uuid.uuid4().hex}"
+        self._folded(config).write.mode("errorifexists").parquet(f"{self.root}/{name}")
+        self._publish(seen, p | {"snapshot": {"path": name, "runs": p["runs"], "hidden": len(p["hidden"]), "config": asdict(config)}})
+
     def attempts(self) -> DataFrame:
         """Visible attempts with ``run`` and ``at``, their place in the order."""
         p = self.pointer()
@@ -66,22 +94,40 @@ class Ledger:
             return self.spark.createDataFrame([], "book string, total long")
         return self.spark.read.parquet(*[f"{self.root}/totals/run={r}" for r in p["totals"]]).groupBy("book").agg(F.max("total").cast("long").alias("total"))
 
-    def state(self, config: MergeConfig = MergeConfig(), upto: dict | None = None) -> DataFrame:  # noqa: B008
-        """(book, schema, entity, ordinal, node, touches): entries in the order in which they first came."""
+    def _usable(self, p: dict, config: MergeConfig, upto: dict | None) -> dict | None:
+        """The snapshot, if it is of the same merge and nothing has been hidden since."""
+        s = p["snapshot"]
+        return s if s and not upto and s["hidden"] == len(p["hidden"]) and s["config"] == asdict(config) else None
+
+    def _folded(self, config: MergeConfig, upto: dict | None = None) -> DataFrame:
+        """(book, schema, entity, first, node, touches) of all entries: those of the snapshot, and the merged increments
+        after it."""
+        p = self.pointer()
+        snapshot = self._usable(p, config, upto)
         rows = self.attempts().where("status = 'merged'")
         if upto:
             rows = rows.where((F.col("book") == upto["book"]) & (F.col("schema") == upto["schema"]) & (F.col("at") <= upto["at"]))
+        if snapshot:
+            rows = rows.where(~F.col("run").isin(snapshot["runs"]))
         out = None
-        for schema, root in self.pointer()["schemas"].items():
+        for schema, root in p["schemas"].items():
             one = entries(rows.where(F.col("schema") == schema).select("book", "schema", F.col("at").alias("seq"), F.col("increment").alias("node")), root).where("entity is not null")
             out = one if out is None else out.unionByName(one)
         if out is None:
-            return self.spark.createDataFrame([], "book string, schema string, entity string, ordinal long, node string, touches long")
+            return self.spark.createDataFrame([], FOLDED)
         keys = ("book", "schema", "entity")
-        first = out.groupBy(*keys).agg(F.min(F.struct("seq", "pos")).alias("first"))
-        state = folded(out, config, keys).join(first, list(keys))
+        new = out.select(*keys, "seq", "node", F.struct("seq", "pos").alias("first"), F.lit(1).cast("long").alias("touches"))
+        if not snapshot:
+            return _fold(new, config, keys)
+        old = self.spark.read.schema(FOLDED).parquet(f"{self.root}/{snapshot['path']}")
+        touched = new.select(*keys).distinct()
+        again = old.join(touched, list(keys), "left_semi").select(*keys, F.lit(0).cast("long").alias("seq"), "node", "first", "touches")
+        return _fold(again.unionByName(new), config, keys).unionByName(old.join(touched, list(keys), "left_anti"))
+
+    def state(self, config: MergeConfig = MergeConfig(), upto: dict | None = None) -> DataFrame:  # noqa: B008
+        """(book, schema, entity, ordinal, node, touches): entries in the order in which they first came."""
         no = F.row_number().over(Window.partitionBy("book", "schema").orderBy("first")) - 1
-        return state.select(*keys, no.cast("long").alias("ordinal"), "node", "touches")
+        return self._folded(config, upto).select("book", "schema", "entity", no.cast("long").alias("ordinal"), "node", "touches")
 
     def documents(self, config: MergeConfig = MergeConfig(), upto: dict | None = None) -> DataFrame:  # noqa: B008
         """(book, schema, state): whole documents as ordered JSON."""
@@ -96,13 +142,40 @@ class Ledger:
         merged = self.attempts().where("status = 'merged'").select(F.struct("book", "schema").alias("book"), "start_idx", "end_idx").distinct()
         return B.completed_prefix(merged).select("book.book", "book.schema", "last_completed")
 
+    def transitions(self, every: int = 0) -> DataFrame:
+        """(book, schema, at, step, event, batch_id, status, detail, n, m, chapter, total): what each attempt, checkpoint and restore
+        changed, in order. See ``control.transitions``; the current progress document is ``control.progress_of`` of it."""
+        rows = transitions(self.attempts().join(self.totals(), "book", "left").withColumn("total", F.coalesce("total", F.lit(0))))
+        marks = self.checkpoints(every) if every > 0 else None
+        if marks is not None:
+            saved = marks.select("book", "schema", "at", F.lit(9).alias("step"), F.lit("checkpoint_saved").alias("event"), F.lit("").alias("batch_id"), F.lit(None).cast("string").alias("status"), F.col("checkpoint_id").alias("detail"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("m"), F.col("chapter_index").alias("chapter"), F.lit(0).cast("long").alias("total"))
+            rows = rows.unionByName(saved)
+        hidden = [(h["book"], h["schema"], (h["upto"] + 1) * ORDER - 1, 10 + i, "checkpoint_restored", "", None, h["checkpoint_id"], 0, 0, h.get("chapter_index", 0), 0) for i, h in enumerate(self.pointer()["hidden"])]
+        if hidden:
+            rows = rows.unionByName(self.spark.createDataFrame(hidden, "book string, schema string, at long, step int, event string, batch_id string, status string, detail string, n long, m long, chapter long, total long"))
+        return rows
+
     def progress(self) -> DataFrame:
         """The last word on each task, from its attempts."""
         a = self.attempts().groupBy("book", "schema").agg(F.max_by("status", "at").alias("last_status"), F.max_by("error", "at").alias("last_error"), F.max_by("batch_id", "at").alias("batch_id"), F.sum("replaced").alias("replaced_nodes"), F.sum("appended").alias("appended_nodes"), F.count("*").alias("attempts"))
         rows = a.join(self.completed(), ["book", "schema"], "left").join(self.totals(), "book", "left")
         done = F.coalesce("last_completed", F.lit(0))
         status = F.when(F.col("last_status") == "failed", "failed").when(done >= F.coalesce("total", F.lit(0)), "completed").otherwise("running")
-        return rows.select("book", "schema", status.alias("status"), done.alias("last_completed"), "total", T.percent(done, F.col("total")).alias("progress_percent"), F.trim("last_error").alias("last_error"), "batch_id", "replaced_nodes", "appended_nodes", "attempts")
+        return rows.select("book", "schema", status.alias("status"), done.alias("last_completed"), "total", T.percent(done, F.col("total")).alias("progress_percent"), T.last_error(F.col("last_error")).alias("last_error"), "batch_id", "replaced_nodes", "appended_nodes", "attempts")
+
+    def log(self) -> DataFrame:
+        """(book, schema, at, line): the run log, a line for each attempt and restore, ``[stamp] [book][schema] message``."""
+        stamps = self.pointer()["stamps"]
+        known = F.create_map(*[F.lit(x) for kv in stamps.items() for x in kv]) if stamps else F.create_map().cast("map<string,string>")
+        a = self.attempts()
+        stamp = F.coalesce(F.col("stamp"), F.try_element_at(known, F.col("run").cast("string")), F.lit(""))
+        rows = a.select("book", "schema", "at", log_line(stamp, F.col("book"), F.col("schema"), F.concat_ws(" ", F.concat(F.lit("batch="), "batch_id"), F.concat(F.lit("template="), F.col("template")), F.concat(F.lit("retry="), F.col("retry").cast("string")), F.concat(F.lit("status="), "status")), F.col("error")).alias("line"))
+        restores = [(h["book"], h["schema"], (h["upto"] + 1) * ORDER - 1, f"[{h['restored_at']}] [{h['book']}][{h['schema']}] restored checkpoint {h['checkpoint_id']}") for h in self.pointer()["hidden"]]
+        return rows.unionByName(self.spark.createDataFrame(restores, "book string, schema string, at long, line string")) if restores else rows
+
+    def export_log(self, path: str) -> None:
+        """The run log as text, a folder for each task, lines in order."""
+        self.log().repartition("book", "schema").sortWithinPartitions("book", "schema", "at").select("book", "schema", F.col("line").alias("value")).write.mode("overwrite").partitionBy("book", "schema").text(path)
 
     def resume(self, config: MergeConfig = MergeConfig(), world: str = "world") -> DataFrame:  # noqa: B008
         """(book, schema, state, world, last_completed): what tasks go on from. The context that prompts quote
@@ -120,19 +193,46 @@ class Ledger:
         by = Window.partitionBy("book", "schema").orderBy("end_idx")
         return last.select("book", "schema", T.checkpoint_id(F.col("end_idx")).alias("checkpoint_id"), F.col("end_idx").alias("chapter_index"), (F.col("end_idx") >= F.col("total")).alias("is_final"), "at", F.row_number().over(by).alias("pos"))
 
+    def verify(self) -> None:
+        """An error that lists the folders that the pointer names and that are missing."""
+        p = self.pointer()
+        names = [*(f"attempts/run={r}" for r in p["runs"]), *(f"totals/run={r}" for r in p["totals"])]
+        if missing := [f"{self.root}/{n}" for n in names if not self.files.exists(f"{n}/_SUCCESS")]:
+            raise FileNotFoundError(f"checkpoint files missing: {', '.join(missing)}")
+
     def restore(self, book: str, schema: str, every: int, checkpoint_id: str | None = None, latest: bool = False) -> str:
-        """Hides a task's attempts after a checkpoint: the one of that id, or the one saved last."""
+        """Hides a task's attempts after a checkpoint: the one of that id, or the one saved last. All that it is made of must be
+        there."""
         if bool(checkpoint_id) == latest:
             raise ValueError("give a checkpoint's id or ask for the latest, one of both")
+        self.verify()
         rows = self.checkpoints(every).where((F.col("book") == book) & (F.col("schema") == schema))
         found = (rows.where(F.col("checkpoint_id") == checkpoint_id) if checkpoint_id else rows).orderBy(F.desc("at")).first()
         if found is None:
             raise ValueError(f"no checkpoint {checkpoint_id or ''} of {book} and {schema}".replace("  ", " "))
-        p = self.pointer()
-        p["hidden"].append({"book": book, "schema": schema, "after": found["at"], "upto": max(p["runs"]), "checkpoint_id": found["checkpoint_id"], "restored_at": now()})
-        self.files.write(POINTER, p)
+        seen, p = self.files.latest(POINTER, {})
+        p = EMPTY | p
+        hide = {"book": book, "schema": schema, "after": found["at"], "upto": max(p["runs"]), "checkpoint_id": found["checkpoint_id"], "chapter_index": found["chapter_index"], "restored_at": now()}
+        self._publish(seen, p | {"hidden": [*p["hidden"], hide]})
         return found["checkpoint_id"]
 
+    def initialise(self, schemas: list[dict], books: list[str], path: str) -> int:
+        """Writes an empty document for each (book, schema) that has none under ``path``; says how many."""
+        out = Files(self.spark, path)
+        new = [(b, s["schema"], json.dumps({s["root_key"]: {}})) for b in books for s in schemas if not out.exists(f"book={b}/schema={s['schema']}")]
+        if new:
+            export(self.spark.createDataFrame(new, "book string, schema string, state string"), path, "append")
+        return len(new)
+
+    def vacuum(self) -> list[int]:
+        """Deletes the folders of runs that no version of the pointer that is kept names; their numbers. Not while another writes."""
+        named = {r for v in self.files.versions(POINTER) for r in self.files.read(f"{POINTER}-{v}.json")["runs"]}
+        gone = sorted(set(self.files.numbers("attempts", "run") + self.files.numbers("totals", "run")) - named)
+        for r in gone:
+            self.files.delete(f"attempts/run={r}")
+            self.files.delete(f"totals/run={r}")
+        return gone
+
     def yaml_of(self, book: str, schema: str, config: MergeConfig = MergeConfig()) -> str:  # noqa: B008
         """One task's document as YAML: keys in their order, sequences indented."""
         row = self.documents(config).where((F.col("book") == book) & (F.col("schema") == schema)).first()
@@ -140,6 +240,15 @@ class Ledger:
         return to_yaml(decode(row["state"]) if row else {root: {}})
 
 
+FOLDED = "book string, schema string, entity string, first struct<seq:bigint,pos:bigint>, node string, touches long"
+
+
+def _fold(rows: DataFrame, config: MergeConfig, keys: tuple[str, ...]) -> DataFrame:
+    """Entries (keys, seq, node, first, touches) folded by key in the order of seq."""
+    meta = rows.groupBy(*keys).agg(F.min("first").alias("first"), F.sum("touches").alias("touches"))
+    return folded(rows, config, keys).drop("touches").join(meta, list(keys)).select(*keys, "first", "node", "touches")
+
+
 def to_yaml(data: object) -> str:
     class Indented(yaml.SafeDumper):
         def increase_indent(self, flow=False, indentless=False):
@@ -148,7 +257,7 @@ def to_yaml(data: object) -> str:
     return yaml.dump(data, Dumper=Indented, allow_unicode=True, sort_keys=False, width=4096)
 
 
-def export(documents: DataFrame, path: str) -> None:
+def export(documents: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Documents as YAML text, one file a book and schema: ``book=…/schema=…/part-…``."""
 
     @F.pandas_udf("string")
@@ -156,7 +265,7 @@ def export(documents: DataFrame, path: str) -> None:
         return states.map(lambda s: to_yaml(decode(s)))
 
     rows = documents.select("book", "schema", dumped("state").alias("value")).repartition("book", "schema")
-    rows.write.mode("overwrite").partitionBy("book", "schema").text(path)
+    rows.write.mode(mode).partitionBy("book", "schema").text(path)
 
 
 __all__ = ["Ledger", "encode", "export", "json", "to_yaml"]

@@ -20,7 +20,7 @@ class StateTable:
         self.spark, self.root, self.keys, self.schema, self.files = spark, root.rstrip("/"), keys, f"{kinds}, {STATE}", Files(spark, root)
 
     def version(self) -> int:
-        return self.files.read("version.json", {"version": -1})["version"]
+        return self.files.latest("version", {"epoch": -1})[1]["epoch"]
 
     def read(self) -> DataFrame:
         v = self.version()
@@ -40,7 +40,7 @@ class StateTable:
         counts = old.select(*keys, "touches").join(touched, keys, "right").select(*keys, (F.coalesce("touches", F.lit(0)) + F.col("n")).alias("touches"), "seq")
         out = node.join(counts, keys).unionByName(old.join(touched, keys, "left_anti").select(*keys, "node", "touches", "seq"))
         out.select(*keys, "node", "touches", "seq").write.mode("overwrite").parquet(f"{self.root}/v={epoch}")
-        self.files.write("version.json", {"version": epoch})
+        self.files.publish("version", self.files.latest("version")[0] + 1, {"epoch": epoch})
 
 
 def upsert_stream(rows: DataFrame, state: StateTable, checkpoint: str, config: MergeConfig = MergeConfig(), **trigger) -> StreamingQuery:  # noqa: B008

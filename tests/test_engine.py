@@ -1,6 +1,7 @@
 """Books, extraction, ledger, streaming."""
 
 import json
+import types
 import zipfile
 
 import pytest
@@ -108,6 +109,191 @@ def test_echo_changes_nothing(spark, tmp_path):
     assert ledger.yaml_of("bk", "characters") == "actors: {}\n"
 
 
+def test_answers_that_break_off_are_kept(spark, tmp_path):
+    """Two chunks of three come, for batches that begin at chapter 1."""
+
+    class Stops:
+        def __call__(self, prompt):
+            yield "actors:\n"
+            yield "  ann: {k: 1}\n"
+            if "ch0001" in prompt:
+                raise RuntimeError("closed")
+
+    c = config()
+    heard = tmp_path / "heard"
+
+    def sink(book, schema, batch, chunk, path=str(heard)):
+        with open(path, "a", encoding="utf-8") as f:
+            f.write(chunk)
+
+    rows = attempts(planned(spark, c), [SCHEMA], TEMPLATES[:1], Stops(), c, sink=sink).orderBy("seq").collect()
+    first = rows[0]
+    assert (first.status, first.response, first.chunks) == ("interrupted", "actors:\n  ann: {k: 1}\n", 2) and first.error == "stream failed: closed" and first.stamp
+    assert heard.read_text(encoding="utf-8").startswith("actors:\n  ann: {k: 1}\n")
+
+
+def test_streams_are_bounded_and_fair(spark):
+    c = config()
+    ch = chapters(spark, 6)
+    ch = ch.unionByName(ch.withColumn("book", F.lit("bk2")))
+    plan = with_chapters(batches(ch, c.batching), ch)
+    schemas = [SCHEMA, SCHEMA | {"schema": "world"}]
+    out = attempts(plan, schemas, TEMPLATES, Echo(), c, workers=1, fair=True)
+    assert out.rdd.getNumPartitions() == 1
+    order = [(r.start_idx, r.book, r.schema) for r in out.collect()]
+    assert order == sorted(order) and len(order) == 12  # each task's first batch, then each one's second
+    assert attempts(plan, schemas, TEMPLATES, Echo(), c, workers=3).rdd.getNumPartitions() == 3
+
+
+def answered(spark, c, n=4, answer="actors:\n  cat: {k: 9}"):
+    return attempts(planned(spark, c, n), [SCHEMA], TEMPLATES, Scripted({}, answer), c)
+
+
+@pytest.mark.parametrize("step", ["write", "create", "rename", "prune"])
+def test_a_crash_at_any_step_loses_nothing(spark, tmp_path, monkeypatch, step):
+    from docfold import session
+
+    c = config()
+    ledger = Ledger(spark, str(tmp_path / "w"))
+    for _ in range(3):
+        ledger.commit(answered(spark, c), [SCHEMA])
+    before = ledger.attempts().count()
+
+    class Crash(Exception):
+        pass
+
+    def crash(*_, **__):
+        raise Crash
+
+    real = session.Files.publish
+    with monkeypatch.context() as m:
+        if step == "write":
+            m.setattr(session.Files, "publish", crash)
+        elif step == "create":
+            m.setattr(session, "json", types.SimpleNamespace(dumps=crash, loads=json.loads))
+        elif step == "rename":
+            m.setattr(session.Files, "publish", lambda self, name, version, value, keep=8: (self._at(f"_{name}-{version}-x.tmp")[1].create(self._at(f"_{name}-{version}-x.tmp")[0], True).close(), crash()))
+        else:
+            m.setattr(session.Files, "publish", lambda self, name, version, value, keep=8: (real(self, name, version, value, keep), crash()))
+        with pytest.raises(Crash):
+            ledger.commit(answered(spark, c), [SCHEMA])
+    again = Ledger(spark, str(tmp_path / "w"))
+    seen = again.attempts().count()
+    assert seen == before + (before // 3 if step == "prune" else 0)
+    again.commit(answered(spark, c), [SCHEMA])
+    assert again.attempts().count() == seen + before // 3 and again.pointer()["runs"] == sorted(set(again.pointer()["runs"]))
+    again.vacuum()
+    assert again.attempts().count() == seen + before // 3
+
+
+def test_two_writers(spark, tmp_path):
+    from docfold.session import ConcurrentWrite
+
+    c = config()
+    one, two = Ledger(spark, str(tmp_path / "w")), Ledger(spark, str(tmp_path / "w"))
+    one.commit(answered(spark, c), [SCHEMA])
+    seen, p = one.files.latest("ledger")
+    two.commit(answered(spark, c), [SCHEMA])
+    with pytest.raises(ConcurrentWrite):
+        one._publish(seen, p)
+    assert two.pointer()["runs"] == [1, 2] == one.pointer()["runs"]
+
+
+def test_snapshots_say_the_same(spark, tmp_path):
+    c = config()
+    plain, kept = Ledger(spark, str(tmp_path / "a")), Ledger(spark, str(tmp_path / "b"))
+    for k in range(3):
+        rows = answered(spark, c, answer=f"actors:\n  cat: {{k: {k}, tags: [t{k}]}}\n  dog{k}: {{k: 1}}")
+        plain.commit(rows, [SCHEMA])
+        kept.commit(rows, [SCHEMA], None, c.merge if k < 2 else None)
+    state = lambda x: sorted(tuple(r) for r in x.state(c.merge).collect())
+    assert kept.pointer()["snapshot"] and state(plain) == state(kept)
+    totals = chapters(spark).groupBy("book").agg(F.max("chapter_index").alias("total"))
+    for x in (plain, kept):
+        x.commit(answered(spark, c), [SCHEMA], totals, c.merge)
+        x.restore("bk", "characters", 2, "ch0002")
+    assert state(plain) == state(kept)  # a restore makes the snapshot useless
+
+
+def test_restoring_needs_all_its_files(spark, tmp_path):
+    import shutil
+
+    c = config()
+    ledger = Ledger(spark, str(tmp_path / "w"))
+    totals = chapters(spark).groupBy("book").agg(F.max("chapter_index").alias("total"))
+    ledger.commit(answered(spark, c), [SCHEMA], totals)
+    ledger.commit(answered(spark, c), [SCHEMA], totals)
+    shutil.rmtree(tmp_path / "w" / "attempts" / "run=1")
+    shutil.rmtree(tmp_path / "w" / "totals" / "run=2")
+    with pytest.raises(FileNotFoundError, match="attempts/run=1, .*totals/run=2"):
+        ledger.restore("bk", "characters", 2, latest=True)
+
+
+def test_log_and_transitions(spark, tmp_path):
+    from docfold.operators.control import progress_of
+
+    c = config()
+    ledger = Ledger(spark, str(tmp_path / "w"))
+    totals = chapters(spark).groupBy("book").agg(F.max("chapter_index").alias("total"))
+    ledger.commit(attempts(planned(spark, c), [SCHEMA], TEMPLATES, Scripted({"ch0003-ch0004-d0": "[", "ch0003-ch0003": RuntimeError("down")}, "actors:\n  a: {k: 1}"), c), [SCHEMA], totals)
+    p = progress_of(ledger.transitions(2)).first()
+    assert (p.status, p.last_completed, p.last_saved_id, p.receive_status, p.last_split_reason[:7]) == ("failed", 2, "ch0002", "interrupted", "$: inva")
+    ledger.restore("bk", "characters", 2, latest=True)
+    p = progress_of(ledger.transitions(2)).first()
+    assert (p.last_restored_id, p.last_completed) == ("ch0002", 2)
+    events = [r.event for r in ledger.transitions(2).orderBy("at", "step").collect()]
+    assert events == ["running", "stream", "validation", "merge", "batch_completed", "checkpoint_saved", "checkpoint_restored"]
+    lines = [r.line for r in ledger.log().orderBy("at").collect()]
+    assert "[bk][characters] batch=ch0001-ch0002-d0 template=base retry=0 status=merged" in lines[0] and lines[-1].endswith("restored checkpoint ch0002")
+    ledger.export_log(str(tmp_path / "log"))
+    assert spark.read.text(str(tmp_path / "log")).count() == len(lines)
+
+
+def test_pipeline_object(spark, tmp_path):
+    from docfold.pipeline import Pipeline
+
+    c = config()
+    run = Pipeline(Ledger(spark, str(tmp_path / "w")), [SCHEMA], TEMPLATES, Scripted({}, "actors:\n  a: {k: 1}"), c)
+    assert run.workers == 4 and Pipeline(run.ledger, [], [], Echo(), C.AppConfig(enable_parallel_tasks=False)).workers == 1
+    assert [r.status for r in run.run(chapters(spark)).collect()] == ["completed"]
+    assert run.attempts(chapters(spark)).count() == 0  # it goes on from the end
+    assert (tmp_path / "w" / "output" / "book=bk" / "schema=characters").is_dir()
+
+
+def test_chat_service(tmp_path):
+    """The client against a server that streams."""
+    import http.server
+    import threading
+
+    from docfold.clients import ChatStream
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            text = body["messages"][0]["content"]
+            self.send_response(200 if "ok" in text else 522)
+            self.end_headers()
+            if "ok" not in text:
+                self.wfile.write(b"<html><title>Down</title>Error 522<p>later</p></html>")
+                return
+            for part in ("ac", "", "tors: {}"):
+                self.wfile.write(b": ping\n\ndata: " + json.dumps({"choices": [{"delta": {"content": part}}]}).encode() + b"\n\n")
+            self.wfile.write(b"data: " + (b"{bad" if "bad" in text else b"[DONE]") + b"\n\ndata: {}\n\n")
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    client = ChatStream(f"http://127.0.0.1:{server.server_port}/", "m")
+    assert list(client("ok")) == ["ac", "tors: {}"]
+    with pytest.raises(RuntimeError, match="HTTP 522: Down . Cloudflare 522 . later"):
+        list(client("no"))
+    with pytest.raises(RuntimeError, match="no JSON"):
+        list(client("ok bad"))
+    server.shutdown()
+
+
 def test_client_helpers():
     assert delta_of({"choices": [{"delta": {"content": [{"text": "a"}, "b", 3]}}]}) == "ab" and delta_of({"choices": []}) == ""
     assert error_text("<html><title>Bad</title>cloudflare error 502<p>no <b>way</b></p>") == "Bad | Cloudflare 502 | no way"

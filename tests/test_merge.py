@@ -60,7 +60,7 @@ def test_bounds_change_nothing(a, b):
 
 def test_column_bounds(spark):
     rows = spark.createDataFrame([("abc", "abd"), ("", ""), ("aa", "a"), ("xyz", "abc")], "a string, b string")
-    for r in rows.select("a", "b", M.seq_ratio("a", "b").alias("r"), M.length_bound(F.col("a"), F.col("b")).alias("l"), M.bag_bound(F.col("a"), F.col("b")).alias("g")).collect():
+    for r in rows.select("a", "b", M.seq_ratio(F.col("a"), F.col("b")).alias("r"), M.length_bound(F.col("a"), F.col("b")).alias("l"), M.bag_bound(F.col("a"), F.col("b")).alias("g")).collect():
         assert r.r <= r.g + 1e-9 <= r.l + 2e-9
 
 
@@ -83,7 +83,7 @@ def test_sanitize_and_parse(spark):
     for text in ("a: 1", "```\na: 1\n```", "```yaml\na: 1\n```", "```YAML\na: 1"):
         assert I.parsed(text) == ({"a": 1}, "")
     assert "invalid yaml" in I.parsed("[1")[1] and "empty" in I.parsed("")[1] and "mapping" in I.parsed("[1]")[1]
-    row = spark.createDataFrame([("a: 2020-01-01\nb: yes",), (None,)], "t string").select(I.parse_yaml("t").alias("x")).collect()
+    row = spark.createDataFrame([("a: 2020-01-01\nb: yes",), (None,)], "t string").select(I.parse_yaml(F.col("t")).alias("x")).collect()
     assert I.decode(row[0].x.node)["a"].year == 2020 and I.decode(row[0].x.node)["b"] is True and row[1].x.error
 
 
@@ -105,10 +105,10 @@ def test_entries_that_are_no_mappings(spark):
 TEXT = "actors:\n  <name>:\n    name: \"\"\n    tags: []\n    links:\n      - target: x\n        weight: 1\n    details:\n      alive: true\n"
 
 
-def test_schema_inference():
+def test_schema_inference(spark):
     root, fields, sample = S.infer(TEXT)
     assert root == "actors" and ("actors[].name", "string", True) in fields and ("actors[].links[].weight", "integer", False) in fields
-    by_text = S.fields_of_text(TEXT)
+    by_text = [(r.path, r.type, r.required) for r in S.text_fields(spark.createDataFrame([("s", TEXT)], "schema string, text string")).orderBy("pos").collect()]
     assert [f[:2] for f in by_text] == [f[:2] for f in fields]
     assert S.skeleton("actors", by_text) == {"name": "", "tags": [], "links": [{"target": "", "weight": 0}], "details": {"alive": False}}
     assert S.struct_of(sample).simpleString().startswith("struct<name:string,tags:array<string>")
