@@ -3,10 +3,10 @@
 A window is a run of words of one text. Each window is dealt by its minimizer (the least hash of the shorter
 runs in it), so equal windows meet in one shard however they lie in their texts; consecutive windows of one
 minimizer travel as one segment. Minimizers that occur once can't belong to a repeated window, and their
-segments stay where they are. A shard indexes its distinct segments: suffix array, Burrows-Wheeler transform,
-a wavelet matrix of packed bits. Segments then stream through it backwards, one word at a time; each step is
-a backward search, cut to the window's length, so that the interval is that of all occurrences of the window.
-The first occurrence, by document and place, is kept.
+segments stay where they are. A shard makes a compressed index of its distinct segments: a wavelet matrix of the
+Burrows-Wheeler transform, and a bit vector that says where windows differ. The texts' segments are streamed through it backwards, one
+word at a time; each step is a backward search and gives the length of the match so far, cut to the window's, so that where a match is
+as long its interval is that of all occurrences of the window. The first occurrence, by document and place, is kept.
 """
 
 from __future__ import annotations
@@ -63,42 +63,74 @@ def segments(words: np.ndarray, at: np.ndarray, window: int, short: int) -> tupl
     return row[cut], place[cut], size, v[cut].view(np.int64), occurs
 
 
+class Bits:
+    """A packed bit vector; every 64 bits have a running count."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        n = len(bits)
+        self.words = np.zeros((n >> 6) + 1, np.uint64)
+        raw = np.packbits(bits, bitorder="little")
+        self.words.view(np.uint8)[: len(raw)] = raw
+        self.before = np.zeros(len(self.words) + 1, np.int32)
+        np.cumsum(np.bitwise_count(self.words), out=self.before[1:])
+        self.n, self.ones = n, int(self.before[-1])
+
+    def rank(self, places: np.ndarray) -> np.ndarray:
+        """How many ones are before ``places``."""
+        mask = (np.uint64(1) << (places & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[places >> 6] + np.bitwise_count(self.words[places >> 6] & mask)
+
+    def select(self, numbers: np.ndarray) -> np.ndarray:
+        """Where the ones of these numbers (from 0) are; the end for the number of all."""
+        out = np.full(len(numbers), self.n, np.int64)
+        inside = numbers < self.ones
+        k = numbers[inside]
+        word = np.searchsorted(self.before, k, "right") - 1
+        left = (k - self.before[word]).astype(np.int64)
+        bits, at = self.words[word], np.zeros(len(k), np.int64)
+        for half in (32, 16, 8, 4, 2, 1):  # the half that has it
+            low = np.bitwise_count(bits & np.uint64((1 << half) - 1)).astype(np.int64)
+            up = left >= low
+            left -= np.where(up, low, 0)
+            at += np.where(up, half, 0)
+            bits = np.where(up, bits >> np.uint64(half), bits)
+        out[inside] = (word << 6) + at
+        return out
+
+
 class Wavelet:
-    """A wavelet matrix: ranks of any symbol before any place. Bits are packed; every 64 have a running count."""
+    """A wavelet matrix: ranks of any symbol before any place."""
 
     def __init__(self, symbols: np.ndarray, kinds: int) -> None:
-        self.levels: list[tuple[np.ndarray, np.ndarray, int]] = []
-        self.bits = max(1, int(kinds - 1).bit_length())
-        x, n = symbols, len(symbols)
-        for k in range(self.bits - 1, -1, -1):
+        self.levels: list[tuple[Bits, int]] = []
+        self.depth = max(1, int(kinds - 1).bit_length())
+        x = symbols
+        for k in range(self.depth - 1, -1, -1):
             b = (x >> k & 1).astype(np.uint8)
-            packed = np.zeros((n >> 6) + 1, np.uint64)
-            raw = np.packbits(b, bitorder="little")
-            packed.view(np.uint8)[: len(raw)] = raw
-            before = np.zeros(len(packed), np.int32)
-            np.cumsum(np.bitwise_count(packed[:-1]), out=before[1:])
-            self.levels.append((packed, before, int(n - b.sum())))
+            self.levels.append((Bits(b), int(len(x) - b.sum())))
             x = np.concatenate([x[b == 0], x[b == 1]])
 
     def rank(self, symbols: np.ndarray, places: np.ndarray) -> np.ndarray:
         """How many of ``symbols`` are before ``places`` (one row or more of them)."""
         start, end = np.zeros_like(places), places
-        for k, (packed, before, zeros) in enumerate(self.levels):
-            one = (symbols >> (self.bits - 1 - k) & 1).astype(bool)
-            rank = lambda p: before[p >> 6] + np.bitwise_count(packed[p >> 6] & ((np.uint64(1) << (p & 63).astype(np.uint64)) - np.uint64(1)))  # noqa: B023, E731
-            a, b = rank(start), rank(end)
+        for k, (bits, zeros) in enumerate(self.levels):
+            one = (symbols >> (self.depth - 1 - k) & 1).astype(bool)
+            a, b = bits.rank(start), bits.rank(end)
             start, end = np.where(one, zeros + a, start - a), np.where(one, zeros + b, end - b)
         return end - start
 
 
 class Index:
-    """FM-index of segments of words: symbols 1.. with a 0 after each segment. The order of suffixes counts up to
-    ``window`` words and more, which is all that patterns of ``window`` words can tell apart."""
+    """Compressed FM-index of segments of words: symbols 1.. with a 0 after each segment.
+
+    What stays is the wavelet matrix of the Burrows-Wheeler transform, the symbols' counts, and one bit for each suffix: whether
+    it differs from the one before within ``window`` words. The suffix array is only there while these are made; the order of suffixes counts up
+    to ``window`` words and more, which is all that patterns of ``window`` words can tell apart."""
 
     def __init__(self, symbols: np.ndarray, window: int) -> None:
         n = len(symbols)
         order = rank = symbols
-        depth, at_window = 1, None
+        depth = 1
         have = {}
         while True:
             have[depth] = rank
@@ -118,33 +150,54 @@ class Index:
         b = np.full(n, -1, np.int64)
         b[: n - (window - half)] = a[window - half :]
         at_window = a[order] * (int(a.max()) + 2) + b[order] + 1
-        edge = np.concatenate([[True], at_window[1:] != at_window[:-1]])
-        self.suffixes = order
-        self.group = np.cumsum(edge) - 1
-        self.begins = np.append(np.flatnonzero(edge), n)
-        self.symbols = symbols
-        bwt = symbols[order - 1]
         kinds = int(symbols.max()) + 1
+        self.edges = Bits(np.concatenate([[True], at_window[1:] != at_window[:-1]]))
         self.before = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=kinds))])
-        self.wavelet = Wavelet(bwt, kinds)
+        self.wavelet = Wavelet(symbols[order - 1], kinds)
         self.n, self.window = n, window
 
-    def windows(self, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Streams segments (their first symbol's place, number of words) backwards. Yields for each step the
-        numbers of the segments that have a window there, its place in the segment, and its interval's group."""
+    def longest(self, symbols: np.ndarray, at: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The longest matches of at most ``most`` symbols that begin at ``at``: interval and length. Shorter ones are tried
+        until one is found."""
+        low, high, length = np.zeros(len(at), np.int64), np.full(len(at), self.n, np.int64), most.copy()
+        todo = np.flatnonzero(length > 0)
+        while len(todo):
+            a, b = np.zeros(len(todo), np.int64), np.full(len(todo), self.n, np.int64)
+            for step in range(int(length[todo].max())):
+                on = np.flatnonzero((length[todo] > step) & (a < b))
+                symbol = symbols[at[todo[on]] + length[todo[on]] - 1 - step]
+                a[on], b[on] = self.before[symbol] + self.wavelet.rank(symbol, np.stack([a[on], b[on]]))
+            found = a < b
+            low[todo[found]], high[todo[found]] = a[found], b[found]
+            todo = todo[~found]
+            length[todo] -= 1
+            todo = todo[length[todo] > 0]
+        return low, high, length
+
+    def matches(self, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Streams texts (``sizes`` symbols of ``symbols`` from ``starts``) backwards through the index: matching statistics
+        up to the window's length. Where a match is as long, yields the numbers of these texts,
+        its place in them, and the number of its interval, which all occurrences of the window share."""
         who = np.argsort(-sizes, kind="stable")
         starts, sizes = starts[who], sizes[who]
         low, high = np.zeros(len(who), np.int64), np.full(len(who), self.n, np.int64)
+        length = np.zeros(len(who), np.int64)
         for step in range(int(sizes.max()) if len(sizes) else 0):
             on = int(np.searchsorted(-sizes, -step, "left"))  # those of more than ``step`` words
             place = sizes[:on] - 1 - step
-            symbol = self.symbols[starts[:on] + place]
+            symbol = symbols[starts[:on] + place]
             both = self.before[symbol] + self.wavelet.rank(symbol, np.stack([low[:on], high[:on]]))
             low[:on], high[:on] = both
-            if step >= self.window - 1:
-                group = self.group[low[:on]]
-                low[:on], high[:on] = self.begins[group], self.begins[group + 1]
-                yield who[:on], place, group
+            length[:on] += 1
+            none = np.flatnonzero(both[0] >= both[1])  # never for a text that the index has
+            if len(none):
+                low[none], high[none], length[none] = self.longest(symbols, starts[none] + place[none], length[none] - 1)
+            full = np.flatnonzero(length[:on] >= self.window)
+            if len(full):
+                # The match may go on to the right of the window: the interval is that of its first words alone.
+                interval = self.edges.rank(low[full] + 1) - 1
+                low[full], high[full] = self.edges.select(interval), self.edges.select(interval + 1)
+                yield who[full], place[full], interval
 
 
 def first_windows(segs: pa.Array, ids: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,12 +221,14 @@ def first_windows(segs: pa.Array, ids: np.ndarray, starts: np.ndarray, window: i
     known, rank = np.unique(ids, return_inverse=True)
     row_of = np.empty(len(size), np.int64)
     row_of[code[first]] = first
-    owner = np.repeat(np.arange(len(size)), size + 1)
-    order = (rank[row_of][owner] << 32) + starts[row_of][owner] + np.arange(len(symbols)) - begin[owner]
-    least = np.minimum.reduceat(order[index.suffixes], index.begins[:-1])
+    # An occurrence's place in the order of documents and places.
+    found = [(who, place, interval, (rank[row_of[who]] << 32) + starts[row_of[who]] + place) for who, place, interval in index.matches(symbols, begin, size)]
+    least = np.full(index.edges.ones, np.iinfo(np.int64).max, np.int64)
+    for _, _, interval, order in found:
+        np.minimum.at(least, interval, order)
     kept, places = [], []
-    for who, place, group in index.windows(begin, size):
-        own = order[begin[who] + place] == least[group]
+    for who, place, interval, order in found:
+        own = order == least[interval]
         kept.append(row_of[who[own]])
         places.append(place[own])
     kept, places = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (kept, places))
@@ -188,28 +243,57 @@ def first_windows(segs: pa.Array, ids: np.ndarray, starts: np.ndarray, window: i
     return kept, places
 
 
+def shards(batches: Iterator[pa.RecordBatch], most_words: int) -> Iterator[pa.Table]:
+    """Rows that are sorted by (key, id, start), in tables of whole keys of about ``most_words`` words. Of windows that are
+    dealt one by one (h null), which are equal if their keys are, only the first occurrence stays."""
+    held: list[pa.Table] = []
+    words, last = 0, None  # the first row of the last key's windows
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if batch.column("h").null_count:
+            keep = []
+            for key, h, seg, i, start in zip(*(batch.column(c).to_pylist() for c in ("key", "h", "seg", "id", "start")), strict=True):
+                if h is not None or last is None or (key, seg) != last[:2]:
+                    last = (key, seg, i, start) if h is None else None
+                    keep.append(True)
+                else:
+                    keep.append((i, start) == last[2:])  # rows of one id claim the same place
+            table = table.filter(pa.array(keep))
+        else:
+            last = None
+        held.append(table)
+        words += (pc.sum(pc.binary_length(table["seg"])).as_py() or 0) // 6
+        if words < most_words:
+            continue
+        whole = pa.concat_tables(held)
+        keys = whole["key"].to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1], "left"))
+        if cut:
+            yield whole.slice(0, cut)
+            whole = whole.slice(cut)
+            words = (pc.sum(pc.binary_length(whole["seg"])).as_py() or 0) // 6
+        held = [whole]
+    if held and (whole := pa.concat_tables(held)).num_rows:
+        yield whole
+
+
 def _indexed(rows: DataFrame, window: int) -> DataFrame:
-    """rows (key, seg, id, x, start), partitioned by key: the windows that are kept, (id, x, place)."""
+    """rows (key, h, seg, id, x, start), partitioned by key: the windows that are kept, (id, x, place). A task holds one shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        table = pa.Table.from_batches(got).combine_chunks()
-        words = pc.sum(pc.binary_length(table["seg"])).as_py() // 6
-        shards = -(-words // SHARD_WORDS)
-        shard = pc.fill_null(table["key"], 0).to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-        shard %= np.uint64(shards)
-        for s in range(shards):
-            part = table.filter(pa.array(shard == s))
-            if not part.num_rows:
-                continue
+        for part in shards(batches, SHARD_WORDS):
+            part = part.combine_chunks()
             ids, starts = part["id"].to_numpy(), part["start"].to_numpy().astype(np.int64)
-            row, place = first_windows(part["seg"].combine_chunks() if isinstance(part["seg"], pa.ChunkedArray) else part["seg"], ids, starts, window)
+            column = lambda c: part[c].chunk(0) if part[c].num_chunks else pa.array([], part[c].type)  # noqa: B023, E731
+            row, place = first_windows(column("seg"), ids, starts, window)
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([part["id"].combine_chunks().take(take), part["x"].combine_chunks().take(take), pa.array(starts[row] + place, pa.int32())], ["id", "x", "place"])
+            yield pa.RecordBatch.from_arrays([column("id").take(take), column("x").take(take), pa.array(starts[row] + place, pa.int32())], ["id", "x", "place"])
 
-    return rows.select("key", "seg", "id", "x", "start").mapInArrow(run, "id long, x long, place int")
+    sorted_ = rows.sortWithinPartitions("key", "id", "start")
+    return sorted_.select("key", "h", "seg", "id", "x", "start").mapInArrow(run, "id long, x long, place int")
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, short: int = SHORT) -> DataFrame:
@@ -219,7 +303,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, short: int = SHORT) -> D
     it is in a window of ``window`` words that also begins earlier: in a row of smaller doc_id, or earlier in
     the same document. ``kept`` is the rest, joined by one space. A null doc_id is smaller than any other; rows
     that share a doc_id are one document, so at equal places neither is earlier. Texts of fewer words than a
-    window stay whole. Other columns are ignored; no rows in, no rows out."""
+    window stay whole; longer ones are read whole, of any length. Other columns are ignored; no rows in, no rows out."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("id"), F.xxhash64(text_of()).alias("x"), text_of().alias("text"))
 
     def cutting():

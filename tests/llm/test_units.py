@@ -1,6 +1,7 @@
 """What runs inside tasks, against plain versions of it."""
 
 import base64
+import itertools
 import random
 import re
 
@@ -127,6 +128,46 @@ def test_ranks_of_the_wavelet_matrix():
     assert w.rank(s, p).tolist() == [int((x[:b] == a).sum()) for a, b in zip(s, p, strict=True)]
 
 
+@given(st.lists(st.booleans(), max_size=400))
+def test_ranks_and_selects_of_bits(bits):
+    b = substring.Bits(np.array(bits, bool))
+    ones = [i for i, x in enumerate(bits) if x]
+    assert b.rank(np.arange(len(bits) + 1)).tolist() == [sum(bits[:i]) for i in range(len(bits) + 1)]
+    assert b.select(np.arange(len(ones) + 1)).tolist() == [*ones, len(bits)]
+
+
+def test_matching_statistics_of_texts_that_the_index_has_not():
+    """Streams that aren't part of the index: the intervals of those windows that it has."""
+    rng = random.Random(4)
+    make = lambda k: "".join(rng.choices("abcd", k=k))
+    own, other, window = [make(30) for _ in range(20)], [make(25) for _ in range(30)], 3
+    code = {c: i + 1 for i, c in enumerate("abcd")}
+    flat = lambda segs: np.array([x for s in segs for x in (*(code[c] for c in s), 0)], np.int64)
+    index = substring.Index(flat(own), window)
+    begin, size = np.arange(len(other)) * 26, np.full(len(other), 25)
+    got: dict = {}
+    for who, place, interval in index.matches(flat(other), begin, size):
+        for w, p, i in zip(who.tolist(), place.tolist(), interval.tolist(), strict=True):
+            got[w, p] = i
+    windows = {s[p : p + window] for s in own for p in range(len(s) - window + 1)}
+    assert set(got) == {(w, p) for w, s in enumerate(other) for p in range(len(s) - window + 1) if s[p : p + window] in windows}
+    by: dict = {}
+    for (w, p), i in got.items():
+        by.setdefault(i, set()).add(other[w][p : p + window])
+    assert all(len(v) == 1 for v in by.values()) and len(by) == len({x for v in by.values() for x in v})
+
+
+def test_shards_hold_whole_keys():
+    rows = sorted((k, None if k % 3 == 0 else k, f"seg {k}", i, 5) for k in range(40) for i in range(k % 7 + 1))
+    names = ["key", "h", "seg", "id", "start"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[a : a + 9]], pa.schema([("key", pa.int64()), ("h", pa.int64()), ("seg", pa.string()), ("id", pa.int64()), ("start", pa.int32())])) for a in range(0, len(rows), 9)]
+    parts = [p.to_pylist() for p in substring.shards(iter(batches), 5)]
+    keys = [{r["key"] for r in p} for p in parts]
+    assert len(parts) > 3 and all(not a & b for a, b in itertools.combinations(keys, 2))
+    left = [tuple(r[n] for n in names) for p in parts for r in p]
+    assert left == [r for r in rows if r[1] is not None or r[3] == 0]
+
+
 PAGE = """<html><head><title>T</title><script>var a="</p><article>";</script></head><body><header><h1>Site</h1></header>
 <nav><ul><li><a href=x>m</a><li><a>n</a></ul></nav><div class="cookie-notice">We use</div><main><article><h1>Ti&amp;tle</h1>
 <p>One <b>bo</b>ld<br>x &nbsp; y<p>Two &lt;3<!-- <p>no</p> --><aside>side</aside><div class="share">s</div><form>f<input></form></article>
