@@ -348,22 +348,24 @@ def _verified(texts: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     return arrow_map(both.select("a", "b", "text_a", "text_b"), make, "a long, b long, same boolean")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, per_task: int = 50_000) -> DataFrame:
     """(v, root) of every end of ``links`` (a, b): the least vertex that it is joined with.
 
     Alternating stars: each vertex's larger neighbours, then all smaller ones, are linked to its least one,
-    until nothing changes. Neighbours are never listed; only their minimum is taken."""
+    until nothing changes. Neighbours are never listed; only their minimum is taken. Tables get a file for about ``per_task``
+    edges, as rounds of few edges would otherwise spend their time on files."""
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = mark(edges)
     while before[0]:
+        files = -(-before[0] // per_task) + 3
+        some = lambda df, name: written(df.coalesce(files), name)  # noqa: B023, E731
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large, "large")
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = some(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = some(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        least = some(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = written(small.where("u <> v").distinct(), "edges")
+        edges = some(small.where("u <> v").distinct(), "edges")
         after = mark(edges)
         if after == before:
             break
