@@ -87,19 +87,32 @@ SELECT page_id, url, array_to_string(bs, chr(10) || chr(10)) AS text, length(arr
 """
 
 
-def _spans_sql(r: secrets.Rule, rank: int) -> str:
-    """SQL: the spans of one rule, from the texts between its matches and the matches' lengths."""
-    p = "'" + r.pattern.replace("'", "''") + "'"
+#: What is looked for, written apart from the operator's rules: kind, pattern, group that is measured, its least length.
+FOUND = (
+    ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    ("access", "AKIA[A-Z0-9]+", 0, 16),
+    ("hex", "[0-9a-f]+", 0, 32),
+    ("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[A-Za-z0-9+/=\x20\t\r\n:,.-]*?-----END [A-Z ]{0,30}PRIVATE KEY-----|(?:\r?\n[A-Za-z0-9+/=]{16,})*)", 0, 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*", 0, 1),
+    ("github", "gh[pousr]_[A-Za-z0-9]+", 0, 40),
+)
+
+
+def _spans_sql(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """SQL: the spans of one kind, from the texts between its matches and the matches' lengths."""
+    p = "'" + pattern.replace("'", "''") + "'"
     upto = lambda xs, n: f"coalesce(list_sum(list_transform({xs}[1:{n}], lambda x: length(x))), 0)"
-    return f"""SELECT doc_id, {rank} AS k, '{r.kind}' AS kind, a, a + length(m) AS b FROM (
+    # A token's first two parts have eight characters at least, besides the first three of the first.
+    long_enough = f"v >= {least}" + (r" AND regexp_matches(m, '^eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.')" if kind == "jwt" else "")
+    return f"""SELECT doc_id, {rank} AS k, '{kind}' AS kind, a, a + length(m) AS b FROM (
       SELECT doc_id, ms[i] AS m, length(vs[i]) AS v, CAST({upto('gs', 'i')} + {upto('ms', 'i - 1')} AS BIGINT) AS a
       FROM (SELECT doc_id, gs, ms, vs, unnest(range(1, len(ms) + 1)) AS i FROM (
-        SELECT doc_id, string_split_regex(text, {p}) AS gs, regexp_extract_all(text, {p}) AS ms, regexp_extract_all(text, {p}, {r.group}) AS vs FROM d))) WHERE v >= {r.least}"""
+        SELECT doc_id, string_split_regex(text, {p}) AS gs, regexp_extract_all(text, {p}) AS ms, regexp_extract_all(text, {p}, {group}) AS vs FROM d))) WHERE {long_enough}"""
 
 
 OP10_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-s AS ({" UNION ALL ".join(_spans_sql(r, k) for k, r in enumerate(secrets.RULES))}),
+s AS ({" UNION ALL ".join(_spans_sql(k, *r) for k, r in enumerate(FOUND))}),
 g AS (SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
   string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) FILTER (WHERE k < 3) AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) AS spans FROM s GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans

@@ -34,7 +34,8 @@ RULES = (
     Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 16),
     # Shorter runs never count, and a run of 32 is the start of the same leftmost, longest match.
     Rule("hex", 1, r"[0-9a-f]{32,}", 0, 32),
-    Rule("pem", 1, r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    # To the end line, else as far as the lines look like a key's.
+    Rule("pem", 2, r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[A-Za-z0-9+/=\x20\t\r\n:,.-]*?-----END [A-Z ]{0,30}PRIVATE KEY-----|(?:\r?\n[A-Za-z0-9+/=]{16,})*)"),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*"),
     Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )
@@ -53,13 +54,18 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     """New ledger rows, of every (blob, rule version) of ``versions`` (its column ``text``) that ``ledger``
     lacks; blobs without findings get rows with no spans. Spans are in code points, end exclusive, leftmost
     and non-overlapping within a kind."""
-    blobs = versions.select(blob_of().alias("blob"), text_of().alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+    named = versions.select(blob_of().alias("blob"), text_of().alias("text"))
+    nothing = F.array().cast("array<string>")
     if ledger is not None:
-        listed = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "kind", "rule_version")).alias("done"))
-        blobs = blobs.join(listed, "blob", "left").withColumn("done", F.coalesce("done", F.array().cast("array<string>")))
-        blobs = blobs.where(~F.forall(F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules]), lambda k: F.array_contains("done", k)))
+        listed_ = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "kind", "rule_version")).alias("done"))
+        needed = F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])
+        some = listed_.where(~F.forall(needed, lambda k: F.array_contains("done", k)))
+        all_ = listed_.where(F.forall(needed, lambda k: F.array_contains("done", k))).select("blob")
+        # What has been scanned by all rules goes before texts are grouped.
+        named = named.join(all_, "blob", "left_anti")
+        blobs = named.groupBy("blob").agg(F.first("text").alias("text")).join(some, "blob", "left").withColumn("done", F.coalesce("done", nothing))
     else:
-        blobs = blobs.withColumn("done", F.array().cast("array<string>"))
+        blobs = named.groupBy("blob").agg(F.first("text").alias("text")).withColumn("done", nothing)
 
     def found(r: Rule) -> Column:
         """The lengths of the texts before the matches, of the matches and of their groups."""
@@ -101,7 +107,10 @@ def scanned(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule,
     A null text is the empty one; repeated rows share a blob and are all reported; other columns are kept,
     but one called ``name`` is replaced; an empty table gives an empty ledger."""
     new = written(scan(docs, ledger, rules), "ledger")
-    whole = new if ledger is None else ledger.select(*new.columns).unionByName(new)
+    return _joined(docs, new if ledger is None else ledger.select(*new.columns).unionByName(new), rules, name)
+
+
+def _joined(docs: DataFrame, whole: DataFrame, rules: tuple[Rule, ...], name: str) -> tuple[DataFrame, DataFrame]:
     blob = free_name(docs, "_blob")
     found = written(findings(whole, rules), "findings").select(F.col("blob").alias(blob), F.col("spans").alias(name))
     out = docs.drop(name).withColumn(blob, blob_of()).join(found, blob, "left")
@@ -113,9 +122,20 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def report(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row of ``docs``."""
-    out, _ = scanned(docs.select("doc_id", "text"))
+def report(docs: DataFrame, rounds: int = 2, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row of ``docs``.
+
+    The documents come in as ``rounds`` versions of a collection, by their ids' hash, each scanned against the ledger of those
+    before: what a later version repeats isn't scanned again. Whatever the number, the result is the same. Null texts are empty
+    ones; rows with a null id are rows like others; repeated rows are reported each; other columns are ignored; no rows in, no
+    rows out."""
+    rows = docs.select("doc_id", "text")
+    ledger = None
+    for n in range(rounds):
+        new = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == n)
+        found = written(scan(new, ledger, rules), f"ledger{n}")
+        ledger = found if ledger is None else ledger.unionByName(found)
+    out, _ = _joined(rows, ledger, rules, "secrets")
     base = F.filter("secrets", lambda s: s["kind"].isin(*BASE))
     n = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return out.select("doc_id", *[n(k) for k in BASE], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
@@ -124,7 +144,8 @@ def report(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of a secret, overlapping ones joined, replaced by ``mark`` in ``text``, and with
     its number of code points in ``n_chars`` if there is such a column. Null texts stay null, and texts without
-    findings as they are."""
+    findings (empty ones too) as they are. Repeated rows stay, each masked alike; all other columns are kept, whatever their
+    names; no rows in, no rows out."""
     name = free_name(docs, "_secrets")
     out, _ = scanned(docs, name=name)
     joined = F.expr(f"""aggregate({name}, cast(array() AS array<struct<start:int,end:int>>), (acc, s) -> CASE

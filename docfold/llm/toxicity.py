@@ -200,7 +200,10 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with all their columns as they are."""
+    """The rows of ``docs`` that score below ``threshold``, with all their columns as they are, whatever their names.
+
+    A null text is the empty one, which has the bias's score; repeated rows stay or go together; whole texts are read, of any
+    length; no rows in, no rows out."""
 
     def run(batches):
         cache: dict[str, float] = {}
