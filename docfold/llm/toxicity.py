@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docfold.llm.common import arrow_map, pieces_of, text_of
+from docfold.llm.common import arrow_map, pieces_of, text_of, written
 
 THRESHOLD = 0.7
 BATCH_BYTES = 8 << 20
@@ -104,7 +104,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features
     if rows > max_rows:  # most rows are passed over where they are; a task ranks few more than it keeps
         chosen = chosen.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.1 * max_rows / rows)))
     chosen = chosen.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id").limit(max_rows)  # bounded, so it may be broadcast
-    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    # Written, so that the whole table is gone through once, and the sample twice.
+    texts = written(docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text"), "labelled")
 
     def counting():
         cache: dict[str, frozenset[str]] = {}
