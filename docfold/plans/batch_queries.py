@@ -69,7 +69,7 @@ def w2_zero_budget(spark: SparkSession, sf: str) -> DataFrame:
 """ + packed_sql(7500, 0) + " " + BATCH)
 def w2_documents(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select(F.col("source").alias("book"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long").alias("chapter_index"), T.tokens(F.col("text")).alias("token_estimate"))
-    return B.batches(d)
+    return B.batches_streamed(d)
 
 
 @query(f"WITH RECURSIVE {CH}, {packed_sql(300, 3)} {BATCH}")
