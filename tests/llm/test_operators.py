@@ -543,12 +543,12 @@ def test_pipeline_stages_on_odd_tables(spark, docs, none):
 
 def test_toxicity_is_found_in_held_out_rows(spark):
     """Accuracy on labelled rows that the classifier never sees."""
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"  # the smaller ones have too few labelled rows to learn from
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.toxic is not None}
     got = [r for r in queries()["op6_toxicity"](spark, sf).collect() if r.held_out and r.doc_id in labels]
     toxic, clean = [r for r in got if labels[r.doc_id]], [r for r in got if not labels[r.doc_id]]
-    assert len(toxic) >= 5 and len(clean) >= 50
-    assert sum(r.predicted for r in toxic) >= 0.8 * len(toxic) and sum(r.predicted for r in clean) <= 0.02 * len(clean)
+    assert len(toxic) >= 100 and len(clean) >= 500
+    assert sum(r.predicted for r in toxic) >= 0.85 * len(toxic) and sum(r.predicted for r in clean) <= 0.02 * len(clean)
 
 
 def test_queries_and_their_sql(spark):
