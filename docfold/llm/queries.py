@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfold.llm import bpe, exact_dedup, fingerprints, html_extract, minhash, packing, secrets, substring, toxicity, url_filter
+from docfold.llm import bpe, exact_dedup, fingerprints, html_extract, lexical, merkle, minhash, packing, secrets, simhash, substring, toxicity, url_filter
 from docfold.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(merkle.leaves(table(spark, sf_dir, "documents"), merkle.lower_cased))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_components(table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -120,9 +132,56 @@ FROM d LEFT JOIN g ON g.doc_id = d.doc_id
 """
 
 
+_A_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+OP11_SQL = rf"""
+WITH t AS (SELECT kind, id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_A_Z}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'q', item_id, text FROM benchmark)),
+q AS (SELECT DISTINCT id AS item_id, term FROM t WHERE kind = 'q'),
+d AS (SELECT id AS doc_id, count(*) AS n FROM t WHERE kind = 'd' GROUP BY id),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS all_terms FROM d),
+f AS (SELECT id AS doc_id, term, count(*) AS tf FROM t WHERE kind = 'd' AND term IN (SELECT term FROM q) GROUP BY id, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, c GROUP BY term, docs),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // all_terms)))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN f USING (term) JOIN d USING (doc_id), c GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+_CRC32 = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)))"
+
+
+def _leaf_sql(text: str) -> str:
+    value = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    return f"sha256({' || '.join(map(value, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+#: The levels of all trees (those of the languages first, then the one above them), and each row's way up, level by level.
+OP12_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS tree, {_leaf_sql('text')} AS leaf,
+    CASE WHEN {_CRC32} % 3 = 0 THEN {_leaf_sql(f"translate(text, {_A_Z})")} END AS now FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS i FROM d),
+low AS (SELECT tree, 0 AS level, i, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM r
+  UNION ALL SELECT tree, level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8 FROM low WHERE n > 1 GROUP BY tree, level, i // 8, n),
+subroot AS (SELECT tree, level, h, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS trees FROM low WHERE n = 1),
+high AS (SELECT 0 AS level, place AS i, h, trees AS n FROM subroot
+  UNION ALL SELECT level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8 FROM high WHERE n > 1 GROUP BY level, i // 8, n),
+nodes AS (SELECT low.tree, low.level, i, low.h, n FROM low UNION ALL SELECT subroot.tree, subroot.level + high.level, high.i, high.h, high.n FROM subroot, high WHERE high.n > 1 OR high.level > 0),
+runs AS (SELECT tree, level, i, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM (SELECT * FROM nodes WHERE n > 1) WINDOW w AS (PARTITION BY tree, level, i // 8 ORDER BY i)),
+up AS (SELECT doc_id, r.tree, 0 AS level, i, i AS leaf_place, coalesce(now, leaf) AS h, '' AS proof FROM r
+  UNION ALL SELECT doc_id, up.tree, up.level + 1, CASE WHEN up.level + 1 = s.level THEN s.place ELSE up.i // 8 END, leaf_place, sha256(runs.l || up.h || runs.r), proof || runs.l || runs.r
+  FROM up JOIN subroot s ON s.tree = up.tree JOIN runs ON runs.tree = up.tree AND runs.level = up.level
+    AND runs.i = CASE WHEN up.level = s.level THEN s.place ELSE up.i END),
+done AS (SELECT doc_id, arg_max(h, level) AS folded, arg_max(proof, level) AS proof FROM up GROUP BY doc_id),
+root AS (SELECT h AS root FROM high WHERE n = 1)
+SELECT r.doc_id, leaf, s.h AS subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM r JOIN done ON done.doc_id = r.doc_id JOIN subroot s ON s.tree = r.tree, root
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_url_filter": op1_url_filter, "op2_minhash": op2_minhash, "op3_substring": op3_substring, "op4_html_extract": op4_html_extract, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_fingerprints": op7_fingerprints, "op8_bpe": op8_bpe, "op9_exact_dedup": op9_exact_dedup, "op10_secrets": op10_secrets}
+    return {"op1_url_filter": op1_url_filter, "op2_minhash": op2_minhash, "op3_substring": op3_substring, "op4_html_extract": op4_html_extract, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_fingerprints": op7_fingerprints, "op8_bpe": op8_bpe, "op9_exact_dedup": op9_exact_dedup, "op10_secrets": op10_secrets, "op11_lexical": op11_lexical, "op12_merkle": op12_merkle, "op13_simhash": op13_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring": OP3_SQL, "op4_html_extract": OP4_SQL, "op9_exact_dedup": OP9_SQL, "op10_secrets": OP10_SQL}
+    return {"op3_substring": OP3_SQL, "op4_html_extract": OP4_SQL, "op9_exact_dedup": OP9_SQL, "op10_secrets": OP10_SQL, "op11_lexical": OP11_SQL, "op12_merkle": OP12_SQL}
