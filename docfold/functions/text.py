@@ -78,9 +78,13 @@ def window_index(index: Column, size: int) -> Column:
 
 
 def compact(text: Column, most: int = ERROR_LENGTH) -> Column:
-    """White space (that of Unicode) collapsed, trimmed, and cut with dots."""
-    one = F.btrim(F.regexp_replace(text, WHITE, " "), F.lit(" "))
-    return F.when(F.length(one) > most, F.concat(F.substring(one, 1, most - 3), F.lit("..."))).otherwise(one)
+    """White space (that of Unicode) collapsed, trimmed, and cut with dots.
+
+    Only as many words are collapsed as reach ``most + 1`` characters, which is as far as the result can depend on the text."""
+    inside = WHITE.removesuffix("+")
+    told = F.regexp_extract(text, f"^(?:{inside}*+[^{inside[1:-1]}]){{0,{most + 1}}}+", 0)
+    one = F.transform(F.array(F.btrim(F.regexp_replace(told, WHITE, " "), F.lit(" "))), lambda x: F.when(F.length(x) > most, F.concat(F.substring(x, 1, most - 3), F.lit("..."))).otherwise(x))
+    return F.get(one, F.lit(0))
 
 
 def utc_iso(ts: Column) -> Column:

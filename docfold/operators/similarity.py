@@ -3,7 +3,6 @@ the result. Upper bounds that need no matcher are given as columns as well."""
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
 from typing import Any
 
 import pandas as pd
@@ -12,30 +11,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from docfold.config import MergeConfig
-
-
-#: Ratios of pairs of short texts that a task has seen; folds meet the same pairs again and again.
-_SEEN: dict[tuple[str, str], float] = {}
-SHORT, MOST_SEEN = 64, 200_000
+from docfold.operators.matching import Against, Scalars, Texts, first_of_best, is_scalar, length_bound as text_bound
 
 
 def text_ratio(a: str, b: str) -> float:
     """Ratcliff-Obershelp, with the matcher's popularity heuristic, existing text first. Equal texts are 1."""
-    if a == b:
-        return 1.0
-    if len(a) + len(b) > 2 * SHORT:
-        return SequenceMatcher(None, a, b).ratio()
-    got = _SEEN.get((a, b))
-    if got is None:
-        if len(_SEEN) >= MOST_SEEN:
-            _SEEN.clear()
-        got = _SEEN[a, b] = SequenceMatcher(None, a, b).ratio()
-    return got
+    return Against(b).ratio(a)
+
+
+def upper(a: Any, b: Any, weights: dict[str, float], path: str = "") -> float:
+    """No similarity is above it: texts count by their lengths, lists by theirs."""
+    if type(a) is not type(b):
+        return 0.0
+    if isinstance(a, str):
+        return text_bound(a, b)
+    if isinstance(a, list):
+        return min(len(a), len(b)) / max(len(a), len(b)) if a or b else 1.0
+    return _of_mappings(a, b, weights, path, upper) if isinstance(a, dict) else float(a == b)
 
 
-def text_bound(a: str, b: str) -> float:
-    """No ratio is above it: of the lengths alone."""
-    return 2.0 * min(len(a), len(b)) / (len(a) + len(b)) if a or b else 1.0
+def _of_mappings(a: dict, b: dict, weights: dict[str, float], path: str, of: Any) -> float:
+    """What ``of`` says of the values of shared keys, weighted, over the keys of both."""
+    total = got = 0.0
+    for k in sorted(a.keys() | b.keys(), key=str):
+        at = f"{path}.{k}" if path else str(k)
+        w = float(weights.get(at, weights.get(str(k), 1.0)))
+        total += w
+        if k in a and k in b:
+            got += w * of(a[k], b[k], weights, at)
+    return got / total if total > 0 else 1.0
 
 
 def similarity(a: Any, b: Any, weights: dict[str, float], path: str = "", least: float = 0.0) -> float:
@@ -45,15 +49,7 @@ def similarity(a: Any, b: Any, weights: dict[str, float], path: str = "", least:
     if isinstance(a, str):
         return 0.0 if text_bound(a, b) < least else text_ratio(a, b)
     if isinstance(a, dict):
-        names = sorted(a.keys() | b.keys(), key=str)
-        total = got = 0.0
-        for k in names:
-            at = f"{path}.{k}" if path else str(k)
-            w = float(weights.get(at, weights.get(str(k), 1.0)))
-            total += w
-            if k in a and k in b:
-                got += w * similarity(a[k], b[k], weights, at)
-        return got / total if total > 0 else 1.0
+        return _of_mappings(a, b, weights, path, similarity)
     if isinstance(a, list):
         if not a and not b:
             return 1.0
@@ -79,21 +75,35 @@ def merged_array(current: list, incoming: list, config: MergeConfig) -> list:
     are similar enough and at all; else it is appended, where later ones may still take its place."""
     if config.array_policy == "replace":
         return list(incoming)
-    out, taken = list(current), set()
+    out, least, weights = list(current), config.similarity_threshold, config.field_weights
+    texts, scalars = Texts(out), Scalars(out)
+    rest = [i for i, y in enumerate(out) if not isinstance(y, str) and not is_scalar(y)]
+    bounded = all(w >= 0 for w in weights.values())
     for x in incoming:
-        best, at = 0.0, None
-        if isinstance(x, str):  # only an equal text has ratio 1, and the first of the best is taken
-            at = next((i for i, y in enumerate(out) if y == x and i not in taken and isinstance(y, str)), None)
-            best = 0.0 if at is None else 1.0
-        if at is None:
-            for i, y in enumerate(out):
-                if i not in taken and (s := similarity(y, x, config.field_weights, least=max(best, config.similarity_threshold))) > best:
-                    best, at = s, i
-        if at is not None and best >= config.similarity_threshold:
+        if isinstance(x, str):
+            best, at = texts.best(x, least)
+        elif is_scalar(x):
+            best, at = scalars.best(x)
+        else:
+            bound = lambda i: upper(out[i], x, weights) if bounded else float("inf")  # noqa: B023, E731
+            best, at = first_of_best(rest, bound, lambda i: similarity(out[i], x, weights), least)  # noqa: B023
+        if at is not None and best >= least:
+            # Taken: nothing else takes its place.
+            if isinstance(x, str):
+                texts.remove(at)
+            elif is_scalar(x):
+                scalars.remove(at, x)
+            else:
+                rest.remove(at)
             out[at] = x
-            taken.add(at)
+            continue
+        out.append(x)
+        if isinstance(x, str):
+            texts.add(len(out) - 1, x)
+        elif is_scalar(x):
+            scalars.add(len(out) - 1, x)
         else:
-            out.append(x)
+            rest.append(len(out) - 1)
     return out
 
 
@@ -110,10 +120,19 @@ def merged(current: Any, incoming: Any, config: MergeConfig) -> Any:
 
 
 def seq_ratio(a: Column | str, b: Column | str) -> Column:
-    """Similarity of two text columns; null where one is."""
+    """Similarity of two text columns, ``b`` being the incoming one; null where one is. A batch's distinct pairs are
+    matched once, those of one incoming text with one table of it."""
 
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+        both = a.notna() & b.notna()
+        pairs: dict[str, dict[str, float]] = {}
+        for x, y in zip(a[both], b[both], strict=True):
+            pairs.setdefault(y, {})[x] = 0.0
+        for y, own in pairs.items():
+            against = Against(y)
+            for x in own:
+                own[x] = against.ratio(x)
+        return pd.Series([pairs[y][x] if ok else None for x, y, ok in zip(a, b, both, strict=True)], dtype="float64")
 
     return F.pandas_udf(run, DoubleType())(a, b)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docfold.config import MergeConfig
 from docfold.operators import increments as I  # noqa: N812
+from docfold.operators import matching
 from docfold.operators import schema as S
 from docfold.operators import similarity as M
 
@@ -58,6 +59,57 @@ def test_bounds_change_nothing(a, b):
     assert M.merged_array(a, b, C6) == out
 
 
+def plain_merge(current, incoming, config):
+    """Every element that nothing has replaced is compared; the first of the best counts."""
+    out, taken = list(current), set()
+    for x in incoming:
+        best, at = 0.0, None
+        for i, y in enumerate(out):
+            if i not in taken and (s := M.similarity(y, x, config.field_weights)) > best:
+                best, at = s, i
+        if at is not None and best >= config.similarity_threshold:
+            out[at] = x
+            taken.add(at)
+        else:
+            out.append(x)
+    return out
+
+
+VALUES = st.recursive(st.one_of(st.text("abc", max_size=6), st.integers(0, 3), st.booleans(), st.none(), st.floats(0, 1)), lambda x: st.one_of(st.lists(x, max_size=3), st.dictionaries(st.sampled_from("pqr"), x, max_size=3)), max_leaves=6)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(VALUES, max_size=14), st.lists(VALUES, max_size=14), st.sampled_from([0.0, 0.3, 0.6, 0.9, 1.0, 1.5]), st.sampled_from([{}, {"p": 3.0, "q": 0.0}, {"p": -1.0}]))
+def test_the_index_changes_nothing(a, b, threshold, weights):
+    config = MergeConfig(similarity_threshold=threshold, field_weights=weights)
+    assert M.merged_array(a, b, config) == plain_merge(a, b, config)
+
+
+def sentences(n, rng):
+    words = ["".join(rng.choices("etaoinshrdlucmfw", range(16, 0, -1), k=rng.randint(2, 9))) for _ in range(3000)]
+    return [" ".join(rng.choices(words, k=rng.randint(3, 9))) for _ in range(n)]
+
+
+def test_arrays_of_many_texts_meet_few_candidates():
+    """Of arrays of a thousand texts the matcher sees under a tenth of all pairs; on a part of them the result is that of all pairs."""
+    rng = random.Random(9)
+    texts = sentences(1000, rng)
+    edited = [t[:-4] + "xyz" if rng.random() < 0.5 else s for t, s in zip(texts, sentences(1000, rng), strict=True)]
+    before = matching.Against.runs
+    out = M.merged_array(texts, edited, C6)
+    assert matching.Against.runs - before < 1000 * 1000 / 10 and 1200 < len(out) < 1800
+    assert M.merged_array(texts[:60], edited[:60], C6) == plain_merge(texts[:60], edited[:60], C6)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abcd", max_size=300), st.text("abcd", max_size=300))
+def test_bounds_hold(a, b):
+    against = matching.Against(b)
+    assert against.ratio(a) <= against.subsequence_bound(a) <= matching.length_bound(a, b)
+    shared = int(matching.np.minimum(matching.class_counts(a), matching.class_counts(b)).sum())
+    assert against.subsequence_bound(a) <= matching.ratio_of(shared, len(a), len(b))
+
+
 def test_column_bounds(spark):
     rows = spark.createDataFrame([("abc", "abd"), ("", ""), ("aa", "a"), ("xyz", "abc")], "a string, b string")
     for r in rows.select("a", "b", M.seq_ratio(F.col("a"), F.col("b")).alias("r"), M.length_bound(F.col("a"), F.col("b")).alias("l"), M.bag_bound(F.col("a"), F.col("b")).alias("g")).collect():
@@ -112,5 +164,7 @@ def test_schema_inference(spark):
     assert [f[:2] for f in by_text] == [f[:2] for f in fields]
     assert S.skeleton("actors", by_text) == {"name": "", "tags": [], "links": [{"target": "", "weight": 0}], "details": {"alive": False}}
     assert S.struct_of(sample).simpleString().startswith("struct<name:string,tags:array<string>")
+    deep = [("r[].a.b[].c", "integer", False), ("r[].a.b[].d", "list", False), ("r[].a.e", "object", False), ("r[].z", "list", False), ("r[].a", "object", False), ("r[].a.b", "list", False), ("other[].x", "string", False)]
+    assert S.skeleton("r", deep) == {"a": {"b": [{"c": 0, "d": []}], "e": {}}, "z": []}
     broken = "world:\n  <name>:\n    a: [1\n    b: true # note\n"
     assert S.infer(broken)[1] == [("world[].a", "string", False), ("world[].b", "boolean", False)]
