@@ -4,13 +4,14 @@ A page becomes a tree of block elements with text slots. The wrapper of a host i
 common, aligned one after another. The children of an element are a sequence of groups; a child that only some pages
 have is optional, one that follows itself is repeated, and where two pages disagree about the order, what lies between becomes
 one repeated group of optional members. So each element has one child of a name, and a wrapper is as large as the
-host's layouts are, however many pages it was made of. Slots remember on how many pages they are, how much of their text is
-in links, and which blocks all of these pages share.
+host's layouts are, however many pages it was made of. Slots remember how much of their text is
+in links, which blocks all of their pages share, and three of these pages that differ, if there are so many: copies of a
+page say nothing about what the host repeats.
 
 The wrapper decides which slots are main text, and pages are read by it: not what is in a menu, footer, form and so on
 by its element; not what is named as advert, comment and so on, unless the wrapper shows that the pages' own text is in
-it, or that the name is only similar and what it names is neither the same on all pages nor links; and on pages without an article, not
-slots of links and not blocks that all pages share.
+it. A name that is only similar takes away a block that is links, and in an article one that is links and the same on all pages. On
+pages without an article, blocks of links go, and blocks that all pages share, unless these are nearly all of the page's text.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ NEUTRAL = frozenset("0 area bar block body bottom box button buttons container c
 CONTAINERS = frozenset("article center dd details div dl dt figure fieldset header li main ol section table tbody td th tr ul".split())
 ROOTS = frozenset(("article", "main"))
 BATCH_BYTES = 8 << 20
+#: Different pages that must share a block before it counts as the host's.
+TOLD = 3
 
 
 @lru_cache(65536)
@@ -161,8 +164,8 @@ def blocks(page: str) -> Iterator[tuple]:
 
 class Element:
     """An element of a wrapper. ``groups``: its children in order, [repeated, names], "#" for text; a repeated group of
-    several names stands for any number of them. ``text``: characters of its slot, those in links, and the digests and lengths of the blocks
-    that are on all pages that have the slot."""
+    several names stands for any number of them. ``text``: characters of its slot, those in links, the digests and lengths of the blocks
+    that are on all pages that have the slot, and the digests of up to ``TOLD`` pages that differ and have it."""
 
     __slots__ = ("pages", "groups", "kids", "text")
 
@@ -225,6 +228,7 @@ def aligned(a: list[list], b: list[list]) -> list[list]:
 def page_wrapper(page: str) -> Element:
     """The wrapper of one page. Elements of one name within one parent count as one that is repeated."""
     top = Element()
+    slots, words = [], hashlib.blake2b(digest_size=8)
     stack: list[tuple[Element, list[str]]] = [(top, [])]
 
     def close() -> None:
@@ -246,12 +250,18 @@ def page_wrapper(page: str) -> Element:
             own, names = stack[-1]
             names.append("#")
             if own.text is None:
-                own.text = [0, 0, {}]
+                own.text = [0, 0, {}, []]
+                slots.append(own)
+            block = digest(event[2])
+            words.update(block.to_bytes(8, "little", signed=True))
             own.text[0] += event[3]
             own.text[1] += event[4]
-            own.text[2][digest(event[2])] = event[3]
+            own.text[2][block] = event[3]
     while stack:
         close()
+    page_digest = int.from_bytes(words.digest(), "little", signed=True)
+    for own in slots:
+        own.text[3].append(page_digest)
     return top
 
 
@@ -267,7 +277,7 @@ def merged(a: Element, b: Element) -> Element:
                 a_.text = b_.text
             else:
                 x, y = a_.text, b_.text
-                a_.text = [x[0] + y[0], x[1] + y[1], {k: v for k, v in x[2].items() if k in y[2]}]
+                a_.text = [x[0] + y[0], x[1] + y[1], {k: v for k, v in x[2].items() if k in y[2]}, sorted({*x[3], *y[3]})[:TOLD]]
         for name, kid in b_.kids.items():
             own = a_.kids.get(name)
             if own is None:
@@ -283,7 +293,7 @@ def dumped(top: Element) -> str:
     while todo:
         own, above, name = todo.pop()
         todo += [(kid, len(rows), n) for n, kid in own.kids.items()]
-        rows.append([above, name, own.pages, own.groups, None if own.text is None else [*own.text[:2], list(own.text[2].items())]])
+        rows.append([above, name, own.pages, own.groups, None if own.text is None else [*own.text[:2], list(own.text[2].items()), own.text[3]]])
     return json.dumps(rows)
 
 
@@ -291,7 +301,7 @@ def loaded(text: str) -> Element:
     got: list[Element] = []
     for above, name, pages, groups, slot in json.loads(text):
         own = Element(pages)
-        own.groups, own.text = groups, None if slot is None else [slot[0], slot[1], {k: v for k, v in slot[2]}]
+        own.groups, own.text = groups, None if slot is None else [slot[0], slot[1], {k: v for k, v in slot[2]}, slot[3]]
         got.append(own)
         if above >= 0:
             got[above].kids[name] = own
@@ -324,14 +334,14 @@ def expression(top: Element) -> str:
 
 def _weight(own: Element) -> int:
     """Characters of a slot that are neither in links nor shared by all pages."""
-    chars, links, common = own.text
-    shared = sum(common.values()) * own.pages if own.pages >= 3 else 0
+    chars, links, common, told = own.text
+    shared = sum(common.values()) * own.pages if len(told) >= TOLD else 0
     return max(0, chars - links - shared)
 
 
-def decided(top: Element) -> tuple[list[int], list[int]]:
-    """What a wrapper says about its pages: paths of slots that aren't main text, and (hashed with their paths) blocks
-    that aren't, of slots that are."""
+def decided(top: Element) -> tuple[list[int], list[int], list[int]]:
+    """What a wrapper says about its pages: paths of slots that aren't main text; (hashed with their paths) blocks that all of
+    several different pages share; paths of slots whose names make links of them."""
     order: list[tuple[Element, int, int, str, str, bool]] = []  # element, parent's place, path, tag, name, in an article
     todo = [(top, -1, 0, "", False)]
     while todo:
@@ -350,7 +360,7 @@ def decided(top: Element) -> tuple[list[int], list[int]]:
             weight[i] += _weight(own) if own.text is not None else 0
             if above >= 0:
                 weight[above] += weight[i]
-    away, blocks_away = [], []
+    away, shared, linked = [], [], []
     like = [False] * len(order)
     for i, (own, above, path, _, label, root) in enumerate(order):
         if above >= 0:
@@ -367,17 +377,18 @@ def decided(top: Element) -> tuple[list[int], list[int]]:
         gone[i] = gone[i] or (above >= 0 and gone[above])
         if own.text is None:
             continue
-        chars, links, common = own.text
-        share = links / chars
-        if gone[i] or (share >= 0.8 and not root) or (share >= 0.5 and like[i]):
+        if gone[i]:
             away.append(path)
-        elif own.pages >= 3 and (like[i] or not root):
-            blocks_away += [k ^ path for k in common]
-    return sorted(away), sorted(blocks_away)
+            continue
+        if like[i]:
+            linked.append(path)
+        if len(own.text[3]) >= TOLD and (like[i] or not root):
+            shared += [k ^ path for k in own.text[2]]
+    return sorted(away), sorted(shared), sorted(linked)
 
 
 def wrappers(pages: DataFrame, per_task: int = 64, held: int = 1000) -> DataFrame:
-    """(host, wrapper, away, shared): the wrapper of each host and what it decides, from all ``pages`` (host, html).
+    """(host, wrapper, away, shared, linked): the wrapper of each host and what it decides, from all ``pages`` (host, html).
 
     Tasks align the pages of a host that they meet, with ``held`` hosts at a time; what they made is dealt to tasks of
     about ``per_task`` wrappers of one host until there is one."""
@@ -414,46 +425,54 @@ def wrappers(pages: DataFrame, per_task: int = 64, held: int = 1000) -> DataFram
 
     def last(g: pd.DataFrame) -> pd.DataFrame:
         top = whole(g)
-        away, shared = decided(top)
-        return pd.DataFrame({"host": [g["host"].iloc[0]], "wrapper": [expression(top)], "away": [away], "shared": [shared]})
+        away, shared, linked = decided(top)
+        return pd.DataFrame({"host": [g["host"].iloc[0]], "wrapper": [expression(top)], "away": [away], "shared": [shared], "linked": [linked]})
 
     read = written(arrow_map(pages.select("host", "html"), reading, "host string, wrapper string"), "wrappers")
     while True:
         salts = written(read.groupBy("host").agg(F.ceil(F.count("*") / per_task).cast("int").alias("salts")), "salts")
         if salts.where("salts > 1").isEmpty():
-            return read.groupBy("host").applyInPandas(last, "host string, wrapper string, away array<long>, shared array<long>")
+            return read.groupBy("host").applyInPandas(last, "host string, wrapper string, away array<long>, shared array<long>, linked array<long>")
         dealt = read.join(salts, "host").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.col("salts")))
         read = written(dealt.groupBy("host", "salt").applyInPandas(some, "host string, wrapper string"), "wrappers")
 
 
-def main_text(page: str, away: set[int], shared: set[int]) -> str:
-    """The blocks that the page's wrapper takes for main text: those in an article, or else all."""
+def main_text(page: str, away: set[int], shared: set[int], linked: set[int]) -> str:
+    """The blocks that the page's wrapper takes for main text: those in an article, or else all. Each block is judged by its own
+    links. Without an article, what all pages share goes unless it is nearly all that the page has (three quarters), as it is of
+    a page that was crawled again and again with another date."""
     got = [b for b in blocks(page) if b[0] == "#" and b[1] not in away]
-    inside = [b[2] for b in got if b[5] and (not shared or b[1] ^ digest(b[2]) not in shared)]
-    return "\n\n".join(inside or [b[2] for b in got if not (b[1] ^ digest(b[2]) in shared or (b[4] >= 0.8 * b[3] and not b[5]))])
+    same = lambda b: bool(shared) and b[1] ^ digest(b[2]) in shared
+    inside = [b[2] for b in got if b[5] and not (b[1] in linked and 2 * b[4] >= b[3] and same(b))]
+    if inside:
+        return "\n\n".join(inside)
+    plain = [b for b in got if b[4] < (0.5 if b[1] in linked else 0.8) * b[3]]
+    own = [b for b in plain if not same(b)]
+    enough = 4 * sum(b[3] for b in own) >= sum(b[3] for b in plain)
+    return "\n\n".join(b[2] for b in (own if enough else plain))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row.
 
     A null html is the empty page, whose text is empty; a null url and one without a host share the empty
-    host's wrapper; repeated rows are extracted each, and count as pages of their own; pages of any length are read whole; other columns
-    are ignored; no rows in, no rows out.
+    host's wrapper; repeated rows are extracted each, and count as one page where the host's pages are told apart; pages of any
+    length are read whole; other columns are ignored; no rows in, no rows out.
     Character references are decoded, white space in a block is one space, blocks are joined by two line
     ends; nothing else is changed or cut."""
     host, _ = host_and_path()
     rows = pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    found = written(wrappers(rows), "decided").select("host", "away", "shared")
+    found = written(wrappers(rows), "decided").select("host", "away", "shared", "linked")
 
     def extracting():
         def each(batch: pa.RecordBatch):
             out = []
             for part in pieces_of(batch, BATCH_BYTES, "html"):
-                for page, away, shared in zip(*(part.column(c).to_pylist() for c in ("html", "away", "shared")), strict=True):
-                    out.append(main_text(page, set(away or ()), set(shared or ())))
+                for page, *decisions in zip(*(part.column(c).to_pylist() for c in ("html", "away", "shared", "linked")), strict=True):
+                    out.append(main_text(page, *(frozenset(x or ()) for x in decisions)))
             return {"page_id": batch.column("page_id"), "url": batch.column("url"), "text": out, "n_chars": [len(t) for t in out]}
 
         return each
 
     id_type = pages.schema["page_id"].dataType.simpleString()
-    return arrow_map(rows.join(found, "host", "left").select("page_id", "url", "html", "away", "shared"), extracting, f"page_id {id_type}, url string, text string, n_chars long")
+    return arrow_map(rows.join(found, "host", "left").select("page_id", "url", "html", "away", "shared", "linked"), extracting, f"page_id {id_type}, url string, text string, n_chars long")

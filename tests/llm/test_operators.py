@@ -499,6 +499,53 @@ def test_html_sign_off_goes_alone(spark):
     assert {r.page_id: r.text for r in got} == {i: f"First {i}\n\nSecond {i}" for i in range(5)}
 
 
+def test_html_copies_of_a_page_keep_its_text(spark):
+    """However often a page is there, and however often it was crawled again with another date; beside it, what different pages
+    share still goes."""
+    alone = "<h1>Title</h1><p>The whole text of one page.</p>"
+    other = lambda k: f"<div><p>Own {k}: {'abcdefgh'[k % 8] * 30}</p><p>Imprint</p></div>"
+    rows = [(n, f"http://a{n}.net/{k}", alone) for n in (1, 2, 3, 50) for k in range(n)]
+    rows += [(60, f"http://b.net/{k}", f"<p>Seen on day {k}</p>{alone}<p>{'Another long paragraph of it. ' * 9}</p>") for k in range(6)]
+    rows += [(70 + k, "http://c.net/x", other(k)) for k in range(4)] + [(80, "http://c.net/y", alone)] * 3
+    got = html_extract.extracted(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()
+    text = {r.page_id: r.text for r in got}
+    assert len(got) == len(rows) and all(text[n] == "Title\n\nThe whole text of one page." for n in (1, 2, 3, 50, 80))
+    assert all("The whole text" in r.text and "Another long" in r.text for r in got if r.page_id == 60)
+    assert all(text[70 + k] == f"Own {k}: {'abcdefgh'[k % 8] * 30}" for k in range(4))
+
+
+def test_html_links_are_judged_by_block(spark):
+    rows = [(k, f"http://d.net/{k}", f"<h1>T{k}</h1><p><a>one {k}</a></p><p><a>two {k}</a></p><p>plain text {k}</p>") for k in range(3)]
+    rows += [(10 + k, f"http://e.net/{k}", f"<article><h1>A{k}</h1><div class='share-price'><p>The share price fell.</p></div><p class='search'>How search works</p><p>Own {k}</p></article>") for k in range(4)]
+    rows += [(20, "http://f.net/x", "<main><h1>W</h1><ul class='related-work'><li><a>First paper</a></li><li><a>Second paper</a></li></ul><p>t</p></main>")]
+    rows += [(30 + k, f"http://g.net/{k}", f"<article><p>Own {k}</p><div class='share-bar'><p><a>Post it</a></p></div></article>") for k in range(4)]
+    text = {r.page_id: r.text for r in html_extract.extracted(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert all(text[k] == f"T{k}\n\nplain text {k}" for k in range(3))
+    assert all(text[10 + k] == f"A{k}\n\nThe share price fell.\n\nHow search works\n\nOwn {k}" for k in range(4))
+    assert text[20] == "W\n\nFirst paper\n\nSecond paper\n\nt" and all(text[30 + k] == f"Own {k}" for k in range(4))
+
+
+def test_html_without_article_against_brute_force(spark):
+    """Hosts whose pages are a menu, a notice, paragraphs of their own and some of links: blocks that every page of a host has, and
+    links, go; all else stays, in order, whatever the layout and however often pages repeat."""
+    rng = random.Random(11)
+    rows, want = [], {}
+    for h in range(12):
+        tag = ("p", "div", "section", "td")[h % 4]
+        notice = f"Notice of host {h}"
+        for k in range(rng.randint(3, 9)):
+            own = [f"Paragraph {h} {k} {j} " + " ".join(rng.choices(WORDS, k=rng.randint(12, 30))) for j in range(rng.randint(1, 5))]
+            parts = [f"<{tag}>{t}</{tag}>" for t in own]
+            for j in range(rng.randint(0, 2)):
+                parts.insert(rng.randint(0, len(parts)), f"<{tag}><a href=x>link {h} {k} {j}</a></{tag}>")
+            page = f"<body><nav><p>Menu</p></nav><div>{notice}</div>{'<table><tr>' * (tag == 'td')}{''.join(parts)}{'</tr></table>' * (tag == 'td')}</body>"
+            for _ in range(rng.choice((1, 1, 3))):
+                rows.append((f"{h}-{k}", f"http://h{h}.org/{k}", page))
+            want[f"{h}-{k}"] = "\n\n".join(" ".join(t.split()) for t in own)
+    got = html_extract.extracted(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()
+    assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want
+
+
 def test_pipeline_stages_follow_brute_force(spark):
     import corpus_pipeline as P
 

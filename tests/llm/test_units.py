@@ -182,8 +182,8 @@ def wrapper_of(pages):
 
 
 def texts_of(*pages):
-    away, shared = (set(x) for x in html_extract.decided(wrapper_of(pages)))
-    return [html_extract.main_text(p, away, shared) for p in pages]
+    decisions = [set(x) for x in html_extract.decided(wrapper_of(pages))]
+    return [html_extract.main_text(p, *decisions) for p in pages]
 
 
 def test_main_text_of_a_page():
@@ -220,9 +220,11 @@ def test_wrapper_decides_by_variation_links_and_weight():
     art = lambda i, extra: f"<article><h1>T{i}</h1><p>Body of page {i}.</p>{extra}</article>"
     # A name that only holds a word of the list decides nothing by itself.
     assert texts_of(art(1, '<div class="share-price"><p>The share price fell.</p></div><p class="search">How search works</p>')) == ["T1\n\nBody of page 1.\n\nThe share price fell.\n\nHow search works"]
-    # The same text on all pages under such a name, or links, are no main text.
-    assert texts_of(*(art(i, '<p class="site-notice-de">We moved</p>') for i in range(3))) == [f"T{i}\n\nBody of page {i}." for i in range(3)]
-    assert texts_of(art(1, '<p class="related-x"><a href=a>one</a> <a href=b>two</a></p>')) == ["T1\n\nBody of page 1."]
+    # Inside an article neither equal text nor links take such a block away, only both.
+    assert texts_of(*(art(i, '<p class="site-notice-de">We moved</p>') for i in range(3))) == [f"T{i}\n\nBody of page {i}.\n\nWe moved" for i in range(3)]
+    related = '<p class="related-x"><a href=a>one</a> <a href=b>two</a></p>'
+    assert texts_of(art(1, related)) == ["T1\n\nBody of page 1.\n\none two"]
+    assert texts_of(*(art(i, related) for i in range(3))) == [f"T{i}\n\nBody of page {i}." for i in range(3)]
     # An article's own repeated paragraph stays, and an odd page takes nothing from the others.
     same = [art(i, "<p>The same</p>") for i in range(4)]
     assert texts_of(*same, "<article><section><p>odd</p></section></article>") == [*(f"T{i}\n\nBody of page {i}.\n\nThe same" for i in range(4)), "odd"]
