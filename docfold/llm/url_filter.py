@@ -1,7 +1,9 @@
 """URL filters: rules by host and path, and templates learned from the pages that rules label.
 
-Each host's paths form a tree. Level by level, segments with too few pages to tell them from each other are variable and
-become a wildcard (their extension is kept). The other branches are compared with each other: those whose subtrees have
+Each host's paths form a tree. Segments with too few pages to tell them from each other are variable and
+become a wildcard (their extension is kept). Stretches where a node's paths go one way, or where no segment has pages enough to be a
+section, are found for all nodes at once from counts of (place, segment), and passed in one step, so that rounds are as many as a path has
+branchings, not segments. The other branches are compared with each other: those whose subtrees have
 the same shape are pooled, those without labelled pages with the labelled ones, and a branch whose share of blocked pages among the
 labelled ones, or of its subtree's main shape, differs significantly from the rest of its pool leaves it. What is left is
 merged. The leaves are templates; those whose smoothed labelled purity is high are rejected, with their pages without
@@ -67,16 +69,19 @@ def _merged(shapes: DataFrame, chi2: float) -> DataFrame:
         other = {c: F.col("all_" + c) - F.col(c) for c in "banm"}
         by_label = _chi2(F.col("b"), F.col("a"), other["b"], other["a"])
         by_shape = _chi2(F.col("m"), F.col("n") - F.col("m"), other["m"], other["n"] - other["m"])
-        tested = written(left.join(written(rest, "pools"), pool).withColumn("x", F.greatest(by_label, by_shape)), "tested")
-        # What differs most leaves first: others may only differ from it.
-        most = tested.groupBy(*pool).agg(F.max("x").alias("most"))
-        both = written(tested.join(written(most, "most"), pool).withColumn("out", (F.col("x") >= chi2) & (F.col("x") * 2 >= F.col("most"))), "compared")
-        alone.append(both.where("out").select(*NODE, "_seg", F.col("_seg").alias("_name")))
-        if both.where("out").isEmpty():
+        both = written(left.join(written(rest, "pools"), pool).withColumn("x", F.greatest(by_label, by_shape)), "tested")
+        differ = not both.where(F.col("x") >= chi2).isEmpty()
+        if differ:
+            # What differs most leaves first: others may only differ from it.
+            most = both.groupBy(*pool).agg(F.max("x").alias("most"))
+            both = written(both.join(written(most, "most"), pool).withColumn("out", (F.col("x") >= chi2) & (F.col("x") * 2 >= F.col("most"))), "compared")
+            alone.append(both.where("out").select(*NODE, "_seg", F.col("_seg").alias("_name")))
+        else:
             # The only pool of a node goes with its values.
             pools = both.where("k > 1").groupBy(*NODE).agg((F.count_distinct("_shape", "lean") > 1).alias("several"))
             name = F.when(F.col("k") == 1, F.col("_seg")).when(F.col("several"), F.concat(F.lit("{"), "first", F.lit("}")))
-            return reduce(DataFrame.unionByName, alone).unionByName(both.join(written(pools, "several"), NODE, "left").select(*NODE, "_seg", name.alias("_name")))
+            kept = both.join(written(pools, "several"), NODE, "left").select(*NODE, "_seg", name.alias("_name"))
+            return reduce(DataFrame.unionByName, [*alone, kept])
         left = both.where("not out").select(*left.columns)
 
 
@@ -86,37 +91,74 @@ def _shape(segments: Column) -> Column:
     return F.regexp_replace(words, r"(?<=^|/)[0-9]+(?=[/.]|$)", "0")
 
 
+def _extension(segment: Column) -> Column:
+    return F.concat(F.lit("*"), F.regexp_extract(segment, r"\.[A-Za-z]{1,5}$", 0))
+
+
+def _stretches(open_: DataFrame, chi2: float) -> DataFrame:
+    """host, _t, pages, ways: of each node, its pages, and what is decided about the next places of its paths without looking at branches:
+    true for a segment that all of them share, false for a wildcard. A wildcard that tells pages apart, by their extension or as some end
+    there, is the last one. The others are no sections whatever they are merged with: 2n < chi2."""
+    each = open_.select(*NODE, F.posexplode("_rest").alias("at", "segment"))
+    counts = each.groupBy(*NODE, "at", "segment").agg(F.count("*").alias("n"))
+    ends = F.count_distinct(_extension(F.col("segment")))
+    places = counts.groupBy(*NODE, "at").agg(F.sum("n").alias("n"), F.max("n").alias("top"), ends.alias("ends"))
+    listed = places.groupBy(*NODE).agg(F.array_sort(F.collect_list(F.struct("at", "n", "top", "ends"))).alias("p")).withColumn("pages", F.get("p", F.lit(0))["n"])
+    same = lambda x: x["top"] == F.col("pages")
+    free = lambda x: x["top"] * 2 < chi2
+    whole = lambda x: (x["n"] == F.col("pages")) & (same(x) | (free(x) & (x["ends"] == 1)))
+    # The places before the first that isn't whole, and that one too if it is a wildcard.
+    stop = F.coalesce(F.get(F.filter(F.transform("p", lambda x, i: F.when(~whole(x), i)), lambda i: i.isNotNull()), F.lit(0)), F.size("p"))
+    last = F.coalesce(free(F.get("p", stop)), F.lit(False)).cast("int")
+    return listed.select(*NODE, "pages", F.transform(F.slice("p", F.lit(1), stop + last), same).alias("ways"), (last == 0).alias("decide"))
+
+
+def _passed(rows: DataFrame, ways: Column, wild: Column | None = None) -> DataFrame:
+    """rows with the first of their segments named as ``ways`` says (true: as they are), as many as it has; all of them, as
+    wildcards, where ``wild`` holds."""
+    n = F.when(wild, F.size("_rest")).otherwise(F.least(F.size(ways), F.size("_rest")))
+    taken = F.slice("_rest", F.lit(1), n)
+    kept = lambda i: F.coalesce(~wild & F.get(ways, i), F.lit(False))
+    names = F.transform(taken, lambda x, i: F.when(kept(i), x).otherwise(_extension(x)))
+    value = F.transform(taken, lambda x, i: F.when(~kept(i), F.struct((i + F.col("_at")).cast("int").alias("place"), x.alias("segment"))))
+    return (
+        rows.withColumn("_names", names).withColumn("values", F.concat("values", F.filter(value, lambda x: x.isNotNull()))).withColumn("_t", F.concat("_t", F.when(n > 0, F.lit("/")).otherwise(""), F.array_join("_names", "/")))
+        .withColumn("_at", F.col("_at") + n).withColumn("_rest", F.slice("_rest", n + 1, F.greatest(F.size("_rest") - n, F.lit(0)))).drop("_names")
+    )
+
+
 def templates(pages: DataFrame, chi2: float = 6.63) -> DataFrame:
     """Adds ``template`` and ``values`` to rows with ``host``, ``path`` and ``label`` (1 blocked, 0 allowed, else null).
 
     ``values``: the generalised segments (place, segment) of the row's path. ``chi2``: the statistic from which two branches
-    differ (6.63: one in a hundred, one degree of freedom). The tree is as deep as the paths."""
-    cur = pages.withColumn("_segs", F.split(F.regexp_replace("path", "^/", ""), "/")).withColumn("_t", F.lit("")).withColumn("values", F.array().cast("array<struct<place:int,segment:string>>"))
-    done, level = [], 0
-    extension = lambda seg: F.concat(F.lit("*"), F.regexp_extract(seg, r"\.[A-Za-z]{1,5}$", 0))
+    differ (6.63: one in a hundred, one degree of freedom). The tree is as deep as the paths; nodes of so few pages that they have no sections
+    are followed to the end at once."""
+    none = F.array().cast("array<struct<place:int,segment:string>>")
+    cur = written(pages.select(*pages.columns, F.split(F.regexp_replace("path", "^/", ""), "/").alias("_rest"), F.lit(0).alias("_at"), F.lit("").alias("_t"), none.alias("values")), "paths")
+    columns, done, round_ = cur.columns, [], 0
+    finished = lambda rows: rows.select(*pages.columns, F.col("_t").alias("template"), "values")
     while True:
-        done.append(cur.where(F.size("_segs") <= level).drop("_segs"))
-        open_ = cur.where(F.size("_segs") > level)
-        if level >= 4:
-            # Nodes of so few pages have no sections; their paths are followed to the end at once.
-            size = written(open_.groupBy(*NODE).agg((F.count("*") * 2 < chi2).alias("_few")), "few")
-            open_ = open_.join(size, NODE)
-            end = F.slice("_segs", level + 1, F.greatest(F.size("_segs") - level, F.lit(0)))
-            few = open_.where("_few").withColumn("_t", F.concat("_t", F.lit("/"), F.array_join(F.transform(end, extension), "/")))
-            few = few.withColumn("values", F.concat("values", F.transform(end, lambda x, i: F.struct((i + level).cast("int").alias("place"), x.alias("segment")))))
-            done.append(few.drop("_segs", "_few"))
-            open_ = open_.where("not _few").drop("_few")
-        after = F.array_join(F.slice("_segs", level + 2, F.greatest(F.size("_segs") - level - 1, F.lit(0))), "/")
-        open_ = written(open_.withColumn("_seg", F.get("_segs", F.lit(level))).withColumn("_shape", _shape(after)), f"level{level}")
-        if open_.isEmpty():
-            return reduce(DataFrame.unionByName, done).withColumnRenamed("_t", "template")
-        shapes = written(open_.groupBy(*NODE, "_seg", "_shape").agg(F.count_if(F.col("label") == 1).alias("b"), F.count_if(F.col("label") == 0).alias("a"), F.count("*").alias("n")), "shapes")
+        done.append(finished(cur.where(F.size("_rest") == 0)))
+        open_ = cur.where(F.size("_rest") > 0)
         # Written, so that the join can split the rows of a host that has a third of all.
-        named = open_.join(written(_merged(shapes, chi2), "branches"), [*NODE, "_seg"], "left")
-        value = F.struct(F.lit(level).alias("place"), F.col("_seg").alias("segment"))
-        named = named.withColumn("values", F.when(F.col("_name") == F.col("_seg"), F.col("values")).otherwise(F.concat("values", F.array(value))))
-        cur = written(named.withColumn("_t", F.concat("_t", F.lit("/"), F.coalesce("_name", extension(F.col("_seg"))))).drop("_name", "_seg", "_shape"), f"after{level}")
-        level += 1
+        ways = written(_stretches(open_, chi2), "stretches")
+        if ways.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        few = F.col("pages") * 2 < chi2
+        gone = written(_passed(open_.join(ways, NODE), F.col("ways"), few), f"passed{round_}")
+        left = gone.where((F.size("_rest") > 0) & F.col("decide"))
+        cur = gone.where((F.size("_rest") == 0) | ~F.col("decide")).select(*columns)
+        after = F.array_join(F.slice("_rest", F.lit(2), F.greatest(F.size("_rest") - 1, F.lit(0))), "/")
+        left = left.withColumn("_seg", F.get("_rest", F.lit(0))).withColumn("_shape", _shape(after))
+        shapes = written(left.groupBy(*NODE, "_seg", "_shape").agg(F.count_if(F.col("label") == 1).alias("b"), F.count_if(F.col("label") == 0).alias("a"), F.count("*").alias("n")), "shapes")
+        if not shapes.isEmpty():
+            named = left.join(written(_merged(shapes, chi2), "branches"), [*NODE, "_seg"], "left")
+            value = F.struct(F.col("_at").alias("place"), F.col("_seg").alias("segment"))
+            named = named.withColumn("values", F.when(F.col("_name") == F.col("_seg"), F.col("values")).otherwise(F.concat("values", F.array(value))))
+            named = named.withColumn("_t", F.concat("_t", F.lit("/"), F.coalesce("_name", _extension(F.col("_seg"))))).withColumn("_at", F.col("_at") + 1)
+            named = named.withColumn("_rest", F.slice("_rest", F.lit(2), F.greatest(F.size("_rest") - 1, F.lit(0))))
+            cur = written(cur.unionByName(named.select(*columns)), f"after{round_}")
+        round_ += 1
 
 
 def purities(rows: DataFrame, strength: float, prior: float) -> DataFrame:

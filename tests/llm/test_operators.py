@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docfold.llm import bpe, exact_dedup, fingerprints, html_extract, minhash, packing, secrets, substring, toxicity, url_filter
+from docfold.llm.common import written as common_written
 from docfold.llm.queries import oracle_sql, queries
 
 public = pytest.importorskip("public_tokenizers")
@@ -456,6 +457,22 @@ def test_long_paths_are_followed_to_their_end(spark):
     assert set(got) == {"/" + "/".join(["*"] * 400) + "/*.html", "/a/b/c/d/e/f/g/x/*", "/a/b/c/d/e/f/g/y/*"}
 
 
+def test_traps_of_many_segments_take_few_rounds(spark, monkeypatch):
+    """Paths of 400 segments, of many pages each: one way all along, no segment twice, both by turns, and a fork at the end."""
+    tables = []
+    monkeypatch.setattr(url_filter, "written", lambda df, name: (tables.append(name), common_written(df, name))[1])
+    one, rng = [f"d{i}" for i in range(400)], random.Random(4)
+    paths = ["/" + "/".join([*one, f"{i}.html"]) for i in range(30)]
+    paths += ["/trap/" + "/".join(f"x{rng.randrange(10**9)}" for _ in range(400)) for _ in range(30)]
+    paths += ["/turn/" + "/".join(f"s{j}/{rng.randrange(10**9)}" for j in range(200)) for _ in range(30)]
+    paths += ["/fork/" + "/".join([*one, s, str(i)]) for s, y in (("x", 1), ("y", 0)) for i in range(30)]
+    labels = {p: 1 if "/d399/x/" in p else 0 if "/d399/y/" in p else None for p in paths}
+    got = {t: len(ps) for t, ps in templates_of(spark, list(labels.items())).items()}
+    deep = "/".join(one)
+    assert got == {f"/{deep}/*.html": 30, "/trap" + "/*" * 400: 30, "/turn/" + "/".join(f"s{j}/*" for j in range(200)): 30, f"/fork/{deep}/x/*": 30, f"/fork/{deep}/y/*": 30}
+    assert len(tables) < 60
+
+
 def test_html_extraction(spark):
     page = lambda i, extra="": f"<html><body><nav><a>home</a></nav><div class='ad'>buy {i}</div><article><h1>Title {i}</h1><p>Text &amp; {i}<p>More{extra}</article><footer>&copy; me</footer>"
     plain = lambda i: f"<body><div><a>Menu of all</a></div><div id=top>Same everywhere</div><div class=x><p>Own text {i}</p></div></body>"
