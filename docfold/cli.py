@@ -46,9 +46,10 @@ def add(path: Path, book: Path) -> int:
     to.parent.mkdir(exist_ok=True)
     if to.resolve() != book.resolve():
         shutil.copyfile(book, to)
-    c = C.load(path)
-    name = f"input/{book.name}"
-    C.save(C.AppConfig(**{**c.__dict__, "input_epubs": (*c.input_epubs, *(() if name in c.input_epubs else (name,)))}), path)
+    raw = C.yaml.safe_load(path.read_text(encoding="utf-8")) or {}
+    name, have = f"input/{book.name}", list(raw.get("input_epubs") or ())
+    if name not in have:  # nothing else of the file changes
+        C.write(raw | {"input_epubs": [*have, name]}, path)
     return 0
 
 

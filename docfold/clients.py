@@ -10,10 +10,10 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
-from docfold.functions.text import ERROR_CODE, ERROR_LENGTH, PARAGRAPH, TITLE, WHITE
+from docfold.functions.text import ERROR_CODE, ERROR_LENGTH, PARAGRAPH, ROOT_PATTERNS, TITLE, WHITE
 
 TIMEOUT = 300
-ROOT_PATTERNS = (r"root_key\s*[:=]\s*`?([A-Za-z_][A-Za-z0-9_-]*)`?", r"(?m)^([A-Za-z_][A-Za-z0-9_-]*):\s*$")
+BASE_URL = "https://api.openai.com/v1"
 
 
 class Client(Protocol):
@@ -73,6 +73,8 @@ class ChatStream:
     timeout: float = TIMEOUT
 
     def __call__(self, prompt: str) -> Iterator[str]:
+        if not self.api_key:
+            raise RuntimeError("the service's key (model.api_key) is missing")
         body = {"model": self.model, "stream": True, "messages": [{"role": "user", "content": prompt}]}
         request = urllib.request.Request(f"{self.url.rstrip('/')}/chat/completions", json.dumps(body).encode(), {"Content-Type": "application/json", "Accept": "text/event-stream", "Authorization": f"Bearer {self.api_key}"})
         try:
@@ -111,6 +113,7 @@ def compact(text: str, most: int = ERROR_LENGTH) -> str:
 
 
 def client_of(model: dict[str, Any]) -> Client:
-    if model.get("provider", "echo") == "echo" or not model.get("base_url"):
+    """The service if there is a key for it, whatever else is given; else the echo. An explicit ``provider: echo`` stays one."""
+    if not model.get("api_key") or model.get("provider") == "echo":
         return Echo()
-    return ChatStream(str(model["base_url"]), str(model.get("name", "")), str(model.get("api_key", "")))
+    return ChatStream(str(model.get("base_url") or BASE_URL), str(model.get("name") or ""), str(model["api_key"]))

@@ -68,6 +68,8 @@ class AppConfig:
     batching: BatchingConfig = field(default_factory=BatchingConfig)
     merge: MergeConfig = field(default_factory=MergeConfig)
     runtime: RuntimeConfig = field(default_factory=RuntimeConfig)
+    #: The mapping that it was read from, with the keys that nothing here knows.
+    given: dict[str, Any] = field(default_factory=dict, compare=False, repr=False)
 
 
 def _section(kind, given: dict[str, Any] | None):
@@ -95,11 +97,20 @@ def from_mapping(raw: dict[str, Any]) -> AppConfig:
         batching=_section(BatchingConfig, raw.get("batching")),
         merge=_section(MergeConfig, raw.get("merge")),
         runtime=_section(RuntimeConfig, raw.get("runtime")),
+        given=raw,
     )
 
 
+def over(given: Any, known: Any) -> Any:
+    """``known`` over ``given``: mappings key by key in the order of ``given``, all else as known."""
+    if not isinstance(given, dict) or not isinstance(known, dict):
+        return known
+    return {k: over(v, known[k]) if k in known else v for k, v in given.items()} | {k: v for k, v in known.items() if k not in given}
+
+
 def to_mapping(config: AppConfig) -> dict[str, Any]:
-    return {
+    """All settings, and what else stood where they were read from."""
+    known = {
         "input_epubs": list(config.input_epubs),
         "schema_paths": list(config.schema_paths),
         "prompt_templates": list(config.prompt_templates),
@@ -112,6 +123,7 @@ def to_mapping(config: AppConfig) -> dict[str, Any]:
         "blacklist_keywords": list(config.blacklist_keywords),
         "merge": asdict(config.merge),
     }
+    return over(config.given, known)
 
 
 def load(path: str | Path) -> AppConfig:
@@ -119,4 +131,8 @@ def load(path: str | Path) -> AppConfig:
 
 
 def save(config: AppConfig, path: str | Path) -> None:
-    Path(path).write_text(yaml.safe_dump(to_mapping(config), allow_unicode=True, sort_keys=False), encoding="utf-8")
+    write(to_mapping(config), path)
+
+
+def write(raw: dict[str, Any], path: str | Path) -> None:
+    Path(path).write_text(yaml.safe_dump(raw, allow_unicode=True, sort_keys=False), encoding="utf-8")

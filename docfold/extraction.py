@@ -22,7 +22,7 @@ from docfold.operators.increments import GONE, decode, encode, parsed, sanitized
 from docfold.operators.schema import MATCH_KEY
 from docfold.operators.similarity import merged
 
-ATTEMPTS = "book string, schema string, batch_id string, parent_batch_id string, depth int, start_idx long, end_idx long, retry int, template string, prompt string, response string, chunks int, status string, error string, increment string, replaced int, appended int, seq long, stamp string"
+ATTEMPTS = "book string, schema string, batch_id string, parent_batch_id string, depth int, start_idx long, end_idx long, retry int, template string, prompt string, response string, chunks int, status string, error string, increment string, replaced int, appended int, seq long, stamp string, errors int"
 
 
 #: Gets (book, schema, batch_id, chunk).
@@ -66,7 +66,7 @@ class Task:
 
     def row(self, batch: dict, **more: Any) -> dict:
         self.seq += 1
-        return {"book": self.book, "schema": self.schema["schema"], **{k: batch[k] for k in ("batch_id", "parent_batch_id", "depth", "start_idx", "end_idx")}, "retry": 0, "template": "", "prompt": "", "response": "", "chunks": 0, "error": "", "increment": None, "replaced": 0, "appended": 0, "seq": self.seq, "stamp": time.strftime("%Y-%m-%d %H:%M:%S", time.gmtime())} | more
+        return {"book": self.book, "schema": self.schema["schema"], **{k: batch[k] for k in ("batch_id", "parent_batch_id", "depth", "start_idx", "end_idx")}, "retry": 0, "template": "", "prompt": "", "response": "", "chunks": 0, "error": "", "increment": None, "replaced": 0, "appended": 0, "errors": 0, "seq": self.seq, "stamp": time.strftime("%Y-%m-%d %H:%M:%S", time.gmtime())} | more
 
     def attempt(self, batch: dict, retry: int, template: dict, error: str) -> dict:
         prompt = render(template["content"], prompt_values(batch["chapters"], batch["batch_id"], self.schema, self.state, self.world, error))
@@ -82,19 +82,19 @@ class Task:
         text = "".join(chunks)
         base |= {"response": text, "chunks": len(chunks)}
         if hit := next((k for k in self.config.blacklist_keywords if k.strip() and k in text), None):
-            return self.row(batch, **base, status="blacklisted", error=f"blacklisted keyword: {hit}")
+            return self.row(batch, **base, status="blacklisted", errors=1, error=f"blacklisted keyword: {hit}")
         data, why = parsed(text)
         if data is None:
-            return self.row(batch, **base, status="unparsed", error=why)
+            return self.row(batch, **base, status="unparsed", errors=1, error=why)
         clean = sanitized(data)
         clean = {} if clean is GONE else clean
         found = validated(clean, self.schema["root_key"], self.schema["sample"], self.config.runtime.validation)
         if found:
-            return self.row(batch, **base, status="invalid", error="; ".join(f"{p}: {r}" for p, r in found))
+            return self.row(batch, **base, status="invalid", errors=len(found), error="; ".join(f"{p}: {r}" for p, r in found))
         try:
             self.state, old, new = upsert(self.state, clean, self.schema["root_key"], self.config)
         except ValueError as e:
-            return self.row(batch, **base, status="invalid", error=str(e))
+            return self.row(batch, **base, status="invalid", errors=1, error=str(e))
         return self.row(batch, **base, status="merged", increment=encode(clean), replaced=old, appended=new)
 
     def run(self, first: dict) -> Iterator[dict]:
@@ -135,16 +135,18 @@ def halves(batch: dict) -> list[dict]:
 
 
 def with_chapters(batches: DataFrame, chapters: DataFrame) -> DataFrame:
-    """Batches with their chapters as an ordered array: each batch's places are listed, and joined by (book, place)."""
+    """Batches with their chapters as an ordered array, and their ``turn`` in their book, which is told before texts are joined: each
+    batch's places are listed, and joined by (book, place)."""
     c = F.struct("chapter_index", "chapter_id", "title", "text")
-    places = batches.select("book", "batch_id", "start_idx", "end_idx", F.explode(F.sequence("start_idx", "end_idx")).alias("chapter_index"))
+    turn = F.row_number().over(Window.partitionBy("book").orderBy("start_idx", "batch_id"))
+    places = batches.select("book", "batch_id", "start_idx", "end_idx", turn.alias("turn")).select("*", F.explode(F.sequence("start_idx", "end_idx")).alias("chapter_index"))
     rows = places.join(chapters.select("book", F.col("chapter_index").cast("long").alias("chapter_index"), "chapter_id", "title", "text"), ["book", "chapter_index"])
-    return rows.groupBy("book", "batch_id", "start_idx", "end_idx").agg(F.array_sort(F.collect_list(c)).alias("chapters"))
+    return rows.groupBy("book", "batch_id", "start_idx", "end_idx", "turn").agg(F.array_sort(F.collect_list(c)).alias("chapters"))
 
 
 def attempts(batches: DataFrame, schemas: list[dict], templates: list[dict], client: Client, config: AppConfig, states: DataFrame | None = None, workers: int | None = None, fair: bool = False, sink: Sink | None = None) -> DataFrame:
-    """All attempts (see ATTEMPTS) at batches with chapters, for every schema: (schema, root_key, schema_text,
-    sample). ``states`` has (book, schema, state, world, last_completed): where tasks go on from; they reach a task as one row that
+    """All attempts (see ATTEMPTS) at batches with chapters (see ``with_chapters``), for every schema: (schema, root_key, schema_text,
+    sample). Texts are shuffled once, to the streams. ``states`` has (book, schema, state, world, last_completed): where tasks go on from; they reach a task as one row that
     comes before its batches.
 
     ``workers``: streams at most, and so calls to the model at a time. ``fair``: a stream gives each of its tasks one batch in turn,
@@ -152,13 +154,12 @@ def attempts(batches: DataFrame, schemas: list[dict], templates: list[dict], cli
     result before using it: the model is asked again whenever it is recomputed."""
     by_name = {s["schema"]: s for s in schemas}
     names = F.array(*[F.lit(s["schema"]) for s in schemas])
-    rows = batches.select("book", "batch_id", "start_idx", "end_idx", "chapters").withColumn("schema", F.explode(names))
+    rows = batches.select("book", "batch_id", "start_idx", "end_idx", "turn", "chapters").withColumn("schema", F.explode(names))
     nothing = F.lit(None).cast("string")
     if states is not None:
         done = states.select("book", "schema", "last_completed")
         rows = rows.join(done, ["book", "schema"], "left").where(F.col("start_idx") > F.coalesce("last_completed", F.lit(0))).drop("last_completed")
-    turn = F.row_number().over(Window.partitionBy("book", "schema").orderBy("start_idx"))
-    rows = rows.withColumn("state", nothing).withColumn("world", nothing).withColumn("turn", turn)
+    rows = rows.withColumn("state", nothing).withColumn("world", nothing)
     if states is not None:
         seeds = states.select("book", "schema", "state", "world").where(F.col("schema").isin(list(by_name))).withColumn("turn", F.lit(0))
         rows = rows.unionByName(seeds, allowMissingColumns=True)

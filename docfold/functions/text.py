@@ -15,6 +15,8 @@ ERROR_LENGTH = 240
 #: What is looked for in error pages.
 TITLE = "(?is)<title>(.*?)</title>"
 PARAGRAPH = "(?is)<p>(.*?)</p>"
+#: What names the root in a prompt, in this order.
+ROOT_PATTERNS = (r"root_key\s*[:=]\s*`?([A-Za-z_][A-Za-z0-9_-]*)`?", r"(?m)^([A-Za-z_][A-Za-z0-9_-]*):\s*$")
 ERROR_CODE = "(?i)Error[\\s\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*([0-9]{3,4})"
 
 
@@ -121,7 +123,7 @@ def delta_text(chunk: Column) -> Column:
     return F.coalesce(F.when(kind == "STRING", F.try_variant_get(content, "$", "string")).when(kind.startswith("ARRAY"), joined), F.lit(""))
 
 
-def root_of_prompt(prompt: Column, patterns: tuple[str, ...] = (r"root_key\s*[:=]\s*`?([A-Za-z_][A-Za-z0-9_-]*)`?", r"(?m)^([A-Za-z_][A-Za-z0-9_-]*):\s*$")) -> Column:
+def root_of_prompt(prompt: Column, patterns: tuple[str, ...] = ROOT_PATTERNS) -> Column:
     """The first pattern's group that matches the prompt; null if none does."""
     return F.coalesce(*[F.nullif(F.regexp_extract(prompt, p, 1), F.lit("")) for p in patterns])
 

@@ -165,7 +165,7 @@ def run_summary(rows: DataFrame) -> DataFrame:
 
 def transitions(attempts: DataFrame) -> DataFrame:
     """(book, schema, at, step, event, batch_id, status, detail, n, m, chapter, total): the events that attempts (with ``total``
-    chapters) stand for, in order of (at, step).
+    chapters, and ``errors``, how many issues an answer had) stand for, in order of (at, step).
 
     running: detail is the template, n the retry. stream: detail says received or interrupted, n counts chunks. validation: detail says
     passed or failed, n counts errors. merge: n replaced, m appended. batch_completed: chapter is the batch's last. split and failed:
@@ -179,11 +179,10 @@ def transitions(attempts: DataFrame) -> DataFrame:
     s = F.col("status")
     tried, merged_ = ~s.isin("split", "failed"), s == "merged"
     after = F.when(F.col("end_idx") >= F.col("total"), "completed").otherwise("running")
-    errors = F.when(merged_, 0).otherwise(F.greatest(F.lit(1), F.size(F.split(F.coalesce("error", F.lit("")), "; "))))
     all_ = F.array(
         event(1, "running", tried, F.lit("running"), F.col("template"), F.col("retry")),
         event(2, "stream", tried, detail=F.when(s == "interrupted", "interrupted").otherwise("received"), n=F.col("chunks")),
-        event(3, "validation", tried & (s != "interrupted"), detail=F.when(merged_, "passed").otherwise("failed"), n=errors),
+        event(3, "validation", tried & (s != "interrupted"), detail=F.when(merged_, "passed").otherwise("failed"), n=F.col("errors")),
         event(4, "merge", merged_, n=F.col("replaced"), m=F.col("appended")),
         event(5, "batch_completed", merged_, after, chapter=F.col("end_idx")),
         event(6, "split", s == "split", F.lit("splitting"), F.col("error")),

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docfold.clients import Client
 from docfold.config import AppConfig
-from docfold.extraction import Sink, attempts, with_chapters
+from docfold.extraction import ATTEMPTS, Sink, attempts, with_chapters
 from docfold.operators.batching import batches, batches_streamed
+from docfold.operators.control import numbered
 from docfold.sinks.ledger import Ledger, export
 
+#: Leases for each worker, about: how finely books are shared out (each is a Spark job, so more cost more), and the books of one.
+LEASES, BOOKS = 8, 256
+
 
 @dataclass
 class Pipeline:
@@ -38,21 +45,52 @@ class Pipeline:
         going_on = self.config.runtime.resume and self.ledger.pointer()["runs"]
         return plan, self.ledger.resume(self.config.merge) if going_on else None
 
-    def attempts(self, chapters: DataFrame) -> DataFrame:
+    def attempts(self, chapters: DataFrame, root: str | None = None) -> DataFrame:
+        """All attempts, by leases; what is written on the way is under ``root``.
+
+        The plan is written once, with the books dealt to leases in their order (a book a lease, unless there are more than ``LEASES``
+        for a worker; ``BOOKS`` a lease at most). A step of the work is a lease with a schema; steps are taken first schema first, so book after book has its turn, by
+        as many threads as there are workers: whichever ends its step first takes the next one, and a slow book holds up nothing but
+        itself. A step is a Spark job of one task, within which each (book, schema) keeps its order."""
+        spark, root = chapters.sparkSession, root or f"{self.ledger.root}/leases/{uuid.uuid4().hex}"
         plan, states = self.prepare(chapters)
-        return attempts(plan, self.schemas, self.templates, self.client, self.config, states, self.workers, self.workers > 1, self.sink)
+        books = chapters.select("book").distinct()
+        most = max(LEASES * self.workers, -(-books.count() // BOOKS))
+        books = numbered(books, ["book"], "lease")
+        dealt = plan.join(books.select("book", F.pmod("lease", F.lit(most)).cast("int").alias("lease")), "book")
+        dealt.repartition("lease").write.partitionBy("lease").parquet(f"{root}/plan")
+        if states is not None:
+            states.join(books.select("book"), "book", "left_semi").write.parquet(f"{root}/states")
+        plan = spark.read.schema(dealt.schema).parquet(f"{root}/plan")
+        leases = sorted((r.lease for r in plan.select("lease").distinct().collect()), key=lambda n: n or most)
+
+        @inheritable_thread_target(spark)
+        def step(taken: tuple[int, dict, int]) -> str:
+            no, schema, lease = taken
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", "steps")
+            own = plan.where(F.col("lease") == lease).drop("lease")
+            begin = spark.read.parquet(f"{root}/states").join(own.select("book").distinct(), "book", "left_semi") if states is not None else None
+            path = f"{root}/attempts/{no}"
+            attempts(own, [schema], self.templates, self.client, self.config, begin, 1, True, self.sink).write.parquet(path)
+            return path
+
+        steps = [(schema, lease) for schema in self.schemas for lease in leases]
+        if not steps:
+            return spark.createDataFrame([], ATTEMPTS)
+        with ThreadPoolExecutor(self.workers) as pool:
+            paths = list(pool.map(step, [(no, *s) for no, s in enumerate(steps)]))
+        return spark.read.schema(ATTEMPTS).parquet(*paths)
 
     def run(self, chapters: DataFrame) -> DataFrame:
         """Commits a run's attempts and exports documents and log; the tasks' progress."""
-        chapters = chapters.persist()
+        chapters, steps = chapters.persist(), f"leases/{uuid.uuid4().hex}"
         try:
             totals = chapters.groupBy("book").agg(F.max("chapter_index").alias("total"))
-            self.ledger.commit(self.attempts(chapters), self.schemas, totals, self.config.merge)
-            out = f"{self.ledger.root}/output"
-            export(self.ledger.documents(self.config.merge), out)
-            self.ledger.initialise(self.schemas, [r.book for r in totals.select("book").toLocalIterator()], out)
+            self.ledger.commit(self.attempts(chapters, f"{self.ledger.root}/{steps}"), self.schemas, totals, self.config.merge)
+            export(self.ledger.all_documents(totals, self.schemas, self.config.merge), f"{self.ledger.root}/output")
             self.ledger.export_log(f"{self.ledger.root}/logs")
         finally:
+            self.ledger.files.delete(steps)
             chapters.unpersist()
         return self.ledger.progress()
 

@@ -57,11 +57,9 @@ def m5_flat_similarity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
-    """Of each order's lines, in order: the lengths of the first three, and of the fourth (of orders that have one)."""
-    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_quantity"))
-    li = table(spark, sf, "lineitem").select("l_orderkey", n.alias("n"), F.col("l_quantity").cast("int").alias("q")).where("n <= 4")
-    first = F.array_sort(F.collect_list(F.when(F.col("n") <= 3, F.struct("n", "q"))))
-    return li.groupBy("l_orderkey").agg(first.alias("have"), F.max(F.when(F.col("n") == 4, F.col("q"))).alias("new")).where("new IS NOT NULL")
+    """Each order's lines' lengths, in order."""
+    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity")))
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.transform(lines, lambda x: x["l_quantity"].cast("int")).alias("q"))
 
 
 #: The ratio of a run of one character with another.
@@ -70,14 +68,14 @@ inc AS (SELECT l_orderkey, l_linenumber AS n, q FROM li WHERE l_linenumber > 3),
 pr AS (SELECT inc.l_orderkey, inc.n AS incoming, cur.n AS existing, 2.0::DOUBLE * least(inc.q, cur.q) / (inc.q + cur.q) AS ratio, cur.q AS cq, inc.q AS iq FROM inc JOIN cur USING (l_orderkey))"""
 
 
-@query("""WITH li AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS n, CAST(l_quantity AS INT) AS q FROM lineitem),
-b AS (SELECT c.l_orderkey, arg_max(c.n, (2.0 * least(i.q, c.q) / (i.q + c.q), -c.n)) AS spot, max(2.0 * least(i.q, c.q) / (i.q + c.q)) AS best, any_value(i.q) AS iq FROM li c JOIN li i ON i.l_orderkey = c.l_orderkey AND i.n = 4 WHERE c.n <= 3 GROUP BY c.l_orderkey)
-SELECT b.l_orderkey, string_agg(CASE WHEN li.n = spot AND best >= 0.6 THEN iq ELSE li.q END::VARCHAR, ',' ORDER BY li.n) || CASE WHEN any_value(best) >= 0.6 THEN '' ELSE ',' || any_value(iq) END AS lengths FROM b JOIN li ON li.l_orderkey = b.l_orderkey AND li.n <= 3 GROUP BY b.l_orderkey""")
+@query("""WITH li AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS n, count(*) OVER (PARTITION BY l_orderkey) AS c, CAST(l_quantity AS INT) AS q FROM lineitem),
+b AS (SELECT i.l_orderkey, arg_max(o.n, (2.0 * least(i.q, o.q) / (i.q + o.q), -o.n)) AS spot, max(2.0 * least(i.q, o.q) / (i.q + o.q)) AS best, any_value(i.q) AS iq FROM li i LEFT JOIN li o ON o.l_orderkey = i.l_orderkey AND o.n < o.c WHERE i.n = i.c GROUP BY i.l_orderkey)
+SELECT b.l_orderkey, string_agg(CASE WHEN li.n = spot AND best >= 0.6 THEN iq ELSE li.q END::VARCHAR, ',' ORDER BY li.n) FILTER (WHERE li.n < li.c OR best < 0.6 OR best IS NULL) AS lengths FROM b JOIN li ON li.l_orderkey = b.l_orderkey GROUP BY b.l_orderkey""")
 def a6_arg_max(spark: SparkSession, sf: str) -> DataFrame:
-    """An incoming text takes the place of the first of the most similar ones, or is appended."""
+    """An incoming text (the last line) takes the place of the first of the most similar ones before it, or is appended."""
     def each(r):
-        out = S.merged_array(["x" * int(h["q"]) for h in r["have"]], ["x" * int(r["new"])], MergeConfig())
-        return [(r["l_orderkey"], ",".join(str(len(t)) for t in out))]
+        *have, new = ["x" * int(q) for q in r["q"]]
+        return [(r["l_orderkey"], ",".join(str(len(t)) for t in S.merged_array(have, [new], MergeConfig())))]
 
     return by_row(_texts(spark, sf), each, "l_orderkey long, lengths string")
 
@@ -105,15 +103,15 @@ def a5_penalised_mean(spark: SparkSession, sf: str) -> DataFrame:
     return by_row(rows, each, "l_orderkey long, same double, shorter double")
 
 
-@query("WITH n AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey, CASE WHEN n = 1 THEN 0.0 WHEN n = 2 THEN 0.5 ELSE round((n - 1) / n::DOUBLE, 12) END::DOUBLE AS score FROM n WHERE n < 3")
+@query("WITH n AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey, round((n - 1) / (n + 1.0::DOUBLE) * n / (n + 1), 12)::DOUBLE AS score FROM n")
 def j5_greedy_lists(spark: SparkSession, sf: str) -> DataFrame:
     """Each left element claims its best unclaimed right one, also one that is unlike: a later equal one may find it taken."""
     def each(r):
         b = list(range(int(r["n"])))
-        a = [99, *b[1:]]  # 99 is like none and claims 0
+        a = [99, *b[1:], 0]  # 99 is like none and claims 0, which is gone when its equal comes
         return [(r["l_orderkey"], round(S.similarity(a, b, {}), 12))]
 
-    return by_row(table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")).where("n < 3"), each, "l_orderkey long, score double")
+    return by_row(table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")), each, "l_orderkey long, score double")
 
 
 SAMPLE = {"name": "", "tags": [""], "details": {"height": 0}}
@@ -165,23 +163,22 @@ def a9_error_counts(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("status").agg(F.count("*").alias("n"), F.sum("issues").alias("error_count"))
 
 
-@query("SELECT n_nationkey, round(CASE WHEN length(n_name) > 4 THEN list_unique(list_intersect(l1, l2)) / list_unique(list_concat(l1, l2))::DOUBLE ELSE 1.0 END, 9) AS sim FROM (SELECT *, [n_name[1], n_name[2], n_name[3]] AS l1, [n_name[2], n_name[4]] AS l2 FROM nation) WHERE length(n_name) > 4")
+@query("SELECT n_nationkey, round(list_unique(list_intersect(l1, l2)) / list_unique(list_concat(l1, l2))::DOUBLE, 9) AS sim FROM (SELECT *, [n_name[1], n_name[2], n_name[3]] AS l1, [n_name[2], n_name[4]] AS l2 FROM nation)")
 def o7_key_union(spark: SparkSession, sf: str) -> DataFrame:
     """Similarity goes over the keys of both sides, in order; a key that one lacks counts as unlike."""
     def each(r):
         n = r["n_name"]
         return [(r["n_nationkey"], round(S.similarity({c: 1 for c in n[:3]}, {c: 1 for c in n[1] + n[3]}, {}), 9))]
 
-    return by_row(table(spark, sf, "nation").where(F.length("n_name") > 4).select("n_nationkey", "n_name"), each, "n_nationkey long, sim double")
+    return by_row(table(spark, sf, "nation").select("n_nationkey", "n_name"), each, "n_nationkey long, sim double")
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'invalid json' WHEN 2 THEN 'document is empty' ELSE 'root must be mapping' END AS error FROM events""")
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN props END AS node, CASE event_id % 4 WHEN 1 THEN '$: invalid yaml' WHEN 2 THEN '$: yaml document is empty' WHEN 3 THEN '$: yaml root must be mapping' END AS error FROM events""")
 def p4_parse_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers that are JSON, which YAML contains: the same parser, fenced or not."""
     k = F.col("event_id") % 4
-    body = F.when(k == 0, F.col("props")).when(k == 1, "{broken").when(k == 2, "null").otherwise("[1]")
-    v = F.try_parse_json(body)
-    error = F.when(v.isNull(), "invalid json").when(F.schema_of_variant(v) == "VOID", "document is empty").when(~F.schema_of_variant(v).startswith("OBJECT"), "root must be mapping")
-    return table(spark, sf, "events").select("event_id", error.alias("error"))
+    body = F.when(k == 0, F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))).when(k == 1, "{broken").when(k == 2, "null").otherwise("[1]")
+    return table(spark, sf, "events").select("event_id", I.parse_yaml(body).alias("x")).select("event_id", "x.node", F.substring_index("x.error", ":", 2).alias("error"))
 
 
 @query("SELECT n_nationkey, 'name=' || trim(n_name) || CASE WHEN n_nationkey % 2 = 0 THEN ',note=x' ELSE '' END AS kept FROM nation")

@@ -98,13 +98,14 @@ def o9_queue_order(spark: SparkSession, sf: str) -> DataFrame:
     return attempts(plan, SCHEMAS, TEMPLATES, Marker(), settings(), workers=4, fair=True).select("book", "batch_id", "seq")
 
 
-@query(f"WITH RECURSIVE {RUN} SELECT book::VARCHAR AS book, batch_id, CASE WHEN broken THEN '[broken' WHEN a % 3 = 0 THEN 'actors:' || chr(10) ELSE 'actors:' || chr(10) || '  e' || (a % 4) || ':' || chr(10) || '    last: ' || batch_id || chr(10) || '    n: ' || (b - a + 1) || chr(10) END AS response, CASE WHEN broken THEN 2 WHEN a % 3 = 0 THEN 1 ELSE 2 END AS chunks, CASE WHEN broken THEN 'unparsed' WHEN a % 3 = 0 THEN 'interrupted' ELSE 'merged' END AS status FROM named WHERE d = 0 AND a = 1 OR d = 0 AND a = 3 AND NOT EXISTS (SELECT 1 FROM named o WHERE o.book = named.book AND o.a < 3 AND o.a % 3 = 0)")
+@query(f"WITH RECURSIVE {RUN} SELECT book::VARCHAR AS book, batch_id, CASE WHEN broken THEN '[broken' WHEN a % 3 = 0 THEN 'actors:' || chr(10) ELSE 'actors:' || chr(10) || '  e' || (a % 4) || ':' || chr(10) || '    last: ' || batch_id || chr(10) || '    n: ' || (b - a + 1) || chr(10) END AS response, CASE WHEN broken THEN 2 WHEN a % 3 = 0 THEN 1 ELSE 2 END AS chunks, CASE WHEN broken THEN 'unparsed' WHEN a % 3 = 0 THEN 'interrupted' ELSE 'merged' END AS status FROM named WHERE d = 0 AND NOT EXISTS (SELECT 1 FROM merged o WHERE o.book = named.book AND o.a < named.a AND o.a % 3 = 0)")
 def k5_partial_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """What has come of an answer that breaks off is kept, with the number of its chunks."""
+    """What has come of an answer that breaks off is kept, with the number of its chunks. That fails a task, so its later batches
+    aren't tried."""
     b = books(spark, sf)
     plan = with_chapters(B.batches_streamed(b, settings().batching), b)
     rows = attempts(plan, SCHEMAS, TEMPLATES, Marker(stops=True), settings())
-    return rows.where("retry = 0 AND depth = 0 AND start_idx IN (1, 3) AND template <> ''").select("book", "batch_id", "response", "chunks", "status")
+    return rows.where("retry = 0 AND depth = 0 AND template <> ''").select("book", "batch_id", "response", "chunks", "status")
 
 
 @query(f"WITH RECURSIVE {RUN}, s AS ({STATE}) SELECT book::VARCHAR AS book, entity, row_number() OVER (PARTITION BY book ORDER BY first) - 1 AS ordinal, '{{\"last\": \"' || last || '\", \"n\": ' || n || '}}' AS node, touches FROM s")

@@ -248,6 +248,6 @@ def s9_config(spark: SparkSession, sf: str) -> DataFrame:
     def each(r):
         k = r["o_orderkey"]
         c = config.from_mapping({"batching": {"max_input_tokens": str(k % 9000), "enable_checkpoint": k % 2 == 0, "checkpoint_every_n_chapters": k % 12}, "unknown": 1, "concurrency": {"max_workers": "3"}})
-        return [(k, c.batching.budget, c.batching.window, config.from_mapping(config.to_mapping(c)) == c and c.max_workers == 3)]
+        return [(k, c.batching.budget, c.batching.window, config.from_mapping(config.to_mapping(c)) == c and c.max_workers == 3 and config.to_mapping(c)["unknown"] == 1)]
 
     return by_row(table(spark, sf, "orders").select("o_orderkey"), each, "o_orderkey long, budget long, window_size long, same boolean")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 from typing import Any
@@ -58,25 +59,44 @@ class Files:
         path, fs = self._at(f"{folder}/{key}=*")
         return sorted(int(str(f.getPath().getName()).partition("=")[2]) for f in fs.globStatus(path) or ())
 
+    def pairs(self, one: str, two: str) -> list[tuple[str, str]]:
+        """The values (a, b) of the folders ``<one>=<a>/<two>=<b>``."""
+        path, fs = self._at(f"{one}=*/{two}=*")
+        found = [f.getPath() for f in fs.globStatus(path) or ()]
+        return [(str(f.getParent().getName()).partition("=")[2], str(f.getName()).partition("=")[2]) for f in found]
+
     def latest(self, name: str, default: Any = None) -> tuple[int, Any]:
         """The greatest version and what it says; 0 and ``default`` without one."""
         have = self.versions(name)
         return (have[-1], self.read(f"{name}-{have[-1]}.json")) if have else (0, default)
 
     def publish(self, name: str, version: int, value: Any, keep: int = 8) -> None:
-        """Makes ``value`` the next version: written beside and renamed to a name that must be new, so a reader sees the old
-        version or all of the new one, whenever the writer stops. Of two writers of a version, one fails."""
+        """Makes ``value`` the next version: written beside and given a name that must be new, so a reader sees the old
+        version or all of the new one, whenever the writer stops. Of two writers of a version, one fails, where giving a name is one step
+        that fails if it is taken: a rename on HDFS and what behaves like it, a hard link on local disks, where a rename would replace. Stores
+        whose rename copies (plain object stores) can let both win; put the ledger's pointer on one of the others there."""
         path, fs = self._at(f"{name}-{version}.json")
         beside, _ = self._at(f"_{name}-{version}-{uuid.uuid4().hex}.tmp")
         out = fs.create(beside, True)
         out.write(bytearray(json.dumps(value, ensure_ascii=False), "utf-8"))
         out.close()
-        if fs.exists(path) or not fs.rename(beside, path):
+        if not self._named(fs, beside, path):
             fs.delete(beside, False)
             raise ConcurrentWrite(f"{name} has a version {version} already")
         for old in self.versions(name)[:-keep]:
             self.delete(f"{name}-{old}.json")
 
+    def _named(self, fs, beside, path) -> bool:
+        """Whether the file got its name, which nothing had before."""
+        if str(fs.getUri().getScheme()) != "file":
+            return not fs.exists(path) and fs.rename(beside, path)
+        try:
+            os.link(str(beside.toUri().getPath()), str(path.toUri().getPath()))
+        except FileExistsError:
+            return False
+        fs.delete(beside, False)
+        return True
+
     def delete(self, name: str) -> None:
         path, fs = self._at(name)
         fs.delete(path, True)

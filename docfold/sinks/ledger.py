@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import datetime
 import json
+import re
 import uuid
-from dataclasses import asdict
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,15 @@ def now() -> str:
     return datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
+@dataclass(frozen=True)
+class View:
+    """The levels of the snapshot that count, runs that they don't have, and tasks restored since: (book, schema, after)."""
+
+    levels: list[dict]
+    new_runs: list[int]
+    restored: list[dict]
+
+
 class Ledger:
     """Versions of the pointer are files of their own, the greatest counts. Whatever a writer leaves half done isn't named by
     one and never seen; nothing that a version names is deleted or written again."""
@@ -68,14 +78,45 @@ class Ledger:
         return run
 
     def snapshot(self, config: MergeConfig = MergeConfig()) -> None:  # noqa: B008
-        """Writes the state as of now and names it: later folds go on from it."""
+        """Writes what entries have become since the last snapshot, as a level over it: later folds go on from the last level that has
+        an entry. After a restore, and of a merge by other settings, the state is written whole. Levels are merged as soon as they are
+        not half of the one below, so there are few, and a commit writes in proportion to what it touches."""
         seen, p = self.files.latest(POINTER, {})
         p = EMPTY | p
         if not p["runs"]:
             return
-        name = f"state/{max(p['runs'])}-{len(p['hidden'])}-{uuid.uuid4().hex}"
-        self._folded(config).write.mode("errorifexists").parquet(f"{self.root}/{name}")
-        self._publish(seen, p | {"snapshot": {"path": name, "runs": p["runs"], "hidden": len(p["hidden"]), "config": asdict(config)}})
+        view = self._view(p, config)
+        whole = view.restored or not view.levels
+        if not whole and not view.new_runs:
+            return
+        levels = [] if whole else list(view.levels)
+        levels.append(self._level(self._refolded(view, config, only_touched=not whole), p["runs"]))
+        while len(levels) > 1 and 2 * levels[-1]["rows"] > levels[-2]["rows"]:
+            upper = [levels.pop(), levels.pop()]
+            levels.append(self._level(self._latest(upper[::-1]), p["runs"]))
+        self._publish(seen, p | {"snapshot": {"levels": levels, "hidden": len(p["hidden"]), "config": asdict(config)}})
+
+    def _level(self, rows: DataFrame, runs: list[int]) -> dict:
+        name = f"state/{max(runs)}-{uuid.uuid4().hex}"
+        rows.write.mode("errorifexists").parquet(f"{self.root}/{name}")
+        return {"path": name, "runs": runs, "rows": self.spark.read.schema(FOLDED).parquet(f"{self.root}/{name}").count()}
+
+    def _latest(self, levels: list[dict], restored: list[dict] | None = None) -> DataFrame:
+        """Each entry as the last of the levels has it; of restored tasks, the last that knows nothing of what is hidden."""
+        rows = None
+        for i, level in enumerate(levels):
+            one = self.spark.read.schema(FOLDED).parquet(f"{self.root}/{level['path']}")
+            for h in restored or ():
+                if max(level["runs"]) * ORDER > h["after"] - ORDER:
+                    one = one.where(~((F.col("book") == h["book"]) & (F.col("schema") == h["schema"])))
+            one = one.withColumn("level", F.lit(i))
+            rows = one if rows is None else rows.unionByName(one)
+        if rows is None:
+            return self.spark.createDataFrame([], FOLDED)
+        if len(levels) == 1:
+            return rows.drop("level")
+        last = F.max_by(F.struct("first", "node", "touches"), "level").alias("x")
+        return rows.groupBy(*KEYS).agg(last).select(*KEYS, "x.*")
 
     def attempts(self) -> DataFrame:
         """Visible attempts with ``run`` and ``at``, their place in the order."""
@@ -94,35 +135,57 @@ class Ledger:
             return self.spark.createDataFrame([], "book string, total long")
         return self.spark.read.parquet(*[f"{self.root}/totals/run={r}" for r in p["totals"]]).groupBy("book").agg(F.max("total").cast("long").alias("total"))
 
-    def _usable(self, p: dict, config: MergeConfig, upto: dict | None) -> dict | None:
-        """The snapshot, if it is of the same merge and nothing has been hidden since."""
+    def _view(self, p: dict, config: MergeConfig, upto: dict | None = None) -> View:
+        """The levels that a fold can go on from, and what they don't have. None, if they are of another merge, or if a run became visible
+        that comes before what they have folded."""
         s = p["snapshot"]
-        return s if s and not upto and s["hidden"] == len(p["hidden"]) and s["config"] == asdict(config) else None
+        levels = s["levels"] if s and s["config"] == asdict(config) else []
+        folded_ = set(levels[-1]["runs"]) if levels else set()
+        new = [r for r in p["runs"] if r not in folded_]
+        if levels and new and min(new) < max(folded_):
+            levels, new = [], p["runs"]
+        restored = p["hidden"][s["hidden"] :] if levels else []
+        if upto:
+            restored = [*restored, {"book": upto["book"], "schema": upto["schema"], "after": upto["at"]}]
+        return View(levels, new, restored)
 
     def _folded(self, config: MergeConfig, upto: dict | None = None) -> DataFrame:
         """(book, schema, entity, first, node, touches) of all entries: those of the snapshot, and the merged increments
         after it."""
-        p = self.pointer()
-        snapshot = self._usable(p, config, upto)
+        view = self._view(self.pointer(), config, upto)
+        if view.levels and not view.new_runs and not view.restored:
+            return self._latest(view.levels)
+        return self._refolded(view, config, upto)
+
+    def _refolded(self, view: View, config: MergeConfig, upto: dict | None = None, only_touched: bool = False) -> DataFrame:
+        """What the levels and the increments after them come to. A restored task goes on from the nearest level before the place that
+        it was restored to."""
         rows = self.attempts().where("status = 'merged'")
         if upto:
             rows = rows.where((F.col("book") == upto["book"]) & (F.col("schema") == upto["schema"]) & (F.col("at") <= upto["at"]))
-        if snapshot:
-            rows = rows.where(~F.col("run").isin(snapshot["runs"]))
+        if view.levels:
+            known = F.lit(max(view.levels[-1]["runs"]))
+            for h in view.restored:
+                before = [max(x["runs"]) for x in view.levels if max(x["runs"]) * ORDER <= h["after"] - ORDER]
+                mine = (F.col("book") == h["book"]) & (F.col("schema") == h["schema"])
+                known = F.when(mine, F.least(known, F.lit(max(before, default=0)))).otherwise(known)
+            rows = rows.where(F.col("run") > known)
         out = None
-        for schema, root in p["schemas"].items():
+        for schema, root in self.pointer()["schemas"].items():
             one = entries(rows.where(F.col("schema") == schema).select("book", "schema", F.col("at").alias("seq"), F.col("increment").alias("node")), root).where("entity is not null")
             out = one if out is None else out.unionByName(one)
         if out is None:
             return self.spark.createDataFrame([], FOLDED)
-        keys = ("book", "schema", "entity")
-        new = out.select(*keys, "seq", "node", F.struct("seq", "pos").alias("first"), F.lit(1).cast("long").alias("touches"))
-        if not snapshot:
-            return _fold(new, config, keys)
-        old = self.spark.read.schema(FOLDED).parquet(f"{self.root}/{snapshot['path']}")
-        touched = new.select(*keys).distinct()
-        again = old.join(touched, list(keys), "left_semi").select(*keys, F.lit(0).cast("long").alias("seq"), "node", "first", "touches")
-        return _fold(again.unionByName(new), config, keys).unionByName(old.join(touched, list(keys), "left_anti"))
+        new = out.select(*KEYS, "seq", "node", F.struct("seq", "pos").alias("first"), F.lit(1).cast("long").alias("touches"))
+        if not view.levels:
+            return _fold(new, config, KEYS)
+        old = self._latest(view.levels, view.restored)
+        if upto:
+            old = old.where((F.col("book") == upto["book"]) & (F.col("schema") == upto["schema"]))
+        touched = new.select(*KEYS).distinct()
+        again = old.join(touched, list(KEYS), "left_semi").select(*KEYS, F.lit(0).cast("long").alias("seq"), "node", "first", "touches")
+        now_ = _fold(again.unionByName(new), config, KEYS)
+        return now_ if only_touched else now_.unionByName(old.join(touched, list(KEYS), "left_anti"))
 
     def state(self, config: MergeConfig = MergeConfig(), upto: dict | None = None) -> DataFrame:  # noqa: B008
         """(book, schema, entity, ordinal, node, touches): entries in the order in which they first came."""
@@ -216,13 +279,23 @@ class Ledger:
         self._publish(seen, p | {"hidden": [*p["hidden"], hide]})
         return found["checkpoint_id"]
 
-    def initialise(self, schemas: list[dict], books: list[str], path: str) -> int:
-        """Writes an empty document for each (book, schema) that has none under ``path``; says how many."""
-        out = Files(self.spark, path)
-        new = [(b, s["schema"], json.dumps({s["root_key"]: {}})) for b in books for s in schemas if not out.exists(f"book={b}/schema={s['schema']}")]
-        if new:
-            export(self.spark.createDataFrame(new, "book string, schema string, state string"), path, "append")
-        return len(new)
+    def initialise(self, schemas: list[dict], books: list[str] | DataFrame, path: str) -> int:
+        """Writes an empty document for each (book, schema) that has none under ``path``; says how many. What is there is listed once."""
+        if not isinstance(books, DataFrame):
+            books = self.spark.createDataFrame([(b,) for b in books], "book string")
+        have = self.spark.createDataFrame(exported_tasks(Files(self.spark, path)), "book string, schema string")
+        new = _empty(books, schemas).join(have, ["book", "schema"], "left_anti").persist()
+        try:
+            if n := new.count():
+                export(new, path, "append")
+            return n
+        finally:
+            new.unpersist()
+
+    def all_documents(self, books: DataFrame, schemas: list[dict], config: MergeConfig = MergeConfig()) -> DataFrame:  # noqa: B008
+        """(book, schema, state) of every book with every schema: the empty document where nothing was merged."""
+        have = self.documents(config).withColumnRenamed("state", "now")
+        return _empty(books, schemas).join(have, ["book", "schema"], "left").select("book", "schema", F.coalesce("now", "state").alias("state"))
 
     def vacuum(self) -> list[int]:
         """Deletes the folders of runs that no version of the pointer that is kept names; their numbers. Not while another writes."""
@@ -240,6 +313,7 @@ class Ledger:
         return to_yaml(decode(row["state"]) if row else {root: {}})
 
 
+KEYS = ("book", "schema", "entity")
 FOLDED = "book string, schema string, entity string, first struct<seq:bigint,pos:bigint>, node string, touches long"
 
 
@@ -249,6 +323,22 @@ def _fold(rows: DataFrame, config: MergeConfig, keys: tuple[str, ...]) -> DataFr
     return folded(rows, config, keys).drop("touches").join(meta, list(keys)).select(*keys, "first", "node", "touches")
 
 
+def _empty(books: DataFrame, schemas: list[dict]) -> DataFrame:
+    """(book, schema, state) of every book with every schema: documents without entries."""
+    each = F.explode(F.array(*[F.struct(F.lit(s["schema"]).alias("schema"), F.lit(json.dumps({s["root_key"]: {}})).alias("state")) for s in schemas])).alias("x")
+    return books.select("book").distinct().select("book", each).select("book", "x.*")
+
+
+def exported_tasks(files: Files) -> list[tuple[str, str]]:
+    """(book, schema) of the documents that were exported to a folder, from one listing."""
+    return [(unescaped(x), unescaped(y)) for x, y in files.pairs("book", "schema")]
+
+
+def unescaped(name: str) -> str:
+    """A value from the name of a folder, where Spark writes what a path can't hold as % and two digits."""
+    return re.sub("%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), name)
+
+
 def to_yaml(data: object) -> str:
     class Indented(yaml.SafeDumper):
         def increase_indent(self, flow=False, indentless=False):

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from docfold import cli
 from docfold import config as C
-from docfold.clients import Echo, Scripted, delta_of, error_text
-from docfold.extraction import attempts, with_chapters
-from docfold.operators.batching import batches
+from docfold.clients import ChatStream, Echo, Scripted, client_of, delta_of, error_text
+from docfold.extraction import ATTEMPTS, attempts, with_chapters
+from docfold.operators.batching import batches, batches_streamed
+from docfold.pipeline import Pipeline
 from docfold.sinks.ledger import Ledger, to_yaml
 from docfold.sources.epub import book_id, page_text, read_epubs
 from docfold.streaming.upsert import StateTable, upsert_stream
@@ -229,6 +230,58 @@ def test_restoring_needs_all_its_files(spark, tmp_path):
         ledger.restore("bk", "characters", 2, latest=True)
 
 
+def given(spark, run, rows):
+    """Merged attempts: (book, chapter, {entity: mapping})."""
+    ddl = ATTEMPTS
+    base = {"schema": "characters", "parent_batch_id": "", "depth": 0, "retry": 0, "template": "t", "prompt": "", "response": "", "chunks": 1, "status": "merged", "error": "", "replaced": 0, "appended": 1, "stamp": "", "errors": 0}
+    out = [base | {"book": b, "batch_id": f"ch{c:04d}-ch{c:04d}-d0", "start_idx": c, "end_idx": c, "increment": json.dumps({"actors": e}), "seq": i + 1} for i, (b, c, e) in enumerate(rows)]
+    return spark.createDataFrame([tuple(r[x.split()[0]] for x in ddl.split(", ")) for r in out], ddl)
+
+
+def test_snapshots_are_levels(spark, tmp_path):
+    """A commit writes what it touches, levels stay few, and a restored task goes on from the nearest level before its place."""
+    kept, plain = Ledger(spark, str(tmp_path / "k")), Ledger(spark, str(tmp_path / "p"))
+    state = lambda x: sorted((r.book, r.entity, r.ordinal, r.node, r.touches) for r in x.state().collect())
+    written = []
+    for run in range(1, 8):
+        rows = [("a", c, {f"e{c}": {"n": c}}) for c in range(1, 41)] if run == 1 else [("b" if run % 2 else "a", 40 + run, {f"e{run}": {"n": 100 * run}, "new": {"run": run}})]
+        for ledger in (kept, plain):
+            ledger.commit(given(spark, run, rows), [SCHEMA], spark.createDataFrame([("a", 60), ("b", 60)], "book string, total long"), C.MergeConfig() if ledger is kept else None)
+        levels = kept.pointer()["snapshot"]["levels"]
+        written.append([x["rows"] for x in levels])
+        assert state(kept) == state(plain)
+    assert written[0] == [40] and written[1] == [40, 2] and all(len(x) <= 4 for x in written)
+    for ledger in (kept, plain):
+        ledger.restore("a", "characters", 1, "ch0044")
+    view = kept._view(kept.pointer(), C.MergeConfig())
+    assert view.restored and state(kept) == state(plain)
+    for ledger in (kept, plain):
+        ledger.commit(given(spark, 8, [("a", 45, {"e1": {"n": -1}})]), [SCHEMA], snapshot=C.MergeConfig() if ledger is kept else None)
+    assert len(kept.pointer()["snapshot"]["levels"]) == 1 and state(kept) == state(plain)
+    upto = plain.checkpoints(1).where("checkpoint_id = 'ch0042' AND book = 'a'").first()
+    at = lambda x: [r.state for r in x.documents(upto={"book": "a", "schema": "characters", "at": upto["at"]}).collect()]
+    assert at(kept) == at(plain) and at(plain)
+
+
+def test_a_slow_book_holds_up_only_itself(spark, tmp_path):
+    """Two workers: while one is busy with the slow book, the other does all the others; the order within a task stays."""
+    import time
+
+    class Slow:
+        def __call__(self, prompt):
+            if "SLOW" in prompt:
+                time.sleep(9)
+            yield "actors: {}"
+
+    c = C.AppConfig(max_workers=2, runtime=C.RuntimeConfig(retry_count=1, retry_backoff_seconds=0), batching=C.BatchingConfig(enable_multi_chapter=False))
+    rows = [(f"b{i}", k, f"i{k}", "t", "SLOW" if i == 0 else "x", 1) for i in range(6) for k in ((1,) if i == 0 else (1, 2))]
+    ch = spark.createDataFrame(rows, "book string, chapter_index long, chapter_id string, title string, text string, token_estimate long")
+    out = Pipeline(Ledger(spark, str(tmp_path / "w")), [SCHEMA], [{"name": "t", "content": "{{source_text}}"}], Slow(), c).attempts(ch).collect()
+    slow = next(r.stamp for r in out if r.book == "b0")
+    assert len(out) == 11 and all(r.stamp <= slow for r in out)
+    assert all([r.seq for r in sorted(out, key=lambda r: r.start_idx) if r.book == b] == [1, 2] for b in ("b1", "b5"))
+
+
 def test_log_and_transitions(spark, tmp_path):
     from docfold.operators.control import progress_of
 
@@ -285,7 +338,7 @@ def test_chat_service(tmp_path):
 
     server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
     threading.Thread(target=server.serve_forever, daemon=True).start()
-    client = ChatStream(f"http://127.0.0.1:{server.server_port}/", "m")
+    client = ChatStream(f"http://127.0.0.1:{server.server_port}/", "m", "key")
     assert list(client("ok")) == ["ac", "tors: {}"]
     with pytest.raises(RuntimeError, match="HTTP 522: Down . Cloudflare 522 . later"):
         list(client("no"))
@@ -316,6 +369,48 @@ def test_stream_folds_once(spark, tmp_path):
     assert got == {0: (9, 4), 1: (10, 4), 2: (11, 4)}
 
 
+def test_error_counts_are_those_of_the_issues(spark, tmp_path):
+    """One issue whose key holds a separator counts once, two count twice."""
+    c = C.AppConfig(runtime=C.RuntimeConfig(retry_count=1, retry_backoff_seconds=0, validation="strict"), batching=C.BatchingConfig(max_input_tokens=4510))
+    for n, answer in ((1, 'actors:\n  a:\n    "a; b": 1\n'), (2, "actors:\n  a:\n    p: 1\n    q: 2\n")):
+        ledger = Ledger(spark, str(tmp_path / str(n)))
+        rows = spark.createDataFrame([("b", 1, "i", "t", "x")], "book string, chapter_index long, chapter_id string, title string, text string")
+        plan = with_chapters(batches_streamed(rows.withColumn("token_estimate", F.lit(1).cast("long")), c.batching), rows)
+        ledger.commit(attempts(plan, [SCHEMA | {"sample": {"name": ""}}], [{"name": "t", "content": "x"}], Scripted(default=answer), c), [SCHEMA])
+        assert ledger.transitions().where("event = 'validation'").first().n == n
+
+
+def test_clients_by_key():
+    """The service needs a key; what has none is the echo, and a service without one says so instead of asking."""
+    assert isinstance(client_of({"base_url": "http://x/v1", "name": "m"}), Echo) and isinstance(client_of({}), Echo)
+    assert client_of({"api_key": "k", "name": "m"}) == ChatStream("https://api.openai.com/v1", "m", "k")
+    assert isinstance(client_of({"api_key": "k", "provider": "echo"}), Echo)
+    with pytest.raises(RuntimeError, match="key"):
+        list(ChatStream("http://127.0.0.1:9", "m")("hello"))
+
+
+def test_settings_keep_what_is_unknown(tmp_path):
+    path = tmp_path / "c.yaml"
+    path.write_text("mine: {a: 1}\nmodel: {name: m, temperature: 0.1}\nbatching: {max_input_tokens: 9000, other: x}\n", encoding="utf-8")
+    C.save(C.load(path), path)
+    (tmp_path / "b.epub").write_bytes(b"x")
+    assert cli.add(path, tmp_path / "b.epub") == 0
+    raw = C.yaml.safe_load(path.read_text(encoding="utf-8"))
+    assert raw["mine"] == {"a": 1} and raw["model"] == {"name": "m", "temperature": 0.1} and raw["batching"]["other"] == "x" and raw["batching"]["max_input_tokens"] == 9000
+    assert raw["input_epubs"] == ["input/b.epub"] and C.load(path).batching.max_input_tokens == 9000
+
+
+def test_a_taken_name_is_not_replaced(spark, tmp_path):
+    """Also where another writer's file appears after the check."""
+    from docfold.session import ConcurrentWrite, Files
+
+    files = Files(spark, str(tmp_path))
+    files.publish("p", 1, {"by": "one"})
+    with pytest.raises(ConcurrentWrite):
+        files.publish("p", 1, {"by": "two"})
+    assert files.latest("p") == (1, {"by": "one"}) and not [f for f in tmp_path.iterdir() if f.name.endswith(".tmp")]
+
+
 def test_command_line(spark, tmp_path):
     cfg = tmp_path / "config.yaml"
     assert cli.main(["--config", str(cfg), "init"]) == 0 and cli.main(["--config", str(cfg), "init"]) == 1
