@@ -94,10 +94,10 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, x: np.ndarray, y: np.ndarray,
     return b, w
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features: int = 4_000, min_rows: int = 5, least_z: float = 4.0, smooth: float = 0.5, sizes: tuple[int, ...] = (3, 4, 5), ridge: float = 1e-4, rounds: int = 300) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, min_rows: int = 5, least_z: float = 4.0, smooth: float = 0.5, sizes: tuple[int, ...] = (3, 4, 5), ridge: float = 1e-4, rounds: int = 300) -> Model:
     """Learns from at most ``max_rows`` labelled rows that aren't held out: those whose hashed doc_id is
-    least. At most ``max_features`` n-grams get a weight: those in ``min_rows`` rows at least whose rates
-    in the two classes differ by ``least_z`` standard errors, largest first. With no labelled rows, or
+    least. All n-grams get a weight that are in ``min_rows`` of these rows at least and whose rates
+    in the two classes differ by ``least_z`` standard errors. With no labelled rows, or
     with one class only, the model is the (smoothed) share of that class."""
     chosen = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     rows = chosen.count()
@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features
         return Model(float(np.log((n1 + 0.5) / (n0 + 0.5))), {}, sizes)
     pool = (F.col("p") + F.col("q")) / (n0 + n1)
     z = F.abs(F.col("p") / n1 - F.col("q") / n0) / F.sqrt(pool * (1 - pool) * (1 / n0 + 1 / n1) + 1e-12)
-    top = counts.where("gram <> ''").where(F.col("p") + F.col("q") >= min_rows).withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "gram").limit(max_features).collect()
+    top = counts.where("gram <> ''").where(F.col("p") + F.col("q") >= min_rows).withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "gram").collect()
     if not top:
         return Model(float(np.log(n1 / n0)), {}, sizes)
     ratio = {x.gram: float(np.log((x.p + smooth) / (n1 + 2 * smooth)) - np.log((x.q + smooth) / (n0 + 2 * smooth))) for x in top}

@@ -457,6 +457,25 @@ def test_long_paths_are_followed_to_their_end(spark):
     assert set(got) == {"/" + "/".join(["*"] * 400) + "/*.html", "/a/b/c/d/e/f/g/x/*", "/a/b/c/d/e/f/g/y/*"}
 
 
+def test_near_links_of_a_query_set_against_all_rows(spark):
+    """Documents whose id is divisible by ten, against all: every link of similarity 0.8 or more is within one class."""
+    rows = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    classes = {r.doc_id: r.class_id for r in minhash.near_classes(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    bags = {}
+    for i, t in rows.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        bags[i] = collections.Counter(hash(tuple(w[k : k + 5])) for k in range(max(1, len(w) - 4))) if w else collections.Counter()
+    sizes = {i: sum(b.values()) for i, b in bags.items()}
+    links = []
+    for i in rows:
+        for j in rows if i % 10 == 0 else ():
+            if i != j and sizes[i] and min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j]):
+                shared = sum((bags[i] & bags[j]).values())
+                if shared >= 0.8 * (sizes[i] + sizes[j] - shared):
+                    links.append((i, j))
+    assert len(links) > 10 and all(classes[i] == classes[j] for i, j in links)
+
+
 def test_traps_of_many_segments_take_few_rounds(spark, monkeypatch):
     """Paths of 400 segments, of many pages each: one way all along, no segment twice, both by turns, and a fork at the end."""
     tables = []
