@@ -122,6 +122,21 @@ def f30_field_paths(spark: SparkSession, sf: str) -> DataFrame:
     return by_row(table(spark, sf, "events").select("event_id", "event_type", "props"), each, "event_id long, path string, type string, required boolean")
 
 
+@query("""WITH p(pos, path, type, required) AS (VALUES (1, 'e.a', 'object', FALSE), (2, 'e.a.b', 'list', FALSE), (3, 'e.a.b[].c', 'object', FALSE), (4, 'e.a.b[].c.d', 'list', FALSE), (5, 'e.a.b[].c.d[][].name', 'string', TRUE), (6, 'e.a.b[].c.d[][].z', '', FALSE), (7, 'e.k', 'integer', FALSE), (8, 'e[].last', 'boolean', FALSE))
+SELECT event_id, path, CASE WHEN type <> '' THEN type WHEN event_id % 2 = 0 THEN 'number' ELSE 'integer' END AS type, required FROM events, p""")
+def f30_variant_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Field paths of JSON of six levels, inside the JVM."""
+    deep = F.concat(F.lit('{"<any>": {"last": true}, "a": {"b": [{"c": {"d": [[{"name": "x", "z": '), F.when(F.col("event_id") % 2 == 0, "1.5").otherwise("7"), F.lit('}]]}}, {"unseen": 1}]}, '), F.substring("props", 2, 1 << 30))
+    rows = table(spark, sf, "events").select("event_id", deep.alias("node"))
+    return S.variant_fields(rows, ["event_id"], F.lit("e"), "node").select("event_id", "path", "type", "required")
+
+
+@query(f"WITH {TY} SELECT schema, line_no, (SELECT max(o.line_no) FROM ty o WHERE o.schema = ty.schema AND o.line_no < ty.line_no AND o.indent < ty.indent) AS parent FROM ty")
+def w6_ancestry(spark: SparkSession, sf: str) -> DataFrame:
+    """The line that each line belongs to."""
+    return S.parents(samples(spark, sf))
+
+
 @query("SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'boolean' WHEN 1 THEN 'integer' WHEN 2 THEN 'list' WHEN 3 THEN 'number' WHEN 4 THEN 'object' ELSE 'string' END AS type, CASE o_orderkey % 6 WHEN 0 THEN 'false' WHEN 1 THEN '0' WHEN 2 THEN '[]' WHEN 3 THEN '0.0' WHEN 4 THEN '{}' ELSE '\"\"' END AS value FROM orders")
 def f28_defaults(spark: SparkSession, sf: str) -> DataFrame:
     """The type of a value, and its default."""

@@ -251,3 +251,17 @@ def s9_config(spark: SparkSession, sf: str) -> DataFrame:
         return [(k, c.batching.budget, c.batching.window, config.from_mapping(config.to_mapping(c)) == c and c.max_workers == 3 and config.to_mapping(c)["unknown"] == 1)]
 
     return by_row(table(spark, sf, "orders").select("o_orderkey"), each, "o_orderkey long, budget long, window_size long, same boolean")
+
+
+@query(f"""WITH x AS (SELECT page_id, unnest(range(1, len(parts) + 1)) AS i, parts FROM (SELECT page_id, string_split_regex(html, '(?i)<h1') AS parts FROM pages)),
+y AS (SELECT page_id, i, CASE WHEN i = 1 THEN '' ELSE '<h1' END || parts[i] AS part FROM x),
+z AS (SELECT page_id, i, trim({_plain(f"regexp_extract(part, '{H_SQL}', 1)")}, {STRIP}) AS t, array_to_string(list_filter(list_transform(regexp_extract_all(part, '{P_SQL}', 1), lambda p: trim({_plain('p')}, {STRIP})), lambda p: p <> ''), chr(10)) AS body FROM y)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS pos, CASE WHEN t = '' THEN 'Unnamed Chapter' ELSE t END AS title, CAST(CASE WHEN t = '' THEN 0.0 ELSE 1.0 END AS DOUBLE) AS same_title FROM z WHERE i > 1 OR body <> ''""")
+def s1_chapters_in_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages' sections and the matcher, from SQL."""
+    from docfold.functions.sql import register
+
+    register(spark)
+    table(spark, sf, "pages").createOrReplaceTempView("docfold_pages")
+    same = "seq_ratio(c.title, get_json_object(parse_yaml(to_json(named_struct('t', c.title))).node, '$.t'))"
+    return spark.sql(f"SELECT page_id, c.pos, c.title, CASE WHEN c.title = 'Unnamed Chapter' THEN 0.0D ELSE {same} END AS same_title FROM docfold_pages p, LATERAL chapters_of(p.html) c")

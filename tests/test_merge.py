@@ -168,3 +168,37 @@ def test_schema_inference(spark):
     assert S.skeleton("r", deep) == {"a": {"b": [{"c": 0, "d": []}], "e": {}}, "z": []}
     broken = "world:\n  <name>:\n    a: [1\n    b: true # note\n"
     assert S.infer(broken)[1] == [("world[].a", "string", False), ("world[].b", "boolean", False)]
+
+
+def test_functions_in_sql(spark):
+    from docfold.functions.sql import register
+
+    register(spark)
+    page = "<p>before</p><h1>One</h1><p>a</p><p>b</p><H1 class=x>Two</H1><p>c</p>"
+    spark.createDataFrame([(1, page), (2, "<h1>Only</h1>"), (3, None), (4, "no tags")], "id int, html string").createOrReplaceTempView("pages_of_test")
+    rows = spark.sql("SELECT id, c.* FROM pages_of_test, LATERAL chapters_of(html) c ORDER BY id, pos").collect()
+    assert [tuple(r) for r in rows] == [(1, 0, "Unnamed Chapter", "before"), (1, 1, "One", "a\nb"), (1, 2, "Two", "c"), (2, 0, "Only", "")]
+    one = spark.sql("""SELECT seq_ratio('tide', 'diet') AS r, seq_ratio(null, 'a') AS n, value_similarity('{"a": 1, "b": 2}', '{"a": 1, "b": 3}', '{"a": 3}') AS v,
+        parse_yaml('a: [1').error AS e, parse_yaml('a: 1').node AS d, sanitize_json('{" a ": " x ", "b": null}') AS s""").first()
+    assert one.r == M.text_ratio("tide", "diet") and one.n is None and one.v == 0.75 and one.e.startswith("$: invalid yaml") and one.d == '{"a": 1}' and one.s == '{"a": "x"}'
+
+
+def test_variant_fields_are_those_of_the_parsed_document(spark):
+    docs = [{"b": {"x": [[{"deep": {"er": {"name": None}}}]], "y": []}, "<k>": {"name": "n", "more": {"z": 1.5}}, "c": True, "d": [1, {"no": 1}], "e": -3}, {}, {"a": [{"<p>": {"q": [[]]}}]}, [1], "text"]
+    rows = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "id int, node string")
+    out = S.variant_fields(rows, ["id"], F.lit("r"), "node")
+    assert "Python" not in out._jdf.queryExecution().toString()
+    got = sorted((r.id, r.path, r.type, r.required) for r in out.collect())
+    assert got == sorted((i, *f) for i, d in enumerate(docs) for f in S.fields_of("r", d))
+
+
+def test_parents_are_the_nearest_lines_indented_less(spark):
+    rng = random.Random(2)
+    texts = [(f"s{k}", "\n".join(" " * rng.randint(0, 6) + f"k{i}: 1" for i in range(rng.randint(1, 40)))) for k in range(20)]
+    got = {(r.schema, r.line_no): r.parent for r in S.parents(spark.createDataFrame(texts, "schema string, text string")).collect()}
+    want = {}
+    for name, text in texts:
+        indents = [len(x) - len(x.lstrip()) for x in text.split("\n")]
+        for i, n in enumerate(indents):
+            want[name, i] = max((j for j in range(i) if indents[j] < n), default=None)
+    assert got == want
