@@ -2,14 +2,22 @@
 
 toxicity -> exact duplicates -> near duplicates -> secrets -> packing. Each stage's result is written and read
 again as the next one's input, so a lost executor costs one stage's tasks at most.
+
+All stages but the last keep the columns of their input, whatever else it has; an empty table stays one. A null text is the empty
+one: it has the classifier's bias as its score, is a copy of other empty texts, is near to none, has no secrets, and is packed as its end
+mark. Rows that repeat a doc_id and text are one row after the exact stage; a null doc_id counts as smaller than any other.
+
+``python corpus_pipeline.py TABLES OUT`` runs it and deletes what was written on the way.
 """
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import DataFrame, SparkSession
 
 from docfold.llm import exact_dedup, minhash, packing, secrets, toxicity
-from docfold.llm.common import table, written
+from docfold.llm.common import release, table, written
 from docfold.llm.queries import tokenizer_file
 
 
@@ -55,3 +63,16 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def main(sf_dir: str, out: str) -> None:
+    """Writes the pipeline's rows as a table; then nothing reads the stages any more."""
+    spark = SparkSession.builder.appName("corpus_pipeline").getOrCreate()
+    try:
+        run(spark, sf_dir).write.mode("errorifexists").parquet(out)
+    finally:
+        release(spark)
+
+
+if __name__ == "__main__":
+    main(*sys.argv[1:])
