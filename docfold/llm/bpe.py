@@ -152,7 +152,7 @@ def encode(docs: DataFrame, ranks_path: str, dictionary_words: int = 200_000) ->
     """(doc_id, ids): the whole texts encoded, without special tokens; one row for each row of docs.
 
     A null text is the empty one and has no ids. Other columns are ignored; repeated rows are encoded
-    each. For documents whose ids are to be kept; ``digests`` gives only their hashes."""
+    each; no rows in, no rows out. For documents whose ids are to be kept; ``digests`` gives only their hashes."""
     return _encoded(docs, ranks_path, dictionary_words, "doc_id long, ids array<int>", lambda part, ids, at, table: {"ids": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))})
 
 

@@ -111,7 +111,8 @@ def exact_groups(docs: DataFrame, huge_chars: int = 8 << 20, per_salt: int = 128
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each text: the one of the largest doc_id. Rows that repeat a doc_id and text
-    are one row after."""
+    are one row after. A null text is the empty one; a null doc_id counts as smaller than any other; other columns are kept as they are,
+    whatever their names; no rows in, no rows out."""
     kept = exact_groups(docs).where("kept")
     key, sha = free_name(docs, "_id"), free_name(docs, "_sha")
     id_of = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))
