@@ -6,7 +6,7 @@ from __future__ import annotations
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -137,6 +137,46 @@ def seq_ratio(a: Column | str, b: Column | str) -> Column:
     return F.pandas_udf(run, DoubleType())(a, b)
 
 
+def best_matches(existing: DataFrame, incoming: DataFrame, keys: list[str], least: float, part: int = 4096) -> DataFrame:
+    """(keys, no, place, ratio): for each text of ``incoming`` (keys, no, text) the most similar one of ``existing`` (keys, place, text) with the
+    same keys, the least place of several; none below ``least``. Null texts are like none, null keys match nothing.
+
+    A task indexes the existing texts of a key (see ``matching.Texts``) and looks each incoming one up. Keys of more than ``part`` texts on a
+    side are cut into blocks of a part of the ones and a part of the others, so no task holds more than that."""
+    parts = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / part).cast("int").alias(name))
+    existing, incoming = existing.where("text IS NOT NULL"), incoming.where("text IS NOT NULL")
+    sizes = parts(existing, "es").join(parts(incoming, "is"), keys)
+    own = lambda no, of: F.pmod(F.xxhash64(no), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    hosts = existing.join(sizes, keys).select(*keys, F.col("place").cast("long").alias("no"), "text", F.lit(False).alias("asks"), own("place", "es").alias("e"), every("is").alias("i"))
+    guests = incoming.join(sizes, keys).select(*keys, F.col("no").cast("long").alias("no"), "text", F.lit(True).alias("asks"), own("no", "is").alias("i"), every("es").alias("e"))
+    block = [*keys, "e", "i"]
+
+    def run(batches):
+        key, texts, places, index = None, [], [], None
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                at = tuple(getattr(r, c) for c in block)
+                if at != key:
+                    key, texts, places, index = at, [], [], None
+                if not r.asks:
+                    texts.append(r.text)
+                    places.append(r.no)
+                    continue
+                index = index or Texts(texts)
+                ratio, where = index.best(r.text, least)
+                if where is not None and ratio >= least:
+                    out.append((*at[:-2], r.no, places[where], ratio))
+            if out:
+                yield pd.DataFrame(out, columns=[*keys, "no", "place", "ratio"])
+
+    kinds = ", ".join(f"`{k}` {existing.schema[k].dataType.simpleString()}" for k in keys)
+    rows = hosts.unionByName(guests).repartition(*block).sortWithinPartitions(*block, "asks", "no").select(*block, "asks", "no", "text")
+    found = rows.mapInPandas(run, f"{kinds}, no long, place long, ratio double")
+    return found.groupBy(*keys, "no").agg(F.max(F.struct("ratio", (-F.col("place")).alias("p"))).alias("x")).select(*keys, "no", (-F.col("x.p")).alias("place"), "x.ratio")
+
+
 def length_bound(a: Column, b: Column) -> Column:
     """An upper bound of seq_ratio from lengths; 1 for two empty texts."""
     la, lb = F.length(a), F.length(b)

@@ -223,16 +223,11 @@ def m4_text_similarity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {RUNS} SELECT l_orderkey, incoming, arg_max(existing, (ratio, -existing)) AS existing, max(ratio) AS ratio FROM pr WHERE ratio >= 0.6 GROUP BY ALL")
 def j4_similarity_pruned(spark: SparkSession, sf: str) -> DataFrame:
-    """Each incoming text's best match among all existing ones of its entity, at or over the threshold: bounds inside the
-    JVM first, the matcher for what they leave."""
-    theta = MergeConfig().similarity_threshold
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.repeat(F.lit("x"), F.col("l_quantity").cast("int")).alias("t"))
-    cur = li.where("l_linenumber <= 3").select("l_orderkey", F.col("l_linenumber").alias("existing"), F.col("t").alias("a"))
-    inc = li.where("l_linenumber > 3").select("l_orderkey", F.col("l_linenumber").alias("incoming"), F.col("t").alias("b"))
-    rows = inc.join(cur, "l_orderkey").where(S.length_bound(F.col("a"), F.col("b")) >= theta).where(S.bag_bound(F.col("a"), F.col("b")) >= theta)
-    rows = rows.withColumn("ratio", S.seq_ratio(F.col("a"), F.col("b"))).where(F.col("ratio") >= theta)
-    best = F.max(F.struct("ratio", (-F.col("existing")).alias("i")))
-    return rows.groupBy("l_orderkey", "incoming").agg(best.alias("m")).select("l_orderkey", "incoming", (-F.col("m.i")).alias("existing"), F.col("m.ratio").alias("ratio"))
+    """Each incoming text's best match among all existing ones of its entity, at or over the threshold: looked up in an index whose
+    bounds leave few pairs to the matcher."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("no"), F.repeat(F.lit("x"), F.col("l_quantity").cast("int")).alias("text"))
+    found = S.best_matches(li.where("no <= 3").withColumnRenamed("no", "place"), li.where("no > 3"), ["l_orderkey"], MergeConfig().similarity_threshold)
+    return found.select("l_orderkey", F.col("no").cast("int").alias("incoming"), F.col("place").cast("int").alias("existing"), "ratio")
 
 
 def event_increments(spark: SparkSession, sf: str) -> DataFrame:

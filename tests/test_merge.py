@@ -110,6 +110,22 @@ def test_bounds_hold(a, b):
     assert against.subsequence_bound(a) <= matching.ratio_of(shared, len(a), len(b))
 
 
+@pytest.mark.parametrize("part", [4096, 5])
+def test_best_matches_are_those_of_all_pairs(spark, part):
+    """Also of a key that has most texts, cut into blocks."""
+    rng = random.Random(part)
+    texts = sentences(60, rng)
+    side = lambda n: [(None if k % 19 == 0 else "hot" if k % 3 else f"k{k % 4}", k, None if k % 11 == 0 else rng.choice(texts)[rng.randint(0, 4) :]) for k in range(n)]
+    have, new = side(80), side(60)
+    got = M.best_matches(spark.createDataFrame(have, "k string, place int, text string"), spark.createDataFrame(new, "k string, no int, text string"), ["k"], 0.6, part).collect()
+    want = {}
+    for k, no, t in new:
+        found = max(((M.text_ratio(x, t), -place) for key, place, x in have if key == k is not None and x is not None), default=(0.0, 0)) if t is not None else (0.0, 0)
+        if found[0] >= 0.6:
+            want[k, no] = (-found[1], found[0])
+    assert {(r.k, r.no): (r.place, r.ratio) for r in got} == want and len(want) >= 15
+
+
 def test_column_bounds(spark):
     rows = spark.createDataFrame([("abc", "abd"), ("", ""), ("aa", "a"), ("xyz", "abc")], "a string, b string")
     for r in rows.select("a", "b", M.seq_ratio(F.col("a"), F.col("b")).alias("r"), M.length_bound(F.col("a"), F.col("b")).alias("l"), M.bag_bound(F.col("a"), F.col("b")).alias("g")).collect():
