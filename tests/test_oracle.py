@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from docfold.plans import run_queries
 from docfold.plans.queries import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
@@ -28,8 +29,16 @@ def db():
     return con
 
 
+#: These change the ledger of the run that they look at; the others look at one run.
+CHANGING = ("c11_restore", "k10_uncommitted")
+RAN: dict = {}
+
+
 @pytest.mark.parametrize("name", sorted(queries()))
-def test_query(spark, db, name):
+def test_query(spark, db, name, monkeypatch):
+    if name not in CHANGING:
+        real = run_queries.ran
+        monkeypatch.setattr(run_queries, "ran", lambda s, sf: RAN.get(sf) or RAN.setdefault(sf, real(s, sf)))
     df = queries()[name](spark, SF)
     columns = sorted(df.columns)
     rows = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
