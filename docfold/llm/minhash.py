@@ -27,7 +27,7 @@ from docfold.llm.words import Hasher, mixed, runs, spans
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Share of a signature's coordinates that must agree before texts are compared: a pair of similarity 0.8 has less
 #: with probability 0.0003.
 AGREE = 0.66

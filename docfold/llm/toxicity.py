@@ -94,6 +94,10 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, x: np.ndarray, y: np.ndarray,
     return b, w
 
 
+#: Words whose n-grams a task holds while it counts, about: some kilobytes each.
+HELD = 60_000
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, min_rows: int = 5, least_z: float = 4.0, smooth: float = 0.5, sizes: tuple[int, ...] = (3, 4, 5), ridge: float = 1e-4, rounds: int = 300) -> Model:
     """Learns from at most ``max_rows`` labelled rows that aren't held out: those whose hashed doc_id is
     least. All n-grams get a weight that are in ``min_rows`` of these rows at least and whose rates
@@ -127,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, min_rows: in
                     count = seen[1 if kinds[r] else 0]
                     for g in got:
                         count[g] = count.get(g, 0) + 1
-                if len(cache) > 300_000:
+                if len(cache) > HELD:
                     cache.clear()
             names = ["", *(seen[0].keys() | seen[1].keys())]
             return {"gram": names, "q": [int((y == 0).sum()), *(seen[0].get(g, 0) for g in names[1:])], "p": [int((y != 0).sum()), *(seen[1].get(g, 0) for g in names[1:])]}

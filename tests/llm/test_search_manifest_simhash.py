@@ -4,19 +4,17 @@ repeated rows, empty tables, columns of clashing names, hot groups."""
 import hashlib
 import itertools
 import math
-import os
 import random
 import re
 import zlib
 
-import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from docfold.llm import lexical, merkle, simhash
-from docfold.llm.queries import oracle_sql, queries
+from docfold.llm.queries import queries
 
 SF = "/root/testdata/sf0.001"
 DDL = "doc_id long, text string, lang string, source string, n_chars long, id string, tree string, fp string, n int, idx int"
@@ -48,19 +46,6 @@ def none(spark):
     return spark.createDataFrame([], DDL)
 
 
-def compare_with_sql(spark, name):
-    db = duckdb.connect()
-    for f in os.listdir(SF):
-        if f.endswith(".parquet"):
-            db.execute(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{SF}/{f}'")
-    df = queries()[name](spark, SF)
-    want = db.execute(oracle_sql()[name])
-    names = [x[0] for x in want.description]
-    assert sorted(names) == sorted(df.columns)
-    got = sorted((tuple(r[c] for c in names) for r in df.collect()), key=repr)
-    assert got and got == sorted(want.fetchall(), key=repr)
-
-
 # Search
 
 
@@ -150,11 +135,6 @@ def test_long_documents_do_not_overflow():
     assert shard.impact.tolist() == [10**9 * t // (1000 * t + 8 * (10 + 90 * m * 3 * 10**10 // 10**14)) for t, m in ((7, 10**9), (1, 5))]
 
 
-@pytest.mark.parametrize("name", ["op11_lexical", "op12_merkle"])
-def test_queries_against_sql(spark, name):
-    compare_with_sql(spark, name)
-
-
 # Manifest
 
 
