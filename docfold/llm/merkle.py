@@ -203,7 +203,8 @@ def manifest(rows: DataFrame, most: int = TOP, keep_paths: bool = False) -> Data
     tree, null first; those of one doc_id by their digests; equal ones in any order, which changes nothing but which of them
     has which proof. Null columns have their own digest. No rows in, no rows out."""
     spark = rows.sparkSession
-    base = written(numbered(rows, ["doc_id", "leaf"]), "leaves")
+    # Written first, as ranges are told from a sample of all rows: texts are read and hashed once.
+    base = written(numbered(written(rows, "hashed"), ["doc_id", "leaf"]), "leaves")
     done = [("blocks", base.select("tree", "idx", "n", F.col("leaf").alias("digest")))]
     nodes = written(_raised(done[0][1]), "nodes")
     while (size := nodes.agg(F.count("*").alias("rows"), F.max("n").alias("n")).first()).rows > most:
