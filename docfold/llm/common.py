@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -67,10 +68,21 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[
         for batch in batches:
             if batch.num_rows and (columns := each(batch)) is not None:
                 yield pa.RecordBatch.from_arrays([x.cast(f.type) if isinstance(x := columns[f.name], pa.Array) else pa.array(x, f.type) for f in out], schema=out)
+        del each
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Returns memory that a task has freed to the system. The process serves later stages' tasks, and would keep it beside theirs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def pieces_of(batch: pa.RecordBatch, most: int, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about ``most`` bytes of text at most (one row at least)."""
     import numpy as np

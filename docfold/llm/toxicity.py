@@ -16,15 +16,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docfold.llm.common import arrow_map, pieces_of, text_of
+from docfold.llm.common import arrow_map, give_back, pieces_of, text_of
 
 THRESHOLD = 0.7
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
 class Model:
-    """weights: of each n-gram, its log-count ratio included. Bounded by ``max_features``."""
+    """weights: of each n-gram, its log-count ratio included. Bounded by the n-grams of the labelled sample."""
 
     bias: float
     weights: dict[str, float] = field(default_factory=dict)
@@ -57,7 +57,7 @@ def distinct_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 def scores_of(texts: pa.Array, model: Model, cache: dict[str, float]) -> np.ndarray:
     rows, codes, words = distinct_words(texts)
-    if len(cache) > 1_000_000:
+    if len(cache) > 10 * HELD:
         cache.clear()
     value = np.zeros(max(1, len(words)))
     weights, sizes = model.weights, model.sizes
@@ -95,7 +95,7 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, x: np.ndarray, y: np.ndarray,
 
 
 #: Words whose n-grams a task holds while it counts, about: some kilobytes each.
-HELD = 60_000
+HELD = 20_000
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, min_rows: int = 5, least_z: float = 4.0, smooth: float = 0.5, sizes: tuple[int, ...] = (3, 4, 5), ridge: float = 1e-4, rounds: int = 300) -> Model:
@@ -214,5 +214,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
         for batch in batches:
             for part in pieces_of(batch, BATCH_BYTES):
                 yield part.filter(pa.array(scores_of(part.column("text"), model, cache) < threshold))
+        cache.clear()
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
