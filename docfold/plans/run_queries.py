@@ -7,9 +7,12 @@ import re
 import tempfile
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
+from pyarrow.fs import FileSelector, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +25,8 @@ from docfold.pipeline import Pipeline
 from docfold.plans.batch_queries import CH, config, packed_sql
 from docfold.plans.batch_queries import books as numbered_books
 from docfold.plans.registry import by_row, query, table
-from docfold.sinks.ledger import Ledger, export
+from docfold.sinks.ledger import Ledger, export, unescaped
+from docfold.session import Files
 from docfold.sources.epub import pages_of
 
 SCHEMAS = [{"schema": "actors", "root_key": "actors", "schema_text": "actors: {}", "sample": {}}]
@@ -124,10 +128,25 @@ def k1_yaml_export(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def exported(spark: SparkSession, path: str) -> DataFrame:
-    """(book, schema, yaml) of exported documents."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path)
+    """(book, schema, yaml) of exported documents. On a local or mounted file system each task takes the folders of a share of the names."""
+    files = Files(spark, path)
+    if files.local():
+        root, tasks = files.plain(), 2 * spark.sparkContext.defaultParallelism
+
+        def run(pdfs):
+            fs = LocalFileSystem()
+            for no in (int(n) for pdf in pdfs for n in pdf["id"]):
+                own = [f for f in fs.get_file_info(FileSelector(root)) if zlib.crc32(f.base_name.encode()) % tasks == no and f.base_name.startswith("book=")]
+                for k in range(0, len(own), 256):
+                    found = [(book, f) for book in own[k : k + 256] for f in fs.get_file_info(FileSelector(book.path, recursive=True)) if f.base_name.startswith("part-") and f.size]
+                    texts = [fs.open_input_file(f.path).read().decode().rstrip("\n") for _, f in found]
+                    value = lambda name: unescaped(name.partition("=")[2])
+                    yield pd.DataFrame({"book": [value(b.base_name) for b, _ in found], "schema": [value(f.path.split("/")[-2]) for _, f in found], "yaml": texts}, dtype=object)
+
+        return spark.range(0, tasks, 1, tasks).mapInPandas(run, "book string, schema string, yaml string")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path)
     part = lambda k: F.regexp_extract("path", f"/{k}=([^/]+)/", 1).alias(k)
-    return files.where("length > 0").select(part("book"), part("schema"), F.rtrim(F.col("content").cast("string"), F.lit("\n")).alias("yaml"))
+    return found.where("length > 0").select(part("book"), part("schema"), F.rtrim(F.col("content").cast("string"), F.lit("\n")).alias("yaml"))
 
 
 @query(f"WITH RECURSIVE {RUN}, i AS (SELECT DISTINCT book % 2 AS odd, book FROM totals) SELECT book::VARCHAR AS book, CASE WHEN odd = 1 THEN 'actors: {{}}' ELSE 'kept' END AS yaml, (SELECT count(*) FROM i WHERE odd = 1) AS new FROM i")

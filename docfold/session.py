@@ -34,6 +34,21 @@ class Files:
         path = self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
         return path, path.getFileSystem(self.conf)
 
+    def local(self) -> bool:
+        """Whether the files are on a local or mounted file system."""
+        return str(self._at("")[1].getUri().getScheme()) == "file"
+
+    def plain(self) -> str:
+        """The root's path on its file system."""
+        path, fs = self._at("")
+        return str(fs.makeQualified(path).toUri().getPath()).rstrip("/")
+
+    def moved(self, source: str, target: str) -> None:
+        """Gives a folder a name that nothing has, in one step."""
+        _, fs = self._at("")
+        if not fs.rename(self.jvm.org.apache.hadoop.fs.Path(source), self.jvm.org.apache.hadoop.fs.Path(target)):
+            raise ConcurrentWrite(f"{target} can't be made from {source}")
+
     def exists(self, name: str) -> bool:
         path, fs = self._at(name)
         return fs.exists(path)

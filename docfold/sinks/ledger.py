@@ -11,9 +11,12 @@ import datetime
 import json
 import re
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyarrow.fs import FileSelector, LocalFileSystem
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docfold.config import MergeConfig, yaml
@@ -238,7 +241,7 @@ class Ledger:
 
     def export_log(self, path: str) -> None:
         """The run log as text, a folder for each task, lines in order."""
-        self.log().repartition("book", "schema").sortWithinPartitions("book", "schema", "at").select("book", "schema", F.col("line").alias("value")).write.mode("overwrite").partitionBy("book", "schema").text(path)
+        export_texts(self.log().select("book", "schema", "at", F.col("line").alias("value")), path, order=["at"])
 
     def resume(self, config: MergeConfig = MergeConfig(), world: str = "world") -> DataFrame:  # noqa: B008
         """(book, schema, state, world, last_completed): what tasks go on from. The context that prompts quote
@@ -280,10 +283,14 @@ class Ledger:
         return found["checkpoint_id"]
 
     def initialise(self, schemas: list[dict], books: list[str] | DataFrame, path: str) -> int:
-        """Writes an empty document for each (book, schema) that has none under ``path``; says how many. What is there is listed once."""
+        """Writes an empty document for each (book, schema) that has none under ``path``; says how many. On a local or mounted file system
+        tasks look for what is there, elsewhere it is listed once."""
         if not isinstance(books, DataFrame):
             books = self.spark.createDataFrame([(b,) for b in books], "book string")
-        have = self.spark.createDataFrame(exported_tasks(Files(self.spark, path)), "book string, schema string")
+        files = Files(self.spark, path)
+        if files.local():
+            return export(_empty(books, schemas), path, "append", only_new=True)
+        have = self.spark.createDataFrame(exported_tasks(files), "book string, schema string")
         new = _empty(books, schemas).join(have, ["book", "schema"], "left_anti").persist()
         try:
             if n := new.count():
@@ -339,6 +346,11 @@ def unescaped(name: str) -> str:
     return re.sub("%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), name)
 
 
+def escaped(name: str | None) -> str:
+    """The name of a folder as Spark writes a value's: see ``unescaped``."""
+    return re.sub("[\x01-\x1f\x7f\"#%'*/:=?\\\\{[\\]^]", lambda m: f"%{ord(m[0]):02X}", name) if name else "__HIVE_DEFAULT_PARTITION__"
+
+
 def to_yaml(data: object) -> str:
     class Indented(yaml.SafeDumper):
         def increase_indent(self, flow=False, indentless=False):
@@ -347,15 +359,86 @@ def to_yaml(data: object) -> str:
     return yaml.dump(data, Dumper=Indented, allow_unicode=True, sort_keys=False, width=4096)
 
 
-def export(documents: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Documents as YAML text, one file a book and schema: ``book=…/schema=…/part-…``."""
+def export(documents: DataFrame, path: str, mode: str = "overwrite", only_new: bool = False) -> int | None:
+    """Documents as YAML text, one file a book and schema: ``book=…/schema=…/part-…``. See ``export_texts``."""
 
     @F.pandas_udf("string")
     def dumped(states):
         return states.map(lambda s: to_yaml(decode(s)))
 
-    rows = documents.select("book", "schema", dumped("state").alias("value")).repartition("book", "schema")
-    rows.write.mode(mode).partitionBy("book", "schema").text(path)
+    return export_texts(documents.select("book", "schema", F.col("state").alias("value")), path, mode, only_new=only_new, said=dumped)
+
+
+def export_texts(rows: DataFrame, path: str, mode: str = "overwrite", order: list[str] | None = None, only_new: bool = False, said: Callable[[Column], Column] = lambda value: value) -> int | None:
+    """(book, schema, value) as text files, one a book and schema, a line for each row in an order: ``said`` of its value.
+
+    Hadoop's local file system starts a process for each file and folder that it makes, so on a local or mounted file system tasks write
+    through pyarrow's, and how many files there are is returned; elsewhere Spark's writer does it. There are as many tasks as a shuffle has partitions, since it is the
+    number of files that takes time, not their bytes. ``overwrite``: all files are written beside and get their place in one step. ``append``: a
+    file has its place once it is whole; ``only_new``: where a book and schema have files, none is added."""
+    spark = rows.sparkSession
+    files = Files(spark, path)
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "book", "schema").sortWithinPartitions("book", "schema", *(order or ()))
+    dealt = dealt.select("book", "schema", said(F.col("value")).alias("value"))
+    if not files.local():
+        dealt.write.mode(mode).partitionBy("book", "schema").text(path)
+        return None
+    root, run = files.plain(), uuid.uuid4().hex
+    at = root if mode == "append" else f"{root.rpartition('/')[0]}/_{root.rpartition('/')[2]}-{run}"
+    LocalFileSystem().create_dir(at)
+    try:
+        n = dealt.mapInPandas(TextFiles(at, f"part-{run}.txt", only_new), "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if mode != "append":
+            files.delete("")
+            files.moved(at, root)
+    except BaseException:
+        if mode != "append":
+            Files(spark, f"file://{at}").delete("")
+        raise
+    return n
+
+
+@dataclass(frozen=True)
+class TextFiles:
+    """Writes a task's rows, sorted by book and schema; gives the number of files. A task that runs again writes the same files."""
+
+    root: str
+    name: str
+    only_new: bool
+
+    def __call__(self, pdfs):
+        fs, key, out, n = LocalFileSystem(), None, None, 0
+        try:
+            for pdf in pdfs:
+                for book, schema, value in zip(pdf["book"], pdf["schema"], pdf["value"], strict=True):
+                    if (book, schema) != key:
+                        self._close(fs, key, out)
+                        key, out = (book, schema), None
+                        if not self.only_new or self._absent(fs, self._folder(key)):
+                            fs.create_dir(self._folder(key))
+                            out = (beside := f"{self._folder(key)}/_{uuid.uuid4().hex}.tmp", fs.open_output_stream(beside))
+                            n += 1
+                    if out is not None:
+                        out[1].write(f"{'' if value is None else value}\n".encode())
+            self._close(fs, key, out)
+        except BaseException:
+            if out is not None:
+                out[1].close()
+                fs.delete_file(out[0])
+            raise
+        yield pd.DataFrame({"n": [n]})
+
+    def _folder(self, key: tuple[str, str]) -> str:
+        return f"{self.root}/book={escaped(key[0])}/schema={escaped(key[1])}"
+
+    def _close(self, fs, key, out) -> None:
+        if out is not None:
+            out[1].close()
+            fs.move(out[0], f"{self._folder(key)}/{self.name}")
+
+    def _absent(self, fs, folder: str) -> bool:
+        found = fs.get_file_info(FileSelector(folder, allow_not_found=True))
+        return all(f.base_name == self.name or f.base_name[0] in "._" for f in found)
 
 
 __all__ = ["Ledger", "encode", "export", "json", "to_yaml"]

@@ -425,3 +425,26 @@ def test_command_line(spark, tmp_path):
         cli.restore(cfg, "input/tale.epub", "schemas/world.yaml", "ch0009", False)
     assert cli.restore(cfg, "input/tale.epub", "schemas/world.yaml", None, True) == 0
     assert {(x.schema, x.status) for x in p} == {("characters", "completed"), ("world", "completed")}
+
+
+def test_exports_are_files_that_tasks_write(spark, tmp_path, monkeypatch):
+    """No Hadoop writer, which starts processes for each local file; names that paths can't hold; as many tasks as a shuffle has partitions; what is
+    there stays, and what an export replaces goes as a whole."""
+    from pyspark.sql import DataFrameWriter
+
+    from docfold.plans.run_queries import exported
+    from docfold.sinks.ledger import export
+
+    def refused(*_, **__):
+        raise AssertionError("files written by Hadoop")
+
+    monkeypatch.setattr(DataFrameWriter, "text", refused)
+    out, names = str(tmp_path / "deep" / "out"), ["a/b", "c:%d", "é x", *map(str, range(40))]
+    docs = spark.createDataFrame([(n, "s", json.dumps({"r": {"k": i}})) for i, n in enumerate(names)], "book string, schema string, state string")
+    export(docs, out)
+    assert sorted(tuple(r) for r in exported(spark, out).collect()) == sorted((n, "s", f"r:\n  k: {i}") for i, n in enumerate(names))
+    assert spark.read.text(out).where("book = 'c:%d'").count() == 3  # the names are Spark's
+    new = Ledger(spark, str(tmp_path / "w")).initialise([SCHEMA | {"schema": "s"}], ["a/b", "new"], out)
+    assert new == 1 and {r.book: r.yaml for r in exported(spark, out).collect()}["a/b"] == "r:\n  k: 0"
+    export(docs.where("book = '7'"), out)
+    assert [r.book for r in exported(spark, out).collect()] == ["7"] and [f.name for f in (tmp_path / "deep").iterdir()] == ["out"]
