@@ -25,7 +25,7 @@ from docfold.pipeline import Pipeline
 from docfold.plans.batch_queries import CH, config, packed_sql
 from docfold.plans.batch_queries import books as numbered_books
 from docfold.plans.registry import by_row, query, table
-from docfold.sinks.ledger import Ledger, export, unescaped
+from docfold.sinks.ledger import Ledger, export, export_texts, unescaped
 from docfold.session import Files
 from docfold.sources.epub import pages_of
 
@@ -155,8 +155,8 @@ def k2_initial_documents(spark: SparkSession, sf: str) -> DataFrame:
     ledger = Ledger(spark, shared_root(spark))
     names = books(spark, sf).select("book").distinct()
     path = f"{ledger.root}/output"
-    names.where("cast(book AS long) % 2 = 0").select(F.lit("kept").alias("value"), "book", F.lit("actors").alias("schema")).write.partitionBy("book", "schema").text(path)
-    new = ledger.initialise(SCHEMAS, [r.book for r in names.toLocalIterator()], path)
+    export_texts(names.where("cast(book AS long) % 2 = 0").select(F.lit("kept").alias("value"), "book", F.lit("actors").alias("schema")), path)
+    new = ledger.initialise(SCHEMAS, names, path)
     return exported(spark, path).select("book", "yaml", F.lit(new).cast("long").alias("new"))
 
 
