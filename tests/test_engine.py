@@ -38,6 +38,11 @@ def test_page_text():
     assert page_text("<p>x</p>")[0] == "Unnamed Chapter"
 
 
+def test_references_end_in_a_semicolon():
+    """What has none is text, as for the SQL of s1_chapters_in_sql and for libxml2's parser (names): a title may be cut within one."""
+    assert page_text("<h1>a&amp;&amp</h1><p>&lt;b&gt &eacute;&#233;&#xe9; &copy2; &ampx; &amp;lt; x & y &#39</p>") == ("a&&amp", "<b&gt ééé &copy2; &ampx; &lt; x & y &#39")
+
+
 def test_reading_order(spark, tmp_path):
     pages = {"b.xhtml": "<h1>B</h1><p>bb</p>", "a.html": "<h1>A</h1><p>aa</p>", "empty.html": "<h1>E</h1>", "x.txt": "no"}
     one = book(tmp_path / "one.epub", pages, ["a.html", "empty.html", "b.xhtml", "x.txt"])
