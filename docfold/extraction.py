@@ -11,9 +11,11 @@ import time
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from docfold.clients import Client
 from docfold.config import AppConfig
@@ -24,6 +26,8 @@ from docfold.operators.similarity import merged
 
 ATTEMPTS = "book string, schema string, batch_id string, parent_batch_id string, depth int, start_idx long, end_idx long, retry int, template string, prompt string, response string, chunks int, status string, error string, increment string, replaced int, appended int, seq long, stamp string, errors int"
 
+#: Of a stream: tasks of a round at most, rows made into Python's at a time, and characters of prompts and answers held, about.
+TASKS, ROWS, CHARACTERS = 1024, 32, 4 << 20
 
 #: Gets (book, schema, batch_id, chunk).
 Sink = Callable[[str, str, str, str], None]
@@ -149,9 +153,10 @@ def attempts(batches: DataFrame, schemas: list[dict], templates: list[dict], cli
     sample). Texts are shuffled once, to the streams. ``states`` has (book, schema, state, world, last_completed): where tasks go on from; they reach a task as one row that
     comes before its batches.
 
-    ``workers``: streams at most, and so calls to the model at a time. ``fair``: a stream gives each of its tasks one batch in turn,
-    book by book, and holds the documents of all of them; else it finishes one task after another and holds one's. Write the
-    result before using it: the model is asked again whenever it is recomputed."""
+    ``workers``: streams at most, and so calls to the model at a time. ``fair``: a stream gives each task of a round one batch in turn,
+    book by book, and holds the documents of all of them: a round is at most ``TASKS`` tasks, and the next begins when they are done; else it
+    finishes one task after another and holds one's. Answers leave a task in pieces. Write the result before using it: the model is asked
+    again whenever it is recomputed."""
     by_name = {s["schema"]: s for s in schemas}
     names = F.array(*[F.lit(s["schema"]) for s in schemas])
     rows = batches.select("book", "batch_id", "start_idx", "end_idx", "turn", "chapters").withColumn("schema", F.explode(names))
@@ -164,21 +169,36 @@ def attempts(batches: DataFrame, schemas: list[dict], templates: list[dict], cli
         seeds = states.select("book", "schema", "state", "world").where(F.col("schema").isin(list(by_name))).withColumn("turn", F.lit(0))
         rows = rows.unionByName(seeds, allowMissingColumns=True)
 
-    def run(pdfs):
+    kinds = to_arrow_schema(StructType.fromDDL(ATTEMPTS))
+
+    def run(parts):
         tasks: dict[tuple, Task] = {}
-        for pdf in pdfs:
-            out: list[dict] = []
-            for r in pdf.to_dict("records"):
-                key = (r["book"], r["schema"])
-                if key not in tasks:
-                    if not fair:
-                        tasks.clear()
-                    tasks[key] = Task(r["book"], by_name[r["schema"]], templates, client, config, decode(r["state"]) if r["state"] else {}, r["world"] or "", sink)
-                if r["turn"] and not tasks[key].failed:
-                    out += tasks[key].run({"batch_id": r["batch_id"], "parent_batch_id": "", "depth": 0, "start_idx": int(r["start_idx"]), "end_idx": int(r["end_idx"]), "chapters": [dict(c) for c in r["chapters"]]})
-            if out:
-                yield pd.DataFrame(out)[[c.split()[0] for c in ATTEMPTS.split(", ")]]
+        group, out, size = None, [], 0
+        for r in (r for part in parts for k in range(0, part.num_rows, ROWS) for r in part.slice(k, ROWS).to_pylist()):
+            key = (r["book"], r["schema"])
+            if r["round"] != group:
+                tasks.clear()
+                group = r["round"]
+            if key not in tasks:
+                if not fair:
+                    tasks.clear()
+                tasks[key] = Task(r["book"], by_name[r["schema"]], templates, client, config, decode(r["state"]) if r["state"] else {}, r["world"] or "", sink)
+            if r["turn"] and not tasks[key].failed:
+                for row in tasks[key].run({"batch_id": r["batch_id"], "parent_batch_id": "", "depth": 0, "start_idx": r["start_idx"], "end_idx": r["end_idx"], "chapters": r["chapters"]}):
+                    out.append(row)
+                    size += len(row["prompt"]) + len(row["response"])
+                    if size > CHARACTERS:
+                        yield pa.RecordBatch.from_pylist(out, schema=kinds)
+                        out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
     dealt = rows.repartition(workers, "book", "schema") if workers else rows.repartition("book", "schema")
-    order = ("turn", "book", "schema") if fair else ("book", "schema", "turn")
-    return dealt.sortWithinPartitions(*order).select("book", "schema", "batch_id", "start_idx", "end_idx", "chapters", "state", "world", "turn").mapInPandas(run, ATTEMPTS)
+    dealt = dealt.sortWithinPartitions("book", "schema", "turn")
+    if fair:
+        # The number of a task's first row in its stream says its round; ids count rows in their order, and a stream has whole tasks.
+        first = F.first("no").over(Window.partitionBy("book", "schema").orderBy("turn"))
+        dealt = dealt.withColumn("no", F.monotonically_increasing_id()).withColumn("round", F.floor(first / TASKS).cast("long")).sortWithinPartitions("round", "turn", "book", "schema")
+    else:
+        dealt = dealt.withColumn("round", F.lit(0).cast("long"))
+    return dealt.select("book", "schema", "batch_id", "start_idx", "end_idx", "chapters", "state", "world", "turn", "round").mapInArrow(run, ATTEMPTS)

@@ -3,6 +3,7 @@
 import json
 import types
 import zipfile
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
@@ -453,3 +454,19 @@ def test_exports_are_files_that_tasks_write(spark, tmp_path, monkeypatch):
     assert new == 1 and {r.book: r.yaml for r in exported(spark, out).collect()}["a/b"] == "r:\n  k: 0"
     export(docs.where("book = '7'"), out)
     assert [r.book for r in exported(spark, out).collect()] == ["7"] and [f.name for f in (tmp_path / "deep").iterdir()] == ["out"]
+
+
+def test_a_fair_stream_holds_a_round(spark, monkeypatch):
+    """As many tasks at most, each with the same attempts; and answers leave in pieces, though all rows come at once."""
+    from docfold import extraction
+
+    c = config()
+    ch = chapters(spark, 6)
+    ch = reduce(lambda a, b: a.unionByName(b), [ch.withColumn("book", F.lit(f"b{i}")) for i in range(9)])
+    plan = with_chapters(batches(ch, c.batching), ch)
+    monkeypatch.setattr(extraction, "TASKS", 6)  # rows of three a task
+    monkeypatch.setattr(extraction, "CHARACTERS", 1)
+    out = attempts(plan, [SCHEMA], TEMPLATES, Echo(), c, workers=1, fair=True)
+    rows = [(r.book, r.start_idx, r.seq) for r in out.collect()]
+    rounds = [("b0", "b1"), ("b2", "b3"), ("b4", "b5"), ("b6", "b7"), ("b8",)]
+    assert rows == [(b, 2 * k + 1, k + 1) for books in rounds for k in range(3) for b in books]
