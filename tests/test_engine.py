@@ -470,3 +470,16 @@ def test_a_fair_stream_holds_a_round(spark, monkeypatch):
     rows = [(r.book, r.start_idx, r.seq) for r in out.collect()]
     rounds = [("b0", "b1"), ("b2", "b3"), ("b4", "b5"), ("b6", "b7"), ("b8",)]
     assert rows == [(b, 2 * k + 1, k + 1) for books in rounds for k in range(3) for b in books]
+
+
+def test_settings_look_at_defaults_once(monkeypatch):
+    made = []
+    real = C.BatchingConfig.__init__
+    monkeypatch.setattr(C.BatchingConfig, "__init__", lambda self, *a, **k: (made.append(1), real(self, *a, **k))[1])
+    C.from_mapping({"batching": {"max_input_tokens": "7"}})
+    made.clear()
+    c = C.from_mapping({"batching": {"max_input_tokens": "9", "enable_checkpoint": 1, "other": 2}})
+    assert made == [1] and (c.batching.max_input_tokens, c.batching.enable_checkpoint) == (9, True)
+    again = C.to_mapping(c)
+    again["merge"]["field_weights"]["x"] = 1.0
+    assert c.merge.field_weights == {} and again["batching"]["other"] == 2
