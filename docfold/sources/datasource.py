@@ -1,7 +1,7 @@
 """Books as a data source, batch and stream, and documents as a sink: ``spark.read.format("epub")``, ``df.write.format("yaml_documents")``.
 
-Files are reached by pyarrow's file systems (local and mounted paths, and the stores that it knows by their URI); ``read_epubs`` and ``export`` go
-through Spark's own instead. The driver lists folders once; archives are opened, and documents written, by tasks alone.
+Files are reached by pyarrow's file systems (local and mounted paths, and the stores that it knows by their URI); ``read_epubs`` goes
+through Spark's own instead, and so does ``export`` where they aren't local or mounted. The driver lists folders once; archives are opened, and documents written, by tasks alone.
 """
 
 from __future__ import annotations
