@@ -193,7 +193,8 @@ def attempts(batches: DataFrame, schemas: list[dict], templates: list[dict], cli
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
-    dealt = rows.repartition(workers, "book", "schema") if workers else rows.repartition("book", "schema")
+    # All rows in one stream need no shuffle: a step of a run is a job of one stage.
+    dealt = rows.coalesce(1) if workers == 1 else rows.repartition(workers, "book", "schema") if workers else rows.repartition("book", "schema")
     dealt = dealt.sortWithinPartitions("book", "schema", "turn")
     if fair:
         # The number of a task's first row in its stream says its round; ids count rows in their order, and a stream has whole tasks.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docfold.config import BatchingConfig
 from docfold.functions import text as T
+from docfold.session import spread
 
 PENDING = "struct<first:bigint,last:bigint,n:bigint,tokens:bigint>"
 
@@ -91,7 +92,7 @@ def batches_streamed(chapters: DataFrame, config: BatchingConfig = BatchingConfi
 
     kind = chapters.schema["book"].dataType.simpleString()
     rows = chapters.select("book", F.col("chapter_index").cast("long").alias("chapter_index"), F.col("token_estimate").cast("long").alias("token_estimate"))
-    out = rows.repartition("book").sortWithinPartitions("book", "chapter_index").mapInPandas(run, f"book {kind}, batch_no long, first long, last long, n long, tokens long")
+    out = spread(rows, "book").sortWithinPartitions("book", "chapter_index").mapInPandas(run, f"book {kind}, batch_no long, first long, last long, n long, tokens long")
     return out.select("book", "batch_no", T.batch_id(F.col("first"), F.col("last"), F.lit(0)).alias("batch_id"), F.col("first").alias("start_idx"), F.col("last").alias("end_idx"), F.col("n").alias("chapter_count"), F.col("tokens").alias("token_estimate"))
 
 

@@ -18,8 +18,9 @@ from docfold.operators.batching import batches, batches_streamed
 from docfold.operators.control import numbered
 from docfold.sinks.ledger import Ledger, export
 
-#: Leases for each worker, about: how finely books are shared out (each is a Spark job, so more cost more), and the books of one.
-LEASES, BOOKS = 8, 256
+#: Leases for each worker, about: how finely books are shared out, and the books of one at most. Each is a Spark job, which takes seconds
+#: whatever it does, so their number doesn't grow with the books unless there are very many; a stream's rounds bound its memory, not its lease.
+LEASES, BOOKS = 8, 1 << 14
 
 
 @dataclass

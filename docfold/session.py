@@ -8,7 +8,8 @@ import re
 import uuid
 from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(app: str = "docfold", **conf: str) -> SparkSession:
@@ -19,6 +20,13 @@ def session(app: str = "docfold", **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys to as many tasks as a shuffle has partitions, for work whose time goes by rows and not by bytes. The number keeps
+    adaptive execution from putting small partitions together, and the hash keeps the planner from leaving the shuffle out where rows are
+    dealt by these keys already: their shuffle may have been put together."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.hash(*keys))
+
+
 class ConcurrentWrite(RuntimeError):
     """Another writer was first; read again and repeat."""
 

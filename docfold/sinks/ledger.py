@@ -25,7 +25,7 @@ from docfold.functions import text as T
 from docfold.operators import batching as B
 from docfold.operators.control import log_line, transitions
 from docfold.operators.increments import decode, encode, entries, folded
-from docfold.session import Files
+from docfold.session import Files, spread
 
 POINTER = "ledger"
 ORDER = 1 << 32
@@ -378,7 +378,7 @@ def export_texts(rows: DataFrame, path: str, mode: str = "overwrite", order: lis
     file has its place once it is whole; ``only_new``: where a book and schema have files, none is added."""
     spark = rows.sparkSession
     files = Files(spark, path)
-    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "book", "schema").sortWithinPartitions("book", "schema", *(order or ()))
+    dealt = spread(rows, "book", "schema").sortWithinPartitions("book", "schema", *(order or ()))
     dealt = dealt.select("book", "schema", said(F.col("value")).alias("value"))
     if not files.local():
         dealt.write.mode(mode).partitionBy("book", "schema").text(path)

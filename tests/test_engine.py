@@ -483,3 +483,45 @@ def test_settings_look_at_defaults_once(monkeypatch):
     again = C.to_mapping(c)
     again["merge"]["field_weights"]["x"] = 1.0
     assert c.merge.field_weights == {} and again["batching"]["other"] == 2
+
+
+def test_exports_are_spread_over_tasks(spark, tmp_path):
+    """Documents that are dealt by book and schema already, and small in bytes, aren't one task's."""
+    from docfold.sinks.ledger import export_texts
+
+    rows = spark.range(200).selectExpr("cast(id % 40 AS string) AS book", "concat('s', id % 2) AS schema", "cast(id AS string) AS v").groupBy("book", "schema").agg(F.max("v").alias("value"))
+    n = export_texts(rows, str(tmp_path / "out"), said=lambda v: F.spark_partition_id().cast("string"))
+    assert n == 40 and spark.read.text(str(tmp_path / "out")).select("value").distinct().count() == 4
+
+
+def test_leases_do_not_grow_with_books(spark, tmp_path, monkeypatch):
+    """A lease is a Spark job: as many as the workers need, each of one stage. Rounds bound what a stream holds."""
+    from docfold import pipeline
+
+    monkeypatch.setattr(pipeline, "LEASES", 1)
+    c = C.AppConfig(max_workers=2, runtime=C.RuntimeConfig(retry_count=1, retry_backoff_seconds=0))
+    ch = spark.range(600).selectExpr("cast(id AS string) AS book", "1L AS chapter_index", "'i' AS chapter_id", "'t' AS title", "'x' AS text", "1L AS token_estimate")
+    out = Pipeline(Ledger(spark, str(tmp_path / "w")), [SCHEMA], TEMPLATES[:1], Echo(), c).attempts(ch, str(tmp_path / "steps"))
+    assert out.select("book").distinct().count() == out.count() == 600
+    assert len([f for f in (tmp_path / "steps" / "attempts").iterdir() if f.is_dir()]) == 2
+    plan = spark.read.parquet(str(tmp_path / "steps" / "plan")).drop("lease")
+    one = attempts(plan, [SCHEMA], TEMPLATES[:1], Echo(), c, workers=1, fair=True)
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString() and one.count() == 600
+
+
+def test_plain_mappings_are_parsed_alike(monkeypatch):
+    """By libyaml where both loaders read a text alike; all else, and what is refused, as before."""
+    from docfold.operators import increments as I
+
+    yaml = I.yaml
+    texts = ["actors:\n  e1:\n    last: ch0001-ch0002-d0\n    n: 2", "a: 1_000\nb: 2020-01-01\nc: 1e5\nd: no\ne:\nf: x  y ", "é: 中文\n", "a:\n  b: 1\n c: 2\n", "a: 1\n  b: 2\n", "[bro", "a:\tb", "a: - b", "a: b: c", "- a", "a: 'q'", "a: &x 1\nb: *x", "k: >\n  x\n"]
+
+    def read(f, t):
+        try:
+            return f(t)
+        except yaml.YAMLError as e:
+            return str(e)
+
+    assert [read(I.loaded, t) for t in texts] == [read(yaml.safe_load, t) for t in texts]
+    monkeypatch.setattr(yaml, "safe_load", lambda t: "slow")
+    assert I.parsed(texts[0]) == ({"actors": {"e1": {"last": "ch0001-ch0002-d0", "n": 2}}}, "") and I.loaded("a: 'q'") == "slow"
