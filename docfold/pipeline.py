@@ -49,16 +49,18 @@ class Pipeline:
     def attempts(self, chapters: DataFrame, root: str | None = None) -> DataFrame:
         """All attempts, by leases; what is written on the way is under ``root``.
 
-        The plan is written once, with the books dealt to leases in their order (a book a lease, unless there are more than ``LEASES``
-        for a worker; ``BOOKS`` a lease at most). A step of the work is a lease with a schema; steps are taken first schema first, so book after book has its turn, by
+        The plan is written once, with the books dealt to leases: a book a lease in their order or, if there are more than ``LEASES`` for a
+        worker, by hash (``BOOKS`` a lease at most, about). A step of the work is a lease with a schema; steps are taken first schema first, so book after book has its turn, by
         as many threads as there are workers: whichever ends its step first takes the next one, and a slow book holds up nothing but
         itself. A step is a Spark job of one task, within which each (book, schema) keeps its order."""
         spark, root = chapters.sparkSession, root or f"{self.ledger.root}/leases/{uuid.uuid4().hex}"
         plan, states = self.prepare(chapters)
         books = chapters.select("book").distinct()
-        most = max(LEASES * self.workers, -(-books.count() // BOOKS))
-        books = numbered(books, ["book"], "lease")
-        dealt = plan.join(books.select("book", F.pmod("lease", F.lit(most)).cast("int").alias("lease")), "book")
+        most = max(LEASES * self.workers, -(-(n := books.count()) // BOOKS))
+        if n <= most:
+            dealt = plan.join(numbered(books, ["book"], "lease").select("book", F.pmod("lease", F.lit(most)).cast("int").alias("lease")), "book")
+        else:
+            dealt = plan.withColumn("lease", F.pmod(F.hash("book"), F.lit(most)))
         dealt.repartition("lease").write.partitionBy("lease").parquet(f"{root}/plan")
         if states is not None:
             states.join(books.select("book"), "book", "left_semi").write.parquet(f"{root}/states")

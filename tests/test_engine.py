@@ -497,11 +497,15 @@ def test_exports_are_spread_over_tasks(spark, tmp_path):
 def test_leases_do_not_grow_with_books(spark, tmp_path, monkeypatch):
     """A lease is a Spark job: as many as the workers need, each of one stage. Rounds bound what a stream holds."""
     from docfold import pipeline
+    from docfold.operators.control import numbered
 
     monkeypatch.setattr(pipeline, "LEASES", 1)
     c = C.AppConfig(max_workers=2, runtime=C.RuntimeConfig(retry_count=1, retry_backoff_seconds=0))
     ch = spark.range(600).selectExpr("cast(id AS string) AS book", "1L AS chapter_index", "'i' AS chapter_id", "'t' AS title", "'x' AS text", "1L AS token_estimate")
+    ranked = []
+    monkeypatch.setattr(pipeline, "numbered", lambda *a: (ranked.append(1), numbered(*a))[1])
     out = Pipeline(Ledger(spark, str(tmp_path / "w")), [SCHEMA], TEMPLATES[:1], Echo(), c).attempts(ch, str(tmp_path / "steps"))
+    assert not ranked  # by one task: for few books only
     assert out.select("book").distinct().count() == out.count() == 600
     assert len([f for f in (tmp_path / "steps" / "attempts").iterdir() if f.is_dir()]) == 2
     plan = spark.read.parquet(str(tmp_path / "steps" / "plan")).drop("lease")
