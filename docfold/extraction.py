@@ -138,14 +138,16 @@ def halves(batch: dict) -> list[dict]:
     return out
 
 
-def with_chapters(batches: DataFrame, chapters: DataFrame) -> DataFrame:
+def with_chapters(batches: DataFrame, chapters: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Batches with their chapters as an ordered array, and their ``turn`` in their book, which is told before texts are joined: each
-    batch's places are listed, and joined by (book, place)."""
+    batch's places are listed, and joined by (book, place). ``by``: columns of the batches besides, one value a book, by which the result is
+    dealt to tasks; texts are shuffled by them before they are put together, and not again."""
     c = F.struct("chapter_index", "chapter_id", "title", "text")
     turn = F.row_number().over(Window.partitionBy("book").orderBy("start_idx", "batch_id"))
-    places = batches.select("book", "batch_id", "start_idx", "end_idx", turn.alias("turn")).select("*", F.explode(F.sequence("start_idx", "end_idx")).alias("chapter_index"))
+    places = batches.select(*by, "book", "batch_id", "start_idx", "end_idx", turn.alias("turn")).select("*", F.explode(F.sequence("start_idx", "end_idx")).alias("chapter_index"))
     rows = places.join(chapters.select("book", F.col("chapter_index").cast("long").alias("chapter_index"), "chapter_id", "title", "text"), ["book", "chapter_index"])
-    return rows.groupBy("book", "batch_id", "start_idx", "end_idx", "turn").agg(F.array_sort(F.collect_list(c)).alias("chapters"))
+    rows = rows.repartition(*by) if by else rows
+    return rows.groupBy(*by, "book", "batch_id", "start_idx", "end_idx", "turn").agg(F.array_sort(F.collect_list(c)).alias("chapters"))
 
 
 def attempts(batches: DataFrame, schemas: list[dict], templates: list[dict], client: Client, config: AppConfig, states: DataFrame | None = None, workers: int | None = None, fair: bool = False, sink: Sink | None = None) -> DataFrame:

@@ -41,8 +41,8 @@ class Pipeline:
         return max(1, self.config.max_workers) if self.config.enable_parallel_tasks else 1
 
     def prepare(self, chapters: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-        """Batches with their chapters, and where tasks go on from."""
-        plan = with_chapters(self.planner(chapters, self.config.batching), chapters)
+        """Batches, and where tasks go on from."""
+        plan = self.planner(chapters, self.config.batching)
         going_on = self.config.runtime.resume and self.ledger.pointer()["runs"]
         return plan, self.ledger.resume(self.config.merge) if going_on else None
 
@@ -58,10 +58,11 @@ class Pipeline:
         books = chapters.select("book").distinct()
         most = max(LEASES * self.workers, -(-(n := books.count()) // BOOKS))
         if n <= most:
-            dealt = plan.join(numbered(books, ["book"], "lease").select("book", F.pmod("lease", F.lit(most)).cast("int").alias("lease")), "book")
+            leased = plan.join(numbered(books, ["book"], "lease").select("book", F.pmod("lease", F.lit(most)).cast("int").alias("lease")), "book")
         else:
-            dealt = plan.withColumn("lease", F.pmod(F.hash("book"), F.lit(most)))
-        dealt.repartition("lease").write.partitionBy("lease").parquet(f"{root}/plan")
+            leased = plan.withColumn("lease", F.pmod(F.hash("book"), F.lit(most)))
+        dealt = with_chapters(leased, chapters, ("lease",))
+        dealt.write.partitionBy("lease").parquet(f"{root}/plan")
         if states is not None:
             states.join(books.select("book"), "book", "left_semi").write.parquet(f"{root}/states")
         plan = spark.read.schema(dealt.schema).parquet(f"{root}/plan")
@@ -85,16 +86,18 @@ class Pipeline:
         return spark.read.schema(ATTEMPTS).parquet(*paths)
 
     def run(self, chapters: DataFrame) -> DataFrame:
-        """Commits a run's attempts and exports documents and log; the tasks' progress."""
-        chapters, steps = chapters.persist(), f"leases/{uuid.uuid4().hex}"
+        """Commits a run's attempts and exports documents and log; the tasks' progress. The chapters are written once and read back: columns apart, and
+        in as many tasks as their bytes ask for, where a cache keeps the partitions of the shuffle that made it."""
+        spark, steps = chapters.sparkSession, f"leases/{uuid.uuid4().hex}"
         try:
+            chapters.write.parquet(at := f"{self.ledger.root}/{steps}/chapters")
+            chapters = spark.read.schema(chapters.schema).parquet(at)
             totals = chapters.groupBy("book").agg(F.max("chapter_index").alias("total"))
             self.ledger.commit(self.attempts(chapters, f"{self.ledger.root}/{steps}"), self.schemas, totals, self.config.merge)
             export(self.ledger.all_documents(totals, self.schemas, self.config.merge), f"{self.ledger.root}/output")
             self.ledger.export_log(f"{self.ledger.root}/logs")
         finally:
             self.ledger.files.delete(steps)
-            chapters.unpersist()
         return self.ledger.progress()
 
 

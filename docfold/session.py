@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tasks for each core of rows that are spread.
+TASKS_A_CORE = 4
+
+
 def session(app: str = "docfold", **conf: str) -> SparkSession:
     b = SparkSession.builder.appName(app)
     defaults = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.mapKeyDedupPolicy": "LAST_WIN"}
@@ -21,10 +25,12 @@ def session(app: str = "docfold", **conf: str) -> SparkSession:
 
 
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows dealt by keys to as many tasks as a shuffle has partitions, for work whose time goes by rows and not by bytes. The number keeps
-    adaptive execution from putting small partitions together, and the hash keeps the planner from leaving the shuffle out where rows are
-    dealt by these keys already: their shuffle may have been put together."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.hash(*keys))
+    """Rows dealt by keys to a few tasks a core, as many as a shuffle has partitions at most, for work whose time goes by rows and not by bytes.
+    The number keeps adaptive execution from putting small partitions together, and the hash keeps the planner from leaving the shuffle out where
+    rows are dealt by these keys already: their shuffle may have been put together. More tasks would only cost their start and, of each shuffle
+    that follows, a file for each of its partitions."""
+    spark = rows.sparkSession
+    return rows.repartition(min(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_A_CORE * spark.sparkContext.defaultParallelism), F.hash(*keys))
 
 
 class ConcurrentWrite(RuntimeError):

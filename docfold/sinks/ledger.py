@@ -351,7 +351,22 @@ def escaped(name: str | None) -> str:
     return re.sub("[\x01-\x1f\x7f\"#%'*/:=?\\\\{[\\]^]", lambda m: f"%{ord(m[0]):02X}", name) if name else "__HIVE_DEFAULT_PARTITION__"
 
 
+#: Texts that need no look at how they are written: one line, nothing at either end, no sign that means something.
+EVEN = re.compile(r"\w(?:[\w .+-]{0,98}\w)?", re.ASCII)
+
+
+def even(node: object) -> bool:
+    """Whether a node is of mappings and scalars that both of the library's writers write alike."""
+    if type(node) is dict:
+        return all(type(k) is str and EVEN.fullmatch(k) and even(v) for k, v in node.items())
+    return type(node) in (int, bool, float) or (type(node) is str and bool(EVEN.fullmatch(node)))
+
+
 def to_yaml(data: object) -> str:
+    """By libyaml, in a fraction of the time, what both writers write alike."""
+    if hasattr(yaml, "CSafeDumper") and even(data):
+        return yaml.dump(data, Dumper=yaml.CSafeDumper, allow_unicode=True, sort_keys=False, width=4096)
+
     class Indented(yaml.SafeDumper):
         def increase_indent(self, flow=False, indentless=False):
             return super().increase_indent(flow, False)

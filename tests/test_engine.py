@@ -529,3 +529,65 @@ def test_plain_mappings_are_parsed_alike(monkeypatch):
     assert [read(I.loaded, t) for t in texts] == [read(yaml.safe_load, t) for t in texts]
     monkeypatch.setattr(yaml, "safe_load", lambda t: "slow")
     assert I.parsed(texts[0]) == ({"actors": {"e1": {"last": "ch0001-ch0002-d0", "n": 2}}}, "") and I.loaded("a: 'q'") == "slow"
+
+
+def test_spread_rows_have_a_few_tasks_a_core(spark, monkeypatch):
+    """A shuffle of very many partitions isn't one of very many tasks, each with its start and its files."""
+    from docfold.session import spread
+
+    monkeypatch.setattr(spark, "conf", types.SimpleNamespace(get=lambda *_: "200"))
+    out = spread(spark.range(2000), "id")
+    assert out.rdd.getNumPartitions() == 16 and out.distinct().count() == 2000
+
+
+def test_a_run_reads_its_chapters_from_a_table(spark, tmp_path):
+    """Not from a cache, which keeps the partitions of the shuffle that made it. They are made once and gone after the run."""
+    made, plans = spark.sparkContext.accumulator(0), []
+
+    def count(rows):
+        for pdf in rows:
+            made.add(len(pdf))
+            yield pdf
+
+    def planner(ch, config):
+        plans.append((ch.rdd.getNumPartitions(), spark.sparkContext._jsc.getPersistentRDDs().size()))
+        return batches(ch, config)
+
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    ch = chapters(spark, 60).repartition(60, "chapter_index").mapInPandas(count, chapters(spark).schema)
+    ledger = Ledger(spark, str(tmp_path / "w"))
+    done = Pipeline(ledger, [SCHEMA], TEMPLATES[:1], Echo(), C.AppConfig(runtime=C.RuntimeConfig(retry_count=1, retry_backoff_seconds=0)), planner).run(ch)
+    assert done.count() == 1 and made.value == 60
+    assert plans[0][0] < 60 and plans[0][1] == before and not list((tmp_path / "w" / "leases").iterdir())
+
+
+def test_texts_of_a_plan_are_dealt_to_leases_once(spark):
+    """By lease before they are put together, which needs no shuffle of its own then."""
+    ch = chapters(spark, 9).withColumn("book", F.concat("book", F.col("chapter_index") % 2)).withColumn("chapter_index", F.ceil(F.col("chapter_index") / 2).cast("long"))
+    b = batches(ch, config().batching)
+    out = with_chapters(b.withColumn("lease", F.hash("book")), ch, ("lease",))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [lease") < plan.index("RepartitionByExpression [lease")
+    physical = out._jdf.queryExecution().sparkPlan().toString()
+    assert physical.index("ObjectHashAggregate") < physical.index("REPARTITION_BY_COL")
+    above = out._jdf.queryExecution().executedPlan().toString().split("REPARTITION_BY_COL")[0].splitlines()
+    assert sum("Exchange" in line for line in above) == 1
+    key = lambda df: sorted(str(r) for r in df.drop("lease").collect())
+    assert key(out) == key(with_chapters(b, ch)) and out.count() > 2
+
+
+def test_even_documents_are_written_alike(monkeypatch):
+    """By libyaml where both writers write a document alike; all else as before."""
+    from docfold.sinks import ledger as L
+
+    texts = ["ch0001-ch0002-d0", "x", "no", "y", "null", "1_000", "1e5", "0x1F", "2020-01-01", "12", "1.5", "a b  c", "a.", "+1", "t" * 100, "t" * 101, "é", "a:", "- a", "", " a", "a ", "a\nb", "'", "#"]
+    docs = [{}, {"a": {}}, {"a": {"b": [1]}}, {"a": None}, {1: 2}, {"a": {"b": {"c": 1, "d": True, "e": -1.5, "f": 1e300}, "g": "x"}}, {"a" * 200: 1}]
+    docs += [{t: {"k": t, "n": 2}} for t in texts] + [{"actors": {t: {"last": t} for t in texts}}]
+    fast = [to_yaml(d) for d in docs]
+    even = [L.even(d) for d in docs]
+    assert sum(even) > 15 and not any(even[k] for k in (2, 3, 4, 6, -1))
+    monkeypatch.setattr(L, "even", lambda d: False)
+    assert fast == [to_yaml(d) for d in docs]
+    monkeypatch.undo()
+    monkeypatch.setattr(L.yaml, "SafeDumper", None)
+    assert to_yaml({"actors": {"e1": {"last": "ch0001-ch0002-d0", "n": 2}}}) == "actors:\n  e1:\n    last: ch0001-ch0002-d0\n    n: 2\n"
