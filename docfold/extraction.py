@@ -33,18 +33,21 @@ TASKS, ROWS, CHARACTERS = 1024, 32, 4 << 20
 Sink = Callable[[str, str, str, str], None]
 
 
-def render(template: str, values: dict[str, Any]) -> str:
+def render(template: str, values: dict[str, Callable[[], Any]]) -> str:
+    """Values are made for the placeholders that the template has, or that a value has brought in."""
     for name in PLACEHOLDERS:
-        template = template.replace("{{" + name + "}}", str(values[name]))
+        if (mark := "{{" + name + "}}") in template:
+            template = template.replace(mark, str(values[name]()))
     return template
 
 
-def prompt_values(chapters: list[dict], batch_id: str, schema: dict, state: dict, world: str, error: str) -> dict[str, Any]:
-    source = "\n\n".join(f"### Chapter {c['chapter_index']}\nchapter_id: {c['chapter_id']}\nchapter_title: {c['title']}\n\n{c['text'].strip()}" for c in chapters)
-    label = batch_id.rpartition("-d")[0]
-    titles = chapters[0]["title"] if len(chapters) == 1 else f"{chapters[0]['title']} ~ {chapters[-1]['title']}"
-    rules = "\n".join(RULES).replace("{root}", schema["root_key"]).replace("{match}", MATCH_KEY)
-    return dict(zip(PLACEHOLDERS, (source, schema["schema_text"], encode(state) if state else "{}", world.strip() or "{}", error.strip() or "none", schema["root_key"], MATCH_KEY, rules, titles, label, batch_id, label, len(chapters)), strict=True))
+def prompt_values(chapters: list[dict], batch_id: str, schema: dict, state: dict, world: str, error: str) -> dict[str, Callable[[], Any]]:
+    """What makes each placeholder's value."""
+    source = lambda: "\n\n".join(f"### Chapter {c['chapter_index']}\nchapter_id: {c['chapter_id']}\nchapter_title: {c['title']}\n\n{c['text'].strip()}" for c in chapters)
+    label = lambda: batch_id.rpartition("-d")[0]
+    titles = lambda: chapters[0]["title"] if len(chapters) == 1 else f"{chapters[0]['title']} ~ {chapters[-1]['title']}"
+    rules = lambda: "\n".join(RULES).replace("{root}", schema["root_key"]).replace("{match}", MATCH_KEY)
+    return dict(zip(PLACEHOLDERS, (source, lambda: schema["schema_text"], lambda: encode(state) if state else "{}", lambda: world.strip() or "{}", lambda: error.strip() or "none", lambda: schema["root_key"], lambda: MATCH_KEY, rules, titles, label, lambda: batch_id, label, lambda: len(chapters)), strict=True))
 
 
 def upsert(state: dict, increment: dict, root: str, config: AppConfig) -> tuple[dict, int, int]:

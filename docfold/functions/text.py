@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 #: The characters that are stripped, line ends, white space of Unicode, characters for a token.
 STRIP = " \r\n\t\u3000"
-LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85" + chr(0x2028) + chr(0x2029) + "]"
+LINE_END = "[\n\r\x0b\x0c\x1c-\x1e\x85" + chr(0x2028) + chr(0x2029) + "]"
+SOLID = "[^" + STRIP + LINE_END[1:]
 WHITE = "[\\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 BLANK = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 CHARS_PER_TOKEN = 4
@@ -25,11 +26,17 @@ def stripped(text: Column) -> Column:
 
 
 def normalized(text: Column) -> Column:
-    """Stripped lines that aren't blank, joined by line feeds."""
+    """Stripped lines that aren't blank, joined by line feeds. What is between the two signs of a line end is a blank line, so each may count as one."""
     lines = F.transform(F.split(text, LINE_END, -1), stripped)
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
+def has_text(text: Column) -> Column:
+    """Whether anything is left of a text when it is normalised: a sign that is neither stripped nor a line end. A filter on the normalised text
+    would make that a second time."""
+    return text.rlike(SOLID)
+
+
 def titled(title: Column, index: Column) -> Column:
     """The stripped title, or one from the 1-based index."""
     return F.coalesce(F.nullif(stripped(title), F.lit("")), F.concat(F.lit("Chapter "), index.cast("string")))

@@ -11,7 +11,7 @@ from docfold.functions import text as T
 def chapters(rows: DataFrame) -> DataFrame:
     """From (book, pos, title, text, source_path): normalised, without blank ones, numbered from 1 in the
     order of ``pos`` after that; with chapter_id and token_estimate."""
-    clean = rows.withColumn("text", T.normalized(F.coalesce("text", F.lit("")))).where("text <> ''")
+    clean = rows.where(T.has_text(F.coalesce("text", F.lit("")))).withColumn("text", T.normalized(F.coalesce("text", F.lit(""))))
     n = F.row_number().over(Window.partitionBy("book").orderBy("pos"))
     out = clean.withColumn("chapter_index", n).withColumn("title", T.titled(F.coalesce("title", F.lit("")), F.col("chapter_index")))
     return out.select(

@@ -21,6 +21,7 @@ from docfold.session import spread
 GONE = object()
 #: Block mappings of plain scalars: lines of a key and, at most, a value, without any sign that means something.
 PLAIN = re.compile(r"(?: *\w[\w ]{0,80}:(?: +\w[\w .+-]*)?(?:\n|$))+")
+TEXT, WHOLE, DECIMAL = "tag:yaml.org,2002:str", "tag:yaml.org,2002:int", re.compile("0|[1-9][0-9]{0,17}")
 PARSED = StructType([StructField("node", StringType()), StructField("error", StringType())])
 
 
@@ -71,15 +72,28 @@ def parsed(text: str) -> tuple[dict | None, str]:
 
 def loaded(text: str) -> Any:
     """What ``yaml.safe_load`` makes of a text. The loader on libyaml, of a tenth of the time, takes the texts that both read alike; those
-    that it refuses go to the other one, for its words."""
+    that it refuses go to the other one, for its words. Of its nodes, mappings of texts and decimal numbers need no constructor."""
     if hasattr(yaml, "CSafeLoader") and PLAIN.fullmatch(text):
         try:
-            return yaml.load(text, yaml.CSafeLoader)
+            return built(node) if even((node := yaml.compose(text, yaml.CSafeLoader))) else yaml.load(text, yaml.CSafeLoader)
         except yaml.YAMLError:
             pass
     return yaml.safe_load(text)
 
 
+def even(node: Any) -> bool:
+    """Whether a composed node is of mappings, of texts as keys and texts or decimal numbers as values."""
+    if type(node) is yaml.MappingNode:
+        return all(k.tag == TEXT and even(v) for k, v in node.value)
+    return type(node) is yaml.ScalarNode and (node.tag == TEXT or (node.tag == WHOLE and bool(DECIMAL.fullmatch(node.value))))
+
+
+def built(node: Any) -> Any:
+    if type(node) is yaml.MappingNode:
+        return {k.value: built(v) for k, v in node.value}
+    return node.value if node.tag == TEXT else int(node.value)
+
+
 def unfenced(text: str) -> str:
     """Of a fenced block, what is inside; see the column function of that name."""
     text = text.strip()
@@ -170,32 +184,37 @@ def entries(increments: DataFrame, root: str) -> DataFrame:
     return increments.mapInPandas(run, f"{others}, entity string, pos long, node string, error string")
 
 
-def folded(rows: DataFrame, config: MergeConfig = MergeConfig(), keys: tuple[str, ...] = ("entity",)) -> DataFrame:  # noqa: B008
-    """(keys, node, touches) of rows (keys, seq, node: JSON): each key's nodes merged in the order of seq.
+def folded(rows: DataFrame, config: MergeConfig = MergeConfig(), keys: tuple[str, ...] = ("entity",), again: bool = False) -> DataFrame:  # noqa: B008
+    """(keys, node, touches) of rows (keys, seq, node: JSON): each key's nodes merged in the order of seq. ``again``: of rows that may be folds
+    themselves, with ``first`` (seq, pos) and ``touches``; the result has both, the least and their sum.
 
     The merge isn't associative, so nothing is combined before the shuffle; a task streams over its sorted
     rows and holds one key's state at a time, however many rows the key has."""
+    more = ("touches", "first_seq", "first_pos") if again else ("touches",)
 
     def run(batches):
-        key, state, touches = None, None, 0
+        key, state, touches, least = None, None, 0, ()
         for pdf in batches:
             done = []
-            for r in pdf.itertuples(index=False):
-                k = tuple(getattr(r, c) for c in keys)
+            firsts = zip(pdf["first_seq"].tolist(), pdf["first_pos"].tolist(), strict=True) if again else [()] * len(pdf)
+            counts = pdf["touches"].tolist() if again else [1] * len(pdf)
+            for k, node, n, first in zip(zip(*(pdf[c] for c in keys), strict=True), pdf["node"], counts, firsts, strict=True):
                 if k != key:
                     if key is not None:
-                        done.append((*key, encode(state), touches))
-                    key, state, touches = k, decode(r.node), 1
+                        done.append((*key, encode(state), touches, *least))
+                    key, state, touches, least = k, decode(node), n, first
                 else:
-                    state, touches = merged(state, decode(r.node), config), touches + 1
+                    state, touches, least = merged(state, decode(node), config), touches + n, min(least, first)
             if done:
-                yield pd.DataFrame(done, columns=[*keys, "node", "touches"])
+                yield pd.DataFrame(done, columns=[*keys, "node", *more])
         if key is not None:
-            yield pd.DataFrame([(*key, encode(state), touches)], columns=[*keys, "node", "touches"])
+            yield pd.DataFrame([(*key, encode(state), touches, *least)], columns=[*keys, "node", *more])
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys)
-    ordered = spread(rows.select(*keys, "seq", "node"), *keys).sortWithinPartitions(*keys, "seq")
-    return ordered.select(*keys, "node").mapInPandas(run, f"{kinds}, node string, touches long")
+    ordered = spread(rows.select(*keys, "seq", "node", *(("first", "touches") if again else ())), *keys).sortWithinPartitions(*keys, "seq", *(("first",) if again else ()))
+    own = [F.col("touches"), F.col("first.seq").alias("first_seq"), F.col("first.pos").alias("first_pos")] if again else []
+    out = ordered.select(*keys, "node", *own).mapInPandas(run, f"{kinds}, node string, {', '.join(f'{c} long' for c in more)}")
+    return out.select(*keys, "node", "touches", F.struct(F.col("first_seq").alias("seq"), F.col("first_pos").alias("pos")).alias("first")) if again else out
 
 
 def last_writer(rows: DataFrame, keys: list[str], path: str, value: str, seq: list[str]) -> DataFrame:

@@ -46,8 +46,8 @@ class Pipeline:
         going_on = self.config.runtime.resume and self.ledger.pointer()["runs"]
         return plan, self.ledger.resume(self.config.merge) if going_on else None
 
-    def attempts(self, chapters: DataFrame, root: str | None = None) -> DataFrame:
-        """All attempts, by leases; what is written on the way is under ``root``.
+    def attempts(self, chapters: DataFrame, root: str | None = None, books: DataFrame | None = None) -> DataFrame:
+        """All attempts, by leases; what is written on the way is under ``root``. ``books``: a table of the chapters' books, each once, if there is one.
 
         The plan is written once, with the books dealt to leases: a book a lease in their order or, if there are more than ``LEASES`` for a
         worker, by hash (``BOOKS`` a lease at most, about). A step of the work is a lease with a schema; steps are taken first schema first, so book after book has its turn, by
@@ -55,7 +55,7 @@ class Pipeline:
         itself. A step is a Spark job of one task, within which each (book, schema) keeps its order."""
         spark, root = chapters.sparkSession, root or f"{self.ledger.root}/leases/{uuid.uuid4().hex}"
         plan, states = self.prepare(chapters)
-        books = chapters.select("book").distinct()
+        books = chapters.select("book").distinct() if books is None else books.select("book")
         most = max(LEASES * self.workers, -(-(n := books.count()) // BOOKS))
         if n <= most:
             leased = plan.join(numbered(books, ["book"], "lease").select("book", F.pmod("lease", F.lit(most)).cast("int").alias("lease")), "book")
@@ -87,15 +87,20 @@ class Pipeline:
 
     def run(self, chapters: DataFrame) -> DataFrame:
         """Commits a run's attempts and exports documents and log; the tasks' progress. The chapters are written once and read back: columns apart, and
-        in as many tasks as their bytes ask for, where a cache keeps the partitions of the shuffle that made it."""
+        in as many tasks as their bytes ask for, where a cache keeps the partitions of the shuffle that made it. The log needs no state, so it is
+        exported beside that."""
         spark, steps = chapters.sparkSession, f"leases/{uuid.uuid4().hex}"
         try:
             chapters.write.parquet(at := f"{self.ledger.root}/{steps}/chapters")
             chapters = spark.read.schema(chapters.schema).parquet(at)
-            totals = chapters.groupBy("book").agg(F.max("chapter_index").alias("total"))
-            self.ledger.commit(self.attempts(chapters, f"{self.ledger.root}/{steps}"), self.schemas, totals, self.config.merge)
-            export(self.ledger.all_documents(totals, self.schemas, self.config.merge), f"{self.ledger.root}/output")
-            self.ledger.export_log(f"{self.ledger.root}/logs")
+            chapters.groupBy("book").agg(F.max("chapter_index").cast("long").alias("total")).write.parquet(at := f"{self.ledger.root}/{steps}/totals")
+            totals = spark.read.schema(f"book {chapters.schema['book'].dataType.simpleString()}, total long").parquet(at)
+            self.ledger.commit(self.attempts(chapters, f"{self.ledger.root}/{steps}", totals), self.schemas, totals)
+            with ThreadPoolExecutor(1) as pool:
+                log = pool.submit(inheritable_thread_target(spark)(self.ledger.export_log), f"{self.ledger.root}/logs")
+                self.ledger.snapshot(self.config.merge)
+                export(self.ledger.all_documents(totals, self.schemas, self.config.merge), f"{self.ledger.root}/output")
+                log.result()
         finally:
             self.ledger.files.delete(steps)
         return self.ledger.progress()

@@ -29,8 +29,12 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
     The number keeps adaptive execution from putting small partitions together, and the hash keeps the planner from leaving the shuffle out where
     rows are dealt by these keys already: their shuffle may have been put together. More tasks would only cost their start and, of each shuffle
     that follows, a file for each of its partitions."""
-    spark = rows.sparkSession
-    return rows.repartition(min(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_A_CORE * spark.sparkContext.defaultParallelism), F.hash(*keys))
+    return rows.repartition(tasks_for_rows(rows.sparkSession), F.hash(*keys))
+
+
+def tasks_for_rows(spark: SparkSession) -> int:
+    """A few tasks a core, as many as a shuffle has partitions at most."""
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_A_CORE * spark.sparkContext.defaultParallelism)
 
 
 class ConcurrentWrite(RuntimeError):

@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import datetime
 import json
+import os
 import re
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
+from typing import BinaryIO
 
 import pandas as pd
-from pyarrow.fs import FileSelector, LocalFileSystem
+from pyarrow.fs import LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ from docfold.functions import text as T
 from docfold.operators import batching as B
 from docfold.operators.control import log_line, transitions
 from docfold.operators.increments import decode, encode, entries, folded
-from docfold.session import Files, spread
+from docfold.session import Files, spread, tasks_for_rows
 
 POINTER = "ledger"
 ORDER = 1 << 32
@@ -136,7 +138,7 @@ class Ledger:
         p = self.pointer()
         if not p["totals"]:
             return self.spark.createDataFrame([], "book string, total long")
-        return self.spark.read.parquet(*[f"{self.root}/totals/run={r}" for r in p["totals"]]).groupBy("book").agg(F.max("total").cast("long").alias("total"))
+        return self.spark.read.schema("book string, total long").parquet(*[f"{self.root}/totals/run={r}" for r in p["totals"]]).groupBy("book").agg(F.max("total").cast("long").alias("total"))
 
     def _view(self, p: dict, config: MergeConfig, upto: dict | None = None) -> View:
         """The levels that a fold can go on from, and what they don't have. None, if they are of another merge, or if a run became visible
@@ -197,8 +199,8 @@ class Ledger:
 
     def documents(self, config: MergeConfig = MergeConfig(), upto: dict | None = None) -> DataFrame:  # noqa: B008
         """(book, schema, state): whole documents as ordered JSON."""
-        e = F.struct("ordinal", "entity", "node")
-        rows = self.state(config, upto).groupBy("book", "schema").agg(F.array_sort(F.collect_list(e)).alias("e"))
+        e = F.struct("first", "entity", "node")
+        rows = self._folded(config, upto).repartition(tasks_for_rows(self.spark), "book", "schema").groupBy("book", "schema").agg(F.array_sort(F.collect_list(e)).alias("e"))
         body = F.array_join(F.transform("e", lambda x: F.concat(F.regexp_replace(F.to_json(F.struct(x["entity"].alias("k"))), r'^\{"k":|\}$', ""), F.lit(": "), x["node"])), ", ")
         roots = F.create_map(*[F.lit(x) for kv in self.pointer()["schemas"].items() for x in kv]) if self.pointer()["schemas"] else F.create_map().cast("map<string,string>")
         return rows.select("book", "schema", F.concat(F.lit('{"'), F.try_element_at(roots, F.col("schema")), F.lit('": {'), body, F.lit("}}")).alias("state"))
@@ -326,8 +328,7 @@ FOLDED = "book string, schema string, entity string, first struct<seq:bigint,pos
 
 def _fold(rows: DataFrame, config: MergeConfig, keys: tuple[str, ...]) -> DataFrame:
     """Entries (keys, seq, node, first, touches) folded by key in the order of seq."""
-    meta = rows.groupBy(*keys).agg(F.min("first").alias("first"), F.sum("touches").alias("touches"))
-    return folded(rows, config, keys).drop("touches").join(meta, list(keys)).select(*keys, "first", "node", "touches")
+    return folded(rows, config, keys, again=True).select(*keys, "first", "node", "touches")
 
 
 def _empty(books: DataFrame, schemas: list[dict]) -> DataFrame:
@@ -377,15 +378,12 @@ def to_yaml(data: object) -> str:
 def export(documents: DataFrame, path: str, mode: str = "overwrite", only_new: bool = False) -> int | None:
     """Documents as YAML text, one file a book and schema: ``book=…/schema=…/part-…``. See ``export_texts``."""
 
-    @F.pandas_udf("string")
-    def dumped(states):
-        return states.map(lambda s: to_yaml(decode(s)))
+    return export_texts(documents.select("book", "schema", F.col("state").alias("value")), path, mode, only_new=only_new, text=lambda s: to_yaml(decode(s)))
 
-    return export_texts(documents.select("book", "schema", F.col("state").alias("value")), path, mode, only_new=only_new, said=dumped)
 
-
-def export_texts(rows: DataFrame, path: str, mode: str = "overwrite", order: list[str] | None = None, only_new: bool = False, said: Callable[[Column], Column] = lambda value: value) -> int | None:
-    """(book, schema, value) as text files, one a book and schema, a line for each row in an order: ``said`` of its value.
+def export_texts(rows: DataFrame, path: str, mode: str = "overwrite", order: list[str] | None = None, only_new: bool = False, said: Callable[[Column], Column] = lambda value: value, text: Callable[[str], str] | None = None) -> int | None:
+    """(book, schema, value) as text files, one a book and schema, a line for each row in an order: ``said`` of its value, and of that ``text``, which
+    the tasks that write files call themselves.
 
     Hadoop's local file system starts a process for each file and folder that it makes, so on a local or mounted file system tasks write
     through pyarrow's, and how many files there are is returned; elsewhere Spark's writer does it. There are as many tasks as a shuffle has partitions, since it is the
@@ -396,13 +394,15 @@ def export_texts(rows: DataFrame, path: str, mode: str = "overwrite", order: lis
     dealt = spread(rows, "book", "schema").sortWithinPartitions("book", "schema", *(order or ()))
     dealt = dealt.select("book", "schema", said(F.col("value")).alias("value"))
     if not files.local():
+        if text is not None:
+            dealt = dealt.withColumn("value", F.pandas_udf(lambda values: values.map(text), "string")("value"))
         dealt.write.mode(mode).partitionBy("book", "schema").text(path)
         return None
     root, run = files.plain(), uuid.uuid4().hex
     at = root if mode == "append" else f"{root.rpartition('/')[0]}/_{root.rpartition('/')[2]}-{run}"
     LocalFileSystem().create_dir(at)
     try:
-        n = dealt.mapInPandas(TextFiles(at, f"part-{run}.txt", only_new), "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        n = dealt.mapInPandas(TextFiles(at, f"part-{run}.txt", only_new, mode == "append", text), "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         if mode != "append":
             files.delete("")
             files.moved(at, root)
@@ -415,45 +415,69 @@ def export_texts(rows: DataFrame, path: str, mode: str = "overwrite", order: lis
 
 @dataclass(frozen=True)
 class TextFiles:
-    """Writes a task's rows, sorted by book and schema; gives the number of files. A task that runs again writes the same files."""
+    """Writes a task's rows, sorted by book and schema; gives the number of files. A task that runs again writes the same files.
+
+    The folder of many files serves one call that names something in it at a time, whatever the number of tasks, so a file takes as few as it
+    can: where nobody reads before all files are whole (``beside``: not so), it is made under its own name. What another try of the task has
+    made, and may have left half done, is replaced by a whole file in one step, and so is a file that is read beside."""
 
     root: str
     name: str
     only_new: bool
+    beside: bool = True
+    text: Callable[[str], str] | None = None
 
     def __call__(self, pdfs):
-        fs, key, out, n = LocalFileSystem(), None, None, 0
+        key, out, n = None, None, 0
         try:
             for pdf in pdfs:
                 for book, schema, value in zip(pdf["book"], pdf["schema"], pdf["value"], strict=True):
                     if (book, schema) != key:
-                        self._close(fs, key, out)
+                        self._close(out)
                         key, out = (book, schema), None
-                        if not self.only_new or self._absent(fs, self._folder(key)):
-                            fs.create_dir(self._folder(key))
-                            out = (beside := f"{self._folder(key)}/_{uuid.uuid4().hex}.tmp", fs.open_output_stream(beside))
+                        folder = self._folder(key)
+                        if not self.only_new or self._absent(folder):
+                            out = self._open(folder)
                             n += 1
                     if out is not None:
-                        out[1].write(f"{'' if value is None else value}\n".encode())
-            self._close(fs, key, out)
+                        out[1].write(f"{'' if value is None else self.text(value) if self.text else value}\n".encode())
+            self._close(out)
         except BaseException:
+            # A file under its own name stays: another try may have replaced it meanwhile, and if there is none, the folder goes.
             if out is not None:
                 out[1].close()
-                fs.delete_file(out[0])
+                if out[0] != out[2] and os.path.exists(out[0]):
+                    os.remove(out[0])
             raise
         yield pd.DataFrame({"n": [n]})
 
     def _folder(self, key: tuple[str, str]) -> str:
         return f"{self.root}/book={escaped(key[0])}/schema={escaped(key[1])}"
 
-    def _close(self, fs, key, out) -> None:
+    def _open(self, folder: str) -> tuple[str, BinaryIO, str]:
+        """The file's path while it is written, the file, and its path when it is whole. Folders are made without a look at what is there."""
+        for at in (os.path.dirname(folder), folder):
+            try:
+                os.mkdir(at)
+            except FileExistsError:
+                pass
+        path = f"{folder}/{self.name}"
+        if not self.beside:
+            try:
+                return path, open(path, "xb"), path  # noqa: SIM115
+            except FileExistsError:
+                pass
+        beside = f"{folder}/_{uuid.uuid4().hex}.tmp"
+        return beside, open(beside, "xb"), path  # noqa: SIM115
+
+    def _close(self, out: tuple[str, BinaryIO, str] | None) -> None:
         if out is not None:
             out[1].close()
-            fs.move(out[0], f"{self._folder(key)}/{self.name}")
+            if out[0] != out[2]:
+                os.replace(out[0], out[2])
 
-    def _absent(self, fs, folder: str) -> bool:
-        found = fs.get_file_info(FileSelector(folder, allow_not_found=True))
-        return all(f.base_name == self.name or f.base_name[0] in "._" for f in found)
+    def _absent(self, folder: str) -> bool:
+        return not os.path.isdir(folder) or all(f == self.name or f[0] in "._" for f in os.listdir(folder))
 
 
 __all__ = ["Ledger", "encode", "export", "json", "to_yaml"]

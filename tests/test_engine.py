@@ -591,3 +591,91 @@ def test_even_documents_are_written_alike(monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(L.yaml, "SafeDumper", None)
     assert to_yaml({"actors": {"e1": {"last": "ch0001-ch0002-d0", "n": 2}}}) == "actors:\n  e1:\n    last: ch0001-ch0002-d0\n    n: 2\n"
+
+
+def test_an_exported_file_takes_few_calls(tmp_path, monkeypatch):
+    """Where nobody reads before all are whole, a file is made under its own name; what another try has left there is replaced by a whole one."""
+    import pandas as pd
+
+    from docfold.sinks import ledger as L
+
+    moves, replace = [], L.os.replace
+    monkeypatch.setattr(L.os, "replace", lambda *a: (moves.append(a), replace(*a))[1])
+    rows = [pd.DataFrame({"book": ["a", "a", "b/c"], "schema": ["s", "s", "s"], "value": ["1", "2", None]})]
+    files = lambda: {str(f.relative_to(tmp_path)): f.read_text() for f in tmp_path.rglob("*") if f.is_file()}
+    want = {"book=a/schema=s/part-1.txt": "<1>\n<2>\n", "book=b%2Fc/schema=s/part-1.txt": "\n"}
+    run = lambda **more: list(L.TextFiles(str(tmp_path), "part-1.txt", False, text=lambda v: f"<{v}>", **more)(rows))[0]["n"].tolist()
+    assert run(beside=False) == [2] and not moves and files() == want
+    (tmp_path / "book=a" / "schema=s" / "part-1.txt").write_text("<1>")
+    assert run(beside=False) == [2] and len(moves) == 2 and files() == want
+    moves.clear()
+    assert run() == [2] and len(moves) == 2 and files() == want
+
+    def broken():
+        yield rows[0].assign(book="d")
+        raise OSError("lost")
+
+    with pytest.raises(OSError, match="lost"):
+        list(L.TextFiles(str(tmp_path), "part-1.txt", False)(broken()))
+    assert files() == want
+
+
+def test_a_log_is_exported_beside_the_state(spark, tmp_path, monkeypatch):
+    import threading
+
+    begun, real = threading.Event(), Ledger.export_log
+    monkeypatch.setattr(Ledger, "export_log", lambda self, path: (begun.set(), real(self, path))[1])
+    snapshot, waited = Ledger.snapshot, []
+    monkeypatch.setattr(Ledger, "snapshot", lambda self, *a: (waited.append(begun.wait(20)), snapshot(self, *a))[1])
+    ledger = Ledger(spark, str(tmp_path / "w"))
+    Pipeline(ledger, [SCHEMA], TEMPLATES[:1], Scripted(default="actors:\n  a: {k: 1}"), config()).run(chapters(spark))
+    assert waited == [True] and ledger.pointer()["snapshot"]["levels"]
+    assert spark.read.text(str(tmp_path / "w" / "logs")).count() == ledger.log().count() > 0
+    monkeypatch.setattr(Ledger, "export_log", lambda *_: (_ for _ in ()).throw(OSError("full")))
+    with pytest.raises(OSError, match="full"):
+        Pipeline(Ledger(spark, str(tmp_path / "v")), [SCHEMA], TEMPLATES[:1], Echo(), config()).run(chapters(spark))
+
+
+def test_a_fold_reads_its_rows_once(spark):
+    """What came first and how often is told by the fold itself, also where rows are folds; of one place, in the order of the entries."""
+    from docfold.sinks.ledger import _fold
+
+    kinds = "book string, schema string, entity string, seq long, node string, first struct<seq:long,pos:long>, touches long"
+    rows = [("b", "s", "e", 7, '{"n": 2}', (7, 1), 1), ("b", "s", "e", 7, '{"n": 1}', (7, 0), 1), ("b", "s", "e", 0, '{"n": 0, "m": 1}', (3, 2), 4), ("b", "s", "f", 5, '{"k": 1}', (5, 9), 1)]
+    out = _fold(spark.createDataFrame(rows, kinds).repartition(3), C.MergeConfig(), ("book", "schema", "entity"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInPandas") == 1
+    got = {r.entity: (tuple(r.first), json.loads(r.node), r.touches) for r in out.collect()}
+    assert got == {"e": ((3, 2), {"n": 2, "m": 1}, 6), "f": ((5, 9), {"k": 1}, 1)}
+
+
+def test_texts_are_normalised_once(spark):
+    """Whether a text is blank is told before, by what isn't blank."""
+    from docfold.functions import text as T
+    from docfold.operators.chapters import chapters as chapters_
+
+    odd = ["", " ", "\r\n", "\u3000\t", "\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029", "\xa0", "\u2003", "\x1f", "\0", "a\r\n\r\n b\r\rc\n\rd", " \U0001f600\u2028 ", "^", "]"]
+    rows = spark.createDataFrame([(t,) for t in odd], "text string").select("text", T.normalized(F.col("text")).alias("n"), T.has_text(F.col("text")).alias("has")).collect()
+    assert [r.has for r in rows] == [r.n != "" for r in rows] == [False] * 5 + [True] * 8
+    assert rows[9].n == "a\nb\nc\nd" and rows[10].n == "\U0001f600"
+    out = chapters_(spark.createDataFrame([("b", i, "t", t, "p") for i, t in enumerate([*odd, None])], "book string, pos long, title string, text string, source_path string"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("transform(split(") == 1 and out.count() == 8
+
+
+def test_prompts_make_what_their_template_asks_for():
+    from docfold import extraction as E
+
+    values = E.prompt_values([{"chapter_index": 1, "chapter_id": "c", "title": "{{root_key}}", "text": "x"}], "ch0001-ch0001-d0", SCHEMA, {"actors": {}}, "", "")
+    assert E.render("{{chapter_title}} {{batch_id}} {{source_text}}", {k: v if k in ("batch_id", "chapter_title", "source_text", "root_key") else None for k, v in values.items()}) == "{{root_key}} ch0001-ch0001-d0 ### Chapter 1\nchapter_id: c\nchapter_title: actors\n\nx"
+
+
+def test_plain_mappings_need_no_constructor(monkeypatch):
+    from docfold.operators import increments as I
+
+    yaml = I.yaml
+    texts = ["a:\n  e1:\n    last: ch0001-ch0002-d0\n    n: 20", "a: 1\na: x\n", "a: 0\nb: 7\n"]
+    other = ["a: 010\nb: 0x1F", "1: x\n", "a: yes\n", "no: x\n", "a:\n", "a: 2020-01-01\n", "a: 1_0\n", "a: 1.5\n", "a: 12345678901234567890\n"]
+    want = [yaml.safe_load(t) for t in [*texts, *other]]
+    assert [I.loaded(t) for t in [*texts, *other]] == want and [type(I.loaded(t)) for t in other] == [dict] * 9
+    monkeypatch.setattr(yaml, "load", lambda *_: "constructed")
+    assert [I.loaded(t) for t in texts] == want[:3] and {I.loaded(t) for t in other} == {"constructed"}
