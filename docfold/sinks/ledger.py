@@ -386,7 +386,7 @@ def export_texts(rows: DataFrame, path: str, mode: str = "overwrite", order: lis
     the tasks that write files call themselves.
 
     Hadoop's local file system starts a process for each file and folder that it makes, so on a local or mounted file system tasks write
-    through pyarrow's, and how many files there are is returned; elsewhere Spark's writer does it. There are as many tasks as a shuffle has partitions, since it is the
+    by plain calls, and how many files there are is returned; elsewhere Spark's writer does it. There are as many tasks as a shuffle has partitions, since it is the
     number of files that takes time, not their bytes. ``overwrite``: all files are written beside and get their place in one step. ``append``: a
     file has its place once it is whole; ``only_new``: where a book and schema have files, none is added."""
     spark = rows.sparkSession
